@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terravane.llm import bpe, containment, fst_count, nbsvm, near_dedup, ppm, url_filter
+from terravane.llm import bpe, containment, fst_count, media, nbsvm, near_dedup, ppm, secret_scan, url_filter, warc
 
 #: The rules that op2 applies: fixed values.
 URL_RULES = [
@@ -23,15 +23,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judged(_table(spark, sf_dir, "pages"), rules)
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_fst_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst_count.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -72,6 +84,31 @@ WITH u AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
 
+_OP3 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS lead FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+    (((instr('0123456789abcdef', substr(h, CAST(5 * i // 4 + 1 AS BIGINT), 1)) - 1) * 16
+      + greatest(instr('0123456789abcdef', substr(h, CAST(5 * i // 4 + 2 AS BIGINT), 1)) - 1, 0))
+     >> CAST(3 - (5 * i) % 4 AS BIGINT)) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM g
+"""
+
+_OP7 = r"""
+WITH t AS (
+  SELECT 0 AS k, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), w AS (
+  SELECT k, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM t
+), s AS (
+  SELECT DISTINCT k, id, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s FROM w WHERE len(w) > 0
+), n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE k = 1 GROUP BY id),
+m AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM s i JOIN s d ON i.s = d.s AND i.k = 1 AND d.k = 0 GROUP BY ALL)
+SELECT doc_id, item_id, shared, n_item FROM m JOIN n USING (item_id) WHERE 100 * shared >= 80 * n_item
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _OP2}
+    return {"op2_url_filter": _OP2, "op3_warc_round_trip": _OP3, "op7_containment_decontamination": _OP7}
