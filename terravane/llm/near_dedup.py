@@ -6,9 +6,10 @@ that share a band are candidates. The share of equal registers, less what chance
 registers add, estimates the Jaccard similarity; pairs whose estimate is within five deviations of the
 threshold or above are verified on their full shingle sets.
 
-Copies with equal sets collapse to their smallest doc_id first. Candidates of a band group are never paired
-with each other all at once: the members meet the group's least id, verified links join components, and only
-groups whose members still lie in several components go on, first with eight leaders, then block by block.
+Copies with equal sets collapse to their smallest doc_id first. Candidates of a band group are not paired with
+each other: the members meet the group's least id, and verified links join components. Groups whose members
+still lie in several components go on in pairs of bounded chunks; a chunk pair's exact intersections are one
+matrix product, and it yields only the links that join components. Estimates play no part in that step.
 
 A pair at the threshold is missed with probability (1 - 0.8^3)^24 = 3e-8.
 
@@ -32,8 +33,8 @@ from terravane.llm import textblock as tb
 from terravane.runtime import arrow_limits, cut, ship
 
 REGISTERS, ROWS, MANTISSA = 72, 3, 10
-#: Leaders of a group in the second round; members of a block in the last.
-LEADERS, CHUNK = 8, 512
+#: Members of a chunk, and bytes of their packed texts, about.
+CHUNK, CHUNK_BYTES = 512, 4 << 20
 
 
 def _seeds(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,20 +152,54 @@ def _set(packed: bytes, shingle_words: int) -> np.ndarray:
     return np.unique(tb.Words([zlib.decompress(packed)]).shingles(0, shingle_words))
 
 
-def _inside(floor: float):
-    """Pairs of a chunk pair whose estimates pass and whose components differ."""
+def _products(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every x with every y: shingles that both sides have, in slices of a matrix product."""
+    of = lambda z: (np.concatenate(z), np.repeat(np.arange(len(z)), [len(s) for s in z]))
+    (hx, ox), (hy, oy) = of(x), of(y)
+    both = np.intersect1d(hx, hy)
+    out = np.zeros((len(x), len(y)), np.float32)
+    at = []
+    for h, o in ((hx, ox), (hy, oy)):
+        p = np.minimum(np.searchsorted(both, h), max(0, len(both) - 1))
+        ok = both[p] == h if len(both) else np.zeros(len(h), bool)
+        order = np.argsort(p[ok], kind="stable")
+        at.append((p[ok][order], o[ok][order]))
+    for low in range(0, len(both), 2048):
+        sides = []
+        for (p, o), n in zip(at, (len(x), len(y)), strict=True):
+            i, j = np.searchsorted(p, (low, low + 2048))
+            m = np.zeros((n, 2048), np.float32)
+            m[o[i:j], p[i:j] - low] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _inside(shingle_words: int, percent: int):
+    """Verified links of a chunk pair that join different components, as few as join them all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, same in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("same").to_pylist(), strict=True):
-                (i, ci, ni, ri), (j, cj, nj, rj) = ((np.array([m["rep"] for m in z]), np.array([m["comp"] for m in z]), np.array([m["n"] for m in z]), np.frombuffer(b"".join(m["regs"] for m in z), np.uint16).reshape(-1, REGISTERS)) for z in (x, y))
-                for r in range(len(i)):
-                    ok = (cj != ci[r]) & (estimate(ri[r][None], rj, ni[r : r + 1].repeat(len(j)), nj) >= floor)
-                    if same:
-                        ok[: r + 1] = False
-                    if ok.any():
-                        o = j[ok]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[r], o)), pa.array(np.maximum(i[r], o))], names=["a", "b"])
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                left, right = x.as_py(), y.as_py()
+                sets = [[_set(m["packed"], shingle_words) for m in z] for z in (left, right)]
+                n = [np.array([len(s) for s in z]) for z in sets]
+                both = _products(*sets)
+                links = 100 * both >= percent * (n[0][:, None] + n[1][None] - both)
+                links &= np.array([m["comp"] for m in left])[:, None] != np.array([m["comp"] for m in right])[None]
+                up: dict[int, int] = {}
+                found: list[tuple[int, int]] = []
+                for i, j in zip(*(z.tolist() for z in np.nonzero(links)), strict=True):
+                    a, b = left[i]["comp"], right[j]["comp"]
+                    while a in up:
+                        a = up[a]
+                    while b in up:
+                        b = up[b]
+                    if a != b:
+                        up[max(a, b)] = min(a, b)
+                        found.append((left[i]["rep"], right[j]["rep"]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -226,23 +261,11 @@ def _links(spark: SparkSession, docs: DataFrame, reps: DataFrame, sketch_of: Dat
     )
     links = cut(_exact(close, packed, shingle_words, percent), "links-1")
     found = components(links, "cc-1") if not links.isEmpty() else empty
-    apart = _apart(members.filter("rep <> lead").select("band", "rep"), found, "rest-2")
+    apart = _apart(members.filter("rep <> lead").select("band", "rep"), found, "apart")
     if apart.isEmpty():
         return found
-    # second round: up to eight leaders of each such group, the least ids of its hash slots
-    slot = F.pmod(F.xxhash64("rep", "band"), F.lit(LEADERS))
-    leaders = apart.groupBy("band", slot.alias("slot")).agg(F.min("rep").alias("lead")).select("band", "lead")
-    at = apart.join(leaders, "band").join(found.select(F.col("id").alias("lead"), F.col("comp").alias("lcomp")), "lead", "left")
-    pairs = at.filter("rep <> lead AND comp <> coalesce(lcomp, lead)").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    more = cut(_exact(cut(_estimated(pairs, sketch_of, floor), "close-2"), packed, shingle_words, percent), "links-2")
-    links, found = _joined(links, more, found, "cc-2")
-    # last: whatever is left of groups that still lie apart, without the leaders, which have met every member
-    untried = apart.select("band", "rep").join(leaders.withColumnRenamed("lead", "rep"), ["band", "rep"], "left_anti")
-    apart = _apart(untried, found, "rest-3")
-    if apart.isEmpty():
-        return found
-    more = cut(_exact(cut(_blocked(apart, sketch_of, floor), "close-3"), packed, shingle_words, percent), "links-3")
-    return _joined(links, more, found, "cc-3")[1]
+    more = cut(_blocked(apart, packed, shingle_words, percent), "links-2")
+    return found if more.isEmpty() else components(links.union(more), "cc-2")
 
 
 def _apart(members: DataFrame, found: DataFrame, name: str) -> DataFrame:
@@ -252,13 +275,6 @@ def _apart(members: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return cut(at.join(several, "band"), name)
 
 
-def _joined(links: DataFrame, more: DataFrame, found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    if more.isEmpty():
-        return links, found
-    links = links.union(more)
-    return links, components(links, name)
-
-
 def _picked(docs: DataFrame, ids: DataFrame, key: str, bound: int = 500_000) -> DataFrame:
     """Rows of docs with a key among ids: those are sent to every task only while they are at most bound."""
     few = ids.limit(bound + 1).count() <= bound
@@ -277,19 +293,15 @@ def _exact(pairs: DataFrame, packed: DataFrame, shingle_words: int, percent: int
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(shingle_words, percent), "a long, b long").distinct()
 
 
-def _blocked(rest: DataFrame, sketch_of: DataFrame, floor: float) -> DataFrame:
-    """Every cross-component pair of what is left of a group, by pairs of bounded chunks."""
-    full = rest.join(sketch_of, "rep")
-    parts = F.ceil(F.col("size") / CHUNK)
-    chunks = (
-        full.withColumn("chunk", F.pmod(F.xxhash64("rep"), parts))
-        .withColumn("parts", parts)
-        .groupBy("band", "chunk", "parts")
-        .agg(F.collect_list(F.struct("rep", "comp", "n", "regs")).alias("x"))
-    )
+def _blocked(apart: DataFrame, packed: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Links between components of a group, by pairs of bounded chunks of its members."""
+    full = apart.join(packed, "rep")
+    size = full.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.length("packed")) / CHUNK_BYTES)).alias("parts"))
+    chunks = full.join(size, "band").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    chunks = chunks.groupBy("band", "chunk", "parts").agg(F.collect_list(F.struct("rep", "comp", "packed")).alias("x"))
     left = chunks.withColumn("other", F.explode(F.sequence(F.col("chunk"), F.col("parts") - 1)))
     right = chunks.select("band", F.col("chunk").alias("other"), F.col("x").alias("y"))
-    return left.join(right, ["band", "other"]).select("x", "y", (F.col("chunk") == F.col("other")).alias("same")).mapInArrow(_inside(floor), "a long, b long").distinct()
+    return left.join(right, ["band", "other"]).select("x", "y").mapInArrow(_inside(shingle_words, percent), "a long, b long").distinct()
 
 
 def kept_documents(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
