@@ -1 +1 @@
-"""See the README for the operators of this subpackage."""
+"""Scalar expressions: geometry and projections, text, dates, codes, vectors, hashes."""
