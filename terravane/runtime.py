@@ -71,7 +71,7 @@ def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     at = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(at)
-    return spark.read.schema(df.schema).parquet(at) if not by else spark.read.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
