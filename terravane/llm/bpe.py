@@ -147,6 +147,11 @@ def replay(merges: Merges, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.
                 at = at[run % 2 == 0]
         right = nxt[at]
         beyond = nxt[right]
+        follow = np.flatnonzero(beyond[:-1] == at[1:])
+        if len(follow):  # such a merge stands for a moment beside the next one's left half
+            p = merges.find(new[at[follow]], sym[at[follow + 1]])
+            if len(early := follow[(p >= 0) & (merges.rank[p] < k)]):
+                odd.append(at[early])
         sym[at] = new[at]
         alive[right] = False
         rank[right] = _none
