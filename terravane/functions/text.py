@@ -37,7 +37,7 @@ def number_in(text: Column) -> Column:
 
 def distinct_flags(flags: Column) -> Column:
     """A ';' list without empty or repeated entries, in order."""
-    return F.array_join(F.array_distinct(F.filter(F.transform(F.split(flags, ";"), F.trim), lambda x: x != "")), ";")
+    return F.array_join(F.array_distinct(F.filter(F.transform(F.split(flags, ";"), lambda x: F.trim(x)), lambda x: x != "")), ";")
 
 
 def collection_year(start: Column, end: Column, name: Column) -> Column:
