@@ -298,7 +298,7 @@ def _blocked(apart: DataFrame, packed: DataFrame, shingle_words: int, percent: i
     full = apart.join(packed, "rep")
     size = full.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.length("packed")) / CHUNK_BYTES)).alias("parts"))
     chunks = full.join(size, "band").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    chunks = chunks.groupBy("band", "chunk", "parts").agg(F.collect_list(F.struct("rep", "comp", "packed")).alias("x"))
+    chunks = chunks.repartition("band", "chunk").groupBy("band", "chunk", "parts").agg(F.collect_list(F.struct("rep", "comp", "packed")).alias("x"))
     left = chunks.withColumn("other", F.explode(F.sequence(F.col("chunk"), F.col("parts") - 1)))
     right = chunks.select("band", F.col("chunk").alias("other"), F.col("x").alias("y"))
     return left.join(right, ["band", "other"]).select("x", "y").mapInArrow(_inside(shingle_words, percent), "a long, b long").distinct()
