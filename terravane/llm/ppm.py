@@ -33,8 +33,8 @@ from terravane.llm import textblock as tb
 from terravane.runtime import arrow_limits, cut, ship
 
 #: Bytes of the longest context.
-ORDER = 4
-HEAD_BITS, TRIE_BITS = 21, 21
+ORDER = 5
+HEAD_BITS, TRIE_BITS = 21, 23
 #: Entries that a task keeps before it merges equal ones.
 MERGE = 1 << 20
 
@@ -68,7 +68,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray):
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
-        self.bits = max(16, int(len(keys)).bit_length() + 2)
+        self.bits = max(16, int(len(keys)).bit_length() + 1)
         self.slot = np.full(1 << self.bits, -1, np.int32)
         place = np.empty(len(keys), np.int32)
         place[self.order] = np.arange(len(keys), dtype=np.int32)
@@ -174,16 +174,18 @@ def short_contexts(code: np.ndarray, count: np.ndarray) -> np.ndarray:
     out = np.full(1 << 24, -np.log10(256.0), np.float32)
     if not len(code):
         return out
-    leaves = np.zeros(1 << 24, np.int64)
-    leaves[code] = count
-    leaves = leaves.reshape(256, 256, 256)
     grid = out.reshape(256, 256, 256)
-    one = leaves.sum(0)
+    one = np.bincount(code & 0xFFFF, count, 1 << 16).astype(np.int64).reshape(256, 256)
     zero = one.sum(0)
+    middle = code >> 8 & 0xFF
+    order = np.argsort(middle, kind="stable")
+    ends = np.searchsorted(middle[order], np.arange(257))
     d0 = int((zero > 0).sum())
     with np.errstate(divide="ignore", invalid="ignore"):
         for b in range(256):
-            c2, c1 = leaves[:, b], one[b]
+            own = order[ends[b] : ends[b + 1]]
+            c2, c1 = np.zeros((256, 256), np.int64), one[b]
+            c2[code[own] >> 16, code[own] & 0xFF] = count[own]
             s2, s1 = c2 > 0, c1 > 0
             t2, d2 = c2.sum(1), s2.sum(1)
             e2 = np.where(t2 > 0, np.log10(d2 / np.maximum(t2 + d2, 1)), 0.0)

@@ -179,8 +179,8 @@ def test_ppm_equals_a_walk_byte_by_byte():
     rnd = random.Random(2)
     train = ["".join(rnd.choice("abcab dé") for _ in range(rnd.randint(0, 60))).encode() for _ in range(30)]
     code, n = np.unique(ppm.text_codes(train)[0], return_counts=True)
-    leaves = {4: (code, n)}
-    for k in (3, 2):
+    leaves = {ppm.ORDER: (code, n)}
+    for k in range(ppm.ORDER - 1, 1, -1):
         short, inv = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
         leaves[k] = (short, np.bincount(inv, n).astype(np.int64))
     trie = ppm.Trie(leaves)
@@ -188,7 +188,8 @@ def test_ppm_equals_a_walk_byte_by_byte():
     codes, first = ppm.text_codes(texts)
     got = np.add.reduceat(trie.log10(codes), first, dtype=float)
     assert got == pytest.approx([ppm.brute_code_length(train, t) for t in texts], abs=1e-4)
-    for context in (b"abca", b"\xff\xff\xff\xff", b"q q "):
+    for context in (b"bcabca", b"\xff" * 6, b"q q q ", b"ab q a"):
+        context = context[-ppm.ORDER :]
         codes = np.arange(256) + (int.from_bytes(context, "big") << 8)
         assert (10.0 ** trie.log10(codes).astype(float)).sum() == pytest.approx(1, abs=1e-5)
 
