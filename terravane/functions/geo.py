@@ -138,8 +138,8 @@ def disc_offsets(radius: float, least: float = 4.0, most: float = 40.0) -> Colum
 
 def site_id(name: Column, lat: Column, lon: Column) -> Column:
     """'<name, cleaned>__<lat>_<lon>' at five decimals."""
-    return F.concat(F.regexp_replace(name, r"[^A-Za-z0-9_-]", "_"), F.format_string("__%.5f_%.5f", lat, lon))
+    return F.concat(F.regexp_replace(name, r"[^A-Za-z0-9_-]", "_"), F.format_string("__%.5f_%.5f", lat.cast("double"), lon.cast("double")))
 
 
 def point_key(lat: Column, lon: Column, year: Column) -> Column:
-    return F.format_string("%.6f_%.6f_%d", lat, lon, year)
+    return F.format_string("%.6f_%.6f_%d", lat.cast("double"), lon.cast("double"), year.cast("int"))

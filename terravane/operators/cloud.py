@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -256,3 +257,62 @@ def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
         for v in x:
             out = out << 1 | (v >> b) & 1
     return out
+
+
+def jittered_intensity(points: DataFrame, by: str, seed: int, gamma: float = 0.2, gain: float = 0.2) -> DataFrame:
+    """Intensities (0 to 65,535) of each cloud under a gamma and a gain that depend on its id and the seed."""
+    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col(by)), F.lit(1 << 40)) / float(1 << 40) * 2 - 1
+    v = F.pow(F.col("intensity") / 65535.0, 1 + gamma * u(1)) * (1 + gain * u(2))
+    return points.withColumn("intensity", F.round(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * 65535).cast("long"))
+
+
+def tilted_height(points: DataFrame, by: str, seed: int, most: float = 0.5, radius: float = 100.0) -> DataFrame:
+    """Heights plus a smooth plane for each cloud, of at most so many metres at radius."""
+    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col(by)), F.lit(1 << 40)) / float(1 << 40) * 2 - 1
+    return points.withColumn("hag", F.col("hag") + most * (u(1) * F.col("x") + u(2) * F.col("y")) / (2 * radius))
+
+
+def features(points: DataFrame, by: str, key: list[str]) -> DataFrame:
+    """points with a feature array: height over the median ground, scaled, intensity rank, return ratio, first and last flags."""
+    ground = points.filter(F.col("classification") == GROUND).groupBy(by).agg(F.percentile("z", F.lit(0.5)).alias("_g"))
+    p = intensity_rank(points, by, key).join(ground, by, "left")
+    of = F.col("number_of_returns") if "number_of_returns" in points.columns else F.lit(1)
+    height = F.least(F.greatest(F.col("hag"), F.lit(-5.0)), F.lit(100.0)) / 30
+    first, last = (F.col("return_number") == 1).cast("double"), (F.col("return_number") >= of).cast("double")
+    return p.withColumn("features", F.array((F.col("z") - F.coalesce("_g", F.lit(0.0))) / 50, height, F.col("rank01"), F.col("return_number") / of, first, last)).drop("_g", "rank01")
+
+
+def elastic(points: DataFrame, by: str, cell: float, size: float, seed: int) -> DataFrame:
+    """Points moved by smoothed noise on a grid of cells, interpolated between its nodes; a cloud fits a task."""
+
+    def one(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        xyz = p[["x", "y", "z"]].to_numpy(float)
+        low = xyz.min(0)
+        shape = (np.floor((xyz.max(0) - low) / cell).astype(int) + 4).tolist()
+        rng = np.random.Generator(np.random.Philox(key=[seed, zlib.crc32(str(key[0]).encode())]))
+        noise = rng.normal(size=(*shape, 3))
+        for axis in range(3):  # a box filter, twice along each axis
+            for _ in range(2):
+                noise = (np.roll(noise, 1, axis) + noise + np.roll(noise, -1, axis)) / 3
+        at = (xyz - low) / cell + 1
+        i = np.floor(at).astype(int)
+        f = at - i
+        moved = np.zeros_like(xyz)
+        for a in (0, 1):
+            for b in (0, 1):
+                for c in (0, 1):
+                    w = (f[:, 0] if a else 1 - f[:, 0]) * (f[:, 1] if b else 1 - f[:, 1]) * (f[:, 2] if c else 1 - f[:, 2])
+                    moved += w[:, None] * noise[i[:, 0] + a, i[:, 1] + b, i[:, 2] + c]
+        xyz = xyz + size * moved
+        return p.assign(x=xyz[:, 0], y=xyz[:, 1], z=xyz[:, 2])
+
+    return points.groupBy(by).applyInPandas(one, points.schema)
+
+
+def split_views(points: DataFrame, by: str, context: float, targets: list[float], key: list[str], seed: int = 0) -> DataFrame:
+    """Views of each cloud with role 'context' (points of the wide view that no target covers) or 'target'."""
+    every = views(points, by, [context, *targets], 1 << 30, key, seed)
+    target = every.filter(F.col("view") > 0)
+    covered = target.select(by, *key).distinct()
+    left = every.filter(F.col("view") == 0).join(covered, [by, *key], "left_anti")
+    return left.withColumn("role", F.lit("context")).unionByName(target.withColumn("role", F.lit("target")))

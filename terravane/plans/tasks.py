@@ -1,0 +1,86 @@
+"""Evaluation tasks: what is predicted, from which rows, and how it is scored."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from terravane.operators import metrics, probe
+from terravane.operators.extra import where
+
+KINDS = ("multiclass", "multilabel", "regression")
+
+
+@dataclass(frozen=True)
+class Task:
+    """A task over a table with is_test: label is the class, the 0/1 columns' prefix, or the target."""
+
+    name: str
+    kind: str
+    label: str
+    rows: str = ""
+    least: int = 20
+    description: str = ""
+
+    def __post_init__(self):
+        if self.kind not in KINDS:
+            raise ValueError(f"{self.kind} is none of {KINDS}")
+
+    def select(self, table: DataFrame) -> DataFrame:
+        """Its rows: those of the row query, with classes that both sides have often enough."""
+        df = table.filter(where(self.rows)) if self.rows else table
+        if self.kind != "multiclass":
+            return df
+        return df.join(probe.scoreable(df, self.label, "is_test", self.least).select(self.label), self.label, "left_semi")
+
+    def long(self, table: DataFrame, key: str) -> DataFrame:
+        """(key, target, truth): for a multilabel task one row for each label column."""
+        if self.kind == "multilabel":
+            own = [c for c in table.columns if c.startswith(self.label)]
+            return table.unpivot([key, "is_test"], own, "target", "truth")
+        return table.select(key, "is_test", F.lit(self.name).alias("target"), F.col(self.label).alias("truth"))
+
+    def score(self, predictions: DataFrame) -> DataFrame:
+        """(task, metric, value) from (target, truth, predicted)."""
+        if self.kind == "multiclass":
+            m = metrics.multiclass(predictions, "truth", "predicted")
+        elif self.kind == "multilabel":
+            a = metrics.auroc(predictions, "target", "truth", "predicted").agg(F.avg("auroc").alias("mean_auroc"), F.count("*").cast("double").alias("n_targets"))
+            m = a.crossJoin(metrics.average_precision(predictions, "target", "truth", "predicted").agg(F.avg("ap").alias("mean_ap")))  # one row each
+        else:
+            m = metrics.regression(predictions, "target", "truth", "predicted").agg(F.avg("r2").alias("mean_r2"), F.avg("rmse").alias("mean_rmse"), F.avg("spearman").alias("mean_spearman"))
+        return m.unpivot([], m.columns, "metric", "value").select(F.lit(self.name).alias("task"), "metric", "value")
+
+
+class Tasks:
+    """Tasks by name, and the models that can be run on them."""
+
+    def __init__(self) -> None:
+        self.tasks: dict[str, Task] = {}
+
+    def add(self, task: Task) -> Task:
+        if task.name in self.tasks:
+            raise ValueError(f"{task.name} is registered already")
+        self.tasks[task.name] = task
+        return task
+
+    def run(self, tables: dict[str, DataFrame], models: dict[str, Callable[[Task, DataFrame], DataFrame]]) -> DataFrame:
+        """(model, task, metric, value) of every model on every task with a table."""
+        out = None
+        for name, task in self.tasks.items():
+            if name in tables:
+                rows = task.select(tables[name])
+                for model, fit in models.items():
+                    one = task.score(fit(task, rows)).select(F.lit(model).alias("model"), "task", "metric", "value")
+                    out = one if out is None else out.unionByName(one)
+        return out
+
+
+def summary(results: DataFrame, models: list[str]) -> DataFrame:
+    """(task, metric, a column for each model, low, high)."""
+    wide = results.groupBy("task", "metric").pivot("model", models).agg(F.first("value"))
+    ends = results.groupBy("task", "metric").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return wide.join(ends, ["task", "metric"]).orderBy("task", "metric")

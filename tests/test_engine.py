@@ -296,3 +296,56 @@ def test_fill_down_resets(spark):
     df = spark.createDataFrame(rows, "o long, level string, name string")
     got = {r.o: (r.a_name, r.b_name, r.c_name) for r in labels.fill_down(df, "o", "level", "name", ["a", "b", "c"]).collect()}
     assert got == {1: ("A", None, None), 2: ("A", "B", None), 3: ("A", "B", "C"), 4: ("A2", None, None), 5: ("A2", None, "C2")}
+
+
+def test_sql_functions(spark):
+    from terravane.functions.register import register
+
+    assert "utm_zone" in register(spark)
+    r = spark.sql("SELECT n_decimals('1.250') AS a, utm_zone(180D) AS b, block_id(0.1D, -100.1D, 0.25D) AS c, window_gap(2007, 2010, 2013) AS d, dequantised(-128D) AS e").first()
+    assert tuple(r) == (2, 1, "0_-401", 3, None)
+
+
+def test_curation_meets_the_contract(spark):
+    from terravane.plans import curate
+
+    raw = spark.range(300).selectExpr("id AS plot", "0.1 + (id % 37) / 10.0 AS lat", "0.1 + (id % 31) / 10.0 AS lon", "CAST(2008 + id % 9 AS INT) AS year", "CASE WHEN id % 10 = 0 THEN NULL ELSE 'oak' END AS label")
+    f = footprints(spark, [("A 1", 1, 2010, [SQUARE]), ("B", 2, 2014, [SQUARE])])
+    c = curate.Curation("plot", [("labelled", F.col("label").isNotNull()), ("valid", funnel.valid_coordinates(F.col("lat"), F.col("lon")))], most_gap=1, keep=["label"])
+    table = c.table(raw, f)
+    assert curate.contract_errors(table, "plot") == []
+    counts = {r.step: r.n for r in c.counts(raw, f).collect()}
+    assert counts["all"] == 300 and counts["labelled"] == 270 and counts["near_in_time"] == table.count() > 0
+    assert table.filter("abs(year_diff) > 1").count() == 0 and table.first().site_id.startswith(("A_1__", "B__"))
+    assert curate.contract_errors(table.drop("year"), "plot") == ["no column year"]
+
+
+def test_tasks(spark):
+    from terravane.plans import tasks
+
+    rows = [(i, float(i % 7), "ab"[i % 2], i % 3 == 0, int(i % 2 == 0), int(i % 5 == 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, y double, label string, is_test boolean, occ__a int, occ__b int")
+    every = tasks.Tasks()
+    every.add(tasks.Task("cls", "multiclass", "label", rows="y < 6", least=10))
+    every.add(tasks.Task("reg", "regression", "y"))
+    every.add(tasks.Task("occ", "multilabel", "occ__"))
+    perfect = lambda t, d: t.long(d, "id").filter("is_test").withColumn("predicted", F.col("truth"))
+    got = every.run({"cls": df, "reg": df, "occ": df}, {"perfect": perfect})
+    values = {(r.task, r.metric): r.value for r in got.collect()}
+    assert values["cls", "balanced_accuracy"] == 1 and values["reg", "mean_r2"] == 1 and values["occ", "mean_auroc"] == 1 and values["occ", "mean_ap"] == 1
+    assert tasks.summary(got, ["perfect"]).columns == ["task", "metric", "perfect", "low", "high"]
+    with pytest.raises(ValueError):
+        tasks.Task("x", "ranking", "y")
+
+
+def test_cloud_augmentations(spark):
+    rows = [(c, i, float(i % 10), float(i // 10), 0.1 * i, 2, i * 100, 1, 0.1 * i) for c in (1, 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "cloud long, k long, x double, y double, z double, classification int, intensity long, return_number int, hag double")
+    for out in (cloud.jittered_intensity(df, "cloud", 1), cloud.tilted_height(df, "cloud", 1), cloud.elastic(df, "cloud", 4.0, 0.2, 1), cloud.features(df, "cloud", ["k"])):
+        assert out.count() == 200
+    e = cloud.elastic(df, "cloud", 4.0, 0.2, 1).join(df.select("cloud", "k", F.col("x").alias("x0")), ["cloud", "k"]).agg(F.max(F.abs(F.col("x") - F.col("x0")))).first()[0]
+    assert 0 < e < 1
+    v = cloud.split_views(df, "cloud", 20.0, [2.0], ["k"])
+    seen = {r.role for r in v.select("role").distinct().collect()}
+    assert seen == {"context", "target"}
+    assert v.groupBy("cloud", "k").agg(F.count_distinct("role").alias("n")).filter("n > 1").count() == 0
