@@ -128,7 +128,8 @@ def _near(floor: float):
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in tb.blocks(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], names=["rep", "packed"])
+        packed = [zlib.compress(t, 1) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(list(map(len, packed)), pa.int64())], names=["rep", "packed", "bytes"])
 
 
 def _verify(shingle_words: int, percent: int):
@@ -248,7 +249,8 @@ def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 def _links(spark: SparkSession, docs: DataFrame, reps: DataFrame, sketch_of: DataFrame, shingle_words: int, percent: int, floor: float) -> DataFrame:
     """Components (id, comp) of the representatives that have a verified link."""
     banded = reps.mapInArrow(_bands, "band long, rep long")
-    groups = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).filter("lead < top").select("band", "lead")
+    # written first, so that the join has no aggregation beside it and a hot band's rows may be split
+    groups = cut(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).filter("lead < top").select("band", "lead"), "groups")
     members = cut(banded.join(groups, "band"), "members")
     edges = members.filter("lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     close = cut(_estimated(edges, sketch_of, floor), "close")
@@ -257,22 +259,24 @@ def _links(spark: SparkSession, docs: DataFrame, reps: DataFrame, sketch_of: Dat
         return empty
     ids = members.select("rep").distinct()
     packed = cut(
-        _picked(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")), ids, "rep").mapInArrow(_pack, "rep long, packed binary"), "packed"
+        _picked(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")), ids, "rep").mapInArrow(_pack, "rep long, packed binary, bytes long"), "packed"
     )
     links = cut(_exact(close, packed, shingle_words, percent), "links-1")
     found = components(links, "cc-1") if not links.isEmpty() else empty
-    apart = _apart(members.filter("rep <> lead").select("band", "rep"), found, "apart")
+    apart = _apart(members.filter("rep <> lead").select("band", "rep"), found, packed.select("rep", "bytes"))
     if apart.isEmpty():
         return found
     more = cut(_blocked(apart, packed, shingle_words, percent), "links-2")
     return found if more.isEmpty() else components(links.union(more), "cc-2")
 
 
-def _apart(members: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """(band, rep, comp, size) of the groups whose members lie in several components."""
+def _apart(members: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(band, rep, comp, parts) of the groups whose members lie in several components; parts: how many chunks such a group makes."""
     at = members.join(found, F.col("rep") == F.col("id"), "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
-    several = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("band", "size")
-    return cut(at.join(several, "band"), name)
+    at = cut(at.join(sizes, "rep"), "grouped")
+    several = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).alias("parts"))
+    several = cut(several.filter("x < y").select("band", "parts"), "several")
+    return cut(at.drop("bytes").join(several, "band"), "apart")
 
 
 def _picked(docs: DataFrame, ids: DataFrame, key: str, bound: int = 500_000) -> DataFrame:
@@ -295,9 +299,7 @@ def _exact(pairs: DataFrame, packed: DataFrame, shingle_words: int, percent: int
 
 def _blocked(apart: DataFrame, packed: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """Links between components of a group, by pairs of bounded chunks of its members."""
-    full = apart.join(packed, "rep")
-    size = full.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.length("packed")) / CHUNK_BYTES)).alias("parts"))
-    chunks = full.join(size, "band").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    chunks = apart.join(packed.select("rep", "packed"), "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts")))
     chunks = chunks.repartition("band", "chunk").groupBy("band", "chunk", "parts").agg(F.collect_list(F.struct("rep", "comp", "packed")).alias("x"))
     left = chunks.withColumn("other", F.explode(F.sequence(F.col("chunk"), F.col("parts") - 1)))
     right = chunks.select("band", F.col("chunk").alias("other"), F.col("x").alias("y"))
