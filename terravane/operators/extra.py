@@ -288,3 +288,46 @@ def robust_slope(df: DataFrame, x: str, y: str, cluster: str) -> DataFrame:
     score = (F.col(x) - F.col("mx")) * (F.col(y) - F.col("my") - F.col("slope") * (F.col(x) - F.col("mx")))
     per = known.crossJoin(F.broadcast(m)).groupBy(cluster).agg(F.sum(score).alias("u"), F.first("n").alias("n"), F.first("slope").alias("slope"), F.first("sxx").alias("sxx"))  # m is one row
     return per.agg(F.first("n").alias("n"), F.first("slope").alias("slope"), (F.sqrt(F.sum(F.col("u") ** 2) * F.count("*") / (F.count("*") - 1)) / F.first("sxx")).alias("se"))
+
+
+def calibrated(rows: DataFrame, models: DataFrame, cell: float, survey: str) -> DataFrame:
+    """rows (x, y, survey) moved by the displacement of their cell and survey; rows without one stay, with calibrated false."""
+    own = rows.withColumns({"i": F.floor(F.col("x") / cell).cast("long"), "j": F.floor(F.col("y") / cell).cast("long")})
+    joined = own.join(models.select("i", "j", survey, F.struct("a", "b", "c", "d", "e", "f").alias("_m")), ["i", "j", survey], "left")
+    x, y = displaced(F.col("x"), F.col("y"), F.col("_m"))
+    has = F.col("_m").isNotNull()
+    return joined.withColumns({"x": F.when(has, x).otherwise(F.col("x")), "y": F.when(has, y).otherwise(F.col("y")), "calibrated": has}).drop("_m")
+
+
+def covered_cells(polygons: DataFrame, key: str, cell: float, least: float) -> DataFrame:
+    """(key, i, j, share): grid cells of which a convex or concave outer ring covers at least that share (clipped exactly)."""
+
+    def clip(ring: list[tuple[float, float]], axis: int, at: float, above: bool) -> list[tuple[float, float]]:
+        out = []
+        for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
+            a, b = ((v[axis] >= at) if above else (v[axis] <= at) for v in (p, q))
+            if a:
+                out.append(p)
+            if a != b:
+                t = (at - p[axis]) / (q[axis] - p[axis])
+                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+        return out
+
+    def area(ring: list[tuple[float, float]]) -> float:
+        return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True))) / 2 if len(ring) > 2 else 0.0
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = []
+            for k, ring, i, j in zip(p[key], p["ring"], p["i"], p["j"], strict=True):
+                r = [(float(v["x"]), float(v["y"])) for v in ring][:-1]
+                for axis, n in ((0, i), (1, j)):
+                    r = clip(clip(r, axis, n * cell, True), axis, (n + 1) * cell, False) if r else r
+                share = area(r) / (cell * cell)
+                if share >= least:
+                    rows.append((k, i, j, share))
+            yield pd.DataFrame(rows, columns=[key, "i", "j", "share"])
+
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long"))
+    cells = polygons.select(key, F.col("rings")[0].alias("ring"), F.explode(span("xmin", "xmax")).alias("i"), "ymin", "ymax").withColumn("j", F.explode(span("ymin", "ymax")))
+    return cells.select(key, "ring", "i", "j").mapInPandas(run, f"{key} {polygons.schema[key].dataType.simpleString()}, i long, j long, share double")

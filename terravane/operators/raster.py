@@ -101,3 +101,38 @@ def planned_units(points: DataFrame, cell: float, k: int, products: DataFrame, n
 def first_mosaic(layers: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """The first known value of each cell in layer order."""
     return layers.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.min_by(value, order).alias(value))
+
+
+def shadow_depth(dsm: DataFrame, by: str, sun_azimuth: float, sun_elevation: float, cell: float, reach: int) -> DataFrame:
+    """(by, i, j, depth): how far each cell lies below the ray from the sun over the cells towards it, at least 0.
+
+    Rays step one cell at a time, so a cell meets reach others: an equi-join on shifted cells, then a maximum."""
+    step_i, step_j = float(np.sin(np.radians(sun_azimuth))), float(np.cos(np.radians(sun_azimuth)))
+    drop = float(np.tan(np.radians(sun_elevation))) * cell
+    k = F.explode(F.sequence(F.lit(1), F.lit(reach)))
+    rays = dsm.select(by, "i", "j", F.col("value").alias("own"), k.alias("k"))
+    rays = rays.withColumns({"ti": F.round(F.col("i") + F.col("k") * step_i).cast("long"), "tj": F.round(F.col("j") + F.col("k") * step_j).cast("long")})
+    other = dsm.select(by, F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("value").alias("high"))
+    over = rays.join(other, [by, "ti", "tj"]).groupBy(by, "i", "j").agg(F.max(F.col("high") - F.col("k") * drop - F.col("own")).alias("depth"))
+    return dsm.select(by, "i", "j").join(over, [by, "i", "j"], "left").select(by, "i", "j", F.greatest(F.coalesce("depth", F.lit(0.0)), F.lit(0.0)).alias("depth"))
+
+
+def landmarks(grid: DataFrame, by: str, value: str, above: float, least: int) -> DataFrame:
+    """(by, landmark, n, ci, cj, height): connected cells (four neighbours) of at least so many that rise above a level.
+
+    Cells are vertices of a graph by their number in the unit's grid; components come from label rounds."""
+    from terravane.operators.graph import components
+
+    width = 1 << 20
+    number = (F.col("i") + width // 2) * width + F.col("j") + width // 2
+    high = grid.filter(F.col(value) > above).select(by, "i", "j", F.col(value).alias("v"), number.alias("cell"))
+    units = high.select(by).distinct().withColumn("unit_no", F.row_number().over(Window.orderBy(by)) - 1)  # one row for each unit
+    high = high.join(units, by).withColumn("id", F.col("unit_no") * (width * width) + F.col("cell"))
+    edges = None
+    for di, dj in ((1, 0), (0, 1)):
+        shifted = high.select(by, (F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("id").alias("b"))
+        one = high.select(by, "i", "j", F.col("id").alias("a")).join(shifted, [by, "i", "j"]).select("a", "b")
+        edges = one if edges is None else edges.union(one)
+    labelled = high.join(components(edges, "landmarks"), "id", "left").withColumn("landmark", F.coalesce("comp", "id"))
+    sums = labelled.groupBy(by, "landmark").agg(F.count("*").alias("n"), F.avg("i").alias("ci"), F.avg("j").alias("cj"), F.max("v").alias("height"))
+    return sums.filter(F.col("n") >= least)

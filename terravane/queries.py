@@ -60,6 +60,8 @@ def _sql(body: str) -> str:
     body = body.strip()
     if not views_:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views_},\n{body[15:]}"
     return f"WITH {views_},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views_}\n{body}"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravane.operators import extra, raster
+from terravane.operators import extra, graph, match, raster
 from terravane.plans import views
 from terravane.queries import _matched, _rounded, query
 
@@ -183,3 +183,34 @@ def unit_plan(spark, sf):
     s = views.sites(spark, sf).filter("site_id % 40 = 0").selectExpr("lon AS x", "lat AS y")
     p = views.footprints(spark, sf).selectExpr("name", "coalesce(collection_year, 2000) AS year", "explode(sequence(CAST(floor(xmin) AS BIGINT), CAST(floor(xmin) AS BIGINT) + 2)) AS i", "CAST(floor(ymin) AS BIGINT) AS j")
     return raster.planned_units(s, 1.0, 1, p, 2)
+
+
+@query("""WITH RECURSIVE e AS (SELECT a.site_id AS a, b.site_id AS b FROM v_sites a JOIN v_sites b ON a.site_id <> b.site_id AND abs(a.lat - b.lat) < 0.3
+  WHERE sqrt(pow((b.lon - a.lon) * cos(radians((a.lat + b.lat)/2)) * 111320.0e0, 2) + pow((b.lat - a.lat) * 111320.0e0, 2)) <= 15000),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS site_id, least(a, min(b)) AS component FROM r GROUP BY a""")
+def revisit_components(spark, sf):
+    pairs = match.pairs_within(views.sites(spark, sf), 15_000.0, "site_id", []).select(F.col("a_site_id").alias("a"), F.col("b_site_id").alias("b"))
+    return graph.components(pairs, "revisits").select(F.col("id").alias("site_id"), F.col("comp").alias("component"))
+
+
+@query("""WITH c AS (SELECT name, xmin + w/2 AS cx, ymin + h/2 AS cy, w, h, unnest(range(CAST(floor(xmin) AS BIGINT), CAST(floor(xmin + w) AS BIGINT) + 1)) AS i, ymin FROM v_footprints),
+d AS (SELECT name, cx, cy, w, h, i, unnest(range(CAST(floor(ymin) AS BIGINT), CAST(floor(ymin + h) AS BIGINT) + 1)) AS j FROM c)
+SELECT name, i, j FROM d WHERE greatest(abs(i - cx), abs(i + 1 - cx))/(w/2) + greatest(abs(j - cy), abs(j + 1 - cy))/(h/2) <= 1 + 1e-9""")
+def fully_covered_cells(spark, sf):
+    return extra.covered_cells(views.footprints(spark, sf), "name", 1.0, 1 - 1e-9).select("name", "i", "j")
+
+
+@query()
+def half_covered_cells(spark, sf):
+    return extra.covered_cells(views.footprints(spark, sf), "name", 1.0, 0.25)
+
+
+@query()
+def landmark_cells(spark, sf):
+    return raster.landmarks(_grid(spark, sf), "cloud_id", "value", 27.0, 2)
+
+
+@query()
+def shadow_depths(spark, sf):
+    return raster.shadow_depth(_grid(spark, sf), "cloud_id", 135.0, 40.0, 20.0, 5)

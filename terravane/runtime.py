@@ -71,7 +71,16 @@ def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     at = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._terravane_path = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once nothing reads them any more; other tables are left alone."""
+    for t in tables:
+        if at := getattr(t, "_terravane_path", None):
+            remove(t.sparkSession, at)
 
 
 def remove(spark: SparkSession, path: str) -> None:

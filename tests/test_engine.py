@@ -349,3 +349,45 @@ def test_cloud_augmentations(spark):
     seen = {r.role for r in v.select("role").distinct().collect()}
     assert seen == {"context", "target"}
     assert v.groupBy("cloud", "k").agg(F.count_distinct("role").alias("n")).filter("n > 1").count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    from terravane.operators.graph import components
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 180)] + [(300, 200), (201, 300)]
+    got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 180)} == {100} and got[201] == got[300] == 200
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_listing(spark, tmp_path):
+    import hashlib
+    import json
+
+    from terravane.sources import listing
+
+    (tmp_path / "a_2020.bin").write_bytes(b"12")
+    (tmp_path / "b_2020.bin").write_bytes(b"1234")
+    (tmp_path / "r.json").write_text(json.dumps({"unit": "u", "fits": [{"k": 1, "v": 2.5}, {"k": 2, "v": 3.5}]}))
+    sums = {r.path.rsplit("/", 1)[1]: r.sha256 for r in listing.checksums(spark, str(tmp_path / "*.bin")).collect()}
+    assert sums["a_2020.bin"] == hashlib.sha256(b"12").hexdigest()
+    index = listing.file_index(listing.listed(spark, str(tmp_path / "*.bin")), "name", "bytes", {"year": F.regexp_extract("name", r"_(\d{4})", 1).try_cast("int")})
+    assert [(r.year, r.name) for r in index.collect()] == [(2020, "b_2020.bin")]
+    units, fits = listing.results(spark, str(tmp_path / "r.json"), "fits", "unit")
+    assert units.count() == 1 and sorted((r.unit, r.k, r.v) for r in fits.collect()) == [("u", 1, 2.5), ("u", 2, 3.5)]
+    assert listing.shortest(["x/long_events.csv", "x/events.csv", "x/other.txt"], "events.csv") == "x/events.csv"
+    assert {r.table_name: (r.n_rows, r.n_columns) for r in listing.profile({"t": spark.range(3).toDF("id")}).collect()} == {"t": (3, 1)}
+
+
+def test_calibration_cover_and_shadow(spark):
+    rows = spark.createDataFrame([(1, 5.0, 5.0, "s"), (2, 15.0, 5.0, "s")], "id long, x double, y double, survey string")
+    models = spark.createDataFrame([(0, 0, "s", 1.0, 0.0, 0.0, -2.0, 0.1, None)], "i long, j long, survey string, a double, b double, c double, d double, e double, f double")
+    got = {r.id: (r.x, r.y, r.calibrated) for r in extra.calibrated(rows, models, 10.0, "survey").collect()}
+    assert got == {1: (6.0, 3.5, True), 2: (15.0, 5.0, False)}
+    f = footprints(spark, [("sq", 1, 2010, [ring((0.5, 0), (2, 0), (2, 1), (0.5, 1), (0.5, 0))])])
+    assert {(r.i, r.j): r.share for r in extra.covered_cells(f, "name", 1.0, 0.01).collect()} == {(0, 0): 0.5, (1, 0): 1.0}
+    wall = spark.createDataFrame([("u", i, 0, 10.0 if i == 3 else 0.0) for i in range(6)], "unit string, i long, j long, value double")
+    depth = {r.i: r.depth for r in raster.shadow_depth(wall, "unit", 90.0, 45.0, 1.0, 5).collect()}
+    assert depth[2] == pytest.approx(9) and depth[0] == pytest.approx(7) and depth[4] == 0
+    marks = raster.landmarks(wall.unionByName(wall.withColumn("unit", F.lit("v"))), "unit", "value", 5.0, 1)
+    assert sorted((r.unit, r.n, r.height) for r in marks.collect()) == [("u", 1, 10.0), ("v", 1, 10.0)]
