@@ -147,9 +147,9 @@ def exclude_within_radius(spark, sf):
     return match.outside(views.sites(spark, sf), centres, 60_000.0, "site_id").select("site_id")
 
 
-@query(f"SELECT a.site_id AS a_site_id, b.site_id AS b_site_id, round({_DIST}, 3) AS distance FROM v_sites a JOIN v_sites b ON a.site_id < b.site_id AND abs(a.lat - b.lat) < 0.2 WHERE {_DIST} <= 15000 AND abs(a.year - b.year) >= 1")
+@query(f"SELECT a.site_id AS a_site_id, b.site_id AS b_site_id, round({_DIST}, 3) AS distance FROM v_sites a JOIN v_sites b ON a.site_id < b.site_id AND abs(a.lat - b.lat) < 1.2 WHERE {_DIST} <= 120000 AND abs(a.year - b.year) >= 1")
 def revisit_pairs(spark, sf):
-    pairs = match.pairs_within(views.sites(spark, sf), 15_000.0, "site_id", ["year"]).filter("abs(a_year - b_year) >= 1")
+    pairs = match.pairs_within(views.sites(spark, sf), 120_000.0, "site_id", ["year"]).filter("abs(a_year - b_year) >= 1")
     return pairs.select("a_site_id", "b_site_id", F.round("distance", 3).alias("distance"))
 
 
@@ -246,9 +246,10 @@ def split_report(spark, sf):
     return splits.split_report(splits.spatial_split(views.sites(spark, sf), how="md5"), "label")
 
 
-@query("""WITH k AS (SELECT grp FROM v_split GROUP BY grp HAVING min(is_test) = max(is_test)) SELECT s.site_id FROM v_split s JOIN k USING (grp)""")
+@query("""WITH k AS (SELECT site_id // 3 AS u FROM v_split GROUP BY 1 HAVING min(is_test) = max(is_test)) SELECT s.site_id FROM v_split s JOIN k ON s.site_id // 3 = k.u""")
 def leak_free_rows(spark, sf):
-    return splits.not_leaking(splits.spatial_split(views.sites(spark, sf), how="md5"), "grp").select("site_id")
+    rows = splits.spatial_split(views.sites(spark, sf), how="md5").withColumn("unit", F.expr("site_id div 3"))
+    return splits.not_leaking(rows, "unit").select("site_id")
 
 
 # events, labels, aggregates

@@ -185,12 +185,12 @@ def unit_plan(spark, sf):
     return raster.planned_units(s, 1.0, 1, p, 2)
 
 
-@query("""WITH RECURSIVE e AS (SELECT a.site_id AS a, b.site_id AS b FROM v_sites a JOIN v_sites b ON a.site_id <> b.site_id AND abs(a.lat - b.lat) < 0.3
-  WHERE sqrt(pow((b.lon - a.lon) * cos(radians((a.lat + b.lat)/2)) * 111320.0e0, 2) + pow((b.lat - a.lat) * 111320.0e0, 2)) <= 15000),
+@query("""WITH RECURSIVE e AS (SELECT a.site_id AS a, b.site_id AS b FROM v_sites a JOIN v_sites b ON a.site_id <> b.site_id AND abs(a.lat - b.lat) < 0.9
+  WHERE sqrt(pow((b.lon - a.lon) * cos(radians((a.lat + b.lat)/2)) * 111320.0e0, 2) + pow((b.lat - a.lat) * 111320.0e0, 2)) <= 90000),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS site_id, least(a, min(b)) AS component FROM r GROUP BY a""")
 def revisit_components(spark, sf):
-    pairs = match.pairs_within(views.sites(spark, sf), 15_000.0, "site_id", []).select(F.col("a_site_id").alias("a"), F.col("b_site_id").alias("b"))
+    pairs = match.pairs_within(views.sites(spark, sf), 90_000.0, "site_id", []).select(F.col("a_site_id").alias("a"), F.col("b_site_id").alias("b"))
     return graph.components(pairs, "revisits").select(F.col("id").alias("site_id"), F.col("comp").alias("component"))
 
 
