@@ -30,9 +30,9 @@ from terravane.llm import textblock as tb
 from terravane.runtime import arrow_limits, ship
 
 #: Words that a worker keeps with their ids, at most, before it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 #: Characters of text gathered before the words new among them are merged, and of a piece of a long text.
-GATHER, PIECE = 12 << 20, 1 << 20
+GATHER, PIECE = 8 << 20, 1 << 20
 
 _none = np.iinfo(np.int32).max
 
@@ -97,9 +97,9 @@ def replay(merges: Merges, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.
     sym = symbols.astype(np.int32)
     last = np.zeros(n + 1, bool)
     last[bounds[1:] - 1] = True
-    nxt = np.arange(1, n + 2)
+    nxt = np.arange(1, n + 2, dtype=np.int32)
     nxt[:n][last[:n]] = n
-    prv = np.arange(-1, n)
+    prv = np.arange(-1, n, dtype=np.int32)
     prv[bounds[:-1]] = n
     alive = np.ones(n + 1, bool)
     alive[n] = False
@@ -112,7 +112,7 @@ def replay(merges: Merges, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.
         """Look up the pairs that start at these positions and enter them into the index; the ranks found."""
         right = nxt[at]
         inner = right < n
-        found = np.full(len(at), -1)
+        found = np.full(len(at), -1, np.int32)
         found[inner] = merges.find(sym[at[inner]], sym[right[inner]])
         ok = found >= 0
         r = np.where(ok, merges.rank[found], _none).astype(np.int32)
@@ -131,7 +131,7 @@ def replay(merges: Merges, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.
                     heapq.heappush(heap, k)
         return r
 
-    look(np.arange(n))
+    look(np.arange(n, dtype=np.int32))
     odd: list[np.ndarray] = []
     while heap:
         k = heapq.heappop(heap)
