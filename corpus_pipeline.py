@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from terravane.llm import bpe, containment, nbsvm, near_dedup, secret_scan
-from terravane.runtime import cut
+from terravane.runtime import cut, discard
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,5 +45,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
