@@ -168,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", train: Col
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
     found = sorted(texts.select("doc_id", "text", "y").mapInArrow(_places, "doc_id long, y int, places binary").collect(), key=lambda r: (r.doc_id, bytes(r.places)))
     order = np.random.default_rng(3).permutation(len(found))
-    return fit([np.frombuffer(found[i].places, np.int32).astype(np.int64) for i in order], np.array([found[i].y for i in order], np.int64))
+    return fit([np.frombuffer(found[i].places, np.int32) for i in order], np.array([found[i].y for i in order], np.int64))
 
 
 def _margins(model: Model, texts: list[bytes], mark: np.ndarray) -> np.ndarray:
