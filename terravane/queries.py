@@ -195,7 +195,12 @@ def _spoilt(spark, sf):
     )
 
 
-@query()
+@query("""WITH c AS (SELECT site_id, CASE WHEN site_id % 17 = 0 THEN NULL WHEN site_id % 13 = 0 THEN lon WHEN site_id % 19 = 0 THEN 0.0e0 ELSE lat END AS y,
+  CASE WHEN site_id % 13 = 0 THEN lat WHEN site_id % 11 = 0 AND site_id % 19 <> 0 THEN -lon WHEN site_id % 19 = 0 THEN 0.0e0 ELSE lon END AS x FROM v_sites),
+o AS (SELECT site_id, 0 AS k, y AS lat, x AS lon, 'as_is' AS flag FROM c UNION ALL SELECT site_id, 1, x, y, 'swapped' FROM c UNION ALL SELECT site_id, 2, y, -x, 'lon_sign' FROM c
+  UNION ALL SELECT site_id, 3, -y, x, 'lat_sign' FROM c UNION ALL SELECT site_id, 4, -y, -x, 'both_signs' FROM c UNION ALL SELECT site_id, 5, x, -y, 'swapped_sign' FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY greatest(24 - lat, lat - 50, 0) + greatest(-125 - lon, lon + 66, 0), k) AS n FROM o WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180)
+SELECT c.site_id, r.lat + 0.0e0 AS lat, r.lon + 0.0e0 AS lon, coalesce(flag, 'missing') AS coord_flag FROM c LEFT JOIN r ON r.site_id = c.site_id AND n = 1""")
 def coord_repair(spark, sf):
     return funnel.repaired(_spoilt(spark, sf), (-125.0, -66.0, 24.0, 50.0))
 
@@ -646,14 +651,21 @@ def height_above_ground(spark, sf):
     return cloud.height_above_ground(views.points(spark, sf).select("cloud_id", "x", "y", "z", "classification"), "cloud_id", 10.0)
 
 
-@query()
+@query("""WITH g AS (SELECT * FROM v_points WHERE classification = 2), t AS (SELECT cloud_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM g GROUP BY 1),
+c AS (SELECT cloud_id, max(n) AS n, max(mx) AS mx, max(my) AS my, max(mz) AS mz, sum((x-mx)*(x-mx)) AS xx, sum((x-mx)*(y-my)) AS xy, sum((y-my)*(y-my)) AS yy, sum((x-mx)*(z-mz)) AS xz, sum((y-my)*(z-mz)) AS yz, sum((z-mz)*(z-mz)) AS zz FROM g JOIN t USING (cloud_id) GROUP BY 1),
+s AS (SELECT *, (xz*yy - yz*xy)/(xx*yy - xy*xy) AS sx, (yz*xx - xz*xy)/(xx*yy - xy*xy) AS sy FROM c)
+SELECT cloud_id, n AS n_ground, CASE WHEN n >= 50 THEN round(mz - sx*mx - sy*my, 5) END AS elevation, CASE WHEN n >= 50 THEN round(degrees(atan(sqrt(sx*sx + sy*sy))), 5) END AS slope,
+ CASE WHEN n >= 50 THEN round(cos(atan2(-sx, -sy)), 5) END AS northness, CASE WHEN n >= 50 THEN round(sin(atan2(-sx, -sy)), 5) END AS eastness, CASE WHEN n >= 50 THEN round(sqrt(greatest(zz - sx*xz - sy*yz, 0)/(n - 3)), 5) END AS roughness FROM s""")
 def terrain_metrics(spark, sf):
-    return cloud.terrain(views.points(spark, sf), "cloud_id")
+    return _rounded(cloud.terrain(views.points(spark, sf), "cloud_id"), 5)
 
 
-@query()
+@query(f"""WITH c AS (SELECT cloud_id, v, r, arg_min({{'x': x, 'y': y}}, {{'h': md5(CAST(v AS VARCHAR) || ':' || concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_suppkey, 'e': l_extendedprice}}) AS p
+  FROM v_points, (VALUES (0, 80.0e0), (1, 40.0e0), (2, 40.0e0)) t(v, r) GROUP BY ALL),
+d AS (SELECT c.cloud_id, c.v, count(*) AS n FROM c JOIN v_points q ON q.cloud_id = c.cloud_id AND pow(q.x - c.p.x, 2) + pow(q.y - c.p.y, 2) <= r*r GROUP BY ALL)
+SELECT cloud_id, CAST(v AS INT) AS "view", least(n, 256) AS n FROM d""")
 def cloud_views(spark, sf):
-    return cloud.views(views.points(spark, sf), "cloud_id", [80.0, 40.0, 40.0], 256, views.POINT_KEY).groupBy("cloud_id", "view").agg(F.count("*").alias("n"))
+    return cloud.views(views.points(spark, sf), "cloud_id", [80.0, 40.0, 40.0], 256, views.POINT_KEY[:4]).groupBy("cloud_id", "view").agg(F.count("*").alias("n"))
 
 
 # dates and text

@@ -211,6 +211,8 @@ def landmark_cells(spark, sf):
     return raster.landmarks(_grid(spark, sf), "cloud_id", "value", 27.0, 2)
 
 
-@query()
+@query(f"""WITH {_GRID}, k AS (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS k), o AS (SELECT g.cloud_id, g.i, g.j, max(h.value - k * tan(radians(20.0e0)) * 2 - g.value) AS d
+ FROM g, k, g h WHERE h.cloud_id = g.cloud_id AND h.i = g.i + k AND h.j = g.j GROUP BY ALL)
+SELECT g.cloud_id, g.i, g.j, round(greatest(coalesce(d, 0), 0), 6) AS depth FROM g LEFT JOIN o ON o.cloud_id = g.cloud_id AND o.i = g.i AND o.j = g.j""")
 def shadow_depths(spark, sf):
-    return raster.shadow_depth(_grid(spark, sf), "cloud_id", 135.0, 40.0, 20.0, 5)
+    return _rounded(raster.shadow_depth(_grid(spark, sf), "cloud_id", 90.0, 20.0, 2.0, 5))
