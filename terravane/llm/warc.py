@@ -226,7 +226,7 @@ def read(spark: SparkSession, at: str) -> DataFrame:
     there = {f.getPath().getName(): f.getLen() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)}
     if missing := [n for n, size in names.items() if there.get(n) != size]:
         raise ValueError(f"the archive lacks files of its manifest, or they differ: {missing[:3]}")
-    arrow_limits(spark, rows=1)
+    arrow_limits(spark)
     files = spark.read.format("binaryFile").load([f"{at}/{n}" for n in sorted(names)]).select("content")
     return files.mapInArrow(_read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
