@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.llm import textblock as tb
-from terravane.runtime import arrow_limits, cut, ship
+from terravane.operators.graph import components
+from terravane.runtime import arrow_limits, cut, discard, ship
 
 REGISTERS, ROWS, MANTISSA = 72, 3, 10
 #: Members of a chunk, and bytes of their packed texts, about.
@@ -205,24 +206,6 @@ def _inside(shingle_words: int, percent: int):
     return run
 
 
-def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(id, comp): each vertex of the edges (a, b) with the least id it reaches.
-
-    Labels move to the least of a vertex's neighbours' labels and then jump along labels; every round is
-    written, so lineage stays short. A hub's neighbours are joined, never collected."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), f"{name}-0")
-    for i in range(1, 200):
-        seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        low = labels.join(seen, "id").select("id", F.least("comp", "m").alias("comp"), F.col("comp").alias("was"))
-        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-        new = cut(low.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("next", "comp")).alias("comp"), "was"), f"{name}-{i}")
-        labels = new.select("id", "comp")
-        if new.filter("comp <> was").isEmpty():
-            break
-    return labels
-
-
 def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; documents link at Jaccard >= percent / 100."""
     spark = docs.sparkSession
@@ -235,8 +218,9 @@ def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     )
     reps = classes.select("rep", F.col("n_shingles").cast("int").alias("n"), "regs")
     # an id that stands for several texts keeps one sketch for estimates
-    sketch_of = reps.groupBy("rep").agg(F.first(F.struct("n", "regs")).alias("s")).select("rep", "s.*")
+    sketch_of = cut(reps.groupBy("rep").agg(F.first(F.struct("n", "regs")).alias("s")).select("rep", "s.*"), "sketch-of")
     found = _links(spark, docs, reps.select("rep", "regs"), sketch_of, shingle_words, percent, floor)
+    discard(sketch_of)
     named = classes.select("n_shingles", "fp1", "fp2", "rep").join(found, F.col("rep") == F.col("id"), "left").select("n_shingles", "fp1", "fp2", F.coalesce("comp", "rep").alias("comp"))
     return (
         sketch.drop("regs")
@@ -254,20 +238,17 @@ def _links(spark: SparkSession, docs: DataFrame, reps: DataFrame, sketch_of: Dat
     members = cut(banded.join(groups, "band"), "members")
     edges = members.filter("lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     close = cut(_estimated(edges, sketch_of, floor), "close")
-    empty = spark.createDataFrame([], "id long, comp long")
-    if members.isEmpty():
-        return empty
     ids = members.select("rep").distinct()
-    packed = cut(
-        _picked(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")), ids, "rep").mapInArrow(_pack, "rep long, packed binary, bytes long"), "packed"
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
+    packed = cut(_picked(texts, ids, "rep").mapInArrow(_pack, "rep long, packed binary, bytes long"), "packed")
     links = cut(_exact(close, packed, shingle_words, percent), "links-1")
-    found = components(links, "cc-1") if not links.isEmpty() else empty
+    found = components(links, "cc-1")
     apart = _apart(members.filter("rep <> lead").select("band", "rep"), found, packed.select("rep", "bytes"))
-    if apart.isEmpty():
-        return found
     more = cut(_blocked(apart, packed, shingle_words, percent), "links-2")
-    return found if more.isEmpty() else components(links.union(more), "cc-2")
+    if not more.isEmpty():
+        found = components(links.union(more), "cc-2")
+    discard(groups, members, close, packed, links, apart, more)
+    return found
 
 
 def _apart(members: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -276,7 +257,9 @@ def _apart(members: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
     at = cut(at.join(sizes, "rep"), "grouped")
     several = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).alias("parts"))
     several = cut(several.filter("x < y").select("band", "parts"), "several")
-    return cut(at.drop("bytes").join(several, "band"), "apart")
+    apart = cut(at.drop("bytes").join(several, "band"), "apart")
+    discard(at, several)
+    return apart
 
 
 def _picked(docs: DataFrame, ids: DataFrame, key: str, bound: int = 500_000) -> DataFrame:
