@@ -53,11 +53,20 @@ def via_distinct(df: DataFrame, keys: list[str], fn) -> DataFrame:
 
 
 def matched_sites(sites: DataFrame, footprints: DataFrame) -> DataFrame:
-    """Every site with its product nearest in time (or nulls), looked up once for each location and year."""
+    """Every site with its product nearest in time (or nulls), looked up once for each location and year.
+
+    A footprint's ordinal, unique and below 2**40, breaks ties; footprints without a year never match."""
+
+    dated = footprints.filter(F.col("collection_year").isNotNull())
 
     def lookup(keys: DataFrame) -> DataFrame:
-        pairs = covering(keys, footprints)
-        return nearest_in_time(pairs, ["lat", "lon", "year"], F.col("collection_year"), F.col("year"), ["name", "collection_year"], F.col("ordinal"))
+        # gap and ordinal in one long: a hash aggregation with partial minima, where a struct would need sorts
+        gap = F.abs(F.col("collection_year") - F.col("year"))
+        code = F.shiftleft(gap.cast("long"), 40).bitwiseOR(F.col("ordinal").cast("long"))
+        best = covering(keys, dated.drop("name")).groupBy("lat", "lon", "year").agg(F.min(code).alias("_code"))
+        best = best.withColumn("ordinal", F.col("_code").bitwiseAND((1 << 40) - 1))
+        named = best.join(dated.select(F.col("ordinal").cast("long"), "name", "collection_year"), "ordinal")
+        return named.select("lat", "lon", "year", "name", "collection_year", gap.alias("gap"), (F.col("collection_year") - F.col("year")).alias("year_diff"))
 
     return via_distinct(sites, ["lat", "lon", "year"], lookup)
 
