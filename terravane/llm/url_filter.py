@@ -9,6 +9,8 @@ block over allow). Urls that no rule fits get the default verdict.
 The rules' side is sent to every task only while it is small; beyond that the join shuffles, with the url side
 reduced to different (host, path) pairs first, so a hot page counts once.
 
+Rules say allow or block; their hosts and paths have fewer than 2**16 characters and hosts fewer than 2**8 labels.
+
 Defined cases: a null url, or one without "://", has an empty host and path and fits no rule; an empty rule
 table allows all; repeated rules count once; repeated rows each get a row; further columns are ignored.
 """
@@ -50,21 +52,26 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     if not shapes.n:
         return at.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     few = shapes.n <= SMALL
-    urls = at if few else at.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.filter(F.array(*map(F.lit, sorted(shapes.l))), lambda k: k <= F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, F.size(labels) - k + 1, k)))
-    prefixes = F.transform(F.filter(F.array(*map(F.lit, sorted(shapes.c))), lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
-    found = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: _digest(h, p))))
-    own = F.monotonically_increasing_id()
+    suffix = lambda k: F.concat_ws(".", F.slice(labels, F.size(labels) - k + 1, k))
+    prefix = lambda k: F.substring(F.col("path"), F.lit(1), k)
+    hosts = F.filter(F.array(*map(F.lit, sorted(shapes.l))), lambda k: k <= F.size(labels))
+    paths = F.filter(F.array(*map(F.lit, sorted(shapes.c))), lambda k: k <= F.length("path"))
+    made = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("l"), p.alias("c"), _digest(suffix(h), prefix(p)).alias("digest")))))
     short = lambda d: F.substring(d, 1, 2 * PREFIX)
-    side = rules.select(short(F.col("digest")).alias("short"), F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("hosts"), "verdict", F.concat("host", "path").alias("rule"), "digest").alias("r"))
+    side = rules.select(short(F.col("digest")).alias("short"), F.col("digest").alias("whole"), (F.length("host") + F.length("path")).alias("size"), F.length("host").alias("hosts"), F.col("verdict").eqNullSafe("block").cast("long").alias("block"))
+    # precedence first, then what the rule is made of: one long, so that the best one is a hash aggregation
+    code = F.lit(0).cast("long")
+    for c, bits in (("size", 16), ("hosts", 16), ("block", 1), ("l", 8), ("c", 16)):
+        code = F.shiftleft(code, bits).bitwiseOR(F.col(c).cast("long"))
     if few:
-        # one row for each short prefix; a url's expressions look it up without being multiplied into rows
-        best = at.withColumn("n", own).withColumn("digest", F.explode_outer(found)).withColumn("short", short(F.col("digest")))
-        best = best.join(F.broadcast(side), "short", "left")
-        confirmed = F.when(F.col("r.digest") == F.col("digest"), F.col("r"))
-        best = best.groupBy("n", "page_id", "host", "path").agg(F.max(confirmed).alias("r"))
+        own = at.withColumn("n", F.monotonically_increasing_id()).withColumn("x", F.explode_outer(made)).select("n", *at.columns, "x.*").withColumn("short", short(F.col("digest")))
+        best = own.join(F.broadcast(side), "short", "left").groupBy("n", "page_id", "host", "path").agg(F.max(F.when(F.col("whole") == F.col("digest"), code)).alias("code"))
     else:
-        each = urls.withColumn("digest", F.explode(found)).withColumn("short", short(F.col("digest"))).join(side, "short").filter("r.digest = digest")
-        best = at.join(each.groupBy("host", "path").agg(F.max("r").alias("r")), ["host", "path"], "left")
-    return best.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.lit(default)).alias("verdict"))
+        each = at.select("host", "path").distinct().withColumn("x", F.explode(made)).select("host", "path", "x.*").withColumn("short", short(F.col("digest")))
+        found = each.join(side, "short").filter("whole = digest").groupBy("host", "path").agg(F.max(code).alias("code"))
+        best = at.join(found, ["host", "path"], "left")
+    part = lambda shift, bits: F.shiftright("code", shift).bitwiseAND((1 << bits) - 1).cast("int")
+    rule = F.when(F.col("code").isNotNull(), F.concat(suffix(part(16, 8)), prefix(part(0, 16))))
+    verdict = F.when(F.col("code").isNull(), default).when(part(24, 1) == 1, "block").otherwise("allow")
+    return best.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
