@@ -6,18 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sessions(df: DataFrame, by: list[str], start: str, seconds: str, gap: str, tie: str) -> DataFrame:
-    """df with event_no: a new event begins where a start lies more than gap after every earlier end of its group."""
-    w = Window.partitionBy(*by).orderBy(start, tie)
-    last = F.max(F.col("_end")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("_end", F.timestamp_micros((F.unix_micros(start) + F.round(F.col(seconds) * 1_000_000)).cast("long")))
-    new = F.coalesce((F.col(start) > last + F.expr(gap)).cast("int"), F.lit(1))
-    return df.withColumn("_new", new).withColumn("event_no", F.sum("_new").over(w)).drop("_end", "_new")
+def _carried(df: DataFrame, keys: list[str], value: Column, how, name: str) -> DataFrame:
+    """df with how(value) over all earlier buckets of its keys: buckets are aggregated first, so the window sees one row for each."""
+    per = df.groupBy(*keys, "_bucket").agg(value.alias("_v"))
+    w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(per.select(*keys, "_bucket", how("_v").over(w).alias(name)), [*keys, "_bucket"])
 
 
-def event_counts(df: DataFrame, by: list[str], start: str, seconds: str, gap: str, tie: str) -> DataFrame:
+def _new_events(df: DataFrame, by: list[str], start: str, seconds: str, gap: str, tie: str, bucket: str) -> DataFrame:
+    keys = [f"_k{i}" for i in range(len(by))]  # null keys meet in joins as a text
+    df = df.withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for k, c in zip(keys, by, strict=True)})
+    df = df.withColumn("_end", F.timestamp_micros((F.unix_micros(start) + F.round(F.col(seconds) * 1_000_000)).cast("long"))).withColumn("_bucket", F.date_trunc(bucket, start))
+    df = _carried(df, keys, F.max("_end"), F.max, "_earlier")
+    w = Window.partitionBy(*keys, "_bucket").orderBy(start, tie).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.greatest(F.max("_end").over(w), F.col("_earlier"))
+    return df.withColumn("_new", F.coalesce((F.col(start) > last + F.expr(gap)).cast("int"), F.lit(1)))
+
+
+def sessions(df: DataFrame, by: list[str], start: str, seconds: str, gap: str, tie: str, bucket: str = "day") -> DataFrame:
+    """df with event_no: a new event begins where a start lies more than gap after every earlier end of its group.
+
+    Groups are cut into buckets of time, whose ends and counts are carried on, so a group of any size is many
+    tasks' work; rows without a start are left out."""
+    columns = df.columns
+    new = _new_events(df.filter(F.col(start).isNotNull()), by, start, seconds, gap, tie, bucket)
+    keys = [f"_k{i}" for i in range(len(by))]
+    new = _carried(new, keys, F.sum("_new"), F.sum, "_before")
+    w = Window.partitionBy(*keys, "_bucket").orderBy(start, tie).rowsBetween(Window.unboundedPreceding, 0)
+    return new.select(*columns, (F.sum("_new").over(w) + F.coalesce("_before", F.lit(0))).alias("event_no"))
+
+
+def event_counts(df: DataFrame, by: list[str], start: str, seconds: str, gap: str, tie: str, bucket: str = "day") -> DataFrame:
     """(by, n_sequences, n_events)."""
-    return sessions(df, by, start, seconds, gap, tie).groupBy(*by).agg(F.count("*").alias("n_sequences"), F.max("event_no").alias("n_events"))
+    new = _new_events(df.filter(F.col(start).isNotNull()), by, start, seconds, gap, tie, bucket)
+    return new.groupBy(*by).agg(F.count("*").alias("n_sequences"), F.sum("_new").alias("n_events"))
 
 
 def rates(events: DataFrame, effort: DataFrame, unit: str, species: str) -> DataFrame:
