@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.runtime import cut
+
 
 def multiclass(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(accuracy, balanced_accuracy, macro_f1): recall over true classes, F1 over all classes with 0 for 0/0."""
@@ -23,33 +25,51 @@ def _by_score(df: DataFrame, target: str, truth: str, score: str) -> DataFrame:
     return df.filter(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(target).alias("target"), F.col(score).alias("s")).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.count("*").alias("n"))
 
 
+def _before(rows: DataFrame, sums: list[str], descending: bool = False) -> DataFrame:
+    """rows (target, s, ...) with before_x for each x of sums: its total over the target's rows before this one by s.
+
+    A target's scores are cut at approximate percentiles; the buckets' totals are carried on and the window inside
+    a bucket does the rest, so a single target is the work of a hundred tasks. The cuts don't affect the result."""
+    cuts = F.percentile_approx("s", F.array(*(F.lit(i / 100) for i in range(1, 100))), 2000)
+    bounds = cut(rows.groupBy("target").agg(cuts.alias("_cuts")), "score-cuts")  # written: both readers below must see the same cuts
+    rows = rows.join(bounds, "target").withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("s")))).drop("_cuts")
+    order = F.desc if descending else F.asc
+    carry = Window.partitionBy("target").orderBy(order("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("target", "_bucket").orderBy(order("s")).rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy("target", "_bucket").agg(*(F.sum(x).alias(f"_t_{x}") for x in sums))
+    per = per.select("target", "_bucket", *(F.coalesce(F.sum(f"_t_{x}").over(carry), F.lit(0)).alias(f"_c_{x}") for x in sums))
+    rows = rows.join(per, ["target", "_bucket"])
+    return rows.withColumns({f"before_{x}": F.col(f"_c_{x}") + F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums})
+
+
 def auroc(df: DataFrame, target: str, truth: str, score: str) -> DataFrame:
     """(target, auroc) by the rank sum with average ranks for ties; targets with one class only are skipped."""
-    w = Window.partitionBy("target").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = _by_score(df, target, truth, score).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    sums = ranked.groupBy("target").agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
+    ranked = _before(_by_score(df, target, truth, score), ["n"])
+    sums = ranked.groupBy("target").agg(F.sum(F.col("pos") * (F.col("before_n") + (F.col("n") + 1) / 2)).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return sums.filter("p > 0 AND q > 0").select("target", ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auroc"))
 
 
 def average_precision(df: DataFrame, target: str, truth: str, score: str) -> DataFrame:
     """(target, ap): the sum over distinct scores, from the highest, of recall gained times precision."""
-    w = Window.partitionBy("target").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = _by_score(df, target, truth, score).withColumn("hits", F.sum("pos").over(w)).withColumn("seen", F.sum("n").over(w))
-    sums = ranked.groupBy("target").agg(F.sum(F.col("pos") * F.col("hits") / F.col("seen")).alias("a"), F.sum("pos").alias("p"))
+    ranked = _before(_by_score(df, target, truth, score), ["pos", "n"], descending=True)
+    hits, seen = F.col("before_pos") + F.col("pos"), F.col("before_n") + F.col("n")
+    sums = ranked.groupBy("target").agg(F.sum(F.col("pos") * hits / seen).alias("a"), F.sum("pos").alias("p"))
     return sums.filter("p > 0").select("target", (F.col("a") / F.col("p")).alias("ap"))
 
 
+def _ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """(target, value, out): the average rank of each distinct value within its target."""
+    counts = df.groupBy("target", F.col(value).alias("s")).agg(F.count("*").alias("n"))
+    return _before(counts, ["n"]).select("target", F.col("s").alias(value), (F.col("before_n") + (F.col("n") + 1) / 2).alias(out))
+
+
 def regression(df: DataFrame, target: str, truth: str, predicted: str) -> DataFrame:
     """(target, n, r2, rmse, spearman) over rows where both are known."""
     known = df.filter(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).select(F.col(target).alias("target"), F.col(truth).cast("double").alias("y"), F.col(predicted).cast("double").alias("p"))
     y, p = F.col("y"), F.col("p")
-    ranks = known
-    for c in ("y", "p"):
-        w = Window.partitionBy("target")
-        rank = F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy("target", c)) - 1) / 2
-        ranks = ranks.withColumn(f"r{c}", rank)
+    ranked = known.join(_ranks(known, "y", "ry"), ["target", "y"]).join(_ranks(known, "p", "rp"), ["target", "p"])
     total = F.sum(y * y) - F.sum(y) * F.sum(y) / F.count("*")
-    return ranks.groupBy("target").agg(
+    return ranked.groupBy("target").agg(
         F.count("*").alias("n"), (1 - F.try_divide(F.sum((y - p) * (y - p)), total)).alias("r2"), F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"), F.corr("ry", "rp").alias("spearman")
     )
 
