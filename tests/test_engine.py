@@ -407,3 +407,23 @@ def test_calibration_cover_and_shadow(spark):
     assert depth[2] == pytest.approx(9) and depth[0] == pytest.approx(7) and depth[4] == 0
     marks = raster.landmarks(wall.unionByName(wall.withColumn("unit", F.lit("v"))), "unit", "value", 5.0, 1)
     assert sorted((r.unit, r.n, r.height) for r in marks.collect()) == [("u", 1, 10.0), ("v", 1, 10.0)]
+
+
+def test_attempts_and_blocks(spark, tmp_path):
+    from terravane.operators import attempts
+
+    def work(row):
+        if row["id"] == 3:
+            raise OSError("gone")
+        return None if row["id"] == 4 else row["id"] * 2.0
+
+    got = {r.id: (r.status, r.value, r.n_tries) for r in attempts.attempted(spark.range(6), "id", work, tries=2).collect()}
+    assert got[3] == ("error", None, 2) and got[4] == ("empty", None, 1) and got[5] == ("ok", 10.0, 1)
+    manifest = spark.createDataFrame([(1, "error", 1), (1, "ok", 2), (2, "ok", 1), (2, "error", 3), (3, "empty", 1)], "id long, status string, at long")
+    assert {r.status: r.n for r in attempts.outcome(manifest, "id", "at").collect()} == {"ok": 1, "error": 1, "empty": 1}
+    assert sorted(r.id for r in attempts.left_to_do(spark.range(5), manifest, "id", "at").collect()) == [0, 2, 4]
+    points = spark.range(1000).selectExpr("CAST(id % 40 AS DOUBLE) AS x", "CAST(id div 40 AS DOUBLE) AS y", "id")
+    src.write_blocks(points, str(tmp_path / "blocks"), 5.0, 4)
+    cut = src.read_square(spark, str(tmp_path / "blocks"), 5.0, 3.0, 4.0, 12.0, 9.0)
+    assert cut.count() == points.filter("x >= 3 AND x < 12 AND y >= 4 AND y < 9").count() == 45
+    assert "GreaterThanOrEqual(block_i,0)" in cut._jdf.queryExecution().executedPlan().toString()
