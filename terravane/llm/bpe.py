@@ -45,12 +45,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Merges:
     """Which pairs of token ids merge, at what rank and to which id."""
 
-    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
-        key = np.array([a << 32 | b for a, b in pairs], np.int64)
-        value = np.array(list(pairs.values()), np.int32).reshape(-1, 2)
+    def __init__(self, left: list[int], right: list[int], rank: list[int], new: list[int]):
+        key = np.array(left, np.int64) << 32 | np.array(right, np.int64)
         order = np.argsort(key)
-        self.key, self.rank, self.new = key[order], value[order, 0], value[order, 1]
-        self.pairs = pairs
+        self.key, self.rank, self.new = key[order], np.array(rank, np.int32)[order], np.array(new, np.int32)[order]
         # open addressing by one multiplication: most keys sit in their own slot
         self.bits = max(16, int(len(key)).bit_length() + 3)
         self.slot = np.full(1 << self.bits, -1, np.int32)
@@ -59,13 +57,14 @@ class Merges:
     @classmethod
     def of_ranks(cls, ranks: dict[bytes, int]) -> Merges:
         """Any two tokens whose bytes together are a token merge, at that token's rank."""
-        pairs = {}
+        found: tuple[list[int], list[int], list[int]] = ([], [], [])
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    pairs[a, b] = (rank, rank)
-        return cls(pairs)
+                    for x, v in zip(found, (a, b, rank), strict=True):
+                        x.append(v)
+        return cls(*found, found[2])
 
     def _at(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(tb.U) * tb.U(0x9E3779B97F4A7C15)) >> tb.U(64 - self.bits)).astype(np.int64)
@@ -82,13 +81,16 @@ class Merges:
 
     def one(self, ids: list[int]) -> list[int]:
         """Merge a single word, lowest rank first, leftmost first."""
-        while len(ids) > 1:
-            best = min(((self.pairs.get(p, (_none,))[0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False))), default=(_none, 0))
-            if best[0] == _none:
+        x = np.array(ids, np.int64)
+        while len(x) > 1:
+            p = self.find(x[:-1], x[1:])
+            rank = np.where(p >= 0, self.rank[p], _none)
+            i = int(rank.argmin())
+            if rank[i] == _none:
                 break
-            i = best[1]
-            ids = [*ids[:i], self.pairs[ids[i], ids[i + 1]][1], *ids[i + 2 :]]
-        return ids
+            x[i] = self.new[p[i]]
+            x = np.delete(x, i + 1)
+        return x.tolist()
 
 
 def replay(merges: Merges, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

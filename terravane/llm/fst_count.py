@@ -120,10 +120,8 @@ class Counter:
         self.table = classes()
         model = description["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
-        pairs = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            pairs.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        self.merges = Merges(pairs)
+        left, right = ([vocab[m[side]] for m in model["merges"]] for side in (0, 1))
+        self.merges = Merges(left, right, list(range(len(left))), [vocab[a + b] for a, b in model["merges"]])
         # bytes are written as printable characters: those that print stand for themselves, the rest follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]

@@ -117,7 +117,7 @@ def test_bpe_fuzz():
 
 def test_replay_of_late_lower_ranks():
     # (0, 1) makes 10 at rank 5, and (10, 2) makes 11 at rank 1, which only comes up then
-    merges = bpe.Merges({(0, 1): (5, 10), (10, 2): (1, 11), (2, 0): (7, 12), (10, 0): (2, 13)})
+    merges = bpe.Merges([0, 10, 2, 10], [1, 2, 0, 0], [5, 1, 7, 2], [10, 11, 12, 13])
     import numpy as np
 
     words = [[0, 1, 2, 0, 1, 2], [2, 0, 1], [0, 1, 0, 1, 2], [0, 1, 0, 1]]
