@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravane.llm import textblock as tb
@@ -304,25 +304,30 @@ def _digests(shared, pattern: str):
     return run
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def _encoder(shared, pattern: str) -> Encoder:
-    """One for each worker and vocabulary."""
-    ranks = shared.value
-    key = hash((len(ranks), pattern, next(iter(ranks))))
-    if key not in _encoders:
+def _encoder(vocabulary, pattern: str) -> Encoder:
+    """One for each worker and vocabulary; vocabulary: a broadcast (name, ranks), the name being the file's digest."""
+    name, ranks = vocabulary.value
+    if (key := f"{name} {pattern}") not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(ranks, pattern)
     return _encoders[key]
 
 
+def _broadcast(spark: SparkSession, path: str):
+    ranks = read_ranks(path)
+    digest = hashlib.sha256(b" ".join(b"%b:%d" % (token, rank) for token, rank in sorted(ranks.items()))).hexdigest()
+    return spark.sparkContext.broadcast((digest, ranks))
+
+
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; the last from the ids, decoded."""
     spark = docs.sparkSession
     ship(spark)
     arrow_limits(spark)
-    shared = spark.sparkContext.broadcast(read_ranks(path))
+    shared = _broadcast(spark, path)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_digests(shared, pattern), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -346,14 +351,14 @@ def token_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     arrow_limits(spark)
-    shared = spark.sparkContext.broadcast(read_ranks(path))
+    shared = _broadcast(spark, path)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_ids(shared, pattern), f"doc_id {kind}, ids array<int>")
 
 
 def _plain(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = {i: t for t, i in shared.value.items()}
+        of = {i: t for t, i in shared.value[1].items()}
         for batch in batches:
             texts = [b"".join(of[i] for i in ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "plain"])
@@ -365,6 +370,6 @@ def decoded(coded: DataFrame, path: str) -> DataFrame:
     """(doc_id, plain): the bytes that ids stand for."""
     spark = coded.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(read_ranks(path))
+    shared = _broadcast(spark, path)
     kind = coded.schema["doc_id"].dataType.simpleString()
     return coded.select("doc_id", "ids").mapInArrow(_plain(shared), f"doc_id {kind}, plain binary")

@@ -97,6 +97,16 @@ def test_bpe_equals_the_library_and_decodes(spark, odd, none):
     assert bpe.encoded(none, path, P.PATTERN).count() == 0
 
 
+def test_bpe_of_two_vocabularies_in_one_session(spark):
+    import tiktoken
+
+    docs = spark.createDataFrame([(1, "déjà vu, thank you"), (2, "Straße und Brücke")], "doc_id long, text string").coalesce(1)
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"):
+        ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path(name)), special_tokens={})
+        got = bpe.token_ids(docs, P.path(name), P.PATTERN).orderBy("doc_id").collect()
+        assert [r.ids for r in got] == [ref.encode_ordinary(r.text) for r in docs.orderBy("doc_id").collect()]
+
+
 def fuzz(n: int, seed: int) -> list[str]:
     rnd = random.Random(seed)
     letters = "ab c'stredvlmAΣσς \n\t\x1c\x85　é1½٣ñ漢字é🙂.$%|’"
