@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terravane.operators.splits import seeded_order
 
+# fixed values: classification codes
 NOISE = (7, 18)
 GROUND = 2
 

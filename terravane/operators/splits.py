@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terravane.functions import geo
 from terravane.functions.text import md5_uniform
 
+# fixed values of the split protocol
 SEED, DEGREES, FRACTION = 20261029, 0.25, 0.5
 
 

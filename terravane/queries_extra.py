@@ -19,11 +19,10 @@ def expression_column(spark, sf):
     return _rounded(extra.computed(views.table(spark, sf, "part"), "v", "p_retailprice / (p_size % 10)", log=True).select("p_partkey", "v"))
 
 
-@query("""SELECT s_nationkey % 5 AS package, count(*) AS n_orphans FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) GROUP BY 1""")
+@query("""SELECT c_nationkey AS package, count(*) AS n_orphans FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events) GROUP BY 1""")
 def orphan_counts(spark, sf):
-    s = views.table(spark, sf, "supplier").selectExpr("s_suppkey AS k", "s_nationkey % 5 AS package")
-    p = views.table(spark, sf, "customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("k"))
-    return extra.orphans(s, p, "k", "package")[1]
+    c = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("package"))
+    return extra.orphans(c, views.table(spark, sf, "events").select(F.col("user_id").alias("k")), "k", "package")[1]
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN c_mktsegment ELSE NULL END AS code, CASE WHEN c_custkey % 3 = 0 THEN 'final' WHEN c_custkey % 3 = 1 THEN 'field' END AS code_source FROM customer""")
@@ -42,19 +41,18 @@ def dates_by_name(spark, sf):
     return extra.named_dates(c, "c_custkey", {"double": F.col("c_custkey") * 2, "own": F.col("c_custkey")}, d, "k", "start_day", "end_day")
 
 
-@query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT substr(p_name, 1, 9) AS q FROM part WHERE p_partkey % 50 = 0) WHERE (starts_with(p_name, q) AND length(q) >= 4) OR (starts_with(q, p_name) AND length(p_name) >= 4))")
+@query("""SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT 'Brand#' || s_nationkey AS q FROM supplier) WHERE (starts_with(p_brand, q) AND length(q) >= 4) OR (starts_with(q, p_brand) AND length(p_brand) >= 4))""")
 def prefix_match(spark, sf):
-    p = views.table(spark, sf, "part")
-    q = p.filter("p_partkey % 50 = 0").select(F.substring("p_name", 1, 9).alias("q")).distinct()
-    return extra.prefixed(p.select("p_partkey", "p_name"), q, "p_name", "q").select("p_partkey")
+    q = views.table(spark, sf, "supplier").select(F.concat(F.lit("Brand#"), F.col("s_nationkey").cast("string")).alias("q")).distinct()
+    return extra.prefixed(views.table(spark, sf, "part").select("p_partkey", "p_brand"), q, "p_brand", "q").select("p_partkey")
 
 
-@query("""WITH p AS (SELECT DISTINCT cloud_id, x, y FROM v_points WHERE cloud_id = 7)
-SELECT cloud_id, x, y, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM (SELECT p.*, a.i, b.j FROM p, (SELECT unnest(range(-12, 12)) AS i) a, (SELECT unnest(range(-12, 12)) AS j) b)
-WHERE pow(greatest(i*20 - x, x - (i + 1)*20, 0), 2) + pow(greatest(j*20 - y, y - (j + 1)*20, 0), 2) <= 15.03e0*15.03e0""")
+@query("""WITH p AS (SELECT DISTINCT cloud_id, x, y FROM v_points),
+c AS (SELECT *, unnest(range(CAST(floor((x - 15.03e0)/20) AS BIGINT), CAST(floor((x + 15.03e0)/20) AS BIGINT) + 1)) AS i FROM p),
+d AS (SELECT *, unnest(range(CAST(floor((y - 15.03e0)/20) AS BIGINT), CAST(floor((y + 15.03e0)/20) AS BIGINT) + 1)) AS j FROM c)
+SELECT cloud_id, x, y, i, j FROM d WHERE pow(greatest(i*20 - x, x - (i + 1)*20, 0), 2) + pow(greatest(j*20 - y, y - (j + 1)*20, 0), 2) <= 15.03e0*15.03e0""")
 def touched_cells(spark, sf):
-    p = views.points(spark, sf).filter("cloud_id = 7").select("cloud_id", "x", "y").distinct()
-    return extra.touched_cells(p, "x", "y", 15.03, 20.0)
+    return extra.touched_cells(views.points(spark, sf).select("cloud_id", "x", "y").distinct(), "x", "y", 15.03, 20.0)
 
 
 @query("""WITH f AS (SELECT ordinal, xmin + w/2 AS x, ymin + h/2 AS y FROM v_footprints),
@@ -66,11 +64,11 @@ def nearest_square(spark, sf):
     return _rounded(extra.nearest_square(s, f, "site_id", "ordinal", 1.0))
 
 
-@query("""WITH a AS (SELECT cloud_id, l_orderkey AS ka, x, y, z FROM v_points WHERE l_linenumber = 1 AND cloud_id < 5), b AS (SELECT cloud_id, l_orderkey * 100000 + l_partkey AS kb, x, y, z FROM v_points WHERE l_linenumber = 2 AND cloud_id < 5),
+@query("""WITH a AS (SELECT cloud_id, l_orderkey AS ka, x, y, z FROM v_points WHERE l_linenumber = 1), b AS (SELECT cloud_id, l_orderkey * 100000 + l_partkey AS kb, x, y, z FROM v_points WHERE l_linenumber = 2),
 d AS (SELECT a.cloud_id, ka, kb, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) AS d2 FROM (SELECT cloud_id, ka, min(x) AS x, min(y) AS y, min(z) AS z FROM a GROUP BY ALL) a JOIN b USING (cloud_id))
 SELECT cloud_id, ka, kb, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id, ka ORDER BY d2, kb) AS k FROM d WHERE d2 <= 400) WHERE k = 1""")
 def nearest_point_match(spark, sf):
-    p = views.points(spark, sf).filter("cloud_id < 5")
+    p = views.points(spark, sf)
     a = p.filter("l_linenumber = 1").groupBy("cloud_id", F.col("l_orderkey").alias("ka")).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.min("z").alias("z"))
     b = p.filter("l_linenumber = 2").selectExpr("cloud_id", "l_orderkey * 100000 + l_partkey AS kb", "x", "y", "z")
     return _rounded(extra.nearest_in_cell(a, b, "cloud_id", "ka", "kb", 20.0))
@@ -140,11 +138,11 @@ def coverage_funnel(spark, sf):
 
 # rasters
 
-_GRID = """g AS (SELECT cloud_id, CAST(floor(x/20) AS BIGINT) AS i, CAST(floor(y/20) AS BIGINT) AS j, avg(z) AS value FROM v_points WHERE cloud_id < 6 GROUP BY 1, 2, 3)"""
+_GRID = """g AS (SELECT cloud_id, CAST(floor(x/20) AS BIGINT) AS i, CAST(floor(y/20) AS BIGINT) AS j, avg(z) AS value FROM v_points GROUP BY 1, 2, 3)"""
 
 
 def _grid(spark, sf):
-    p = views.points(spark, sf).filter("cloud_id < 6")
+    p = views.points(spark, sf)
     return p.groupBy("cloud_id", F.floor(F.col("x") / 20).cast("long").alias("i"), F.floor(F.col("y") / 20).cast("long").alias("j")).agg(F.avg("z").alias("value"))
 
 
@@ -163,7 +161,7 @@ def shift_surface(spark, sf):
     return _rounded(raster.shift_surface(g, moved, "cloud_id", 2).select("cloud_id", "di", "dj", "n", "r"))
 
 
-@query("SELECT CAST(c AS BIGINT) AS cloud_id, 1::BIGINT AS di, -2::BIGINT AS dj, 1.0e0 AS r FROM range(6) t(c)")
+@query("SELECT DISTINCT cloud_id, 1::BIGINT AS di, -2::BIGINT AS dj, 1.0e0 AS r FROM v_points")
 def known_shift_fft(spark, sf):
     g = _grid(spark, sf)
     moved = g.selectExpr("cloud_id", "i + 1 AS i", "j - 2 AS j", "value")
@@ -175,12 +173,12 @@ def window_means(spark, sf):
     return _rounded(raster.window_means(_grid(spark, sf), "cloud_id", 5, F.col("value"), F.col("value")))
 
 
-@query("""WITH o AS (SELECT DISTINCT CAST(floor(lon) AS BIGINT) AS i, CAST(floor(lat) AS BIGINT) AS j FROM v_sites WHERE site_id % 40 = 0),
+@query("""WITH o AS (SELECT DISTINCT CAST(floor(lon) AS BIGINT) AS i, CAST(floor(lat) AS BIGINT) AS j FROM v_sites),
 r AS (SELECT DISTINCT i + a AS i, j + b AS j FROM o, (SELECT unnest(range(-1, 2)) AS a), (SELECT unnest(range(-1, 2)) AS b)),
 p AS (SELECT name, coalesce(collection_year, 2000) AS year, CAST(unnest(range(CAST(floor(xmin) AS BIGINT), CAST(floor(xmin) AS BIGINT) + 3)) AS BIGINT) AS i, CAST(floor(ymin) AS BIGINT) AS j FROM v_footprints)
 SELECT i, j, name, CAST(k AS INT) AS rank FROM (SELECT r.i, r.j, name, row_number() OVER (PARTITION BY r.i, r.j ORDER BY year DESC, name) AS k FROM r JOIN p USING (i, j)) WHERE k <= 2""")
 def unit_plan(spark, sf):
-    s = views.sites(spark, sf).filter("site_id % 40 = 0").selectExpr("lon AS x", "lat AS y")
+    s = views.sites(spark, sf).selectExpr("lon AS x", "lat AS y")
     p = views.footprints(spark, sf).selectExpr("name", "coalesce(collection_year, 2000) AS year", "explode(sequence(CAST(floor(xmin) AS BIGINT), CAST(floor(xmin) AS BIGINT) + 2)) AS i", "CAST(floor(ymin) AS BIGINT) AS j")
     return raster.planned_units(s, 1.0, 1, p, 2)
 
