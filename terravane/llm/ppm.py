@@ -5,11 +5,13 @@ texts (A-Z lower-cased, byte 255 before and after a text). In a context of total
 a seen byte has probability count / (T + D) and escape has D / (T + D); after an escape the next shorter
 context is used without the bytes already excluded, and last a uniform share of the bytes never seen.
 
-Contexts of up to two bytes are kept whole: at most 2**24 leaves. A leaf of a longer context is kept if its
-count exceeds a 2**-TRIE_BITS share of all bytes counted, hence fewer than 2**TRIE_BITS leaves of each order,
-whatever the input; counts themselves cover every training text. So the trie may be sent to every task. What a
-context's leaves exclude from the next shorter one depends on that context alone, so escapes and exclusions are
-worked out once for each context, and a text's code length is a sum of table entries.
+Every leaf counts, whatever its order and count. A code is a context of ORDER bytes and the byte after it; each
+different code of the texts, held-out texts included, gets its logarithm once. Codes are dealt by their last
+three bytes of context: all longer contexts that end in these are then in one place, and with the contexts of up
+to two bytes (at most 2**24 leaves, sent to every task) they settle each code's escapes and exclusions exactly.
+At most 2**24 codes share three bytes of context, whatever the input. A text's code length is a sum over its codes.
+Codes with more than a 2**-TRIE_BITS share of all bytes counted (hence fewer than 2**TRIE_BITS codes) are sent to
+the tasks; the others are joined by code.
 
 Words of the base are counted over all training texts. Words with more than N / 2**HEAD_BITS of the N tokens
 (hence fewer than 2**HEAD_BITS words) are sent to the tasks; the others, of which no word is frequent, are
@@ -22,6 +24,7 @@ every byte has probability 1/256; further columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +38,11 @@ from terravane.runtime import arrow_limits, cut, ship
 #: Bytes of the longest context.
 ORDER = 5
 HEAD_BITS, TRIE_BITS = 21, 23
-#: Entries that a task keeps before it merges equal ones.
-MERGE = 1 << 20
+#: Entries that a task keeps before it merges equal ones, and codes whose logarithms it works out at once.
+MERGE, GRADE = 1 << 20, 1 << 19
 
 _END = np.array([0x5DEECE66D], tb.U)
-_tables: dict[str, Trie] = {}
+_tables: dict[str, Short | Lookup] = {}
 
 
 def text_codes(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -94,14 +97,11 @@ def _log(x: np.ndarray) -> np.ndarray:
         return np.log10(x).astype(np.float32)
 
 
-class Trie:
-    """leaves: for each order from 2 up, sorted codes (context bytes, then the byte) and their counts, nested."""
+class Short:
+    """Contexts of up to two bytes, from sorted codes of three bytes and their counts."""
 
-    def __init__(self, leaves: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.low = short_contexts(*leaves[2])
-        self.top = max(leaves)
-        self.levels = {}
-        code, count = leaves[2]
+    def __init__(self, code: np.ndarray, count: np.ndarray):
+        self.low = short_contexts(code, count)
         context = (code >> 8).astype(np.int64)
         total = np.bincount(context, count, 1 << 16)
         kinds = np.bincount(context, minlength=1 << 16)
@@ -109,7 +109,20 @@ class Trie:
         self.escape2 = np.where(total > 0, _log(np.maximum(kinds, 1)) - self.total2, 0).astype(np.float32)
         self.seen2 = np.zeros(1 << 24, bool)
         self.seen2[code] = True
-        shorter = Lookup(code), count, total, kinds
+        self.level = Lookup(code), count, total, kinds
+
+
+class Trie:
+    """leaves: for each order from 2 up, sorted codes (context bytes, then the byte) and their counts, nested.
+
+    With short, leaves have orders from 3 up, and may be those of some contexts of three bytes only.
+    """
+
+    def __init__(self, leaves: dict[int, tuple[np.ndarray, np.ndarray]], short: Short | None = None):
+        self.short = short or Short(*leaves[2])
+        self.top = max(leaves)
+        self.levels = {}
+        shorter = self.short.level
         for k in range(3, self.top + 1):
             code, count = leaves[k]
             order = np.argsort(count, kind="stable")
@@ -162,10 +175,10 @@ class Trie:
             norm[known], escape[known] = level["rest"][i], level["escape_rest"][i]
         c = codes[open_] & 0xFFFFFF
         if norm is None:
-            return self.low[c]
-        low, context = self.low[c], c >> 8
-        fresh, seen = np.isnan(norm), self.seen2[c]
-        out[open_] += np.where(fresh, low, np.where(seen, low + self.total2[context] - norm, escape + low - self.escape2[context]))
+            return self.short.low[c]
+        low, context = self.short.low[c], c >> 8
+        fresh, seen = np.isnan(norm), self.short.seen2[c]
+        out[open_] += np.where(fresh, low, np.where(seen, low + self.short.total2[context] - norm, escape + low - self.short.escape2[context]))
         return out
 
 
@@ -203,13 +216,12 @@ def short_contexts(code: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shared_trie(model: dict) -> Trie:
-    """The trie, built once for each worker process."""
-    key = model["name"]
-    if key not in _tables:
+def _shared(name: str, kind: type, *parts: np.ndarray) -> Short | Lookup:
+    """A table, built once for each worker process."""
+    if name not in _tables:
         _tables.clear()
-        _tables[key] = Trie(model["leaves"])
-    return _tables[key]
+        _tables[name] = kind(*parts)
+    return _tables[name]
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,14 +252,17 @@ def _count(mod: int):
 
         for batch, texts in tb.blocks(batches):
             train = tb.crc_bucket(batch.column(0).to_pylist(), mod) != 0
+            held_out = [t for t, ok in zip(texts, train, strict=True) if not ok]
             texts = [t for t, ok in zip(texts, train, strict=True) if ok]
-            if not texts:
-                continue
-            words = tb.Words(texts)
-            k, c = np.unique(words.hashes, return_counts=True)
-            add(0, tb.signed(np.append(k, _END)), np.append(c, len(texts)))
-            k, c = np.unique(text_codes(texts)[0], return_counts=True)
-            add(1, k, c)
+            if held_out:  # their codes need a logarithm, but count nothing
+                k = np.unique(text_codes(held_out)[0])
+                add(1, k, np.zeros(len(k), np.int64))
+            if texts:
+                words = tb.Words(texts)
+                k, c = np.unique(words.hashes, return_counts=True)
+                add(0, tb.signed(np.append(k, _END)), np.append(c, len(texts)))
+                k, c = np.unique(text_codes(texts)[0], return_counts=True)
+                add(1, k, c)
             for kind in (0, 1):
                 if size[kind] > MERGE:  # many different entries even when merged: pass them on
                     yield out(kind)
@@ -257,12 +272,49 @@ def _count(mod: int):
     return run
 
 
+def _whole(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes and counts, at least step at once where there are, all codes of three bytes of context together as they come."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        held.append((np.array(batch.column(0).to_numpy(), np.int64), np.array(batch.column(1).to_numpy(), np.int64)))
+        size += len(held[-1][0])
+        if size >= step:
+            key, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            group = key >> 8 & 0xFFFFFF
+            change = np.flatnonzero(group[1:] != group[:-1])
+            end = int(change[-1]) + 1 if len(change) else 0
+            if end:
+                yield key[:end], c[:end]
+            held, size = [(key[end:], c[end:])], 0  # an open group waits for step more
+    if held:
+        key, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(key):
+            yield key, c
+
+
+def _grade(model, step: int = GRADE):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for key, c in _whole(batches, step):
+            short = _shared(m["name"], Short, *m["short"])
+            seen = c > 0
+            leaves = {ORDER: _merge([key[seen]], [c[seen]])}
+            for k in range(ORDER - 1, 2, -1):
+                code, count = leaves[k + 1]
+                leaves[k] = _merge([code & ((1 << 8 * (k + 1)) - 1)], [count])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(Trie(leaves, short).log10(key))], names=["key", "c", "value"])
+
+    return run
+
+
 def _score(model, mod: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         m = model.value
-        trie = _shared_trie(m)
+        codes = _shared(m["name"], Lookup, m["codes"])
+        worths = np.append(m["worths"][codes.order], np.float32(0))
         head, value = m["head"], m["value"]
         seen = np.zeros(1 << 20, bool)
         seen[(head >> tb.U(44)).astype(np.int64)] = True
@@ -270,7 +322,8 @@ def _score(model, mod: int):
         for batch, texts in tb.blocks(batches):
             words = tb.Words(texts)
             code, first = text_codes(texts)
-            score = np.add.reduceat(trie.log10(code), first, dtype=np.float64)
+            place = codes.find(code)
+            score = np.add.reduceat(worths[place], first, dtype=np.float64)
             h, inv = np.unique(words.hashes, return_inverse=True)
             p = np.full(len(h), -1)
             maybe = np.flatnonzero(seen[(h >> tb.U(44)).astype(np.int64)])
@@ -290,13 +343,16 @@ def _score(model, mod: int):
                 [pa.array(np.zeros(len(texts), np.int32)), pa.array(row), batch.column(0), pa.array(tb.crc_bucket(batch.column(0).to_pylist(), mod) == 0), pa.array(n + 1), pa.array(known), pa.array(base), pa.array(score), none(pa.int64()), none(pa.int32())],
                 names=_FIELDS,
             )
-            rare = np.flatnonzero(p[inv] < 0)
-            if len(rare):
-                pair, tf = np.unique(doc[rare] * len(h) + inv[rare], return_counts=True)
-                d, w = np.divmod(pair, len(h))
+            rare, open_ = np.flatnonzero(p[inv] < 0), np.flatnonzero(place < 0)
+            novel, which = np.unique(code[open_], return_inverse=True)
+            for kind, keys, owner, i in ((1, tb.signed(h), doc[rare], inv[rare]), (2, novel, np.searchsorted(first, open_, side="right") - 1, which)):
+                if not len(i):
+                    continue
+                pair, tf = np.unique(owner * len(keys) + i, return_counts=True)
+                d, w = np.divmod(pair, len(keys))
                 none = lambda t: pa.nulls(len(pair), t)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(len(pair), np.int32)), pa.array(row[d]), none(pa.int64()), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64()), pa.array(tb.signed(h[w])), pa.array(tf.astype(np.int32))], names=_FIELDS
+                    [pa.array(np.full(len(pair), kind, np.int32)), pa.array(row[d]), none(pa.int64()), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64()), pa.array(keys[w]), pa.array(tf.astype(np.int32))], names=_FIELDS
                 )
 
     return run
@@ -320,12 +376,14 @@ def scores(docs: DataFrame, mod: int = 10) -> DataFrame:
     head = counts.filter(F.col("c") > n / 2**HEAD_BITS).toArrow()
     key, c = np.array(head["key"].to_numpy()).view(tb.U), head["c"].to_numpy()
     order = np.argsort(key)
-    leaves = _leaves(stats.filter("kind = 1").select("key", "c"), ORDER)
+    graded = _graded(stats.filter("kind = 1").select("key", "c"))
+    codes, worths = _frequent(graded)
     end = counts.filter(F.col("key") == int(tb.signed(_END)[0])).first()
     model = spark.sparkContext.broadcast(
         {
-            "name": f"{spark.sparkContext.applicationId}-{n}-{v}-{id(leaves)}",
-            "leaves": leaves,
+            "name": uuid.uuid4().hex,
+            "codes": codes,
+            "worths": worths,
             "head": key[order],
             "value": worth(c[order].astype(float)),
             "end": float(worth(float(end.c if end else 0))),
@@ -333,10 +391,13 @@ def scores(docs: DataFrame, mod: int = 10) -> DataFrame:
         }
     )
     found = cut(docs.mapInArrow(_score(model, mod), _SCHEMA), "lm-scores", by=["kind"])
-    tail = found.filter("kind = 1").select("key", "row", "tf").join(counts, "key", "left")
-    tail = tail.groupBy("row").agg(
-        F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(float(below)))).alias("rest"), F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("more")
+    words = found.filter("kind = 1").select("key", "row", "tf").join(counts, "key", "left")
+    words = words.select(
+        "row", (F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(float(below)))).alias("rest"), F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0).alias("more"), F.lit(0.0).alias("length")
     )
+    grams = found.filter("kind = 2").select("key", "row", "tf").join(graded.select("key", "value"), "key")  # every code of a text is graded
+    grams = grams.select("row", F.lit(0.0).alias("rest"), F.lit(0).alias("more"), (F.col("tf") * F.col("value").cast("double")).alias("length"))
+    tail = words.unionByName(grams).groupBy("row").agg(F.sum("rest").alias("rest"), F.sum("more").alias("more"), F.sum("length").alias("length"))
     return (
         found.filter("kind = 0")
         .join(tail, "row", "left")
@@ -347,26 +408,28 @@ def scores(docs: DataFrame, mod: int = 10) -> DataFrame:
             (F.col("n_known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce("length", F.lit(0.0))).alias("score"),
         )
     )
 
 
-def _leaves(grams: DataFrame, order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Sorted codes and counts of the leaves kept, by order: shorter contexts' counts are sums of the longest ones'."""
-    grams = grams.filter("c > 0")
-    bytes_ = grams.agg(F.sum("c")).first()[0] or 0
-    out = {}
-    for k in range(order, 1, -1):
-        mask = (1 << 8 * (k + 1)) - 1
-        kept = grams.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("c").alias("c")) if k < order else grams
-        if k > 2:
-            kept = kept.filter(F.col("c") > bytes_ / 2**TRIE_BITS)
-        found = kept.toArrow()
-        code, count = np.array(found["key"].to_numpy(), np.int64), np.array(found["c"].to_numpy(), np.int64)
-        at = np.argsort(code)
-        out[k] = code[at], count[at]
-    return out
+def _graded(grams: DataFrame) -> DataFrame:
+    """(key, c, value): each code, its count and log10 P(byte | context)."""
+    kept = grams.filter("c > 0").groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("c").alias("c")).toArrow()
+    code, count = np.array(kept["key"].to_numpy(), np.int64), np.array(kept["c"].to_numpy(), np.int64)
+    at = np.argsort(code)
+    model = grams.sparkSession.sparkContext.broadcast({"name": uuid.uuid4().hex, "short": (code[at], count[at])})
+    group = F.shiftright("key", 8).bitwiseAND(0xFFFFFF)
+    return cut(grams.repartition(group).sortWithinPartitions(group).mapInArrow(_grade(model), "key long, c long, value float"), "lm-codes")
+
+
+def _frequent(graded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with more than a 2**-TRIE_BITS share of all bytes, the most frequent last, and their logarithms."""
+    bytes_ = graded.agg(F.sum("c")).first()[0] or 0
+    found = graded.filter(F.col("c") > bytes_ / 2**TRIE_BITS).toArrow()
+    code, value = np.array(found["key"].to_numpy(), np.int64), np.array(found["value"].to_numpy(), np.float32)
+    at = np.lexsort((code, found["c"].to_numpy()))
+    return code[at], value[at]
 
 
 def brute_code_length(train: list[bytes], text: bytes, order: int = ORDER) -> float:

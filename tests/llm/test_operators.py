@@ -221,6 +221,41 @@ def test_scores_count_as_brute_force(spark, odd, none):
     assert ppm.scores(none).count() == 0
 
 
+@pytest.mark.parametrize("bits", [3, 7, 23])
+def test_code_lengths_are_exact_whatever_is_sent(spark, monkeypatch, bits):
+    monkeypatch.setattr(ppm, "TRIE_BITS", bits)
+    rows = [(i, t + " Qu" + chr(97 + i % 26) * (i % 7)) for i, t in family(4)] + [(3000, None), (3001, " "), (3002, "été unseen XYZ"), (3003, "abcdefgh")]
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    train = [(t or "").encode() for i, t in rows if not held[i]]
+    want = {i: ppm.brute_code_length(train, (t or "").encode()) for i, t in rows if held[i] or i % 5 == 0}
+    got = {r.doc_id: r.score for r in ppm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(held.values()) > 3
+    assert {i: got[i] for i in want} == {i: pytest.approx(x, rel=1e-5) for i, x in want.items()}
+
+
+@pytest.mark.parametrize("step", [1, 40, 1 << 19])
+def test_codes_are_graded_in_whole_groups(step):
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    train = ["".join(rnd.choice("abcab d") for _ in range(50)).encode() for _ in range(20)]
+    code, n = np.unique(ppm.text_codes(train)[0], return_counts=True)
+    novel = np.setdiff1d(ppm.text_codes([b"abc xd zz", b"ddab"])[0], code)
+    key, c = np.append(code, novel), np.append(n, np.zeros(len(novel), np.int64))
+    at = np.argsort(key >> 8 & 0xFFFFFF, kind="stable")
+    key, c = key[at], c[at]
+    leaves = {ppm.ORDER: (code, n)}
+    for k in range(ppm.ORDER - 1, 1, -1):
+        leaves[k] = ppm._merge([code & ((1 << 8 * (k + 1)) - 1)], [n])
+    batches = (pa.RecordBatch.from_arrays([pa.array(key[i : i + 7]), pa.array(c[i : i + 7])], names=["key", "c"]) for i in range(0, len(key), 7))
+    got = pa.Table.from_batches(ppm._grade(types.SimpleNamespace(value={"name": f"test-{step}", "short": leaves[2]}), step)(batches))
+    assert got["key"].to_pylist() == key.tolist() and got["c"].to_pylist() == c.tolist()
+    assert got["value"].to_numpy() == pytest.approx(ppm.Trie(leaves).log10(key), abs=1e-6)
+
+
 def test_quality_on_held_out_rows(spark, odd, none):
     rnd = random.Random(8)
     rows, labels = [], []
