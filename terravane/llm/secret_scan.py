@@ -1,7 +1,10 @@
 """Secret spans: fixed patterns, and a randomness test battery for what they miss.
 
 The patterns (assignments, access keys, long hexadecimal runs) give the base spans. The battery looks at every
-other run of at least SHORTEST characters of the base64 alphabets. It infers the run's encoding (hexadecimal,
+run of at least SHORTEST characters of the base64 alphabets, and at what base spans leave of a run that they cut
+(without one separator beside the cut). Of what does not stand, it looks at the parts without - and _, without +
+and /, and without all four: a key in a path or behind a name need not share an alphabet with its surroundings.
+It infers the run's encoding (hexadecimal,
 base32 or base64 with or without case), maps characters to their values, and measures three statistics that are
 standard normal for uniform independent characters, each compared with what prose of that length would give:
 
@@ -11,8 +14,9 @@ standard normal for uniform independent characters, each compared with what pros
 
 A run's p-value is the chance that prose of its length looks as random as it does (the first two statistics,
 combined by Stouffer's rule); a run that itself rejects uniformity, runs or correlation at LEVEL is no secret.
-Within a document the p-values go through Benjamini-Hochberg control at rate FDR with weights that grow with
-the run's length (mean one), as short runs carry little evidence.
+Within a document the p-values of whole runs, of what is left of cut ones, and of parts go each through
+Benjamini-Hochberg control at rate FDR with weights that grow with the run's length (mean one), as short runs
+carry little evidence. Parts that stand and overlap are one span.
 
 Defined cases: null text is empty and has no span; texts of any length are scanned whole; spans are counted in
 code points, end exclusive; repeated rows each get a row; further columns are ignored.
@@ -43,6 +47,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 _HEX, _ANY = 1, 2
+_JOINS = (b"+", b"/", b"_", b"-")
 _BITS = np.zeros(256, np.uint8)
 _BITS[[ord(c) for c in "0123456789abcdef"]] |= _HEX
 _BITS[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] |= _ANY
@@ -56,6 +61,8 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+#: Parts of a run: without - and _, without + and /, without all four.
+PARTS = [re.compile(b"[A-Za-z0-9%s]{%d,}" % (more, SHORTEST)) for more in (b"+/", b"_-", b"")]
 #: Sum of squared letter shares of prose, and its share of class changes between neighbours.
 CROWDING, CHANGES = 0.066, 0.05
 
@@ -113,6 +120,35 @@ def discoveries(chances: list[float], lengths: list[int], rate: float = FDR) ->
     return sorted(order[: good[-1] + 1].tolist()) if len(good) else []
 
 
+def _outside(text: bytes, a: int, b: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What of a run is outside the spans, without a separator beside each cut; the run itself if none cuts it."""
+    out, at = [], a
+    for s, _, e in sorted(spans):
+        if s < b and at < e:
+            out.append((at, s))
+            at = e
+    out.append((at, b))
+    trim = lambda x, y: (x + (x > a and text[x : x + 1] in _JOINS), y - (y < b and text[y - 1 : y] in _JOINS))
+    return [(x, y) for x, y in (trim(x, y) for x, y in out if x < y) if y - x >= SHORTEST]
+
+
+def _standing(text: bytes, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places that the battery takes for secrets, as one family."""
+    found = [battery(text[a:b].decode()) for a, b in places]
+    return [places[k] for k in discoveries([c if regular >= LEVEL else 1.0 for c, regular in found], [b - a for a, b in places])]
+
+
+def _joined(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(places):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan(texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of each text's spans in bytes, in order; kind counts into KINDS."""
     joined = b"\n".join(texts) + b"\n"
@@ -132,16 +168,19 @@ def scan(texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
         if any(h in low for h in HINTS):
             out[i] += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if m.end(1) - m.start(1) >= 6]
     owner = np.searchsorted(at, any_first, side="right") - 1
-    tested: dict[int, list[tuple[int, int, float]]] = {}
+    tested: dict[int, tuple[list[tuple[int, int]], list[tuple[int, int]]]] = {}
     for i, a, b in zip(owner.tolist(), any_first.tolist(), any_last.tolist(), strict=True):
         a, b = a - int(at[i]), b - int(at[i])
+        runs, rests = tested.setdefault(i, ([], []))
         if any(s < b and a < e for s, _, e in out[i]):
-            continue
-        chance, regular = battery(texts[i][a:b].decode())
-        tested.setdefault(i, []).append((a, b, chance if regular >= LEVEL else 1.0))
-    for i, found in tested.items():
-        for k in discoveries([c for _, _, c in found], [b - a for a, b, _ in found]):
-            out[i].append((found[k][0], 3, found[k][1]))
+            rests += _outside(texts[i], a, b, out[i])
+        else:
+            runs.append((a, b))
+    for i, (runs, rests) in tested.items():
+        good = _standing(texts[i], runs) + _standing(texts[i], rests)
+        left = {*runs, *rests} - set(good)
+        parts = {m.span() for a, b in left for p in PARTS for m in p.finditer(texts[i], a, b)} - left
+        out[i] += [(a, 3, b) for a, b in good + _joined(_standing(texts[i], sorted(parts)))]
     return [sorted(spans) for spans in out]
 
 

@@ -292,6 +292,30 @@ def test_secrets(spark, odd, none):
     assert [r.text for r in clean.collect() if r.doc_id == 7] == ['[SECRET]"'] and [r.text for r in clean.collect() if r.doc_id == 0] == [None]
 
 
+def test_secrets_beside_base_spans_and_in_mixed_runs():
+    rnd = random.Random(11)
+    key = lambda name: "".join(rnd.choice(secret_scan.ALPHABETS[name]) for _ in range(40))
+    plain = "base64", "base64url"
+    access, hexes = "AKIA" + "B7" * 8, "0af3" * 7
+    for _ in range(20):
+        for name in plain:
+            k = "Zq7" + key(name) + "9Xv"
+            for before, after, base in ((access + "/", "", (0, 1, 20)), (hexes + "-", "", (0, 2, 28)), (hexes + "_", "", (0, 2, 28)), ("", "/" + hexes, (len(k) + 1, 2, len(k) + 29))):
+                text = f"{before}{k}{after}".encode()
+                at = len(before)
+                spans = secret_scan.scan([b"see " + text + b" and"])[0]
+                moved = [(a - 4, kind, b - 4) for a, kind, b in spans]
+                assert base in moved and any(kind == 3 and a <= at + 3 and b >= at + len(k) - 3 for a, kind, b in moved), text
+            alnum = "Zq7" + "".join(rnd.choice(secret_scan.ALPHABETS["base64"][:62]) for _ in range(37))
+            text = f"get /v1/download-file/{alnum} now"
+            (a, kind, b), = secret_scan.scan([text.encode()])[0]
+            assert kind == 3 and text[a:b].endswith(alnum)
+            assert b"%s" % alnum.encode() not in secret_scan.redact(text.encode(), [(a, kind, b)])
+    prose = [b"/v1/download-file/thanandthewhitishenthanblereaonder/index-of_things+more", access.encode() + b"/thanandthewhitishenthanblerea", b"a-b/c_d+e" * 20]
+    assert [[x for x in spans if x[1] == 3] for spans in secret_scan.scan(prose)] == [[], [], []]
+    assert secret_scan._joined([(5, 9), (0, 3), (8, 12), (12, 14)]) == [(0, 3), (5, 12), (12, 14)]
+
+
 def test_randomness_battery():
     rnd = random.Random(9)
     letters = secret_scan.ALPHABETS["base64"]
