@@ -1,7 +1,8 @@
 """Five stages from raw documents to token ids; each works on all that its predecessor kept.
 
 quality: rows that the classifier rejects go. near-dedup: one document of each group stays. decontaminate: rows
-that contain a benchmark item go. secrets: spans are replaced in the text. encode: byte-level BPE ids.
+that contain a benchmark item go. secrets: spans are replaced in the text. encode: byte-level BPE ids in place of
+the text, beside the other columns and n_tokens.
 
 Null or empty texts are judged as empty texts, are no copies of one another, hold nothing and have no token.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terravane.llm import bpe, containment, nbsvm, near_dedup, secret_scan
 from terravane.runtime import cut, discard
@@ -32,7 +34,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    more = [c for c in docs.columns if c not in ("doc_id", "text", "n_tokens", "ids")]
+    return bpe.token_ids(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, more).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [("quality", quality), ("near-dedup", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("encode", encode)]

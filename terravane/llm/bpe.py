@@ -18,13 +18,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terravane.llm import textblock as tb
 from terravane.runtime import arrow_limits, ship
@@ -273,28 +274,41 @@ class Encoder:
             self.size.append(b - a)
 
 
-def _digests(shared, pattern: str):
+def _digests(enc: Encoder, rows: pa.RecordBatch, docs: list[list[int]]) -> pa.RecordBatch:
+    n, coded, plain = [], [], []
+    for d in docs:
+        n.append(sum(map(enc.size.__getitem__, d)))
+        coded.append(hashlib.sha256(b" ".join(map(enc.decimal.__getitem__, d))).hexdigest())
+        plain.append(hashlib.sha256(b"".join(map(enc.plain.__getitem__, d))).hexdigest())
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())], names=[*rows.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _ids(enc: Encoder, rows: pa.RecordBatch, docs: list[list[int]]) -> pa.RecordBatch:
+    n = [sum(map(enc.size.__getitem__, d)) for d in docs]
+    text = b" ".join([enc.decimal[w] for d in docs for w in d])
+    ids = np.fromstring(text, np.int32, sep=" ") if text else np.zeros(0, np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n, dtype=np.int32))), pa.int32()), pa.array(ids))
+    return pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, "ids"])
+
+
+def _coded(shared, pattern: str, form: Callable):
+    """The columns before text, and what form makes of the numbers of each text's words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared, pattern)
-        waiting: list[tuple[pa.Array, list[np.ndarray]]] = []
+        waiting: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             enc.merge_new()
-            for ids, docs in waiting:
-                n, coded, plain = [], [], []
-                for d in docs:
-                    d = d.tolist()
-                    n.append(sum(map(enc.size.__getitem__, d)))
-                    coded.append(hashlib.sha256(b" ".join(map(enc.decimal.__getitem__, d))).hexdigest())
-                    plain.append(hashlib.sha256(b"".join(map(enc.plain.__getitem__, d))).hexdigest())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for rows, docs in waiting:
+                yield form(enc, rows, [d.tolist() for d in docs])
             waiting.clear()
             if len(enc.words) > CACHE:
                 enc.clear()
 
         for batch, texts in tb.blocks(batches):
-            waiting.append((batch.column(0), [np.array(enc.split(t.decode()), np.int32) for t in texts]))
+            waiting.append((batch.select(batch.schema.names[:-1]), [np.array(enc.split(t.decode()), np.int32) for t in texts]))
             size += sum(map(len, texts))
             if size > GATHER or len(enc.words) > 2 * CACHE:
                 yield from flush()
@@ -329,31 +343,18 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     arrow_limits(spark)
     shared = _broadcast(spark, path)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_digests(shared, pattern), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _ids(shared, pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(shared, pattern)
-        for batch, texts in tb.blocks(batches):
-            docs = [enc.split(t.decode()) for t in texts]
-            enc.merge_new()
-            ids = [[int(x) for w in d for x in enc.decimal[w].split()] for d in docs]
-            if len(enc.words) > CACHE:
-                enc.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    return run
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_coded(shared, pattern, _digests), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def token_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids): the ids themselves."""
+def token_ids(docs: DataFrame, path: str, pattern: str, more: list[str] | None = None) -> DataFrame:
+    """(doc_id, ids): the ids themselves; between them, the further columns that more names."""
     spark = docs.sparkSession
     ship(spark)
     arrow_limits(spark)
     shared = _broadcast(spark, path)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_ids(shared, pattern), f"doc_id {kind}, ids array<int>")
+    rows = docs.select("doc_id", *(more or []), F.col("text").cast("string"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(_coded(shared, pattern, _ids), schema)
 
 
 def _plain(shared):

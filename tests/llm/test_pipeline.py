@@ -56,3 +56,19 @@ def test_stages_on_odd_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, at)
     assert empty.count() == 0
+
+
+def test_encode_writes_the_ids(spark, odd_texts=("One two", None, "", "été 漢字 🙂 don't", "word " * 5000)):
+    import public_tokenizers as P
+    import tiktoken
+
+    from terravane.llm import bpe
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(odd_texts)], "doc_id long, text string, lang string")
+    coded = dict(corpus_pipeline.STAGES)["encode"](spark, docs, "")
+    assert coded.columns == ["doc_id", "lang", "ids", "n_tokens"]
+    got = {r.doc_id: (r.lang, r.ids, r.n_tokens) for r in coded.collect()}
+    assert got == {i: ("en", w := ref.encode_ordinary(t or ""), len(w)) for i, t in enumerate(odd_texts)}
+    assert {r.doc_id: bytes(r.plain).decode() for r in bpe.decoded(coded, path).collect()} == {i: t or "" for i, t in enumerate(odd_texts)}
