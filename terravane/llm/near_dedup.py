@@ -3,15 +3,15 @@
 Each document's distinct word shingles give REGISTERS registers; a register holds the leading-zero count and
 the next MANTISSA bits of the least hash under its own hash function. ROWS registers make a band; documents
 that share a band are candidates. The share of equal registers, less what chance collisions of compressed
-registers add, estimates the Jaccard similarity; pairs whose estimate is within five deviations of the
-threshold or above are verified on their full shingle sets.
+registers add, estimates the Jaccard similarity; pairs are verified on their full shingle sets unless their
+estimate is so low that a pair at the threshold has it with probability 1e-9 at most.
 
 Copies with equal sets collapse to their smallest doc_id first. Candidates of a band group are not paired with
 each other: the members meet the group's least id, and verified links join components. Groups whose members
 still lie in several components go on in pairs of bounded chunks; a chunk pair's exact intersections are one
 matrix product, and it yields only the links that join components. Estimates play no part in that step.
 
-A pair at the threshold is missed with probability (1 - 0.8^3)^24 = 3e-8.
+A pair at the threshold 0.8 shares no band with probability (1 - 0.8^3)^24 = 3e-8; the estimate adds 1e-9 at most.
 
 Defined cases: null or blank text has no set and links with nothing; texts shorter than a shingle are one
 shingle; rows that share a doc_id count as one document node; a null doc_id forms no link (component_id null,
@@ -20,6 +20,7 @@ kept true); further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -76,9 +77,14 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return ((a == b).mean(axis=-1) - e) / (1 - e)
 
 
-def lowest(threshold: float, k: int = REGISTERS) -> float:
-    """Estimates below this are five standard deviations under the threshold."""
-    return threshold - 5 * (threshold * (1 - threshold) / k) ** 0.5
+def lowest(threshold: float, k: int = REGISTERS, missed: float = 1e-9) -> float:
+    """Of pairs at the threshold, at most a share missed has an estimate below this: a binomial tail of equal registers."""
+    tail = 0.0
+    for c in range(k):
+        tail += math.comb(k, c) * threshold**c * (1 - threshold) ** (k - c)
+        if tail > missed:
+            return (c - 0.5) / k
+    return (k - 0.5) / k
 
 
 def _sketch(shingle_words: int):

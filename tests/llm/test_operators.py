@@ -275,6 +275,14 @@ def test_quality_on_held_out_rows(spark, odd, none):
     assert nbsvm.accepted(odd, no).columns == odd.columns
 
 
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_estimates_lose_no_more_than_bands(percent):
+    t, k = percent / 100, near_dedup.REGISTERS
+    least = math.ceil(k * near_dedup.lowest(t))
+    assert sum(math.comb(k, c) * t**c * (1 - t) ** (k - c) for c in range(least)) <= 1e-9
+    assert 0 < near_dedup.lowest(t) < t and near_dedup.lowest(1.0) < 1
+
+
 def test_secrets(spark, odd, none):
     key = base64.b64encode(hashlib.sha384(b"1").digest()).decode()
     text = f'é token = "short" secret: token: abcdef password=hunter22 AKIA{"A1" * 8} {"0af" * 8} {key} thanandthewhitishenthanblerea'
