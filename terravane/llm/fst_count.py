@@ -4,8 +4,9 @@ Two deterministic transducers are compiled from the tokenizer's description. The
 and marks where words (letter runs, single numbers, runs of other characters, contractions) begin; its few
 states make a chunk of text a map from entry state to exit state, and the chunks' maps are composed by a
 parallel prefix scan, so all chunks of a block are read in lockstep. The second reads a word's characters: its
-state is the affine image of the prefix (a map x -> a x + b over Z/2^64, composed by one prefix sum over the
-block), and on the word's end it emits the word's token count. That final output is compiled when a word is
+state is the sum of a number for each place and character read so far (each transition is a translation of
+Z/2^64, so those of a block are composed by one prefix sum), and on the word's end it emits the word's token
+count. That final output is compiled when a word is
 first met, by applying the merge table to all words that are new to a block together, and kept for later blocks.
 
 The count follows the tokenizer's own pipeline: special strings are cut out first and count one each, then NFC

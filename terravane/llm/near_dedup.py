@@ -6,16 +6,21 @@ that share a band are candidates. The share of equal registers, less what chance
 registers add, estimates the Jaccard similarity; pairs are verified on their full shingle sets unless their
 estimate is so low that a pair at the threshold has it with probability 1e-9 at most.
 
-Copies with equal sets collapse to their smallest doc_id first. Candidates of a band group are not paired with
-each other: the members meet the group's least id, and verified links join components. Groups whose members
-still lie in several components go on in pairs of bounded chunks; a chunk pair's exact intersections are one
-matrix product, and it yields only the links that join components. Estimates play no part in that step.
+Rows with equal sets collapse to one node first. Candidates of a band group are not paired with each other: the
+members meet the group's least node, and verified links join components. Members of groups that still hold
+several components go on through an exact prefix filter: two sets at the threshold share one of the first few
+shingles of each, in any order of all shingles. That order begins with hashes and puts shingles that too many
+prefixes share last, pass by pass, so that what a prefix holds is rare; a member whose prefix groups hold no
+other component has no link left and goes. In the groups that remain, members first meet a leader drawn for each
+group; then groups of up to SMALL members are compared pair by pair, and larger ones (one for each set of
+members) in pairs of bounded chunks, whose exact intersections are matrix products that yield only the links
+that join components. Estimates play no part in these last two.
 
 A pair at the threshold 0.8 shares no band with probability (1 - 0.8^3)^24 = 3e-8; the estimate adds 1e-9 at most.
 
 Defined cases: null or blank text has no set and links with nothing; texts shorter than a shingle are one
-shingle; rows that share a doc_id count as one document node; a null doc_id forms no link (component_id null,
-kept true); further columns are ignored.
+shingle; rows that share a doc_id are judged each by its own text; a null doc_id forms no link (component_id
+null, kept true); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm import textblock as tb
@@ -37,6 +42,8 @@ from terravane.runtime import arrow_limits, cut, discard, ship
 REGISTERS, ROWS, MANTISSA = 72, 3, 10
 #: Members of a chunk, and bytes of their packed texts, about.
 CHUNK, CHUNK_BYTES = 512, 4 << 20
+#: Members of a prefix group that are compared pair by pair, at most; passes that put frequent shingles last.
+SMALL, PASSES = 32, 4
 
 
 def _seeds(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,13 +110,23 @@ def _sketch(shingle_words: int):
                     fp[j, full] = tb.signed(np.add.reduceat(tb.mix(every ^ tb.U(c)), starts))
                 for i, r in zip(full, registers(every, starts), strict=True):
                     regs[i] = r.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(fp[0]), pa.array(fp[1]), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "fp1", "fp2", "regs"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.array(fp[0]), pa.array(fp[1]), pa.array(regs, pa.binary())], names=[*ROW, "n_shingles", "fp1", "fp2", "regs"])
 
     return run
 
 
+#: What tells a row's text from others of its doc_id.
+ROW = ["doc_id", "_text_1", "_text_2"]
+
+
+def _keyed(docs: DataFrame) -> list:
+    text = F.col("text").cast("string")
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_text_1"), F.xxhash64(F.lit(1), text).alias("_text_2")]
+
+
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sketch(shingle_words), "doc_id long, n_shingles long, fp1 long, fp2 long, regs binary")
+    rows = docs.select(*_keyed(docs), F.col("text").cast("string"))
+    return rows.mapInArrow(_sketch(shingle_words), "doc_id long, _text_1 long, _text_2 long, n_shingles long, fp1 long, fp2 long, regs binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,66 +229,153 @@ def _inside(shingle_words: int, percent: int):
     return run
 
 
-def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row; documents link at Jaccard >= percent / 100."""
+def _prefixes(shingle_words: int, percent: int, late):
+    """(h, rep, comp): the first shingles of each set, those of late after all others, as many as a set at the threshold must share one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = late.value
+        for batch in batches:
+            out = []
+            for packed in batch.column("packed"):
+                s = _set(packed.as_py(), shingle_words)
+                k = len(s) + 1 + -len(s) * percent // 100
+                if len(last):
+                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
+                    rare = last[at] != s
+                    s = np.concatenate((s[rare], s[~rare]))
+                out.append(s[:k])
+            if out:
+                n = [len(s) for s in out]
+                yield pa.RecordBatch.from_arrays([pa.array(tb.signed(np.concatenate(out))), *(pa.array(np.repeat(np.array(batch.column(c)), n)) for c in ("rep", "comp"))], names=["h", "rep", "comp"])
+
+    return run
+
+
+def _classes(docs: DataFrame, shingle_words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches of all rows; a node for each set, with its least row; of nodes that have a link: node, comp)."""
     spark = docs.sparkSession
     ship(spark)
     arrow_limits(spark)
-    floor = lowest(percent / 100)
     sketch = cut(sketches(docs, shingle_words), "sketch")
-    classes = cut(
-        sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")), "classes"
-    )
-    reps = classes.select("rep", F.col("n_shingles").cast("int").alias("n"), "regs")
-    # an id that stands for several texts keeps one sketch for estimates
-    sketch_of = cut(reps.groupBy("rep").agg(F.first(F.struct("n", "regs")).alias("s")).select("rep", "s.*"), "sketch-of")
-    found = _links(spark, docs, reps.select("rep", "regs"), sketch_of, shingle_words, percent, floor)
-    discard(sketch_of)
-    named = classes.select("n_shingles", "fp1", "fp2", "rep").join(found, F.col("rep") == F.col("id"), "left").select("n_shingles", "fp1", "fp2", F.coalesce("comp", "rep").alias("comp"))
+    classes = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "fp1", "fp2").agg(F.min(F.struct(*ROW)).alias("row"), F.first("regs").alias("regs"))
+    # numbered as they are written, so numbers stay
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("node"), "n_shingles", "fp1", "fp2", "row.*", "regs"), "classes")
+    return sketch, classes, _links(docs, classes, shingle_words, percent)
+
+
+def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row; documents link at Jaccard >= percent / 100."""
+    sketch, classes, found = _classes(docs, shingle_words, percent)
+    of = found.join(classes.select("node", "doc_id"), "node")
+    least = of.join(of.groupBy("comp").agg(F.min("doc_id").alias("least")), "comp").select("node", "least")
+    named = classes.join(least, "node", "left").select("n_shingles", "fp1", "fp2", F.coalesce("least", "doc_id").alias("least"))
     return (
-        sketch.drop("regs")
+        sketch.select("doc_id", "n_shingles", "fp1", "fp2")
         .join(named, ["n_shingles", "fp1", "fp2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
-def _links(spark: SparkSession, docs: DataFrame, reps: DataFrame, sketch_of: DataFrame, shingle_words: int, percent: int, floor: float) -> DataFrame:
-    """Components (id, comp) of the representatives that have a verified link."""
-    banded = reps.mapInArrow(_bands, "band long, rep long")
+def _links(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Components (node, comp) of the nodes that have a verified link."""
+    floor = lowest(percent / 100)
+    sketch_of = classes.select(F.col("node").alias("rep"), F.col("n_shingles").cast("int").alias("n"), "regs")
+    banded = sketch_of.select("rep", "regs").mapInArrow(_bands, "band long, rep long")
     # written first, so that the join has no aggregation beside it and a hot band's rows may be split
     groups = cut(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).filter("lead < top").select("band", "lead"), "groups")
     members = cut(banded.join(groups, "band"), "members")
     edges = members.filter("lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     close = cut(_estimated(edges, sketch_of, floor), "close")
-    ids = members.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
-    packed = cut(_picked(texts, ids, "rep").mapInArrow(_pack, "rep long, packed binary, bytes long"), "packed")
+    packed = cut(_texts(docs, classes.select(F.col("node").alias("rep"), *ROW).join(members.select("rep").distinct(), "rep")), "packed")
     links = cut(_exact(close, packed, shingle_words, percent), "links-1")
     found = components(links, "cc-1")
-    apart = _apart(members.filter("rep <> lead").select("band", "rep"), found, packed.select("rep", "bytes"))
-    more = cut(_blocked(apart, packed, shingle_words, percent), "links-2")
-    if not more.isEmpty():
-        found = components(links.union(more), "cc-2")
-    discard(groups, members, close, packed, links, apart, more)
-    return found
-
-
-def _apart(members: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(band, rep, comp, parts) of the groups whose members lie in several components; parts: how many chunks such a group makes."""
-    at = members.join(found, F.col("rep") == F.col("id"), "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
-    at = cut(at.join(sizes, "rep"), "grouped")
-    several = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).alias("parts"))
-    several = cut(several.filter("x < y").select("band", "parts"), "several")
-    apart = cut(at.drop("bytes").join(several, "band"), "apart")
-    discard(at, several)
-    return apart
-
-
-def _picked(docs: DataFrame, ids: DataFrame, key: str, bound: int = 500_000) -> DataFrame:
-    """Rows of docs with a key among ids: those are sent to every task only while they are at most bound."""
+    # members of groups with several components
+    at = cut(members.select("band", "rep").join(found, F.col("rep") == F.col("id"), "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp")), "grouped")
+    several = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("band")
+    apart = cut(at.join(several, "band").select("rep", "comp").distinct(), "apart")
+    prefixes = _live(apart, packed, shingle_words, percent)
+    for how in (_to_leaders, _in_groups):
+        if prefixes is None:
+            break
+        more = cut(how(prefixes, sketch_of, packed, shingle_words, percent, floor), "links-2")
+        if not more.isEmpty():
+            old, prefixes_old = found, prefixes
+            # a component is joined to others by its least member
+            found = components(more.union(found.filter("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))), "cc-2")
+            prefixes = cut(prefixes.drop("comp").join(found, F.col("rep") == F.col("id"), "left").select("h", "rep", F.coalesce("comp", "rep").alias("comp")), "prefixes")
+            discard(old, prefixes_old)
+        discard(more)
+    discard(groups, members, close, packed, links, at, apart, *([prefixes] if prefixes is not None else []))
+    return found.select(F.col("id").alias("node"), "comp")
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, packed, bytes) of the rows of docs that ids (rep and ROW) name, one for each rep."""
+    keyed = docs.select(*_keyed(docs), F.col("text").cast("string"))
+    packed = cut(_picked(keyed, ids, ROW).select("rep", "text").mapInArrow(_pack, "rep long, packed binary, bytes long"), "texts")
+    if packed.groupBy("rep").count().filter("count > 1").isEmpty():
+        return packed
+    return packed.dropDuplicates(["rep"])  # rows that are repeated whole
+
+
+def _several(prefixes: DataFrame) -> DataFrame:
+    """(h, n, who): prefix groups that hold several components; who tells sets of members apart."""
+    g = prefixes.groupBy("h").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.bit_xor(F.xxhash64("rep")).alias("who"))
+    return g.filter("x < y").select("h", "n", "who")
+
+
+def _live(apart: DataFrame, packed: DataFrame, shingle_words: int, percent: int) -> DataFrame | None:
+    """(h, rep, comp): the prefixes of those that may still have a link to another component, or None."""
+    spark = apart.sparkSession
+    left, late = cut(apart.join(packed.select("rep", "packed"), "rep"), "left"), np.zeros(0, tb.U)
+    for i in range(PASSES):
+        prefixes = cut(left.mapInArrow(_prefixes(shingle_words, percent, spark.sparkContext.broadcast(late)), "h long, rep long, comp long"), "prefixes")
+        groups = cut(_several(prefixes), "prefix-groups")
+        sizes = prefixes.agg(F.count("*")).first()[0]
+        # fewer than 2**20 for each pass, however many prefixes there are
+        wide = groups.filter(F.col("n") > max(SMALL, sizes >> 20)).select("h").toArrow()["h"].to_numpy()
+        shared = prefixes.join(groups.select("h"), "h")
+        done = i == PASSES - 1 or not len(wide)
+        if done:
+            out = cut(shared, "live-prefixes")
+            discard(prefixes, groups, left)
+            return None if out.isEmpty() else out
+        old = left
+        left = cut(left.join(shared.select("rep").distinct(), "rep", "left_semi"), "left")
+        discard(prefixes, groups, old)
+        late = np.union1d(late, np.array(wide, np.int64).view(tb.U))
+    return None
+
+
+def _to_leaders(prefixes: DataFrame, sketch_of: DataFrame, packed: DataFrame, shingle_words: int, percent: int, floor: float) -> DataFrame:
+    """Verified links of the members of each group to one of them, drawn by hash."""
+    lead = prefixes.groupBy("h").agg(F.min_by("rep", F.xxhash64("h", "rep")).alias("a"), F.min_by("comp", F.xxhash64("h", "rep")).alias("c"))
+    pairs = prefixes.join(lead, "h").filter("comp <> c").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+    return _exact(cut(_estimated(pairs, sketch_of, floor), "close-2"), packed, shingle_words, percent)
+
+
+def _in_groups(prefixes: DataFrame, sketch_of: DataFrame, packed: DataFrame, shingle_words: int, percent: int, floor: float) -> DataFrame:
+    """All links between components that share a prefix group."""
+    groups = cut(_several(prefixes), "prefix-groups")
+    own = cut(prefixes.join(groups, "h"), "prefix-members")
+    size = sketch_of.select("rep", F.col("n").alias("size"))
+    few = cut(own.filter(F.col("n") <= SMALL).select("h", "rep", "comp").join(size, "rep"), "prefix-few")
+    other = few.select("h", F.col("rep").alias("b"), F.col("comp").alias("c"), F.col("size").alias("m"))
+    pairs = few.join(other, "h").filter("comp < c").filter(100 * F.least("size", "m") >= percent * F.greatest("size", "m")).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    links = _exact(cut(pairs, "prefix-pairs"), packed, shingle_words, percent)
+    wide = groups.filter(F.col("n") > SMALL).groupBy("n", "who").agg(F.min("h").alias("band")).select("band")
+    if wide.isEmpty():
+        return links
+    apart = cut(own.join(wide, F.col("h") == F.col("band")).select("band", "rep", "comp").join(packed.select("rep", "bytes"), "rep"), "wide")
+    parts = apart.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).alias("parts"))
+    return links.union(_blocked(apart.drop("bytes").join(parts, "band"), packed, shingle_words, percent))
+
+
+def _picked(docs: DataFrame, ids: DataFrame, on: list[str], bound: int = 500_000) -> DataFrame:
+    """Rows of docs with the columns of ids: those are sent to every task only while they are at most bound."""
     few = ids.limit(bound + 1).count() <= bound
-    return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, on)
 
 
 def _estimated(edges: DataFrame, sketch_of: DataFrame, floor: float) -> DataFrame:
@@ -296,10 +400,18 @@ def _blocked(apart: DataFrame, packed: DataFrame, shingle_words: int, percent: i
 
 
 def kept_documents(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: one document for each component; rows without an id all stay."""
-    kept = near_components(docs.select("doc_id", "text"), shingle_words, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    some = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return some.union(docs.filter("doc_id IS NULL")).select(docs.columns)
+    """The rows of docs that stay: one for each component, with its least doc_id; rows without an id or a word all stay.
+
+    Rows that share a doc_id are told apart by their texts; of rows that are repeated whole one stays."""
+    sketch, classes, found = _classes(docs.select("doc_id", "text"), shingle_words, percent)
+    discard(sketch)
+    first = classes.join(found, "node", "left").groupBy(F.coalesce("comp", "node")).agg(F.min(F.struct(*ROW)).alias("row")).select("row.*")
+    keys = [c.alias(f"_near_{i}") for i, c in enumerate(_keyed(docs))]
+    on = [f"_near_{i}" for i in range(len(keys))]
+    free = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    judged = docs.filter(~free).select(*docs.columns, *keys)
+    some = judged.join(first.toDF(*on), on, "left_semi").dropDuplicates(on)
+    return some.select(docs.columns).union(docs.filter(free))
 
 
 def brute_components(rows: list[tuple[int, str | None]], k: int, percent: int) -> dict[int, tuple[int, int]]:

@@ -1,8 +1,9 @@
 """Words and shingles of many texts at once, as numpy arrays of 64-bit fingerprints.
 
 A block is a few texts of a few megabytes. Words are runs of bytes outside 0x20 and 0x09-0x0D after
-lower-casing A-Z. A word's fingerprint is its polynomial over Z/2^64, read off one running sum of the
-block, then mixed; a shingle's fingerprint combines those of its words in order.
+lower-casing A-Z. A word's fingerprint is the sum of a pseudo-random number for each pair of a place in the word
+and the byte there: no family of words collides by its structure, as with a polynomial modulo 2^64, and two
+different words do by a chance of 2^-64. A shingle's fingerprint combines those of its words in order.
 """
 
 from __future__ import annotations
@@ -18,25 +19,8 @@ STEP = 1 << 20
 #: Bytes of text gathered into one block.
 BLOCK = 2 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and those of its inverse, at least n of each."""
-    size = max(STEP, 1 << (n - 1).bit_length() if n > 1 else 1)
-    if size not in _powers:
-        _powers.clear()
-        both = []
-        for b in (_BASE, _INVERSE):
-            x = np.full(size, b, U)
-            x[0] = 1
-            both.append(np.cumprod(x, dtype=U))
-        _powers[size] = (both[0], both[1])
-    return _powers[size]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,12 +34,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The fingerprint of values[start:end] for each span."""
-    p, inv = powers(len(values) + 1)
-    run = np.empty(len(values) + 1, U)
-    run[0] = 0
-    np.cumsum((values.astype(U) + U(1)) * p[: len(values)], out=run[1:])
-    return mix((run[ends] - run[starts]) * inv[starts] + (ends - starts).astype(U))
+    """The fingerprint of values[start:end] for each of some non-empty, disjoint, ascending spans."""
+    if not len(starts):
+        return np.zeros(0, U)
+    n = ends - starts
+    first = np.cumsum(n) - n
+    place = np.arange(int(first[-1] + n[-1])) - np.repeat(first, n)
+    each = mix((place.astype(U) << U(21) | values[np.repeat(starts, n) + place].astype(U)) + U(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(each, first) + n.astype(U))
 
 
 def _steps(data: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
