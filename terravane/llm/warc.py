@@ -1,8 +1,11 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by id into shards whose bounds follow from the data alone: ids fall into equal-width
-ranges, the ranges' bytes are summed, and neighbouring ranges are cut into shards of about equal bytes. Each
-shard is written in id order as gzip members, one for each record, rolled into a new file once it holds
+Records are range-sorted by id into shards whose bounds follow from the data alone. Ids fall into cells of equal
+width, whose bytes are summed; a cell with more bytes than a shard should have is cut again between its own least
+and greatest id, or by a hash of the record where all its ids are one (or null), until no cell is too heavy;
+neighbouring cells are then joined into shards of about equal bytes. So neither an outlying id, nor one id or no
+id on many rows, makes a heavy shard; rows that are equal altogether are counted first and dealt out by number.
+Each shard is written in id order as gzip members, one for each record, rolled into a new file once it holds
 ROLL compressed bytes. Headers and digests are regenerated from the payload; of records with equal payloads
 the one with the largest id is the response and the others revisit it.
 
@@ -15,8 +18,8 @@ A file is written as a line of Spark's text writer: an empty gzip member ends it
 end.
 
 Defined cases: a null html is an empty payload; a null url is written as the empty target; records with a null
-id are written, and never referred to unless all equal payloads have none; repeated rows are each written;
-payloads shorter than the revisit bound are always responses; an empty table gives an archive with no file;
+id are written, and never referred to unless all equal payloads have none; repeated rows are each written, and
+rows that share the largest id of their payload are each a response; payloads shorter than the revisit bound are always responses; an empty table gives an archive with no file;
 further columns are ignored.
 """
 
@@ -32,15 +35,15 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.runtime import arrow_limits, cut, scratch, ship
+from terravane.runtime import arrow_limits, cut, discard, scratch, ship
 
 #: Compressed bytes after which a new file begins; payload bytes that a shard has, about; shards, at least.
 ROLL, SHARD, LEAST = 32 << 20, 256 << 20, 64
-#: Ranges of ids whose bytes are summed before they are cut into shards.
-RANGES = 1 << 16
+#: Cells that a heavy cell is cut into for each shard that it would fill; cells at least, and at most.
+FINER, FEWEST, MOST = 8, 64, 1 << 16
 
 _DATE = "2000-01-01T00:00:00Z"
 #: An empty gzip member.
@@ -126,22 +129,70 @@ def _files(roll: int):
     return run
 
 
-def shard_map(pages: DataFrame, size: Column, shard_bytes: int = SHARD, least: int = LEAST) -> tuple[Column, DataFrame, int]:
-    """(a row's range as a column, the shard of each range with rows, how many shards), from ids and payload sizes alone."""
-    spark = pages.sparkSession
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (low, high) if low is not None else (0, 0)
-    step = (high - low) // RANGES + 1
-    place = F.coalesce(F.floor((F.col("page_id") - low) / step).cast("int"), F.lit(0))
-    rows = sorted(tuple(r) for r in pages.groupBy(place.alias("r")).agg(F.sum(size + 256)).collect())
-    goal = max(1, min(shard_bytes, sum(b for _, b in rows) // least + 1))
+_LEVEL = "cell long, base long, first long, shift int, step long, by_id boolean"
+
+
+def _placed(rows: DataFrame, levels: list[DataFrame], how: str) -> DataFrame:
+    """rows (page_id, r) with the cell that all levels lead to; with how 'inner', only rows of cells that the last level cuts."""
+    rows = rows.withColumn("cell", F.col("page_id").isNull().cast("long"))
+    for level in levels:  # a level has a row for each cell that it cuts: fewer than there are shards
+        at = F.expr("CASE WHEN by_id THEN shiftright(page_id, shift) ELSE r END")
+        rows = rows.join(F.broadcast(level), "cell", how).withColumn("_at", at - F.col("first"))
+        rows = rows.withColumn("cell", F.coalesce(F.col("base") + F.expr("_at div step"), F.col("cell"))).drop("base", "first", "shift", "step", "by_id", "_at")
+    return rows
+
+
+def shard_map(digests: DataFrame, shard_bytes: int = SHARD, least: int = LEAST) -> tuple[list[DataFrame], list[tuple], int]:
+    """(levels of cells, (cell, shard, rows of a shard where equal rows fill several) of each, how many shards)
+    of digests (page_id, r, n)."""
+    spark = digests.sparkSession
+    levels: list[DataFrame] = []
+    final: list[tuple] = []  # (id, r, cell, bytes, rows, whether all rows are equal)
+    base, goal = 2, 0
+    while True:
+        placed = _placed(digests, levels, "inner").groupBy("cell")
+        sums = placed.agg(F.sum(F.col("n") + 256).alias("bytes"), F.count("*").alias("rows"), *(f(c) for c in ("page_id", "r") for f in (F.min, F.max))).collect()
+        goal = goal or max(1, min(shard_bytes, sum(s.bytes for s in sums) // least + 1))
+        cut_again = []
+        for s in sums:
+            id0, id1, r0, r1 = tuple(s)[3:]
+            by_id = id0 is not None and id0 < id1
+            if s.bytes <= goal or not by_id and r0 == r1:
+                final.append((id0, r0, s.cell, s.bytes, s.rows, not by_id and r0 == r1))
+                continue
+            parts = min(MOST, max(FEWEST, FINER * s.bytes // goal))
+            shift = int(by_id and id1 - id0 >= 1 << 62)
+            first, last = (id0 >> shift, id1 >> shift) if by_id else (r0, r1)
+            step = (last - first) // parts + 1
+            cut_again.append((s.cell, base, first, shift, step, by_id))
+            base += (last - first) // step + 1
+        if not cut_again:
+            break
+        levels.append(spark.createDataFrame(sorted(cut_again), _LEVEL))
     of, shard, run = [], -1, goal
-    for r, b in rows:  # a shard begins with a range, once the one before has its bytes
-        if run >= goal:
+    for _, _, cell, size, rows, equal in sorted(final, key=lambda c: (c[0] is not None, c[0] or 0, c[1])):
+        if equal and size > goal and rows > 1:  # whole shards of equal rows
+            per = max(1, goal * rows // size)
+            of.append((cell, shard + 1, per))
+            shard, run = shard - (-rows // per), goal
+            continue
+        if run >= goal or run + size > 2 * goal:  # a shard begins with a cell, once the one before has its bytes
             shard, run = shard + 1, 0
-        run += b
-        of.append((r, shard))
-    return place, spark.createDataFrame(of, "place int, shard int"), max(1, shard + 1)
+        run += size
+        of.append((cell, shard, None))
+    return levels, of, max(1, shard + 1)
+
+
+def _tasks(spark: SparkSession, n: int) -> list[int]:
+    """For each of n numbers a key that Spark's hash partitioning into n deals to its own partition."""
+    found: dict[int, int] = {}
+    low, many = 0, 16 * n + 64
+    while len(found) < n:
+        keys = spark.range(low, low + many).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("at")).groupBy("at").agg(F.min("id").alias("id")).collect()
+        for k in keys:
+            found.setdefault(k.at, k.id)
+        low += many
+    return [found[i] for i in range(n)]
 
 
 def write(pages: DataFrame, out: str, revisit_from: int = 0, roll: int = ROLL) -> dict:
@@ -150,19 +201,29 @@ def write(pages: DataFrame, out: str, revisit_from: int = 0, roll: int = ROLL) -
     ship(spark)
     arrow_limits(spark)
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
-    digests = cut(pages.select("page_id", F.sha1("html").alias("digest"), F.length("html").alias("n")), "warc-digests")
+    # what tells rows of one id apart, as a number of 63 bits
+    pages = pages.withColumn("r", F.shiftrightunsigned(F.xxhash64("url", "html"), 1))
+    digests = cut(pages.select("page_id", "r", F.sha1("html").alias("digest"), F.length("html").alias("n")), "warc-digests")
     leads = digests.filter(F.col("n") >= revisit_from).groupBy("digest").agg(F.max("page_id").alias("lead"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "lead")
     refers = digests.filter(F.col("n") >= revisit_from).join(leads, "digest").filter("page_id < lead").select("page_id", F.col("digest").alias("d"), F.col("lead").alias("refers_to")).distinct()
-    place, shards, n = shard_map(digests, F.col("n"))
+    levels, shards, n = shard_map(digests)
     if refers.isEmpty():
         rows = pages.withColumn("refers_to", F.lit(None).cast("long"))
     else:
-        rows = pages.withColumn("d", F.sha1("html")).join(refers, ["page_id", "d"], "left")
-    rows = rows.withColumn("place", place).join(F.broadcast(shards), "place")  # at most RANGES rows
-    rows = rows.select("shard", "page_id", "url", "html", "refers_to").repartition(n, "shard").sortWithinPartitions("shard", "page_id", "url", "html", "refers_to")
+        rows = pages.withColumn("d", F.sha1("html")).join(refers, ["page_id", "d"], "left").drop("d")
+    rows = _placed(rows, levels, "left").join(F.broadcast(spark.createDataFrame(shards, "cell long, shard long, per long")), "cell")
+    record_ = ["page_id", "url", "html", "refers_to"]
+    if any(per for *_, per in shards):
+        equal = rows.filter("per IS NOT NULL").groupBy(*record_, "shard", "per").agg(F.count("*").alias("c"))
+        equal = equal.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).withColumn("shard", F.col("shard") + F.expr("copy div per"))
+        rows = rows.filter("per IS NULL").select("shard", *record_).union(equal.select("shard", *record_))
+    own = spark.createDataFrame(list(enumerate(_tasks(spark, n))), "shard long, task long")
+    rows = rows.join(F.broadcast(own), "shard").select("task", F.col("shard").cast("int"), *record_)
+    rows = rows.repartition(n, "task").drop("task").sortWithinPartitions("shard", *record_)
     files = rows.mapInArrow(_files(roll), "shard int, part int, data binary")
     temporary = f"{out}/_temporary-{uuid.uuid4().hex[:12]}"
     files.select(F.col("data").cast("string").alias("value"), F.format_string("%05d-%05d", "shard", "part").alias("name")).write.option("lineSep", "\0").partitionBy("name").text(temporary)
+    discard(digests)
     return _commit(spark, temporary, out)
 
 
