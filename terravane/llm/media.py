@@ -9,7 +9,9 @@ payload is shuffled; copies of a payload meet as one row for each digest before
 Media are grey images in PNG: 8-bit samples, WIDTH to a row, no filter, so any bytes whose number is a positive
 multiple of WIDTH are kept without loss. Reading checks every chunk's CRC.
 
-Defined cases: null text is an empty payload (one row of padding); a reference whose digest the store lacks
+Defined cases: nothing inside script, style or template is a part, neither text nor media; a caption that is not
+closed ends with its figure, or where a section, table, heading or another figure begins; null text is an empty
+payload (one row of padding); a reference whose digest the store lacks
 keeps its place with null columns; html that is null or has no part gives no part; repeated rows each get a
 row; further columns are ignored.
 """
@@ -36,6 +38,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 _BREAKS = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "article", "section", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "title", "nav", "header", "footer", "body", "html"}
 _SILENT = {"script", "style", "template"}
+#: Tags that end a caption whose own end is missing.
+_ENDS_CAPTION = {"figure", "article", "section", "body", "html", "table", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class _Parts(HTMLParser):
@@ -55,17 +59,35 @@ class _Parts(HTMLParser):
         if t:
             self.parts.append(["text", t, None, None])
 
+    def close_caption(self) -> None:
+        if self.caption is None:
+            return
+        words = " ".join("".join(self.caption).split())
+        self.caption = None
+        start = self.figures[-1] if self.figures else 0
+        media = [p for p in self.parts[start:] if p[0] == "media"]
+        if media:  # the figure's media share its caption
+            for p in media if self.figures else media[-1:]:
+                p[3] = words or p[3]
+        elif words:
+            self.parts.append(["text", words, None, None])
+
     def handle_starttag(self, tag, attrs):
         at = dict(attrs)
         if tag in _SILENT:
             self.silent += 1
+        elif self.silent:
+            return
         elif tag in ("img", "video", "audio", "source") and at.get("src"):
             self.close_text()
             self.parts.append(["media", None, at["src"], at.get("alt") or None])
         elif tag == "figcaption":
+            self.close_caption()
             self.close_text()
             self.caption = []
         elif tag in _BREAKS:
+            if tag in _ENDS_CAPTION:
+                self.close_caption()
             self.close_text()
             if tag == "figure":
                 self.figures.append(len(self.parts))
@@ -77,34 +99,27 @@ class _Parts(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            words = " ".join("".join(self.caption).split())
-            self.caption = None
-            start = self.figures[-1] if self.figures else 0
-            media = [p for p in self.parts[start:] if p[0] == "media"]
-            if media:  # the figure's media share its caption
-                for p in media if self.figures else media[-1:]:
-                    p[3] = words or p[3]
-            elif words:
-                self.parts.append(["text", words, None, None])
+        elif self.silent:
+            return
+        elif tag == "figcaption":
+            self.close_caption()
         elif tag in _BREAKS:
+            if tag in _ENDS_CAPTION:
+                self.close_caption()
             self.close_text()
             if tag == "figure" and self.figures:
                 self.figures.pop()
 
     def handle_data(self, data):
-        if self.caption is not None:
-            self.caption.append(data)
-        elif not self.silent:
-            self.text.append(data)
+        if not self.silent:
+            (self.text if self.caption is None else self.caption).append(data)
 
 
 def parse(html: str | None) -> list[dict]:
     p = _Parts()
     p.feed(html or "")
     p.close()
-    if p.caption:
-        p.text += p.caption
+    p.close_caption()
     p.close_text()
     return [{"position": i, "kind": k, "text": t, "reference": r, "caption": c} for i, (k, t, r, c) in enumerate(p.parts)]
 

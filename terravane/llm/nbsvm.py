@@ -5,10 +5,13 @@ before it (1 to 3). They hash into 2**BITS places. Each place's indicator is sca
 its smoothed shares in both classes; on the scaled rows a linear hinge-loss model is fitted by dual coordinate
 descent. A logistic curve, fitted to margins of rows left out of the fit, turns a margin into a score.
 
-The fit sees at most SAMPLE labelled rows, those with the least hash of their id; scores cover every row.
+The fit sees at most SAMPLE labelled rows, those with the least hash of their id; a row comes to the driver as
+its places or as one bit for each place, whichever is shorter, so SAMPLE rows take 2**(BITS - 3) bytes each at
+most, however long their texts are. Scores cover every row.
 
 Defined cases: null text is empty and scores by the bias alone; rows without a label, or with a label other
-than 0 or 1, are never learnt from; repeated rows score alike; with no label at all, or labels of one class
+than 0 or 1, are never learnt from, nor are documents that have both labels; a document that occurs in several
+rows is learnt from each, within the sample's bound; repeated rows score alike; with no label at all, or labels of one class
 only, every score is that class's smoothed share; further columns are ignored.
 """
 
@@ -26,7 +29,7 @@ from terravane.llm import textblock as tb
 from terravane.runtime import arrow_limits, ship
 
 BITS = 18
-#: The most labelled rows that a fit sees, and the most features kept of one of them.
+#: The most labelled rows that a fit sees.
 SAMPLE = 6000
 PENALTY, EPOCHS, SMOOTH = 1.0, 12, 1.0
 
@@ -74,24 +77,56 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
 
 
-def _ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+class Rows:
+    """Distinct places of some texts, kept as they came: int32 places, or a bit for each place."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return unpacked(self.packed[i])
+
+    def some(self, which: list[int]) -> Rows:
+        return Rows([self.packed[i] for i in which])
+
+
+def packed(at: np.ndarray) -> bytes:
+    """Places in the shorter of two forms; the first byte tells which."""
+    if len(at) <= 1 << (BITS - 5):
+        return b"\0" + at.astype(np.int32).tobytes()
+    bits = np.zeros(1 << BITS, bool)
+    bits[at] = True
+    return b"\1" + np.packbits(bits).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.int32, offset=1) if data[0] == 0 else np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1)))
+
+
+def _ratios(rows: Rows, y: np.ndarray) -> np.ndarray:
     size = 1 << BITS
     logs = []
     for label in (1, 0):
         n = np.full(size, SMOOTH)
-        for r in (rows[i] for i in np.flatnonzero(y == label)):
-            n[r] += 1
+        for i in np.flatnonzero(y == label):
+            n[rows[i]] += 1
         logs.append(np.log(n / n.sum()))
     return logs[0] - logs[1]
 
 
-def _descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+def _descend(rows: Rows, y: np.ndarray, ratio: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights on plain indicators and a bias: hinge loss with penalty, by dual coordinate descent."""
     sign = np.where(y == 1, 1.0, -1.0)
     # rarer labels weigh as much as common ones
     upper = PENALTY * len(y) / (2 * np.where(y == 1, max(1, (y == 1).sum()), max(1, (y == 0).sum())))
-    norm = np.array([1 / max(1.0, len(r)) ** 0.5 for r in rows])
-    square = np.array([float((ratio[r] ** 2).sum()) * s * s + 1 for r, s in zip(rows, norm, strict=True)])
+    norm, square = np.empty(len(rows)), np.empty(len(rows))
+    for i in range(len(rows)):
+        r = rows[i]
+        norm[i] = 1 / max(1.0, len(r)) ** 0.5
+        square[i] = float((ratio[r] ** 2).sum()) * norm[i] ** 2 + 1
     w, b, a = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
@@ -112,7 +147,7 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int
     return w * ratio, b
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
+def fit(rows: Rows, y: np.ndarray) -> Model:
     """rows: distinct places of each text; y: 0 or 1."""
     good, bad = int((y == 1).sum()), int((y == 0).sum())
     if not good or not bad:
@@ -123,8 +158,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     if min(good, bad) >= 6:
         for k in range(3):
             ins = [i for i in range(len(y)) if fold[i] != k]
-            ratio = _ratios([rows[i] for i in ins], y[ins])
-            part = Model(*_descend([rows[i] for i in ins], y[ins], ratio), 1.0, 0.0)
+            part = Model(*_descend(rows.some(ins), y[ins], _ratios(rows.some(ins), y[ins])), 1.0, 0.0)
             for i in np.flatnonzero(fold == k):
                 margins[i] = part.margin(rows[i])
         slope, shift = _logistic(margins, y)
@@ -152,7 +186,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mark = np.zeros(1 << BITS, np.int32)
     for batch, texts in tb.blocks(batches):
         words = tb.Words(texts)
-        out = [distinct(features(words.data[words.at[i] : words.at[i + 1] - 1], words.hashes[words.bounds[i] : words.bounds[i + 1]]), mark).astype(np.int32).tobytes() for i in range(len(texts))]
+        out = [packed(distinct(features(words.data[words.at[i] : words.at[i + 1] - 1], words.hashes[words.bounds[i] : words.bounds[i + 1]]), mark)) for i in range(len(texts))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["doc_id", "y", "places"])
 
 
@@ -163,12 +197,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", train: Col
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     if train is not None:
         chosen = chosen.filter(train)
-    chosen = chosen.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    one = chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("y"), F.max(F.col(label).cast("int")).alias("z"))
+    chosen = one.filter("y = z").select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    found = sorted(texts.select("doc_id", "text", "y").mapInArrow(_places, "doc_id long, y int, places binary").collect(), key=lambda r: (r.doc_id, bytes(r.places)))
+    # rows of documents that repeat are held to the bound again
+    rows = texts.select("doc_id", "text", "y").mapInArrow(_places, "doc_id long, y int, places binary").orderBy(F.xxhash64("doc_id"), "doc_id", "places").limit(sample)
+    found = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.places)))
     order = np.random.default_rng(3).permutation(len(found))
-    return fit([np.frombuffer(found[i].places, np.int32) for i in order], np.array([found[i].y for i in order], np.int64))
+    return fit(Rows([bytes(found[i].places) for i in order]), np.array([found[i].y for i in order], np.int64))
 
 
 def _margins(model: Model, texts: list[bytes], mark: np.ndarray) -> np.ndarray:

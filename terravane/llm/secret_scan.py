@@ -38,7 +38,7 @@ from terravane.llm import textblock as tb
 from terravane.runtime import arrow_limits, ship
 
 KINDS = ("assign", "access", "hex", "random")
-SHORTEST, LEVEL, FDR = 24, 1e-3, 1e-3
+SHORTEST, LEVEL, FDR = 16, 1e-3, 1e-3
 
 # fixed patterns
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

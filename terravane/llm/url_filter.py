@@ -9,7 +9,7 @@ block over allow). Urls that no rule fits get the default verdict.
 The rules' side is sent to every task only while it is small; beyond that the join shuffles, with the url side
 reduced to different (host, path) pairs first, so a hot page counts once.
 
-Rules say allow or block; their hosts and paths have fewer than 2**16 characters and hosts fewer than 2**8 labels.
+Rules say allow or block: any other verdict is an error, as a page must not pass by a word that nothing reads.
 
 Defined cases: a null url, or one without "://", has an empty host and path and fits no rule; an empty rule
 table allows all; repeated rules count once; repeated rows each get a row; further columns are ignored.
@@ -44,6 +44,8 @@ def _digest(host: Column, path: Column) -> Column:
 
 def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row; rules: (host, path, verdict)."""
+    if odd := rules.filter("NOT coalesce(verdict IN ('allow', 'block'), false)").select("verdict").distinct().limit(3).collect():
+        raise ValueError(f"rules say allow or block, not {[r.verdict for r in odd]}")
     rules = rules.filter("host IS NOT NULL AND host <> '' AND path IS NOT NULL").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rules = rules.withColumns({"digest": _digest(F.col("host"), F.col("path")), "labels": F.size(F.split("host", r"\.")), "chars": F.length("path")})
     # the shapes that rules have: bounded by the labels of a host and the characters of a path
@@ -57,21 +59,19 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     prefix = lambda k: F.substring(F.col("path"), F.lit(1), k)
     hosts = F.filter(F.array(*map(F.lit, sorted(shapes.l))), lambda k: k <= F.size(labels))
     paths = F.filter(F.array(*map(F.lit, sorted(shapes.c))), lambda k: k <= F.length("path"))
-    made = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("l"), p.alias("c"), _digest(suffix(h), prefix(p)).alias("digest")))))
+    made = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: _digest(suffix(h), prefix(p)))))
     short = lambda d: F.substring(d, 1, 2 * PREFIX)
-    side = rules.select(short(F.col("digest")).alias("short"), F.col("digest").alias("whole"), (F.length("host") + F.length("path")).alias("size"), F.length("host").alias("hosts"), F.col("verdict").eqNullSafe("block").cast("long").alias("block"))
-    # precedence first, then what the rule is made of: one long, so that the best one is a hash aggregation
-    code = F.lit(0).cast("long")
-    for c, bits in (("size", 16), ("hosts", 16), ("block", 1), ("l", 8), ("c", 16)):
-        code = F.shiftleft(code, bits).bitwiseOR(F.col(c).cast("long"))
+    side = rules.select(short(F.col("digest")).alias("short"), F.col("digest").alias("whole"), (F.length("host") + F.length("path")).cast("long").alias("size"), F.length("host").cast("long").alias("hosts"), F.col("verdict").eqNullSafe("block").cast("long").alias("block"))
+    # precedence in one long, so that the best rule is a hash aggregation; its lengths say what of the url it is made of
+    code = F.shiftleft("size", 32).bitwiseOR(F.shiftleft("hosts", 1)).bitwiseOR(F.col("block"))
     if few:
-        own = at.withColumn("n", F.monotonically_increasing_id()).withColumn("x", F.explode_outer(made)).select("n", *at.columns, "x.*").withColumn("short", short(F.col("digest")))
+        own = at.withColumn("n", F.monotonically_increasing_id()).withColumn("digest", F.explode_outer(made)).withColumn("short", short(F.col("digest")))
         best = own.join(F.broadcast(side), "short", "left").groupBy("n", "page_id", "host", "path").agg(F.max(F.when(F.col("whole") == F.col("digest"), code)).alias("code"))
     else:
-        each = at.select("host", "path").distinct().withColumn("x", F.explode(made)).select("host", "path", "x.*").withColumn("short", short(F.col("digest")))
+        each = at.select("host", "path").distinct().withColumn("digest", F.explode(made)).withColumn("short", short(F.col("digest")))
         found = each.join(side, "short").filter("whole = digest").groupBy("host", "path").agg(F.max(code).alias("code"))
         best = at.join(found, ["host", "path"], "left")
-    part = lambda shift, bits: F.shiftright("code", shift).bitwiseAND((1 << bits) - 1).cast("int")
-    rule = F.when(F.col("code").isNotNull(), F.concat(suffix(part(16, 8)), prefix(part(0, 16))))
-    verdict = F.when(F.col("code").isNull(), default).when(part(24, 1) == 1, "block").otherwise("allow")
+    hosts, size = F.shiftright("code", 1).bitwiseAND((1 << 31) - 1).cast("int"), F.shiftright("code", 32).cast("int")
+    rule = F.when(F.col("code").isNotNull(), F.concat(F.right("host", hosts), F.left("path", size - hosts)))
+    verdict = F.when(F.col("code").isNull(), default).when(F.col("code").bitwiseAND(1) == 1, "block").otherwise("allow")
     return best.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
