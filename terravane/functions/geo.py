@@ -50,8 +50,8 @@ def contains(rings: Column, x: Column, y: Column) -> Column:
 
 
 def metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Equirectangular distance."""
-    dx = (lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2)) * DEGREE_M
+    """Equirectangular distance, the shorter way round."""
+    dx = (F.pmod(lon2 - lon1 + 540, F.lit(360.0)) - 180) * F.cos(F.radians((lat1 + lat2) / 2)) * DEGREE_M
     dy = (lat2 - lat1) * DEGREE_M
     return F.sqrt(dx * dx + dy * dy)
 
@@ -130,7 +130,7 @@ def web_mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
 def disc_offsets(radius: float, least: float = 4.0, most: float = 40.0) -> Column:
     """Grid offsets within a disc, spaced radius / 12 but at least and at most so much."""
     step = min(max(radius / 12, least), most)
-    n = int(radius // step)
+    n = math.ceil(radius / step)
     line = F.sequence(F.lit(-n), F.lit(n))
     pairs = F.flatten(F.transform(line, lambda i: F.transform(line, lambda j: F.struct((i * step).alias("dx"), (j * step).alias("dy")))))
     return F.filter(pairs, lambda p: p["dx"] * p["dx"] + p["dy"] * p["dy"] <= radius * radius)

@@ -81,6 +81,16 @@ def knn_mean(near: DataFrame, values: DataFrame, query_id: str, row_id: str, val
     return known.groupBy(query_id).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("predicted"))
 
 
+def knn_presence(near: DataFrame, labels: DataFrame, query_id: str, row_id: str, targets: list[str]) -> DataFrame:
+    """(query_id, target, predicted): for each 0/1 column the weighted share of neighbours that have it, those whose
+    label is missing left out of both sums."""
+    w = F.greatest(F.col("cosine"), F.lit(0.0)) + 1e-6
+    joined = near.join(labels.select(row_id, *targets), row_id)
+    known = lambda t: F.sum(F.when(F.col(t).isNotNull(), w))
+    shares = joined.groupBy(query_id).agg(*((F.coalesce(F.sum(w * F.col(t)), F.lit(0.0)) / F.greatest(F.coalesce(known(t), F.lit(0.0)), F.lit(1e-12))).alias(t) for t in targets))
+    return shares.unpivot(query_id, targets, "target", "predicted")
+
+
 def fourier_features(lat: Column, lon: Column, n: int, scale: float, seed: int) -> Column:
     """2n random Fourier features of a location on the unit sphere."""
     w = np.random.default_rng(seed).normal(0, scale, (n, 3))

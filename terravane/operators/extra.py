@@ -10,23 +10,65 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terravane.functions.text import md5_uniform, normalised
 from terravane.operators.splits import seeded_order
 
 
+_QUOTED = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")""")
+
+
+def _outside_quotes(text: str, rewrite) -> str:
+    """text with what lies outside quotes rewritten; double-quoted parts become SQL strings, whatever they hold."""
+    out = []
+    for i, part in enumerate(_QUOTED.split(text)):
+        out.append(rewrite(part) if i % 2 == 0 else "'" + part[1:-1].replace("'", "\\'") + "'" if part[0] == '"' else part)
+    return "".join(out)
+
+
 def where(text: str) -> Column:
     """A row query of the data-frame dialect as a predicate: x.notna(), x.isna(), in [..], ==, and, or."""
-    t = re.sub(r"(\w+)\.notna\(\)", r"(\1 IS NOT NULL)", text)
-    t = re.sub(r"(\w+)\.isna\(\)", r"(\1 IS NULL)", t)
-    t = re.sub(r"\bin\s*\[([^\]]*)\]", r"IN (\1)", t)
-    return F.expr(t.replace("==", "=").replace('"', "'"))
+
+    def sql(t: str) -> str:
+        t = re.sub(r"(\w+)\.notna\(\)", r"(\1 IS NOT NULL)", t)
+        t = re.sub(r"(\w+)\.isna\(\)", r"(\1 IS NULL)", t)
+        return re.sub(r"\bin\s*\[", "IN (", t).replace("]", ")").replace("==", "=")
+
+    return F.expr(_outside_quotes(text, sql))
+
+
+def _divisors(text: str) -> str:
+    """An expression whose divisions give null for a divisor 0: what follows each / outside quotes, up to its end, in nullif(.., 0)."""
+    out, at = [], 0
+    while at < len(text):
+        c = text[at]
+        if c in "'\"":
+            end = text.index(c, at + 1) + 1
+            out.append(text[at:end])
+            at = end
+        elif c == "/":
+            end = at + 1
+            while end < len(text) and text[end] in " +-":
+                end += 1
+            while end < len(text) and (text[end].isalnum() or text[end] in "_.`"):
+                end += 1
+            if end < len(text) and text[end] == "(":
+                depth = 0
+                while True:
+                    depth += {"(": 1, ")": -1}.get(text[end], 0)
+                    end += 1
+                    if not depth:
+                        break
+            out.append(f"/ nullif({_divisors(text[at + 1 : end])}, 0)")
+            at = end
+        else:
+            out.append(c)
+            at += 1
+    return "".join(out)
 
 
 def computed(df: DataFrame, name: str, expression: str, log: bool = False) -> DataFrame:
-    """df with an expression column; a zero divisor gives null; log takes log(1 + x)."""
-    parts = expression.split("/")
-    value = F.expr(parts[0])
-    for p in parts[1:]:
-        value = F.try_divide(value, F.expr(p))
+    """df with an expression column; a zero divisor gives null, at any depth; log takes log(1 + x)."""
+    value = F.expr(_divisors(expression))
     return df.withColumn(name, F.log1p(value) if log else value)
 
 
@@ -54,6 +96,15 @@ def resolved_code(df: DataFrame, sources: list[tuple[str, str]]) -> DataFrame:
     return df.withColumns({"code": code, "code_source": source})
 
 
+def resolved_community(df: DataFrame, sources: list[tuple[str, str]], name: str, by_name: str, catalogue: DataFrame, code: str, title: str) -> DataFrame:
+    """df with code, code_source and resolved: the first code given, else that of the catalogue's row (the least code)
+    whose title is the same name but for case, marks and blanks; resolved if the catalogue has the code."""
+    titles = catalogue.select(normalised(F.col(title)).alias("_k"), F.col(code).alias("_code")).groupBy("_k").agg(F.min("_code").alias("_named"))
+    known = catalogue.select(F.col(code).alias("_known")).distinct()
+    own = resolved_code(df.withColumn("_k", normalised(F.col(name))).join(titles, "_k", "left"), [*sources, ("_named", by_name)])
+    return own.join(known, F.col("code") == F.col("_known"), "left").withColumn("resolved", F.col("_known").isNotNull()).drop("_k", "_named", "_known")
+
+
 def named_dates(items: DataFrame, item: str, names: dict[str, Column], dates: DataFrame, name: str, start: str, end: str) -> DataFrame:
     """Earliest start and latest end of the dates found under an item's names, by the first kind of name that finds any."""
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("priority"), c.alias("key")) for i, c in enumerate(names.values()))))
@@ -62,10 +113,11 @@ def named_dates(items: DataFrame, item: str, names: dict[str, Column], dates: Da
     return per.groupBy(item).agg(F.min_by(F.struct("priority", start, end), "priority").alias("m")).select(item, "m.*")
 
 
-def prefixed(left: DataFrame, right: DataFrame, name: str, other: str, least: int = 4) -> DataFrame:
+def prefixed(left: DataFrame, right: DataFrame, name: str, other: str, least: int = 1) -> DataFrame:
     """left's rows whose name starts with one of right's, or the other way round: an equi-join on the shorter one.
 
-    Every length that occurs on the other side, at least least, gives one prefix of a name; lengths are few."""
+    Every length that occurs on the other side gives one prefix of a name; lengths are few. Names shorter than least
+    match nothing; by default only empty ones."""
     lengths = lambda df, c: sorted(r[0] for r in df.filter(F.length(c) >= least).select(F.length(c)).distinct().collect())
     a, b = lengths(left, name), lengths(right, other)
     cut = lambda c, ns: F.explode(F.transform(F.filter(F.array(*map(F.lit, ns)) if ns else F.array().cast("array<int>"), lambda n: n <= F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n)))
@@ -137,35 +189,77 @@ def neighbour_gaps(cells: DataFrame, stride: int, most: float) -> DataFrame:
 def weighted_clusters(df: DataFrame, key: str, weight: Column, n: int, seed: int) -> DataFrame:
     """(key, n): how many of n draws with replacement fall on each row, with chance in proportion to weight.
 
-    Draw k is a hash of (seed, k) in [0, total): the row whose stretch of the running total holds it. The running
-    total is over blocks of a hash bucket first, so that no single task orders all rows."""
-    buckets = 64
-    d = df.select(F.col(key), weight.cast("double").alias("w")).filter("w > 0").withColumn("b", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    Draw k is a number from the MD5 of 'seed:k' in [0, 1), times the total: the row whose stretch of the running
+    total holds it. Keys fall into buckets of their own value, as many as a bucket has rows, and buckets into groups,
+    so no task orders all rows; a draw finds its group, its bucket and its row by equi-joins on stretches of the
+    total, of which there are as many as draws."""
+    d = df.select(F.col(key).alias("k"), weight.cast("double").alias("w")).filter("w > 0")
+    size = d.agg(F.count("*").alias("n"), F.sum("w").alias("total"), F.min("k").alias("lo"), F.max("k").alias("hi")).first()
+    if not size.n:
+        return d.select(F.col("k").alias(key), F.lit(0).cast("long").alias("n"))
+    buckets = max(1, min(1 << 16, int(size.n**0.5)))
+    step = (size.hi - size.lo) // buckets + 1
+    d = d.withColumn("b", F.floor((F.col("k") - size.lo) / step))
     sums = d.groupBy("b").agg(F.sum("w").alias("s"))
-    starts = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))  # one row for each bucket
-    run = F.sum("w").over(Window.partitionBy("b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    starts = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))  # at most 2**16 buckets
+    run = F.sum("w").over(Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     rows = d.withColumn("run", run).join(F.broadcast(starts), "b").withColumns({"hi": F.col("before") + F.col("run"), "lo": F.col("before") + F.col("run") - F.col("w")})
-    total = sums.agg(F.sum("s").alias("total"))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 40)) / float(1 << 40)
-    draws = df.sparkSession.range(n).crossJoin(F.broadcast(total)).withColumn("at", u * F.col("total"))  # total is one row
-    # draws find their row by the thousandth of the total that both touch
-    slot = lambda c: F.floor(F.col(c) / F.col("total") * 1000).cast("long")
-    rows = rows.crossJoin(F.broadcast(total)).withColumn("slot", F.explode(F.sequence(slot("lo"), slot("hi"))))
+    draws = df.sparkSession.range(n).withColumn("at", md5_uniform(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))) * F.lit(size.total))
+    slot = lambda c: F.floor(F.col(c) / size.total * n).cast("long")
+    rows = rows.withColumn("slot", F.explode(F.sequence(slot("lo"), slot("hi"))))  # rows + n in all
     hits = draws.withColumn("slot", slot("at")).join(rows, "slot").filter("at >= lo AND at < hi")
-    return hits.groupBy(key).agg(F.count("*").alias("n"))
-
-
-def locations(spark: SparkSession, n: int, box: tuple[float, float, float, float], seed: int) -> DataFrame:
-    """(i, lon, lat): item i depends on the seed and i alone, uniform over the sphere's part in box."""
-    w, e, s, t = box
+    return hits.groupBy(F.col("k").alias(key)).agg(F.count("*").alias("n"))
+
+
+def locations(spark: SparkSession, n: int, tiles: list[tuple[str, float, list[list[tuple[float, float]]]]], seed: int, away: tuple[list[tuple[float, float]], float] | None = None) -> DataFrame:
+    """(i, name, lon, lat): item i depends on the seed and i alone.
+
+    A tile (name, weight, rings) is drawn by weight and a place in its box until one lies inside the tile; a place
+    within a distance in metres of one of the places (lon, lat) in away is drawn anew, tile and all. Tiles and places
+    to keep away from are sent to the tasks."""
+    from terravane.functions import geo
+
+    names = [t[0] for t in tiles]
+    weights = np.cumsum([t[1] for t in tiles]) / sum(t[1] for t in tiles)
+    rings = [[np.array(r, float) for r in t[2]] for t in tiles]
+    boxes = [(*np.concatenate(r).min(0), *np.concatenate(r).max(0)) for r in rings]
+    far = np.array(away[0], float).reshape(-1, 2) if away else np.zeros((0, 2))
+
+    def inside(t: int, p: np.ndarray) -> np.ndarray:
+        odd = np.zeros(len(p), int)
+        for r in rings[t]:
+            for (x1, y1), (x2, y2) in zip(r, r[1:], strict=False):
+                over = (y1 > p[:, 1]) != (y2 > p[:, 1])
+                if y1 != y2:
+                    odd += over & (p[:, 0] < (x2 - x1) * (p[:, 1] - y1) / (y2 - y1) + x1)
+        return odd % 2 == 1
+
+    def close(p: np.ndarray) -> bool:
+        dx = (far[:, 0] - p[0]) * np.cos(np.radians((far[:, 1] + p[1]) / 2)) * geo.DEGREE_M
+        return bool((np.hypot(dx, (far[:, 1] - p[1]) * geo.DEGREE_M) <= away[1]).any()) if len(far) else False
+
+    def one(i: int) -> tuple[str, float, float]:
+        rng = np.random.Generator(np.random.Philox(key=[seed, i]))
+        for _ in range(1000):
+            t = min(int(np.searchsorted(weights, rng.random(), side="right")), len(names) - 1)
+            x0, y0, x1, y1 = boxes[t]
+            for _ in range(20):
+                p = np.column_stack([rng.uniform(x0, x1, 64), rng.uniform(y0, y1, 64)])
+                ok = np.flatnonzero(inside(t, p))
+                if len(ok):
+                    break
+            else:
+                continue
+            if not close(p[ok[0]]):
+                return names[t], float(p[ok[0], 0]), float(p[ok[0], 1])
+        raise ValueError(f"no place found for item {i}")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            u = np.array([np.random.Generator(np.random.Philox(key=[seed, int(i)])).random(2) for i in p["id"]]).reshape(-1, 2)
-            z = np.sin(np.radians(s)) + u[:, 1] * (np.sin(np.radians(t)) - np.sin(np.radians(s)))
-            yield pd.DataFrame({"i": p["id"], "lon": w + u[:, 0] * (e - w), "lat": np.degrees(np.arcsin(z))})
+            found = [one(int(i)) for i in p["id"]]
+            yield pd.DataFrame({"i": p["id"], "name": [f[0] for f in found], "lon": [f[1] for f in found], "lat": [f[2] for f in found]})
 
-    return spark.range(n).mapInPandas(run, "i long, lon double, lat double")
+    return spark.range(n).mapInPandas(run, "i long, name string, lon double, lat double")
 
 
 def drawn_until(df: DataFrame, by: str, key: str, usable: Column, n: int, tries: int, seed: int) -> DataFrame:
@@ -175,9 +269,9 @@ def drawn_until(df: DataFrame, by: str, key: str, usable: Column, n: int, tries:
     return tried.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("_t"))).filter(F.col("_k") <= n).drop("_t", "_k")
 
 
-def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
-    """df with share, 0 to n - 1, by a hash of the key: any number of workers, no ordering of all rows."""
-    return df.withColumn("share", F.pmod(F.xxhash64(key), F.lit(n)))
+def dealt(df: DataFrame, number: str, n: int) -> DataFrame:
+    """df with share, 0 to n - 1: share g has the numbers g, g + n, g + 2n and so on."""
+    return df.withColumn("share", F.pmod(F.col(number), F.lit(n)).cast("int"))
 
 
 def quantile_bins(df: DataFrame, value: str, k: int, key: str, by: list[str]) -> DataFrame:
@@ -185,9 +279,15 @@ def quantile_bins(df: DataFrame, value: str, k: int, key: str, by: list[str]) ->
     return df.withColumn("bin", F.ntile(k).over(Window.partitionBy(*by).orderBy(value, key)))
 
 
-def cumulative_offsets(sizes: DataFrame, key: str, size: str) -> DataFrame:
-    """(key, size, offset_end) of a table with one row for each batch element."""
-    return sizes.withColumn("offset_end", F.sum(size).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))
+def cumulative_offsets(sizes: DataFrame, key: str, size: str, width: int = 1024) -> DataFrame:
+    """(key, size, offset_end) of a table with one row for each batch element, whose keys are whole numbers.
+
+    Keys fall into buckets of width; the window over all rows sees one for each bucket."""
+    rows = sizes.withColumn("_b", F.floor(F.col(key) / width))
+    per = rows.groupBy("_b").agg(F.sum(size).alias("_s"))
+    before = per.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum(size).over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(before, "_b").withColumn("offset_end", own + F.col("_before")).drop("_b", "_before")
 
 
 def lineage_errors(df: DataFrame, code: str, parent: str, filled: str) -> DataFrame:
@@ -203,10 +303,40 @@ def cover_percent(code: Column, table: dict[str, float]) -> Column:
     return F.coalesce(F.try_element_at(lookup, c), F.try_element_at(lookup, F.regexp_replace(c, "^0+(?=.)", "")), F.try_element_at(lookup, F.lpad(c, 2, "0")))
 
 
-def plot_area(shape: Column, a: Column, b: Column) -> Column:
-    """Square metres: circles by radius, squares by side, rectangles by both sides; else null."""
-    s = F.lower(F.trim(shape))
-    return F.when(s.startswith("circ"), 3.141592653589793 * a * a).when(s.startswith("sq"), a * a).when(s.startswith("rect"), a * b)
+# fixed values: what a raw shape may say, by the shape meant; later ones win
+SHAPES = {"rectangle": "rect|quickplot|belt|recatng", "square": "square", "circle": "circ", "transect": "transect|linear|lineear|strip", "point": "obs"}
+ODD_SHAPES = "irregular|oval|triangle|crescent|banana|boot|amoeba|pac man|semi|half|shaped"
+NO_SHAPES = ["", "na", "#n/a", "other", "estimate"]
+
+
+def plot_footprint(df: DataFrame, shape: str, radius: str, diameter: str, length: str, width: str) -> DataFrame:
+    """df with plot_shape, plot_area (square metres), plot_basis and plot_flag.
+
+    A dimension over 100 (radius) or 200 is a typing error, and then none of the row's is used, nor are any that are
+    not positive. Areas come from radius, diameter, length by width, one side of a square, or a radius of any shape,
+    the first that fits the shape."""
+    low = F.lower(F.coalesce(F.col(shape), F.lit("")))
+    kind = F.lit("unknown")
+    for name, pattern in SHAPES.items():
+        kind = F.when(low.rlike(pattern), name).otherwise(kind)
+    kind = F.when((kind == "unknown") & ~low.isin(NO_SHAPES), "other").otherwise(kind)
+    kind = F.when(low.rlike(ODD_SHAPES), "other").otherwise(kind)
+    over = lambda c, most: F.coalesce(F.col(c) > most, F.lit(False))
+    bad = over(radius, 100) | over(diameter, 200) | over(length, 200) | over(width, 200)
+    r, d, a, b = (F.when((F.col(c) > 0) & ~bad, F.col(c).cast("double")) for c in (radius, diameter, length, width))
+    round_, pi = kind.isin("circle", "unknown"), 3.141592653589793
+    ways = [
+        (r.isNotNull() & round_, pi * r * r, "radius"),
+        (d.isNotNull() & round_, pi * (d / 2) * (d / 2), "diameter"),
+        (a.isNotNull() & b.isNotNull() & ~kind.isin("circle", "point"), a * b, "length_x_width"),
+        ((a.isNotNull() | b.isNotNull()) & (kind == "square"), F.coalesce(a, b) * F.coalesce(a, b), "side"),
+        (r.isNotNull(), pi * r * r, "radius"),
+    ]
+    area, basis = F.lit(None).cast("double"), F.lit("none")
+    for fits, value, name in reversed(ways):
+        area, basis = F.when(fits, value).otherwise(area), F.when(fits, name).otherwise(basis)
+    flag = F.when(bad, "implausible_dimension_ignored").when(area.isNull(), "no_usable_dimensions").otherwise("ok")
+    return df.withColumns({"plot_shape": kind, "plot_area": area, "plot_basis": basis, "plot_flag": flag})
 
 
 def quad_cell(name: Column) -> tuple[Column, Column]:

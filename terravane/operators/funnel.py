@@ -72,6 +72,41 @@ def repaired(df: DataFrame, box: Box, lat: str = "lat", lon: str = "lon") -> Dat
     return df.withColumn("_best", best).withColumn(lat, F.col("_best.lat")).withColumn(lon, F.col("_best.lon")).withColumn("coord_flag", F.coalesce("_best.flag", F.lit("missing"))).drop("_best")
 
 
+def located(df: DataFrame, x: str, y: str, zone: str, box: Box | None, near: float = 0.25) -> DataFrame:
+    """df with lat, lon, box_distance (degrees) and location_flags, from raw coordinates of unknown order, sign and zone.
+
+    Coordinates within the range of degrees are tried as given, with the longitude's sign lost, and in the other
+    order; others are eastings and northings (in that order, unless the first is over a million), put through their
+    own zone and, if that is missing or leads further than near from the box, through every zone that the box
+    touches and the next. The candidate nearest to the box is taken, the first of equals."""
+    w, e, s, n = box or (-180.0, -60.0, 17.0, 72.0)
+    a, b = F.col(x).try_cast("double"), F.col(y).try_cast("double")
+    swap = F.coalesce((a > 1_000_000) & (b < 1_000_000), F.lit(False))
+    a, b = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    own = F.col(zone).try_cast("double")
+    own = F.when(own.between(1, 60), own.cast("int"))
+    degrees = (F.abs(a) <= 180) & (F.abs(b) <= 90)
+    away = lambda lat, lon: F.sqrt(F.pow(F.greatest(F.lit(w) - lon, lon - F.lit(e), F.lit(0.0)), F.lit(2)) + F.pow(F.greatest(F.lit(s) - lat, lat - F.lit(n), F.lit(0.0)), F.lit(2)))
+
+    def option(rank: int, ok: Column, lat: Column, lon: Column, flag: Column | str) -> Column:
+        return F.when(ok, F.struct(F.round(away(lat, lon), 9).alias("d"), F.lit(rank).alias("rank"), lat.alias("lat"), lon.alias("lon"), (F.lit(flag) if isinstance(flag, str) else flag).alias("flag")))
+
+    plain = [option(0, degrees, b, a, ""), option(1, degrees & (a >= 17) & (F.abs(b) <= 72), b, -a, "lon_sign_assumed"), option(2, degrees & (F.abs(a) < 72) & (F.abs(b) > 60), F.abs(a), -F.abs(b), "latlon_swapped_lon_sign_assumed")]
+    to = lambda z: geo.inverse_transverse_mercator(a, b, z * 6 - 183)
+    lat0, lon0 = to(own)
+    metres = ~degrees
+    grid = [option(0, metres & own.isNotNull(), lat0, lon0, "")]
+    wrong = own.isNull() | (away(lat0, lon0) > near)
+    for i, z in enumerate(z for z in range(int((w + 180) // 6), int((e + 180) // 6) + 3) if 1 <= z <= 60):
+        lat, lon = to(F.lit(z))
+        flag = F.when(own.isNull(), "utm_zone_inferred").otherwise("utm_zone_corrected")
+        grid.append(option(i + 1, metres & wrong & ~own.eqNullSafe(F.lit(z)), lat, lon, flag))
+    tried = F.array_sort(F.filter(F.array(*plain, *(grid if box else grid[:1])), lambda o: o.isNotNull()))
+    out = df.withColumn("_best", F.try_element_at(tried, F.lit(1)))
+    flags = [F.when(a.isNull() | b.isNull(), "no_coordinates"), F.when(swap, "utm_xy_swapped"), F.nullif(F.col("_best.flag"), F.lit("")), F.when(metres & F.col("_best").isNull(), "utm_zone_missing"), F.when(F.col("_best.d") > near, "outside_box")]
+    return out.withColumns({"lat": F.col("_best.lat"), "lon": F.col("_best.lon"), "box_distance": F.col("_best.d"), "location_flags": F.array_join(F.array_compact(F.array(*flags)), ";")}).drop("_best")
+
+
 def projection_ranking(df: DataFrame, candidates: dict[str, tuple[Column, Column]], box: Box) -> DataFrame:
     """(candidate, inside): the share of rows that each candidate's latitude and longitude put into box, in one pass."""
     w, e, s, n = box

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.functions.text import md5_uniform
+
 
 def _carried(df: DataFrame, keys: list[str], value: Column, how, name: str) -> DataFrame:
     """df with how(value) over all earlier buckets of its keys: buckets are aggregated first, so the window sees one row for each."""
@@ -88,17 +90,84 @@ def binned(value: Column, edges: list[float], names: list[str]) -> Column:
     return out
 
 
-def fill_down(df: DataFrame, order: str, level: str, name: str, levels: list[str]) -> DataFrame:
-    """Depth-first rows with a column for each level: ancestors carried down, deeper levels cleared at each step up.
+def reconciled(days: Column, tolerance: int) -> Column:
+    """What a gap of days between two sources of one date means."""
+    return F.when(days.isNull(), "missing").when(F.abs(days) <= tolerance, "agrees").when(days > tolerance, "late").otherwise("early")
+
+
+def gps_spans(df: DataFrame, by: str, gps: str, shares: dict[str, float]) -> DataFrame:
+    """(by, a column for each share): quantiles of adjusted GPS seconds (seconds of GPS time less 10**9)."""
+    return df.groupBy(by).agg(*(F.percentile(gps, F.lit(q)).alias(n) for n, q in shares.items()))
+
+
+def fill_down(df: DataFrame, order: str, level: str, name: str, levels: list[str], width: int = 4096) -> DataFrame:
+    """Depth-first rows (order: whole numbers) with a column for each level: ancestors carried down, deeper levels cleared at each step up.
 
-    A level's value is the last one seen unless a row of a higher level came after it."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # one taxonomy: thousands of rows
+    A level's value is the last one seen unless a row of a higher level came after it. Rows fall into buckets of
+    order; the window over all of them sees one row for each bucket."""
     rank = F.array_position(F.array(*map(F.lit, levels)), F.col(level))
+    df = df.withColumn("_b", F.floor(F.col(order) / width))
+    own = lambda i: F.max(F.when(rank == i, F.struct(F.col(order).alias("o"), F.col(name).alias("v"))))
+    reset = lambda i: F.max(F.when(rank < i, F.col(order)))
+    many = range(1, len(levels) + 1)
+    per = df.groupBy("_b").agg(*(own(i).alias(f"_o{i}") for i in many), *(reset(i).alias(f"_r{i}") for i in many))
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("_b", *(F.max(f"_{c}{i}").over(w).alias(f"_{c}{i}") for i in many for c in "or"))
+    inner = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.join(before, "_b")
     for i, n in enumerate(levels, 1):
-        own = F.max(F.when(rank == i, F.struct(F.col(order).alias("o"), F.col(name).alias("v")))).over(w)
-        reset = F.max(F.when(rank < i, F.col(order))).over(w)
-        df = df.withColumn(f"{n}_name", F.when(reset.isNull() | (own["o"] > reset), own["v"]))
-    return df
+        last, cleared = F.coalesce(own(i).over(inner), F.col(f"_o{i}")), F.coalesce(reset(i).over(inner), F.col(f"_r{i}"))
+        df = df.withColumn(f"{n}_name", F.when(cleared.isNull() | (last["o"] > cleared), last["v"]))
+    return df.drop("_b", *(f"_{c}{i}" for i in many for c in "or"))
+
+
+def rate_matrix(events: DataFrame, effort: DataFrame, unit: str, species: str, values: list) -> DataFrame:
+    """A row for each unit of effort with occ__ and rate__ columns: 100 * events / effort, 0 where a species was never seen."""
+    wide = events.groupBy(unit).pivot(species, values).agg(F.sum("n_events"))
+    column = lambda v: str(v).replace(" ", "_")
+    out = effort.join(wide, unit, "left")
+    n = {v: F.coalesce(F.col(f"`{v}`"), F.lit(0)) for v in values}
+    return out.select(unit, *((n[v] > 0).cast("int").alias(f"occ__{column(v)}") for v in values), *(F.try_divide(100 * n[v], F.col("effort")).alias(f"rate__{column(v)}") for v in values))
+
+
+def unchanging(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """(by, columns): the one value of each group's columns; groups with two are an error, found in the same aggregation."""
+    ends = df.groupBy(by).agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))))
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"lo_{c}").eqNullSafe(F.col(f"hi_{c}"))
+    message = F.concat(F.lit("several values for "), F.col(by).cast("string"))
+    return ends.select(by, *(F.when(same, F.col(f"lo_{c}")).otherwise(F.raise_error(message)).alias(c) for c in columns))
+
+
+def pooled_presence(df: DataFrame, by: str, year: str, species: list[str], fixed: list[str]) -> DataFrame:
+    """(by, fixed, n_years, first_year, last_year, pres__ columns) over all years of each unit: present if ever counted.
+
+    Species that no unit has get no column: their totals are one row."""
+    units = df.groupBy(by).agg(F.count_distinct(year).alias("n_years"), F.min(year).alias("first_year"), F.max(year).alias("last_year"), *(F.coalesce((F.max(s) > 0).cast("int"), F.lit(0)).alias(f"pres__{s}") for s in species))
+    some = units.agg(*(F.max(f"pres__{s}").alias(s) for s in species)).first()
+    return unchanging(df, by, fixed).join(units, by).drop(*(f"pres__{s}" for s in species if not some[s]))
+
+
+def basal_area(trees: DataFrame, plots: DataFrame, plot: str, diameter: str, hectares: str) -> DataFrame:
+    """plots with basal_area: stem cross-sections in a plot over its area; null without trees. Pi is 3.14159, as published labels have it."""
+    sums = trees.groupBy(plot).agg(F.sum(3.14159 * (F.col(diameter) / 2) * (F.col(diameter) / 2)).alias("_s"))
+    return plots.join(sums, plot, "left").withColumn("basal_area", F.try_divide(F.col("_s"), F.col(hectares))).drop("_s")
+
+
+def prevalence(df: DataFrame, rates: str, split: str, names: list[str]) -> DataFrame:
+    """(species, split, n, prevalence, mean_rate) of an array column of rates with one entry for each species."""
+    each = df.select(split, F.posexplode(rates).alias("_i", "_v"))
+    sums = each.groupBy(split, "_i").agg(F.count_if(F.col("_v") > 0).alias("n"), F.avg((F.col("_v") > 0).cast("double")).alias("prevalence"), F.avg("_v").alias("mean_rate"))
+    return sums.select(F.try_element_at(F.array(*map(F.lit, names)), (F.col("_i") + 1).cast("int")).alias("species"), split, "n", "prevalence", "mean_rate")
+
+
+def by_priority(df: DataFrame, by: list[str], source: str, order: list[str], tie: str) -> DataFrame:
+    """One row of each group: that of the source named first in order, sources not named last by name."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(source))
+    rank = F.struct(F.when(place > 0, place).otherwise(len(order) + 1), F.col(source), F.col(tie))
+    keep = [c for c in df.columns if c not in by]
+    return best_row(df, by, keep, rank)
 
 
 def top_map(df: DataFrame, by: list[str], key: str, value: Column, n: int) -> DataFrame:
@@ -115,7 +184,7 @@ def bootstrap(df: DataFrame, cluster: str, value: Column, draws: int = 200, seed
     Clusters are summed first; each draw weights a cluster by a Poisson(1) number made from its hash, so draws
     are sums over partial aggregates and no cluster list is gathered."""
     sums = df.filter(value.isNotNull()).groupBy(cluster).agg(F.sum(value.cast("double")).alias("s"), F.count("*").alias("n"))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), F.col("draw")), F.lit(1 << 40)) / float(1 << 40)
+    u = md5_uniform(F.concat_ws("/", F.lit(str(seed)), F.col(cluster).cast("string"), F.col("draw").cast("string")))
     weight, total, p = F.lit(0), 0.0, 0.36787944117144233
     for k in range(1, 8):
         total += p

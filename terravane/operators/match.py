@@ -6,30 +6,37 @@ predicate is a residual. So no plan has a nested loop, and the grid's cells are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravane.functions import geo
+from terravane.runtime import cut
 
 #: Cells along a polygon's longer side, at most about, before a coarser grid is used for it.
 CELLS = 8
 
 
-def covering(sites: DataFrame, footprints: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
-    """All pairs of a site and a footprint (rings, xmin, ymin, xmax, ymax) that strictly contains it.
+def covering(sites: DataFrame, footprints: DataFrame, key: str, x: str = "lon", y: str = "lat") -> DataFrame:
+    """All pairs of a site and a footprint (key, rings, xmin, ymin, xmax, ymax) that strictly contains it.
 
     Each footprint is cut into cells of a grid whose cell grows with it (a power of two), and each site looks
-    itself up in every grid in use, of which there are as many as doublings from a cell to the largest box."""
+    itself up in every grid in use, of which there are as many as doublings from a cell to the largest box. Only keys and boxes are cut into cells and joined; what the box lets through meets
+    the rings by key, once for each pair."""
     side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(1e-9)) / CELLS))).cast("int")
-    f = footprints.withColumn("_level", level).withColumn("_size", F.pow(F.lit(2.0), F.col("_level")))
+    box = ["xmin", "ymin", "xmax", "ymax"]
+    f = footprints.select(F.col(key).alias("_key"), *(F.col(c).cast("double").alias(f"_{c}") for c in box), level.alias("_level")).withColumn("_size", F.pow(F.lit(2.0), F.col("_level")))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.col("_size")).cast("long"), F.floor(F.col(hi) / F.col("_size")).cast("long"))
-    f = f.withColumn("_i", F.explode(span("xmin", "xmax"))).withColumn("_j", F.explode(span("ymin", "ymax"))).drop("_size")
-    levels = [r[0] for r in footprints.select(level).distinct().collect()]  # a few
-    s = sites.withColumn("_level", F.explode(F.array(*map(F.lit, sorted(levels))) if levels else F.array().cast("array<int>")))
+    f = f.withColumn("_i", F.explode(span("_xmin", "_xmax"))).withColumn("_j", F.explode(span("_ymin", "_ymax"))).drop("_size")
+    used = footprints.agg(F.collect_set(level)).scalar()  # found as the join runs, not while it is planned
+    s = sites.withColumn("_levels", used).withColumn("_level", F.explode("_levels")).drop("_levels")
     at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
     s = s.withColumn("_i", at(x)).withColumn("_j", at(y))
-    return s.join(f, ["_level", "_i", "_j"]).filter(geo.contains(F.col("rings"), F.col(x), F.col(y))).drop("_level", "_i", "_j")
+    inside = (F.col(x) >= F.col("_xmin")) & (F.col(x) <= F.col("_xmax")) & (F.col(y) >= F.col("_ymin")) & (F.col(y) <= F.col("_ymax"))
+    near = s.join(f, ["_level", "_i", "_j"]).filter(inside).select(*sites.columns, "_key")
+    return near.join(footprints, F.col("_key") == F.col(key)).filter(geo.contains(F.col("rings"), F.col(x), F.col(y))).drop("_key")
 
 
 def nearest_in_time(pairs: DataFrame, by: list[str], year: Column, target: Column, keep: list[str], tie: Column) -> DataFrame:
@@ -63,7 +70,7 @@ def matched_sites(sites: DataFrame, footprints: DataFrame) -> DataFrame:
         # gap and ordinal in one long: a hash aggregation with partial minima, where a struct would need sorts
         gap = F.abs(F.col("collection_year") - F.col("year"))
         code = F.shiftleft(gap.cast("long"), 40).bitwiseOR(F.col("ordinal").cast("long"))
-        best = covering(keys, dated.drop("name")).groupBy("lat", "lon", "year").agg(F.min(code).alias("_code"))
+        best = covering(keys, dated.drop("name"), "ordinal").groupBy("lat", "lon", "year").agg(F.min(code).alias("_code"))
         best = best.withColumn("ordinal", F.col("_code").bitwiseAND((1 << 40) - 1))
         named = best.join(dated.select(F.col("ordinal").cast("long"), "name", "collection_year"), "ordinal")
         return named.select("lat", "lon", "year", "name", "collection_year", gap.alias("gap"), (F.col("collection_year") - F.col("year")).alias("year_diff"))
@@ -78,29 +85,38 @@ def gap_counts(matched: DataFrame, most: int = 5) -> DataFrame:
 
 
 def with_fallback(left: DataFrame, right: DataFrame, key: str, year: str, keep: list[str], later: bool, tie: list[str]) -> DataFrame:
-    """For each row of left, right's row of the same key nearest in year, else null; ties to the later or earlier year."""
-    r = right.select(key, F.col(year).alias("_year"), *keep)
+    """For each row of left, right's row of the same key nearest in year, else null; ties to the later or earlier year.
+
+    Looked up once for each key and year, and joined back on these alone, so null columns beside them do not matter."""
+    r = right.select(F.col(key).alias("_key"), F.col(year).alias("_year"), *(F.col(c).alias(f"_keep_{c}") for c in keep), *(F.col(c).alias(f"_tie_{c}") for c in tie))
     gap = F.abs(F.col("_year") - F.col(year))
-    order = F.struct(gap, -F.col("_year") if later else F.col("_year"), *tie)
-    pairs = left.join(r, key).groupBy(*left.columns).agg(F.min_by(F.struct(F.col("_year").alias("found_year"), *keep), order).alias("m"))
-    return left.join(pairs.select(*left.columns, "m.*"), left.columns, "left")
+    order = F.struct(gap, -F.col("_year") if later else F.col("_year"), *(f"_tie_{c}" for c in tie))
+    found = F.struct(F.col("_year").alias("found_year"), *(F.col(f"_keep_{c}").alias(c) for c in keep))
+    keys = left.select(key, year).distinct()
+    best = keys.join(r.filter("_year IS NOT NULL"), F.col(key) == F.col("_key")).groupBy(key, year).agg(F.min_by(found, order).alias("m"))
+    return left.join(best.select(F.col(key).alias("_key"), F.col(year).alias("_year"), "m.*"), (F.col(key) == F.col("_key")) & (F.col(year) == F.col("_year")), "left").drop("_key", "_year")
 
 
-def _column(lon: Column, row: Column, radius: float) -> Column:
-    # the widest degree of longitude that a row's neighbours may need
+def _columns(row: Column, radius: float) -> Column:
+    """How many columns the globe has at a row: whole ones, the narrowest that a row's neighbours may need or wider."""
     reach = (F.abs(row) + 3) * radius / geo.DEGREE_M
     width = radius / (geo.DEGREE_M * F.greatest(F.cos(F.radians(F.least(reach, F.lit(89.0)))), F.lit(1e-3)))
-    return F.floor(lon / width).cast("long")
+    return F.greatest(F.floor(360 / width), F.lit(1)).cast("long")
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Pairs with an equirectangular distance of at most radius metres; right's columns must not clash but lat, lon."""
-    r = right.withColumnsRenamed({lat: "_lat", lon: "_lon"})
-    r = r.withColumn("_row", F.floor(F.col("_lat") * geo.DEGREE_M / radius).cast("long"))
-    r = r.withColumn("_col", _column(F.col("_lon"), F.col("_row"), radius))
+    """Pairs with an equirectangular distance of at most radius metres; right's columns must not clash but lat, lon.
+
+    Columns of the grid wrap at 180 degrees. Rows without a coordinate pair with nothing."""
+    place = lambda c: F.col(c) * geo.DEGREE_M / radius
+    column = lambda c: F.floor(F.pmod(F.col(c) + 180, F.lit(360.0)) / 360 * _columns(F.col("_row"), radius)).cast("long")
+    r = right.withColumnsRenamed({lat: "_lat", lon: "_lon"}).filter("_lat IS NOT NULL AND _lon IS NOT NULL")
+    r = r.withColumn("_row", F.floor(place("_lat")).cast("long")).withColumn("_col", column("_lon"))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    s = left.withColumn("_row", F.floor(F.col(lat) * geo.DEGREE_M / radius).cast("long")).withColumn("_row", F.explode(F.transform(near, lambda d: F.col("_row") + d)))
-    s = s.withColumn("_col", F.explode(F.transform(near, lambda d: _column(F.col(lon), F.col("_row"), radius) + d)))
+    s = left.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    s = s.withColumn("_row", F.floor(place(lat)).cast("long")).withColumn("_row", F.explode(F.transform(near, lambda d: F.col("_row") + d)))
+    around = F.array_distinct(F.transform(near, lambda d: F.pmod(column(lon) + d, _columns(F.col("_row"), radius))))
+    s = s.withColumn("_col", F.explode(around))
     pairs = s.join(r, ["_row", "_col"]).withColumn("distance", geo.metres(F.col(lat), F.col(lon), F.col("_lat"), F.col("_lon")))
     return pairs.filter(F.col("distance") <= radius).drop("_row", "_col")
 
@@ -121,23 +137,32 @@ def pairs_within(df: DataFrame, radius: float, key: str, keep: list[str]) -> Dat
 def nearest_k(left: DataFrame, right: DataFrame, k: int, key: str, to: str, start: float) -> DataFrame:
     """The k nearest rows of right (lat, lon, to) for each row of left: (key, to, distance, k_rank), ties by to.
 
-    Neighbours are sought within a radius that doubles for the rows that don't have k yet; a row with k within
-    the radius has its nearest. Rows never reach further than half the globe."""
-    rest, radius, found = left.select(key, "lat", "lon"), start, None
+    Neighbours are sought within a radius that grows fourfold for the rows that have too few yet; a row with k
+    within the radius has its nearest. What a round settles is written, so no round is run again; rows without
+    coordinates have no neighbour. Once the radius passes what separates left from right, all have theirs."""
+    here = lambda df: df.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    right = here(right).select("lat", "lon", to)
+    rest, radius, parts = here(left).select(key, "lat", "lon"), start, []
     total = right.limit(k).count()
+    ends = [d.agg(F.min("lat"), F.max("lat")).first() for d in (rest, right)]
+    if not total or ends[0][0] is None:
+        return rest.join(right.select(to), F.lit(False)).select(key, to, F.lit(0.0).alias("distance"), F.lit(0).alias("k_rank"))
+    tall = max(e[1] for e in ends) - min(e[0] for e in ends)
+    farthest = 1.01 * geo.DEGREE_M * (tall**2 + 180.0**2) ** 0.5
     while True:
-        near = within(rest, right.select("lat", "lon", to), radius)
+        near = within(rest, right, radius)
         order = F.row_number().over(_by(key, "distance", to))
-        ranked = near.withColumn("k_rank", order).filter(F.col("k_rank") <= k).select(key, to, "distance", "k_rank")
+        ranked = cut(near.withColumn("k_rank", order).filter(F.col("k_rank") <= k).select(key, to, "distance", "k_rank"), "nearest")
+        if radius >= farthest:
+            parts.append(ranked)
+            break
         enough = ranked.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= total).select(key)
-        done = ranked.join(enough, key, "left_semi") if radius < 4e7 else ranked
-        found = done if found is None else found.union(done)
-        if radius >= 4e7:
-            return found
-        rest = rest.join(enough, key, "left_anti")
+        parts.append(ranked.join(enough, key, "left_semi"))
+        rest = cut(rest.join(enough, key, "left_anti"), "nearest-rest")
         if rest.isEmpty():
-            return found
+            break
         radius *= 4
+    return reduce(DataFrame.union, parts)
 
 
 def _by(key: str, *order: str):

@@ -7,17 +7,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.runtime import cut
+
 
 def ndvi(nir: Column, red: Column) -> Column:
-    return F.try_divide(nir - red, nir + red)
+    return (nir - red) / F.greatest(nir + red, F.lit(1e-3))
 
 
 def luminance(red: Column, green: Column, blue: Column) -> Column:
-    return 0.299 * red + 0.587 * green + 0.114 * blue
+    return (red + green + blue) / 3
 
 
 def gradient(grid: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, i, j, gradient): magnitude of central differences, where both neighbours of both axes are known."""
+    """(by, i, j, gradient): magnitude of central differences, where both neighbours of both axes are known; blur first."""
     shifted = lambda di, dj, n: grid.select(by, (F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), F.col(value).alias(n))
     out = grid.select(by, "i", "j")
     for di, dj, n in ((1, 0, "a"), (-1, 0, "b"), (0, 1, "c"), (0, -1, "d")):
@@ -25,6 +27,84 @@ def gradient(grid: DataFrame, by: str, value: str) -> DataFrame:
     return out.select(by, "i", "j", (F.sqrt((F.col("a") - F.col("b")) ** 2 + (F.col("c") - F.col("d")) ** 2) / 2).alias("gradient"))
 
 
+def blur(grid: DataFrame, by: str, value: str, sigma: float, reach: int) -> DataFrame:
+    """(by, i, j, value): Gaussian means over the known cells within reach: each cell sends its weight to those around it."""
+    step = F.sequence(F.lit(-reach), F.lit(reach))
+    sent = grid.filter(F.col(value).isNotNull()).select(by, "i", "j", F.col(value).cast("double").alias("v")).withColumn("a", F.explode(step)).withColumn("b", F.explode(step))
+    w = F.exp(-(F.col("a") * F.col("a") + F.col("b") * F.col("b")) / (2 * sigma * sigma))
+    means = sent.groupBy(by, (F.col("i") + F.col("a")).alias("i"), (F.col("j") + F.col("b")).alias("j")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias(value))
+    return grid.select(by, "i", "j").join(means, [by, "i", "j"], "left")
+
+
+def standardised(grid: DataFrame, by: str, values: list[str]) -> DataFrame:
+    """Each unit's layers with mean 0 and deviation 1; a missing or constant value is 0."""
+    stats = grid.groupBy(by).agg(*(f(v).alias(f"{n}_{v}") for v in values for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    z = {v: F.coalesce(F.try_divide(F.col(v) - F.col(f"m_{v}"), F.nullif(F.col(f"s_{v}"), F.lit(0.0))), F.lit(0.0)) for v in values}
+    return grid.join(stats, by).withColumns(z).drop(*(f"{n}_{v}" for v in values for n in "ms"))
+
+
+def feature_stack(rasters: DataFrame, by: str, sigma: float = 0.7, reach: int = 3) -> DataFrame:
+    """(by, i, j and layers): canopy height, its square over 30, log and ground flag, intensity, both slopes of the
+    blurred surface (at most 3), each standardised within its unit."""
+    soft = blur(rasters, by, "dsm", sigma, reach)
+    side = lambda di, dj, n: soft.select(by, (F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j"), F.col("dsm").alias(n))
+    out = rasters.select(by, "i", "j", "chm", "intensity")
+    for di, dj, n in ((1, 0, "w"), (-1, 0, "e"), (0, 1, "s"), (0, -1, "n")):
+        out = out.join(side(di, dj, n), [by, "i", "j"], "left")
+    c = F.least(F.greatest(F.col("chm"), F.lit(0.0)), F.lit(60.0))
+    held = lambda v: F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(-3.0)), F.lit(3.0)))
+    layers = {"height": c, "height_2": c * c / 30, "height_log": F.log1p(c), "open": (c < 0.5).cast("double"), "reflect": F.least(F.greatest(F.col("intensity"), F.lit(0.0)), F.lit(4.0)), "slope_i": held((F.col("e") - F.col("w")) / 2), "slope_j": held((F.col("n") - F.col("s")) / 2)}
+    return standardised(out.select(by, "i", "j", *(v.alias(k) for k, v in layers.items())), by, list(layers))
+
+
+def edge_stack(rasters: DataFrame, by: str, layers: list[str], sigma: float = 1.0, reach: int = 4) -> DataFrame:
+    """(by, i, j and layers): gradient magnitudes of blurred layers, held to their 99.5th percentile within the unit, standardised."""
+    out = None
+    for layer in layers:
+        g = gradient(blur(rasters, by, layer, sigma, reach), by, layer).withColumnRenamed("gradient", layer)
+        top = g.groupBy(by).agg(F.percentile(layer, F.lit(0.995)).alias("_top"))
+        g = g.join(top, by).withColumn(layer, F.least(layer, "_top")).drop("_top")
+        out = g if out is None else out.join(g, [by, "i", "j"], "full")
+    return standardised(out, by, layers)
+
+
+def mutual_information(left: DataFrame, right: DataFrame, by: str, reach: int, bins: int = 16) -> DataFrame:
+    """(by, di, dj, mi, n): mutual information of values in bins of equal width between each side's extremes, for all small shifts."""
+
+    def binned(d: DataFrame, name: str) -> DataFrame:
+        ends = d.groupBy(by).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+        place = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins), F.lit(0))
+        return d.join(ends, by).select(by, "i", "j", F.least(place, F.lit(bins - 1)).cast("int").alias(name))
+
+    step = F.sequence(F.lit(-reach), F.lit(reach))
+    moved = binned(left, "a").withColumn("di", F.explode(step)).withColumn("dj", F.explode(step))
+    moved = moved.select(by, "di", "dj", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), "a")
+    joint = moved.join(binned(right, "b"), [by, "i", "j"]).groupBy(by, "di", "dj", "a", "b").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(by, "di", "dj")  # at most bins squared rows for a shift
+    joint = joint.withColumns({"n": F.sum("c").over(w), "ca": F.sum("c").over(w.partitionBy(by, "di", "dj", "a")), "cb": F.sum("c").over(w.partitionBy(by, "di", "dj", "b"))})
+    term = F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("ca") * F.col("cb")))
+    return joint.groupBy(by, "di", "dj").agg(F.sum(term).alias("mi"), F.max("n").alias("n"))
+
+
+def pooled_peak(surfaces: DataFrame, by: str, block: str, draws: int = 200, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(by, di, dj, r: surfaces averaged over blocks and their best shift; by, sd_i, sd_j: its spread when blocks are drawn anew).
+
+    A draw weights each block by a Poisson(1) number from its hash, so no list of blocks is gathered."""
+    known = surfaces.filter(F.col("r").isNotNull())
+    best = lambda d, keys: d.groupBy(*keys).agg(F.max_by(F.struct("di", "dj", "r"), F.struct(F.round("r", 12), -F.abs("di"), -F.abs("dj"), "di", "dj")).alias("m")).select(*keys, "m.*")
+    mean = known.groupBy(by, "di", "dj").agg(F.avg("r").alias("r"))
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(block).cast("string"), F.col("draw")), F.lit(1 << 40)) / float(1 << 40)
+    weight, total, p = F.lit(0), 0.0, 0.36787944117144233
+    for k in range(1, 8):
+        total += p
+        weight = weight + (u >= total).cast("int")
+        p /= k
+    drawn = known.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight).filter("w > 0")
+    means = drawn.groupBy(by, "draw", "di", "dj").agg((F.sum(F.col("w") * F.col("r")) / F.sum("w")).alias("r"))
+    sd = best(means, [by, "draw"]).groupBy(by).agg(F.stddev_samp("di").alias("sd_i"), F.stddev_samp("dj").alias("sd_j"))
+    return best(mean, [by]), sd
+
+
 def shift_surface(left: DataFrame, right: DataFrame, by: str, reach: int) -> DataFrame:
     """(by, di, dj, r, n): correlation of left (i, j) with right (i + di, j + dj) over cells that both have, for all small shifts."""
     step = F.sequence(F.lit(-reach), F.lit(reach))
@@ -120,19 +200,17 @@ def shadow_depth(dsm: DataFrame, by: str, sun_azimuth: float, sun_elevation: flo
 def landmarks(grid: DataFrame, by: str, value: str, above: float, least: int) -> DataFrame:
     """(by, landmark, n, ci, cj, height): connected cells (four neighbours) of at least so many that rise above a level.
 
-    Cells are vertices of a graph by their number in the unit's grid; components come from label rounds."""
+    Cells are vertices of a graph; components come from label rounds. A landmark is named by its least cell."""
     from terravane.operators.graph import components
 
-    width = 1 << 20
-    number = (F.col("i") + width // 2) * width + F.col("j") + width // 2
-    high = grid.filter(F.col(value) > above).select(by, "i", "j", F.col(value).alias("v"), number.alias("cell"))
-    units = high.select(by).distinct().withColumn("unit_no", F.row_number().over(Window.orderBy(by)) - 1)  # one row for each unit
-    high = high.join(units, by).withColumn("id", F.col("unit_no") * (width * width) + F.col("cell"))
+    high = grid.filter(F.col(value) > above).select(by, "i", "j", F.col(value).alias("v"))
+    # numbered as they are written: any unit and any cell, without an order over all
+    high = cut(high.withColumn("id", F.monotonically_increasing_id()), "landmark-cells")
     edges = None
     for di, dj in ((1, 0), (0, 1)):
         shifted = high.select(by, (F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("id").alias("b"))
         one = high.select(by, "i", "j", F.col("id").alias("a")).join(shifted, [by, "i", "j"]).select("a", "b")
         edges = one if edges is None else edges.union(one)
     labelled = high.join(components(edges, "landmarks"), "id", "left").withColumn("landmark", F.coalesce("comp", "id"))
-    sums = labelled.groupBy(by, "landmark").agg(F.count("*").alias("n"), F.avg("i").alias("ci"), F.avg("j").alias("cj"), F.max("v").alias("height"))
-    return sums.filter(F.col("n") >= least)
+    sums = labelled.groupBy(by, "landmark").agg(F.min(F.struct("i", "j")).alias("first"), F.count("*").alias("n"), F.avg("i").alias("ci"), F.avg("j").alias("cj"), F.max("v").alias("height"))
+    return sums.filter(F.col("n") >= least).select(by, F.concat_ws("_", "first.i", "first.j").alias("landmark"), "n", "ci", "cj", "height")

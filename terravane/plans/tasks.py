@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terravane.functions.text import clipped_year
 from terravane.operators import metrics, probe
 from terravane.operators.extra import where
 
@@ -55,6 +56,82 @@ class Task:
         return m.unpivot([], m.columns, "metric", "value").select(F.lit(self.name).alias("task"), "metric", "value")
 
 
+# fixed values: the classification, occurrence and regression tasks by table, label columns, row query
+_LEVELS = ("formation", "division", "macrogroup", "group")
+_RANGELAND = ["TotalFoliarCover", "BareSoilCover", "AH_ShrubCover", "AH_SagebrushCover", "AH_GrassCover", "AH_ForbCover", "FH_TreeCover", "AH_InvasiveCover", "AH_PJCover", "Hgt_Woody_Avg", "Hgt_Herbaceous_Avg", "NumSpp_Total"]
+_MATCHED = "product_name_AWS.notna()"
+_PUBLISHED = "split in ['train', 'test']"
+
+
+@dataclass(frozen=True)
+class Spec:
+    """Where a task's rows and labels come from: a registry table, a row query, and label columns (or a prefix, or all but some)."""
+
+    name: str
+    kind: str
+    table: str
+    labels: tuple[str, ...] = ()
+    prefix: str = ""
+    rows: str = ""
+    year: tuple[str, ...] = ("year",)
+    site: str = ""
+    pair: tuple[str, str] = ("", "")
+
+    def columns(self, table: DataFrame, known: list[str]) -> list[str]:
+        """The label columns of a table: those named, those of the prefix, or all that are not known ones."""
+        if self.labels:
+            return list(self.labels)
+        return [c for c in table.columns if c.startswith(self.prefix)] if self.prefix else [c for c in table.columns if c not in known]
+
+    def frame(self, table: DataFrame, lat: str, lon: str, is_test: str, known: list[str], first: int = 2017, last: int = 2025) -> DataFrame:
+        """(key columns lat, lon, year, emb_year, is_test, then the labels: label, a 0/1 column for each species, or targets).
+
+        A site task has one row for each site with the mean year of its rows and the species ever counted there."""
+        df = table.filter(where(self.rows)) if self.rows else table
+        year = sum((F.col(c).cast("double") for c in self.year), F.lit(0.0)) / len(self.year)
+        if self.site:
+            species, count = self.pair
+            df = df.filter(F.col(count) > 0)
+            names = sorted(r[0] for r in df.select(species).filter(F.col(species).isNotNull()).distinct().collect())  # species of a table
+            wide = df.groupBy(self.site).pivot(species, names).agg(F.lit(1))
+            own = df.groupBy(self.site).agg(F.min(lat).alias(lat), F.min(lon).alias(lon), F.avg(year).alias("year"), F.min(is_test).alias(is_test))
+            df = own.join(wide, self.site).select(lat, lon, "year", is_test, *(F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(n) for n in names))
+            return self._shaped(df, lat, lon, F.col("year"), is_test, [F.col(f"`{n}`").alias(n) for n in names], first, last)
+        own = self.columns(df, known)
+        if self.kind == "multiclass":
+            df = df.filter(F.col(own[0]).isNotNull())
+            return self._shaped(df, lat, lon, year, is_test, [F.col(own[0]).cast("string").alias("label")], first, last)
+        if self.kind == "multilabel":
+            cut = len(self.prefix)
+            return self._shaped(df, lat, lon, year, is_test, [(F.col(f"`{c}`") > 0).cast("int").alias(c[cut:]) for c in own], first, last)
+        return self._shaped(df, lat, lon, year, is_test, [F.col(f"`{c}`") for c in own], first, last)
+
+    @staticmethod
+    def _shaped(df: DataFrame, lat: str, lon: str, year, is_test: str, labels: list, first: int, last: int) -> DataFrame:
+        emb = clipped_year(year, first, last)
+        return df.select(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"), year.alias("year"), emb.alias("emb_year"), F.col(is_test).cast("boolean").alias("is_test"), *labels)
+
+
+def clipped_share(frame: DataFrame) -> DataFrame:
+    """(frac_year_clipped): how many rows of a task's frame have a year outside the years that there is data of."""
+    return frame.agg(F.avg((F.bround("year") != F.col("emb_year")).cast("double")).alias("frac_year_clipped"))
+
+
+SPECS = [
+    Spec("nlcd", "multiclass", "nlcd", ("nlcd_class",), rows="balanced_subset"),
+    Spec("lfrdb_ecosys", "multiclass", "lfrdb", ("ecosys",)),
+    Spec("lfrdb_nvc_group", "multiclass", "lfrdb", ("nvc_group",)),
+    *(Spec(f"nps_vmi_{n}", "multiclass", "nps_vmi", (f"nvc_{n}",), rows=_MATCHED) for n in ("macrogroup", "group")),
+    *(Spec(f"vegbench_{n}", "multiclass", "vegbench", (f"survey_{n}",), rows=_PUBLISHED) for n in _LEVELS),
+    Spec("bbs_occurrence", "multilabel", "bbs"),
+    Spec("butterflies_occurrence", "multilabel", "butterflies", site="EAGLE_site_index", pair=("Reported species name", "count")),
+    Spec("snapshot_usa_occurrence", "multilabel", "snapshot_usa", prefix="occ__", year=("first_year", "last_year")),
+    Spec("satbird_winter_occupancy", "multilabel", "satbird_winter", prefix="occ__", rows=_PUBLISHED),
+    Spec("blm_aim", "regression", "blm_aim", tuple(_RANGELAND)),
+    Spec("ofo_trees", "regression", "ofo_trees", ("basal_area_m2ha", "total_trees"), rows=_MATCHED),
+]
+
+
 class Tasks:
     """Tasks by name, and the models that can be run on them."""
 

@@ -103,7 +103,7 @@ def match_nearest_year(spark, sf):
 
 @query("SELECT site_id, name FROM v_pairs")
 def covering_products(spark, sf):
-    return match.covering(views.sites(spark, sf), views.footprints(spark, sf)).select("site_id", "name")
+    return match.covering(views.sites(spark, sf), views.footprints(spark, sf), "ordinal").select("site_id", "name")
 
 
 @query("SELECT CAST(n AS INT) AS max_gap, (SELECT count(*) FROM v_matched WHERE gap <= n) AS n_rows FROM range(6) t(n)")
@@ -115,7 +115,7 @@ def gap_counts(spark, sf):
   row_number() OVER (PARTITION BY site_id ORDER BY greatest(2010 - collection_year, 0) + greatest(collection_year - 2013, 0), collection_year DESC, name) AS k
   FROM v_pairs WHERE collection_year IS NOT NULL) WHERE k = 1""")
 def match_window_year(spark, sf):
-    pairs = match.covering(views.sites(spark, sf), views.footprints(spark, sf))
+    pairs = match.covering(views.sites(spark, sf), views.footprints(spark, sf), "ordinal")
     return match.nearest_to_window(pairs, ["site_id"], F.col("collection_year"), 2010, 2013, ["name", "collection_year"])
 
 
@@ -325,10 +325,18 @@ def turnover_lag(spark, sf):
     return t.select("visit_id", F.datediff("day", "before").cast("long").alias("days"), "was")
 
 
-@query()
+_POISSON = [0.36787944117144233, 0.36787944117144233, 0.18393972058572117, 0.061313240195240384, 0.015328310048810096, 0.0030656620097620196, 0.0005109436682936699]
+
+
+@query(f"""WITH l AS (SELECT site_id, label, lag(label) OVER w AS was, lag(day) OVER w AS before FROM v_visits WINDOW w AS (PARTITION BY site_id ORDER BY day, visit_id)),
+s AS (SELECT site_id, sum(CASE WHEN label = was THEN 1.0e0 ELSE 0.0e0 END) AS s, count(*) AS n FROM l WHERE before IS NOT NULL GROUP BY site_id),
+u AS (SELECT s, n, draw, CAST('0x' || substr(md5('7/' || site_id || '/' || draw), 1, 13) AS BIGINT) / 4503599627370496.0e0 AS u FROM s, (SELECT unnest(range(1, 201)) AS draw)),
+w AS (SELECT s, n, draw, {" + ".join(f"CAST(u >= {sum(_POISSON[:k]):.17g} AS INT)" for k in range(1, 8))} AS w FROM u),
+m AS (SELECT draw, sum(w * s) / sum(w * n) AS m FROM w GROUP BY draw)
+SELECT CAST((SELECT sum(n) FROM s) AS BIGINT) AS n, round((SELECT sum(s) / sum(n) FROM s), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m""")
 def turnover_bootstrap(spark, sf):
     t = labels.turnover(views.visits(spark, sf), "site_id", "day", "label", "visit_id")
-    return labels.bootstrap(t, "site_id", F.col("agree"))
+    return _rounded(labels.bootstrap(t, "site_id", F.col("agree")), 9)
 
 
 @query("""WITH s AS (SELECT o_custkey % 100 AS g, p_brand AS brand, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
@@ -571,10 +579,8 @@ _PK = ", ".join(views.POINT_KEY)
 r AS (SELECT *, count(*) OVER (PARTITION BY cloud_id, vx, vy, vz) AS n_voxel, row_number() OVER (PARTITION BY cloud_id, vx, vy, vz ORDER BY md5('0:' || concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey)), {_PK}) AS k FROM p)
 SELECT cloud_id, vx, vy, vz, n_voxel, l_orderkey, l_partkey FROM r WHERE k = 1""")
 def voxel_sample(spark, sf):
-    p = views.points(spark, sf).withColumns({f"v{a}": F.floor(F.col(a) / 20).cast("long") for a in ("x", "y", "z")})
-    order = F.struct(splits.seeded_order(F.concat_ws("/", *views.POINT_KEY[:4]), 0), *views.POINT_KEY)
-    best = p.groupBy("cloud_id", "vx", "vy", "vz").agg(F.min_by(F.struct("l_orderkey", "l_partkey"), order).alias("p"), F.count("*").alias("n_voxel"))
-    return best.select("cloud_id", "vx", "vy", "vz", "n_voxel", "p.*")
+    best = cloud.voxel_sample(views.points(spark, sf), "cloud_id", 20, views.POINT_KEY[:4])
+    return best.select("cloud_id", "vx", "vy", "vz", "n_voxel", "l_orderkey", "l_partkey")
 
 
 @query("SELECT cloud_id, CAST(floor(x/20) AS BIGINT) AS vx, CAST(floor(y/20) AS BIGINT) AS vy, CAST(floor(z/20) AS BIGINT) AS vz, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, max(intensity) AS intensity, count(*) AS n FROM v_points GROUP BY 1, 2, 3, 4")
@@ -582,13 +588,20 @@ def voxel_pool(spark, sf):
     return _rounded(cloud.voxel_pooled(views.points(spark, sf), "cloud_id", 20, ["intensity"]))
 
 
-@query("""WITH p AS (SELECT cloud_id, CAST(floor(x/20) AS BIGINT) AS i, CAST(floor(y/20) AS BIGINT) AS j, count(*) AS c FROM v_points WHERE classification NOT IN (7, 18) AND x*x + y*y <= 6400 GROUP BY ALL),
-g AS (SELECT (i + 0.5e0)*20 AS x, (j + 0.5e0)*20 AS y FROM (SELECT unnest(range(-5, 5)) AS i), (SELECT unnest(range(-5, 5)) AS j)),
-t AS (SELECT count(*) AS cells FROM g WHERE x*x + y*y <= 6400),
-s AS (SELECT cloud_id, CAST(sum(c) AS BIGINT) AS n, count(*) FILTER (((i + 0.5e0)*20)*((i + 0.5e0)*20) + ((j + 0.5e0)*20)*((j + 0.5e0)*20) <= 6400) AS n_full FROM p GROUP BY cloud_id)
-SELECT cloud_id, n, round(n/(3.141592653589793e0*6400*0.03e0), 6) AS density_ratio, round(CAST(n_full AS DOUBLE)/cells, 6) AS cell_cover, n/(3.141592653589793e0*6400*0.03e0) < 0.5 OR CAST(n_full AS DOUBLE)/cells < 0.5 AS is_low FROM s, t""")
+_LEVEL = "CASE cloud_id % 5 WHEN 0 THEN 'QL 1' WHEN 1 THEN 'QL 2' WHEN 2 THEN 'QL 3' WHEN 3 THEN 'other' END"
+
+
+@query(f"""WITH l AS (SELECT cloud_id, {_LEVEL} AS ql FROM (SELECT DISTINCT cloud_id FROM v_points)),
+p AS (SELECT cloud_id, least(CAST(floor((x + 80)/20) AS BIGINT), 7) AS i, least(CAST(floor((y + 80)/20) AS BIGINT), 7) AS j, count(*) AS c FROM v_points WHERE classification NOT IN (7, 18) AND x*x + y*y <= 6400 GROUP BY ALL),
+g AS (SELECT i, j, pow((i + 0.5e0)*20 - 80, 2) + pow((j + 0.5e0)*20 - 80, 2) <= 6400 AS inside FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j)),
+s AS (SELECT cloud_id, CAST(sum(c) AS BIGINT) AS n, count(*) FILTER (inside) AS n_full FROM p JOIN g USING (i, j) GROUP BY cloud_id),
+e AS (SELECT *, CASE ql WHEN 'QL 1' THEN 8.0e0 WHEN 'QL 2' THEN 2.0e0 WHEN 'QL 3' THEN 0.5e0 ELSE 0.5e0 END * 3.141592653589793e0 * 6400 AS expected FROM l)
+SELECT cloud_id, ql, coalesce(n, 0) AS n, round(expected, 6) AS expected, round(coalesce(n, 0)/expected, 6) AS density_ratio, round(CAST(coalesce(n_full, 0) AS DOUBLE)/(SELECT count(*) FROM g WHERE inside), 6) AS cell_cover,
+ coalesce(n, 0)/expected < 0.5 AS is_low FROM e LEFT JOIN s USING (cloud_id)""")
 def disc_qc(spark, sf):
-    return _rounded(cloud.coverage(views.points(spark, sf), "cloud_id", 80.0, 0.03, 20.0))
+    p = views.points(spark, sf)
+    levels = p.select("cloud_id").distinct().withColumn("ql", F.expr(_LEVEL))
+    return _rounded(cloud.coverage(p, levels, "cloud_id", "ql", 80.0, 20.0))
 
 
 @query(f"SELECT {_PK}, round((row_number() OVER (PARTITION BY cloud_id ORDER BY intensity, {_PK}) - 1)/CAST(count(*) OVER (PARTITION BY cloud_id) - 1 AS DOUBLE), 9) AS rank01 FROM v_points")
@@ -618,7 +631,7 @@ SELECT p.cloud_id, count(*) AS n, max(z) AS zmax, round(avg(z), 6) AS zmean, rou
  round(100*avg(CAST(return_number = 1 AS DOUBLE)), 6) AS p1th, round(100*avg(CAST(classification = 2 AS DOUBLE)), 6) AS pground FROM v_points p JOIN m USING (cloud_id) GROUP BY p.cloud_id""")
 def std_metrics(spark, sf):
     m = cloud.standard_metrics(views.points(spark, sf), "cloud_id")
-    return _rounded(m.select("cloud_id", "n", "zmax", "zmean", "zsd", "zskew", "zkurt", "pzabove", "zq25", "zq95", "p1th", "pground"))
+    return _rounded(m.select("cloud_id", "n", "zmax", "zmean", "zsd", "zskew", "zkurt", F.col("pzabove2").alias("pzabove"), "zq25", "zq95", "p1th", "pground"))
 
 
 @query("""WITH b AS (SELECT cloud_id, CAST(floor(z) AS BIGINT) AS b, count(*) AS c FROM v_points GROUP BY ALL)
@@ -651,13 +664,22 @@ def height_above_ground(spark, sf):
     return cloud.height_above_ground(views.points(spark, sf).select("cloud_id", "x", "y", "z", "classification"), "cloud_id", 10.0)
 
 
-@query("""WITH g AS (SELECT * FROM v_points WHERE classification = 2), t AS (SELECT cloud_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM g GROUP BY 1),
-c AS (SELECT cloud_id, max(n) AS n, max(mx) AS mx, max(my) AS my, max(mz) AS mz, sum((x-mx)*(x-mx)) AS xx, sum((x-mx)*(y-my)) AS xy, sum((y-my)*(y-my)) AS yy, sum((x-mx)*(z-mz)) AS xz, sum((y-my)*(z-mz)) AS yz, sum((z-mz)*(z-mz)) AS zz FROM g JOIN t USING (cloud_id) GROUP BY 1),
-s AS (SELECT *, (xz*yy - yz*xy)/(xx*yy - xy*xy) AS sx, (yz*xx - xz*xy)/(xx*yy - xy*xy) AS sy FROM c)
-SELECT cloud_id, n AS n_ground, CASE WHEN n >= 50 THEN round(mz - sx*mx - sy*my, 5) END AS elevation, CASE WHEN n >= 50 THEN round(degrees(atan(sqrt(sx*sx + sy*sy))), 5) END AS slope,
- CASE WHEN n >= 50 THEN round(cos(atan2(-sx, -sy)), 5) END AS northness, CASE WHEN n >= 50 THEN round(sin(atan2(-sx, -sy)), 5) END AS eastness, CASE WHEN n >= 50 THEN round(sqrt(greatest(zz - sx*xz - sy*yz, 0)/(n - 3)), 5) END AS roughness FROM s""")
+_HORN = {(a, b): f"max(CASE WHEN d.i = c.i + {a} AND d.j = c.j + {b} THEN d.z END)" for a in (-1, 0, 1) for b in (-1, 0, 1)}
+
+
+@query(f"""WITH g AS (SELECT * FROM v_points WHERE classification = 2), n AS (SELECT cloud_id, count(*) AS n_ground FROM g GROUP BY 1),
+c AS (SELECT cloud_id, CAST(floor(x/25) AS BIGINT) AS i, CAST(floor(y/25) AS BIGINT) AS j, avg(z) AS z FROM g GROUP BY 1, 2, 3),
+h AS (SELECT c.cloud_id, c.i, c.j, max(c.z) AS z, count(*) AS k,
+ ({_HORN[1, 1]} + 2*{_HORN[1, 0]} + {_HORN[1, -1]} - {_HORN[-1, 1]} - 2*{_HORN[-1, 0]} - {_HORN[-1, -1]})/200 AS gx,
+ ({_HORN[1, 1]} + 2*{_HORN[0, 1]} + {_HORN[-1, 1]} - {_HORN[1, -1]} - 2*{_HORN[0, -1]} - {_HORN[-1, -1]})/200 AS gy,
+ sum(abs(d.z - c.z))/8 AS tri, max(c.z) - (sum(d.z) - max(c.z))/8 AS tpi
+ FROM c JOIN c d ON c.cloud_id = d.cloud_id AND abs(c.i - d.i) <= 1 AND abs(c.j - d.j) <= 1 GROUP BY 1, 2, 3 HAVING count(*) = 9),
+m AS (SELECT cloud_id, avg(z) AS elevation, max(z) - min(z) AS elevation_range, avg(degrees(atan(sqrt(gx*gx + gy*gy)))) AS slope, avg(-gy/sqrt(1 + gx*gx + gy*gy)) AS northness,
+ avg(-gx/sqrt(1 + gx*gx + gy*gy)) AS eastness, avg(tri) AS tri, avg(tpi) AS tpi FROM h GROUP BY 1)
+SELECT p.cloud_id, coalesce(n_ground, 0) AS n_ground, {", ".join(f"round(CASE WHEN n_ground >= 400 THEN {c} END, 6) AS {c}" for c in ("elevation", "elevation_range", "slope", "northness", "eastness", "tri", "tpi"))}
+FROM (SELECT DISTINCT cloud_id FROM v_points) p LEFT JOIN n USING (cloud_id) LEFT JOIN m USING (cloud_id)""")
 def terrain_metrics(spark, sf):
-    return _rounded(cloud.terrain(views.points(spark, sf), "cloud_id"), 5)
+    return _rounded(cloud.terrain(views.points(spark, sf), "cloud_id", 25.0, 400))
 
 
 @query(f"""WITH c AS (SELECT cloud_id, v, r, arg_min({{'x': x, 'y': y}}, {{'h': md5(CAST(v AS VARCHAR) || ':' || concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_suppkey, 'e': l_extendedprice}}) AS p
@@ -690,21 +712,21 @@ SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, CASE WHEN d IS NULL THEN
 def date_reconcile(spark, sf):
     j = views.table(spark, sf, "lineitem").join(views.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     d = F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))
-    verdict = F.when(d.isNull(), "missing").when(F.abs(d) <= 45, "agrees").when(d > 45, "late").otherwise("early")
-    return j.select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", verdict.alias("verdict"))
+    return j.select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", labels.reconciled(d, 45).alias("verdict"))
 
 
 @query("""WITH g AS (SELECT user_id, epoch_us(ts) // 1000000 - 1000000000 + 18 AS gps FROM events), t AS (SELECT user_id, to_timestamp(gps + 1000000000 - 18) AS t FROM g)
 SELECT user_id, CAST(min(gps) AS BIGINT) AS first_gps, round(quantile_cont(gps, 0.5), 3) AS mid_gps, CAST(max(gps) AS BIGINT) AS last_gps FROM g GROUP BY user_id""")
 def gps_dates(spark, sf):
-    e = views.detections(spark, sf).select(F.col("deployment").alias("user_id"), (F.floor(F.unix_micros("start_ts") / 1_000_000) - 1_000_000_000 + 18).alias("gps"))
-    return e.groupBy("user_id").agg(F.min("gps").alias("first_gps"), F.round(F.percentile("gps", F.lit(0.5)), 3).alias("mid_gps"), F.max("gps").alias("last_gps"))
+    e = views.detections(spark, sf).select(F.col("deployment").alias("user_id"), tx.gps_seconds(F.col("start_ts")).alias("gps"))
+    spans = labels.gps_spans(e, "user_id", "gps", {"first_gps": 0.0, "mid_gps": 0.5, "last_gps": 1.0})
+    return spans.select("user_id", F.col("first_gps").cast("long").alias("first_gps"), F.round("mid_gps", 3).alias("mid_gps"), F.col("last_gps").cast("long").alias("last_gps"))
 
 
-_RANGE_TEXT = "CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) || '-' || CAST(p_size + 10 AS VARCHAR) WHEN 1 THEN '<' || CAST(p_size AS VARCHAR) WHEN 2 THEN '>' || CAST(p_size AS VARCHAR) || '%' WHEN 3 THEN 'trace' ELSE CAST(p_size AS VARCHAR) END"
+_RANGE_TEXT = "CASE p_partkey % 7 WHEN 0 THEN CAST(p_size AS VARCHAR) || '-' || CAST(p_size + 10 AS VARCHAR) WHEN 1 THEN '<' || CAST(p_size AS VARCHAR) WHEN 2 THEN '>' || CAST(p_size AS VARCHAR) || ' %' WHEN 3 THEN 'Trace' WHEN 4 THEN 'few' WHEN 5 THEN '>' || CAST(p_size AS VARCHAR) || '-' || CAST(p_size + 4 AS VARCHAR) ELSE CAST(p_size AS VARCHAR) END"
 
 
-@query("SELECT p_partkey, CAST(CASE p_partkey % 5 WHEN 0 THEN p_size + 5 WHEN 1 THEN p_size/2.0e0 WHEN 2 THEN (p_size + 100)/2.0e0 WHEN 3 THEN 0.25e0 ELSE p_size END AS DOUBLE) AS mid FROM part")
+@query("SELECT p_partkey, CAST(CASE p_partkey % 7 WHEN 0 THEN p_size + 5 WHEN 1 THEN p_size/2.0e0 WHEN 2 THEN (p_size + 100)/2.0e0 WHEN 3 THEN 0.25e0 WHEN 4 THEN 0.25e0 WHEN 5 THEN p_size + 2 ELSE p_size END AS DOUBLE) AS mid FROM part")
 def range_mid(spark, sf):
     return views.table(spark, sf, "part").select("p_partkey", tx.range_mid(F.expr(_RANGE_TEXT.replace("VARCHAR", "STRING"))).alias("mid"))
 
@@ -715,14 +737,17 @@ def flag_explode(spark, sf):
     return views.table(spark, sf, "part").select(F.explode(F.split(flags, ";")).alias("flag")).filter("flag <> ''").groupBy("flag").agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' [Provisional]'), '\\[[^\\]]*\\]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS k FROM part),
-b AS (SELECT min(p_partkey) AS first_key, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS k FROM part GROUP BY 2)
-SELECT p_partkey, first_key FROM a JOIN b USING (k)""")
+_MARKED = "p_name || CASE p_partkey % 3 WHEN 0 THEN ' [Provisional]' WHEN 1 THEN ' (Provisional)' ELSE ' (other)' END"
+
+
+@query(f"""WITH a AS (SELECT p_partkey, regexp_replace(replace(replace(lower({_MARKED}), '[provisional]', ''), '(provisional)', ''), '[^a-z0-9]', '', 'g') AS k FROM part),
+b AS (SELECT min(p_partkey) AS first_key, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS k FROM part GROUP BY 2)
+SELECT p_partkey, k, first_key FROM a LEFT JOIN b USING (k)""")
 def name_normalise_join(spark, sf):
     p = views.table(spark, sf, "part")
-    a = p.select("p_partkey", tx.normalised(F.concat("p_name", F.lit(" [Provisional]"))).alias("k"))
+    a = p.select("p_partkey", tx.normalised(F.expr(_MARKED)).alias("k"))
     b = p.select("p_partkey", tx.normalised(F.col("p_name")).alias("k")).groupBy("k").agg(F.min("p_partkey").alias("first_key"))
-    return a.join(b, "k").select("p_partkey", "first_key")
+    return a.join(b, "k", "left").select("p_partkey", "k", "first_key")
 
 
 @query("""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s+href="([^"]*)"[^>]*>([^<]*)</a>')) AS tag FROM pages)

@@ -14,9 +14,10 @@ def row_query(spark, sf):
     return views.table(spark, sf, "customer").filter(extra.where("c_mktsegment in ['BUILDING', 'MACHINERY'] and c_acctbal.notna() and c_nationkey == 3")).select("c_custkey")
 
 
-@query("SELECT p_partkey, round(ln(1 + p_retailprice / nullif(p_size % 10, 0)), 6) AS v FROM part")
+@query("SELECT p_partkey, round(ln(1 + (p_retailprice / 2) / nullif(p_size % 10, 0)), 6) AS v, round(p_size / nullif((p_partkey % 3) / 4.0e0, 0) - 1, 6) AS w FROM part")
 def expression_column(spark, sf):
-    return _rounded(extra.computed(views.table(spark, sf, "part"), "v", "p_retailprice / (p_size % 10)", log=True).select("p_partkey", "v"))
+    p = extra.computed(views.table(spark, sf, "part"), "v", "(p_retailprice / 2) / (p_size % 10)", log=True)
+    return _rounded(extra.computed(p, "w", "p_size / ((p_partkey % 3) / 4) - 1").select("p_partkey", "v", "w"))
 
 
 @query("""SELECT c_nationkey AS package, count(*) AS n_orphans FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events) GROUP BY 1""")
@@ -41,10 +42,13 @@ def dates_by_name(spark, sf):
     return extra.named_dates(c, "c_custkey", {"double": F.col("c_custkey") * 2, "own": F.col("c_custkey")}, d, "k", "start_day", "end_day")
 
 
-@query("""SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT 'Brand#' || s_nationkey AS q FROM supplier) WHERE (starts_with(p_brand, q) AND length(q) >= 4) OR (starts_with(q, p_brand) AND length(p_brand) >= 4))""")
+@query("""SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT 'Brand#' || s_nationkey AS q FROM supplier) WHERE starts_with(p_brand, q) OR starts_with(q, p_brand))
+UNION ALL SELECT n_nationkey + 1000000000 FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE starts_with(n_name, substr(r_name, 1, 2)) OR starts_with(substr(r_name, 1, 2), n_name))""")
 def prefix_match(spark, sf):
     q = views.table(spark, sf, "supplier").select(F.concat(F.lit("Brand#"), F.col("s_nationkey").cast("string")).alias("q")).distinct()
-    return extra.prefixed(views.table(spark, sf, "part").select("p_partkey", "p_brand"), q, "p_brand", "q").select("p_partkey")
+    short = views.table(spark, sf, "region").select(F.substring("r_name", 1, 2).alias("q"))
+    named = extra.prefixed(views.table(spark, sf, "nation").select((F.col("n_nationkey") + 1_000_000_000).cast("long").alias("p_partkey"), "n_name"), short, "n_name", "q").select("p_partkey")
+    return named.union( extra.prefixed(views.table(spark, sf, "part").select("p_partkey", "p_brand"), q, "p_brand", "q").select("p_partkey"))
 
 
 @query("""WITH p AS (SELECT DISTINCT cloud_id, x, y FROM v_points),
@@ -74,14 +78,18 @@ def nearest_point_match(spark, sf):
     return _rounded(extra.nearest_in_cell(a, b, "cloud_id", "ka", "kb", 20.0))
 
 
-@query()
+@query("""WITH r AS (SELECT p_partkey, sqrt(p_retailprice) AS w, sum(sqrt(p_retailprice)) OVER (ORDER BY p_partkey) AS hi FROM part), t AS (SELECT sum(w) AS total FROM r),
+d AS (SELECT CAST('0x' || substr(md5('3:' || i), 1, 13) AS BIGINT) / 4503599627370496.0e0 * total AS x FROM (SELECT unnest(range(1000)) AS i), t)
+SELECT p_partkey, count(*) AS n FROM r JOIN d ON x >= hi - w AND x < hi GROUP BY p_partkey""")
 def weighted_sample(spark, sf):
     return extra.weighted_clusters(views.table(spark, sf, "part"), "p_partkey", F.sqrt("p_retailprice"), 1000, 3)
 
 
 @query()
 def location_sequence(spark, sf):
-    return extra.locations(spark, 500, (-124.0, -68.0, 25.0, 49.0), 20261029)
+    f = views.footprints(spark, sf).orderBy("ordinal").select("name", "w", "rings").collect()  # a catalogue of tiles
+    tiles = [(r.name, r.w, [[(v.x, v.y) for v in ring] for ring in r.rings]) for r in f]
+    return extra.locations(spark, 500, tiles, 20261029, ([(-100.0, 40.0), (-110.0, 35.0)], 150_000.0))
 
 
 @query("""WITH t AS (SELECT c_custkey, c_nationkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('9:' || c_custkey), c_custkey) AS t FROM customer),
@@ -100,10 +108,23 @@ def batch_offsets(spark, sf):
     return extra.cumulative_offsets(views.points(spark, sf).groupBy("cloud_id").agg(F.count("*").alias("n")), "cloud_id", "n")
 
 
-@query("""SELECT p_partkey, round(CASE p_partkey % 4 WHEN 0 THEN 3.141592653589793e0 * p_size * p_size WHEN 1 THEN 1.0e0 * p_size * p_size WHEN 2 THEN p_size * 2.5e0 END, 6) AS area FROM part""")
+_PLOT = """CASE p_partkey % 9 WHEN 0 THEN 'Circular' WHEN 1 THEN 'square plot' WHEN 2 THEN 'Rectangular' WHEN 3 THEN 'belt transect' WHEN 4 THEN 'observation' WHEN 5 THEN 'N/A' WHEN 6 THEN 'semi-circle' WHEN 7 THEN 'estimate' END AS s,
+ CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size AS DOUBLE) END AS r, CASE WHEN p_partkey % 4 = 1 THEN p_size * {two} END AS d,
+ CASE WHEN p_partkey % 4 >= 2 THEN p_size * {five} END AS a, CASE WHEN p_partkey % 4 = 2 THEN CAST(p_size - 10 AS DOUBLE) END AS b"""
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_PLOT.format(two="2.0e0", five="5.0e0")} FROM part),
+k AS (SELECT *, CASE WHEN s = 'semi-circle' THEN 'other' WHEN s = 'observation' THEN 'point' WHEN s = 'belt transect' THEN 'transect' WHEN s = 'Circular' THEN 'circle' WHEN s = 'square plot' THEN 'square' WHEN s = 'Rectangular' THEN 'rectangle'
+  WHEN s IS NULL OR s = 'estimate' THEN 'unknown' ELSE 'other' END AS kind, coalesce(r > 100, false) OR coalesce(d > 200, false) OR coalesce(a > 200, false) OR coalesce(b > 200, false) AS bad FROM p),
+v AS (SELECT p_partkey, kind, bad, CASE WHEN r > 0 AND NOT bad THEN r END AS r, CASE WHEN d > 0 AND NOT bad THEN d END AS d, CASE WHEN a > 0 AND NOT bad THEN a END AS a, CASE WHEN b > 0 AND NOT bad THEN b END AS b FROM k),
+x AS (SELECT *, CASE WHEN r IS NOT NULL AND kind IN ('circle', 'unknown') THEN 'radius' WHEN d IS NOT NULL AND kind IN ('circle', 'unknown') THEN 'diameter' WHEN a IS NOT NULL AND b IS NOT NULL AND kind NOT IN ('circle', 'point') THEN 'length_x_width'
+  WHEN (a IS NOT NULL OR b IS NOT NULL) AND kind = 'square' THEN 'side' WHEN r IS NOT NULL THEN 'radius' ELSE 'none' END AS basis FROM v)
+SELECT p_partkey, kind AS plot_shape, basis AS plot_basis, round(CASE basis WHEN 'radius' THEN 3.141592653589793e0*r*r WHEN 'diameter' THEN 3.141592653589793e0*d*d/4 WHEN 'length_x_width' THEN a*b WHEN 'side' THEN pow(coalesce(a, b), 2) END, 5) AS plot_area,
+ CASE WHEN bad THEN 'implausible_dimension_ignored' WHEN basis = 'none' THEN 'no_usable_dimensions' ELSE 'ok' END AS plot_flag FROM x""")
 def plot_areas(spark, sf):
-    p = views.table(spark, sf, "part").selectExpr("p_partkey", "CASE p_partkey % 4 WHEN 0 THEN 'Circle' WHEN 1 THEN 'square ' WHEN 2 THEN 'Rectangular' ELSE 'other' END AS s", "CAST(p_size AS DOUBLE) AS a", "2.5D AS b")
-    return _rounded(p.select("p_partkey", extra.plot_area(F.col("s"), F.col("a"), F.col("b")).alias("area")))
+    p = views.table(spark, sf, "part").selectExpr("p_partkey", *[f"{e.strip()}" for e in _PLOT.format(two="2.0D", five="5.0D").replace(" AS s,", " AS s;").replace(" AS r,", " AS r;").replace(" AS d,", " AS d;").replace(" AS a,", " AS a;").split(";")])
+    out = extra.plot_footprint(p, "s", "r", "d", "a", "b")
+    return _rounded(out.select("p_partkey", "plot_shape", "plot_basis", "plot_area", "plot_flag"), 5)
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 0.5e0 WHEN 1 THEN 3.0e0 WHEN 2 THEN 15.0e0 END AS pct FROM part")
@@ -204,9 +225,14 @@ def half_covered_cells(spark, sf):
     return extra.covered_cells(views.footprints(spark, sf), "name", 1.0, 0.25)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_GRID}, h AS (SELECT cloud_id, i, j, value, i * 1000 + j AS id FROM g WHERE value > 27.0e0),
+e AS (SELECT a.cloud_id, a.id AS a, b.id AS b FROM h a JOIN h b ON a.cloud_id = b.cloud_id AND abs(a.i - b.i) + abs(a.j - b.j) <= 1),
+r AS (SELECT cloud_id, a, b FROM e UNION SELECT r.cloud_id, r.a, e.b FROM r JOIN e ON r.cloud_id = e.cloud_id AND r.b = e.a),
+c AS (SELECT cloud_id, a, min(b) AS root FROM r GROUP BY 1, 2)
+SELECT c.cloud_id, arg_min(i, id) || '_' || arg_min(j, id) AS landmark, count(*) AS n, round(avg(i), 6) AS ci, round(avg(j), 6) AS cj, round(max(value), 6) AS height
+FROM c JOIN h ON h.cloud_id = c.cloud_id AND h.id = c.a GROUP BY c.cloud_id, root HAVING count(*) >= 2""")
 def landmark_cells(spark, sf):
-    return raster.landmarks(_grid(spark, sf), "cloud_id", "value", 27.0, 2)
+    return _rounded(raster.landmarks(_grid(spark, sf), "cloud_id", "value", 27.0, 2))
 
 
 @query(f"""WITH {_GRID}, k AS (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS k), o AS (SELECT g.cloud_id, g.i, g.j, max(h.value - k * tan(radians(20.0e0)) * 2 - g.value) AS d

@@ -50,9 +50,11 @@ def arrow_limits(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset, a folder of this machine (tests)."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a folder of this machine on a local master (tests), else an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = getattr(sc, "_terravane_shared", None)
         if not found:

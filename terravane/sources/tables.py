@@ -158,8 +158,10 @@ def paged_source(name: str, schema: str, total: int, fetch: Callable[[int, int],
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small result as a markdown table."""
-    rows = df.limit(most).collect()
+    """A small result as a markdown table; one of more rows than most is an error, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows are no small table")
     line = lambda v: "| " + " | ".join("" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x) for x in v) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
 
