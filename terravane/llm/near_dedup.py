@@ -267,7 +267,8 @@ def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     """(doc_id, n_shingles, component_id, kept) for every row; documents link at Jaccard >= percent / 100."""
     sketch, classes, found = _classes(docs, shingle_words, percent)
     of = found.join(classes.select("node", "doc_id"), "node")
-    least = of.join(of.groupBy("comp").agg(F.min("doc_id").alias("least")), "comp").select("node", "least")
+    of = cut(of, "linked")
+    least = of.join(cut(of.groupBy("comp").agg(F.min("doc_id").alias("least")), "least"), "comp").select("node", "least")
     named = classes.join(least, "node", "left").select("n_shingles", "fp1", "fp2", F.coalesce("least", "doc_id").alias("least"))
     return (
         sketch.select("doc_id", "n_shingles", "fp1", "fp2")
@@ -292,7 +293,7 @@ def _links(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int
     found = components(links, "cc-1")
     # members of groups with several components
     at = cut(members.select("band", "rep").join(found, F.col("rep") == F.col("id"), "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp")), "grouped")
-    several = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("band")
+    several = cut(at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("band"), "several")
     apart = cut(at.join(several, "band").select("rep", "comp").distinct(), "apart")
     prefixes = _live(apart, packed, shingle_words, percent)
     for how in (_to_leaders, _in_groups):
@@ -306,7 +307,7 @@ def _links(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int
             prefixes = cut(prefixes.drop("comp").join(found, F.col("rep") == F.col("id"), "left").select("h", "rep", F.coalesce("comp", "rep").alias("comp")), "prefixes")
             discard(old, prefixes_old)
         discard(more)
-    discard(groups, members, close, packed, links, at, apart, *([prefixes] if prefixes is not None else []))
+    discard(groups, members, close, packed, links, at, several, apart, *([prefixes] if prefixes is not None else []))
     return found.select(F.col("id").alias("node"), "comp")
 
 
@@ -350,7 +351,7 @@ def _live(apart: DataFrame, packed: DataFrame, shingle_words: int, percent: int)
 
 def _to_leaders(prefixes: DataFrame, sketch_of: DataFrame, packed: DataFrame, shingle_words: int, percent: int, floor: float) -> DataFrame:
     """Verified links of the members of each group to one of them, drawn by hash."""
-    lead = prefixes.groupBy("h").agg(F.min_by("rep", F.xxhash64("h", "rep")).alias("a"), F.min_by("comp", F.xxhash64("h", "rep")).alias("c"))
+    lead = cut(prefixes.groupBy("h").agg(F.min_by("rep", F.xxhash64("h", "rep")).alias("a"), F.min_by("comp", F.xxhash64("h", "rep")).alias("c")), "prefix-leads")
     pairs = prefixes.join(lead, "h").filter("comp <> c").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
     return _exact(cut(_estimated(pairs, sketch_of, floor), "close-2"), packed, shingle_words, percent)
 
@@ -368,7 +369,7 @@ def _in_groups(prefixes: DataFrame, sketch_of: DataFrame, packed: DataFrame, shi
     if wide.isEmpty():
         return links
     apart = cut(own.join(wide, F.col("h") == F.col("band")).select("band", "rep", "comp").join(packed.select("rep", "bytes"), "rep"), "wide")
-    parts = apart.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).alias("parts"))
+    parts = cut(apart.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("bytes") / CHUNK_BYTES)).alias("parts")), "parts")
     return links.union(_blocked(apart.drop("bytes").join(parts, "band"), packed, shingle_words, percent))
 
 
