@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm import textblock as tb
-from terravane.runtime import arrow_limits, cut, ship
+from terravane.runtime import arrow_limits, cut, discard, ship
 
 WIDTH = 576
 SCHEME = "sha256:"
@@ -217,10 +217,11 @@ def features(store: DataFrame) -> DataFrame:
     return read.groupBy("digest").agg(*(F.first(c).alias(c) for c in _READ[1:]))
 
 
-def resolved(parts: DataFrame, store: DataFrame) -> DataFrame:
-    """parts (id, parts) exploded to (id, position, kind, text, reference, caption), with the store's columns for media."""
+def resolved(parts: DataFrame, read: DataFrame) -> DataFrame:
+    """parts (id, parts) exploded to (id, position, kind, text, reference, caption), with the columns of read (what
+    features made of a store) for media."""
     each = parts.select("id", F.inline("parts")).withColumn("digest", F.when(F.col("reference").startswith(SCHEME), F.substring("reference", len(SCHEME) + 1, 64)))
-    return each.join(cut(features(store), "features"), "digest", "left")
+    return each.join(read, "digest", "left")
 
 
 def rejoined(each: DataFrame) -> DataFrame:
@@ -237,5 +238,13 @@ def stored_documents(docs: DataFrame) -> DataFrame:
     store = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_stored, "doc_id long, digest string, n_bytes long, media binary"), "media")
     figure = F.concat(F.lit(f'<article><figure><img src="{SCHEME}'), "digest", F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
     parts = sequences(store.select("doc_id", figure.alias("html")), "doc_id", "html")
-    each = resolved(parts, store).filter("kind = 'media'")
-    return each.select(F.col("id").alias("doc_id"), F.split_part("caption", F.lit(" "), F.lit(1)).cast("long").alias("n_bytes"), *_READ[1:], "position", "caption")
+    read = cut(features(store), "features")
+    each = resolved(parts, read).filter("kind = 'media'")
+    result = cut(each.select(F.col("id").alias("doc_id"), F.split_part("caption", F.lit(" "), F.lit(1)).cast("long").alias("n_bytes"), *_READ[1:], "position", "caption"), "media-result")
+    discard(store, read)
+    return result
+
+
+def page_sequences(pages: DataFrame) -> DataFrame:
+    """(page_id, position, kind, text, reference, caption): the parts of every page's html, in order."""
+    return sequences(pages).select(F.col("id").alias("page_id"), F.inline("parts"))

@@ -270,12 +270,15 @@ def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     of = cut(of, "linked")
     least = of.join(cut(of.groupBy("comp").agg(F.min("doc_id").alias("least")), "least"), "comp").select("node", "least")
     named = classes.join(least, "node", "left").select("n_shingles", "fp1", "fp2", F.coalesce("least", "doc_id").alias("least"))
-    return (
+    result = (
         sketch.select("doc_id", "n_shingles", "fp1", "fp2")
         .join(named, ["n_shingles", "fp1", "fp2"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+    result = cut(result, "near-components")
+    discard(sketch, classes, found, of)
+    return result
 
 
 def _links(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -308,7 +311,9 @@ def _links(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int
             discard(old, prefixes_old)
         discard(more)
     discard(groups, members, close, packed, links, at, several, apart, *([prefixes] if prefixes is not None else []))
-    return found.select(F.col("id").alias("node"), "comp")
+    out = cut(found.select(F.col("id").alias("node"), "comp"), "linked-nodes")
+    discard(found)
+    return out
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -406,7 +411,8 @@ def kept_documents(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -
     Rows that share a doc_id are told apart by their texts; of rows that are repeated whole one stays."""
     sketch, classes, found = _classes(docs.select("doc_id", "text"), shingle_words, percent)
     discard(sketch)
-    first = classes.join(found, "node", "left").groupBy(F.coalesce("comp", "node")).agg(F.min(F.struct(*ROW)).alias("row")).select("row.*")
+    first = cut(classes.join(found, "node", "left").groupBy(F.coalesce("comp", "node")).agg(F.min(F.struct(*ROW)).alias("row")).select("row.*"), "first-rows")
+    discard(classes, found)
     keys = [c.alias(f"_near_{i}") for i, c in enumerate(_keyed(docs))]
     on = [f"_near_{i}" for i in range(len(keys))]
     free = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terravane.llm import textblock as tb
-from terravane.runtime import arrow_limits, cut, ship
+from terravane.runtime import arrow_limits, cut, discard, ship
 
 #: Bytes of the longest context.
 ORDER = 5
@@ -398,7 +398,7 @@ def scores(docs: DataFrame, mod: int = 10) -> DataFrame:
     grams = found.filter("kind = 2").select("key", "row", "tf").join(graded.select("key", "value"), "key")  # every code of a text is graded
     grams = grams.select("row", F.lit(0.0).alias("rest"), F.lit(0).alias("more"), (F.col("tf") * F.col("value").cast("double")).alias("length"))
     tail = words.unionByName(grams).groupBy("row").agg(F.sum("rest").alias("rest"), F.sum("more").alias("more"), F.sum("length").alias("length"))
-    return (
+    result = (
         found.filter("kind = 0")
         .join(tail, "row", "left")
         .select(
@@ -411,6 +411,9 @@ def scores(docs: DataFrame, mod: int = 10) -> DataFrame:
             (F.col("score") + F.coalesce("length", F.lit(0.0))).alias("score"),
         )
     )
+    result = cut(result, "lm-result")
+    discard(stats, graded, found)
+    return result
 
 
 def _graded(grams: DataFrame) -> DataFrame:

@@ -64,8 +64,12 @@ def op10_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(_table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def media_page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.page_sequences(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()} | {"media_page_sequences": media_page_sequences}
 
 
 _OP2 = """

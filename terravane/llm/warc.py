@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.runtime import arrow_limits, cut, discard, scratch, ship
+from terravane.runtime import arrow_limits, cut, discard, remove, scratch, ship
 
 #: Compressed bytes after which a new file begins; payload bytes that a shard has, about; shards, at least.
 ROLL, SHARD, LEAST = 32 << 20, 256 << 20, 64
@@ -294,6 +294,9 @@ def read(spark: SparkSession, at: str) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every row, from an archive written and read back."""
-    out = scratch(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    out = scratch(spark, "warc")
     write(pages, out)
-    return read(pages.sparkSession, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    result = cut(read(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-read")
+    remove(spark, out)
+    return result
