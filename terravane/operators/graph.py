@@ -28,4 +28,6 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         labels = new
         if done:
             discard(both)
-            return labels.select("id", "comp")
+            out = labels.select("id", "comp")
+            out._terravane_path = labels._terravane_path  # so that discard() finds it
+            return out

@@ -18,7 +18,7 @@ from terravane.runtime import cut
 CELLS = 8
 
 
-def covering(sites: DataFrame, footprints: DataFrame, key: str, x: str = "lon", y: str = "lat") -> DataFrame:
+def covering(sites: DataFrame, footprints: DataFrame, key: str = "ordinal", x: str = "lon", y: str = "lat") -> DataFrame:
     """All pairs of a site and a footprint (key, rings, xmin, ymin, xmax, ymax) that strictly contains it.
 
     Each footprint is cut into cells of a grid whose cell grows with it (a power of two), and each site looks
@@ -100,7 +100,7 @@ def with_fallback(left: DataFrame, right: DataFrame, key: str, year: str, keep:
 def _columns(row: Column, radius: float) -> Column:
     """How many columns the globe has at a row: whole ones, the narrowest that a row's neighbours may need or wider."""
     reach = (F.abs(row) + 3) * radius / geo.DEGREE_M
-    width = radius / (geo.DEGREE_M * F.greatest(F.cos(F.radians(F.least(reach, F.lit(89.0)))), F.lit(1e-3)))
+    width = radius / (geo.DEGREE_M * F.greatest(F.cos(F.radians(F.least(reach, F.lit(90.0)))), F.lit(1e-9)))
     return F.greatest(F.floor(360 / width), F.lit(1)).cast("long")
 
 

@@ -202,8 +202,16 @@ def test_clouds(spark):
     df = spark.createDataFrame(rows, "cloud long, x double, y double, z double, classification int, intensity long, return_number int")
     got = cloud.height_above_ground(df, "cloud", 1.0).filter("classification = 2").agg(F.max(F.abs("hag"))).first()[0]
     assert got < 0.5
-    t = cloud.terrain(df, "cloud").first()
-    assert t.n_ground == 75 and t.slope == pytest.approx(np.degrees(np.arctan(0.1)), abs=0.5)
+    plane = spark.createDataFrame([(1, i + 0.5, j + 0.5, 0.1 * i - 0.2 * j, 2) for i in range(8) for j in range(8)] + [(2, 0.0, 0.0, 1.0, 2)], "cloud long, x double, y double, z double, classification int")
+    t = {r.cloud: r for r in cloud.terrain(plane, "cloud", 1.0, 50).collect()}
+    steep = (0.1**2 + 0.2**2) ** 0.5
+    assert t[1].n_ground == 64 and t[1].slope == pytest.approx(np.degrees(np.arctan(steep)))
+    assert (t[1].eastness, t[1].northness) == (pytest.approx(-0.1 / (1 + steep**2) ** 0.5), pytest.approx(0.2 / (1 + steep**2) ** 0.5))
+    assert t[1].tpi == pytest.approx(0) and t[1].tri > 0 and (t[2].n_ground, t[2].slope) == (1, None)
+    few = cloud.height_above_ground(df.filter("classification = 5"), "cloud", 1.0, least=50, fallback=None)
+    assert few.count() == 25 and few.filter("hag IS NOT NULL").count() == 0
+    with pytest.raises(Exception, match="no disc"):
+        cloud.height_above_ground(df.unionByName(df.limit(1).withColumn("x", F.lit(1e9))), "cloud", 1.0).count()
     assert cloud.crop_or_keep(df, 0.1, "cloud").count() == 1
     assert cloud.crop_or_keep(df.filter("x > 3"), 0.1, "cloud").count() == 60
     assert cloud.centred(df, "cloud").agg(F.min("x"), F.max("x"), F.min("z")).first()[:2] == (-4.5, 4.5)
@@ -229,15 +237,18 @@ def test_samplers(spark):
     drawn = extra.weighted_clusters(df, "k", F.col("k"), 4000, 5)
     assert drawn.agg(F.sum("n")).first()[0] == 4000
     assert drawn.filter("k > 50").agg(F.sum("n")).first()[0] / 4000 == pytest.approx(0.7475, abs=0.04)
-    a = extra.locations(spark, 50, (-120.0, -70.0, 25.0, 49.0), 3)
-    assert a.filter("lon < -120 OR lon > -70 OR lat < 25 OR lat > 49").count() == 0
-    assert a.filter("i < 5").orderBy("i").collect() == extra.locations(spark, 5, (-120.0, -70.0, 25.0, 49.0), 3).orderBy("i").collect()
+    tiles = [("a", 3.0, [[(0, 0), (4, 0), (0, 4), (0, 0)]]), ("b", 1.0, [[(10, 10), (12, 10), (12, 12), (10, 12), (10, 10)], [(10.5, 10.5), (11.5, 10.5), (11.5, 11.5), (10.5, 11.5), (10.5, 10.5)]])]
+    a = extra.locations(spark, 400, tiles, 3, ([(0.5, 0.5)], 30_000.0)).collect()
+    assert all(r.lon + r.lat < 4 for r in a if r.name == "a") and all(max(abs(r.lon - 11), abs(r.lat - 11)) > 0.5 for r in a if r.name == "b")
+    assert all(((r.lon - 0.5) ** 2 + (r.lat - 0.5) ** 2) ** 0.5 * 111_320 > 29_990 for r in a) and 0.6 < sum(r.name == "a" for r in a) / 400 < 0.9
+    assert sorted(a)[:5] == sorted(extra.locations(spark, 5, tiles, 3, ([(0.5, 0.5)], 30_000.0)).collect())
 
 
 def test_small_joins(spark):
     left = spark.createDataFrame([("Alpha Ridge",), ("Alp",), ("Beta",)], "a string")
     right = spark.createDataFrame([("Alpha",), ("Beta Hills North",)], "b string")
-    assert sorted(r.a for r in extra.prefixed(left, right, "a", "b").collect()) == ["Alpha Ridge", "Beta"]
+    assert sorted(r.a for r in extra.prefixed(left, right, "a", "b", 4).collect()) == ["Alpha Ridge", "Beta"]
+    assert sorted(r.a for r in extra.prefixed(left, right, "a", "b").collect()) == ["Alp", "Alpha Ridge", "Beta"]
     with pytest.raises(ValueError):
         extra.assert_unique(left.union(left), ["a"])
     found, unknown = extra.member_of(left, ["a"], ["BETA", "gamma"])
@@ -300,11 +311,42 @@ def test_reuse_pool(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.range(40).selectExpr("id % 2 AS stream", "id AS item").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("stream long, item long").parquet(str(tmp_path / "in"))
-    log = windows.drained(windows.reuse_pool(stream), "pool")
-    rows = log.collect()
-    assert {r.item for r in rows if r.event == "used"} == set(range(40))
-    retired = {r.item for r in rows if r.event == "retired"}
-    assert len(retired) == 40 - 2 * windows.ReusePool.SIZE and max(r.n for r in rows) <= windows.ReusePool.USES
+    rows = windows.drained(windows.reuse_pool(stream), "pool").collect()
+    p = windows.ReusePool
+    for s in (0, 1):
+        pool, queue, draw, want = {}, [], 0, []
+        for item in range(s, 40, 2):
+            draw = windows.step(s, item, pool, queue, draw, want, p.SIZE, p.USES, p.DRAWS, p.WAITING)
+        got = [tuple(r) for r in rows if r.stream == s]
+        assert sorted(got) == sorted(want) and sum(e == "used" for _, _, e, _ in got) == 20 * p.DRAWS
+        # only what reached its quota retires, and the newcomer waits until then
+        assert all(n >= p.USES for _, _, e, n in got if e == "retired") and any(e == "retired" for _, _, e, _ in got)
+    full = {i: 0 for i in range(8)}
+    log: list = []
+    windows.step(0, 99, full, [], 0, log, 8, 1000, 5, 10)
+    assert 99 not in full and [e for _, _, e, _ in log] == ["fetched"] + ["used"] * 5
+
+
+def test_late_rows_and_closed_windows(spark, tmp_path):
+    from terravane.streaming import windows
+
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    schema = "ts timestamp, event_type string, value double"
+    at = str(tmp_path / "in")
+    batches = [[(day(1), "a", 1.0), (day(2), "a", 1.0)], [(day(8), "a", 1.0), (day(2, 5), "a", 10.0)], [(day(8, 2), "a", 1.0)], [(day(1, 3), "a", 100.0), (day(20), "a", 1.0)]]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(at)
+        __import__("time").sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
+    got = {r.window_start.day: (r.n, r.total) for r in windows.closed(windows.tumbling(stream, "1 day", "2 days", ["event_type"]), "late").collect()}
+    # the last batch's row of 1 January comes when the watermark is past that day; 20 January is still open
+    assert got == {1: (1, 1.0), 2: (2, 11.0), 8: (2, 2.0)}
+
+
+def test_round_robin(spark):
+    rows = [(s, k) for s, n in ((0, 5), (1, 3), (2, 1)) for k in range(n)]
+    got = windows_rows = sorted((r.batch, r.place_in_batch, r.s, r.k) for r in __import__("terravane.streaming.windows", fromlist=["x"]).round_robin(spark.createDataFrame(rows, "s long, k long"), "s", "k", 4).collect())
+    assert [(s, k) for _, _, s, k in windows_rows] == sorted(rows, key=lambda r: (r[1], r[0])) and got[4][:2] == (1, 0)
 
 
 def test_fill_down_resets(spark):
@@ -357,7 +399,7 @@ def test_tasks(spark):
 def test_cloud_augmentations(spark):
     rows = [(c, i, float(i % 10), float(i // 10), 0.1 * i, 2, i * 100, 1, 0.1 * i) for c in (1, 2) for i in range(100)]
     df = spark.createDataFrame(rows, "cloud long, k long, x double, y double, z double, classification int, intensity long, return_number int, hag double")
-    for out in (cloud.jittered_intensity(df, "cloud", 1), cloud.tilted_height(df, "cloud", 1), cloud.elastic(df, "cloud", 4.0, 0.2, 1), cloud.features(df, "cloud", ["k"])):
+    for out in (cloud.jittered_intensity(df, "cloud", 1), cloud.tilted_height(df, "cloud", 1), cloud.elastic(df, "cloud", 4.0, 0.2, 1), cloud.features(df.withColumn("number_of_returns", F.lit(0)), "cloud", ["k"])):
         assert out.count() == 200
     e = cloud.elastic(df, "cloud", 4.0, 0.2, 1).join(df.select("cloud", "k", F.col("x").alias("x0")), ["cloud", "k"]).agg(F.max(F.abs(F.col("x") - F.col("x0")))).first()[0]
     assert 0 < e < 1
@@ -427,3 +469,144 @@ def test_attempts_and_blocks(spark, tmp_path):
     cut = src.read_square(spark, str(tmp_path / "blocks"), 5.0, 3.0, 4.0, 12.0, 9.0)
     assert cut.count() == points.filter("x >= 3 AND x < 12 AND y >= 4 AND y < 9").count() == 45
     assert "GreaterThanOrEqual(block_i,0" in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fallback_with_null_columns(spark):
+    left = spark.createDataFrame([(1, 5, 2010, None), (2, 5, 2010, "note"), (3, 5, None, None), (4, None, 2010, "x"), (5, 6, 2010, "y")], "id long, cell long, year int, note string")
+    files = spark.createDataFrame([(5, 2009, "a"), (5, 2011, "b"), (5, None, "c"), (7, 2010, "d")], "cell long, year int, file string")
+    for later, want in ((True, "b"), (False, "a")):
+        got = {r.id: (r.note, r.found_year, r.file) for r in match.with_fallback(left, files, "cell", "year", ["file"], later, ["file"]).collect()}
+        assert got[1][2] == got[2][2] == want and got[1][0] is None and len(got) == 5
+        assert got[3][2] is got[4][2] is got[5][2] is None
+
+
+def test_pairs_across_the_date_line(spark):
+    a = spark.createDataFrame([(1, 10.0, 179.9999), (2, 10.0, -179.9999), (3, 10.0, 0.0), (4, None, 179.9), (5, 89.9999, 10.0), (6, 89.9999, -170.0)], "id long, lat double, lon double")
+    got = {(r.a_id, r.b_id) for r in match.pairs_within(a, 50.0, "id", []).collect()}
+    assert got == {(1, 2), (5, 6)}
+    wide = {(r.a_id, r.b_id) for r in match.pairs_within(a.filter("id < 4"), 3e7, "id", []).collect()}
+    assert wide == {(1, 2), (1, 3), (2, 3)}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.floats(-80, 80), st.floats(-180, 180)), min_size=2, max_size=12), st.sampled_from([1e4, 1e6, 5e6]))
+def test_within_equals_brute_force(spark, places, radius):
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id long, lat double, lon double")
+
+    def metres(p, q):
+        dx = ((q[1] - p[1] + 540) % 360 - 180) * np.cos(np.radians((p[0] + q[0]) / 2))
+        return np.hypot(dx, q[0] - p[0]) * 111_320.0
+
+    got = {(r.a_id, r.b_id) for r in match.pairs_within(df, radius, "id", []).collect()}
+    want = {(i, j) for i, p in enumerate(places) for j, q in enumerate(places) if i < j and metres(p, q) <= radius * (1 - 1e-9)}
+    most = {(i, j) for i, p in enumerate(places) for j, q in enumerate(places) if i < j and metres(p, q) <= radius * (1 + 1e-9)}
+    assert want <= got <= most
+
+
+def test_neighbours_of_rows_without_coordinates(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, 0.0, 179.0)], "id long, lat double, lon double")
+    right = spark.createDataFrame([(7, 0.0, 1.0), (8, 0.0, -179.0), (9, None, None)], "to long, lat double, lon double")
+    got = {(r.id, r.k_rank): r.to for r in match.nearest_k(left, right, 2, "id", "to", 1000.0).collect()}
+    assert got == {(1, 1): 7, (1, 2): 8, (3, 1): 8, (3, 2): 7}
+    assert match.nearest_k(left, right.limit(0), 2, "id", "to", 1000.0).count() == 0
+
+
+def test_row_queries_and_expressions(spark):
+    df = spark.createDataFrame([(1, "a == b", 4.0, 0.0), (2, "it's", 9.0, 3.0), (3, None, 8.0, 2.0)], "id long, t string, x double, y double")
+    ids = lambda q: sorted(r.id for r in df.filter(extra.where(q)).collect())
+    assert ids('t == "a == b"') == [1] and ids('t == "it\'s" or id in [3]') == [2, 3] and ids("t.isna()") == [3]
+    v = lambda e: [r.v for r in extra.computed(df, "v", e).orderBy("id").collect()]
+    assert v("(x / 2) / y") == [None, 1.5, 2.0] and v("x / (y / 2)") == [None, 6.0, 8.0] and v("x / y / 2 + 1") == [None, 2.5, 3.0]
+    assert v("length('a/b') / 1.0") == [3.0] * 3
+
+
+def test_locations_found_again(spark):
+    from terravane.operators import funnel as fn
+
+    lat, lon = 41.25, -105.5
+    s = fn.utm_of(spark.createDataFrame([(lat, lon)], "lat double, lon double")).first()
+    rows = [("plain", str(lon), str(lat), None), ("sign", str(-lon), str(lat), None), ("own", str(s.x), str(s.y), "13"), ("none", str(s.x), str(s.y), "0"), ("wrong", str(s.x), str(s.y), "11"), ("swapped", str(s.y), str(s.x), "13"), ("empty", None, "1", "13"), ("text", "n/a", "x", None)]
+    df = spark.createDataFrame(rows, "id string, x string, y string, z string")
+    got = {r.id: r for r in fn.located(df, "x", "y", "z", (-106.0, -105.0, 41.0, 41.5)).collect()}
+    for k in ("plain", "sign", "own", "none", "wrong", "swapped"):
+        assert (got[k].lat, got[k].lon) == (pytest.approx(lat, abs=1e-6), pytest.approx(lon, abs=1e-6)), k
+    assert {k: got[k].location_flags for k in got} == {
+        "plain": "", "sign": "lon_sign_assumed", "own": "", "none": "utm_zone_inferred", "wrong": "utm_zone_corrected", "swapped": "utm_xy_swapped", "empty": "no_coordinates", "text": "no_coordinates",
+    }
+    order = fn.located(spark.createDataFrame([("41.25", "80.5", "17")], "x string, y string, z string"), "x", "y", "z", (-81.0, -80.0, 41.0, 41.5)).first()
+    assert (order.lat, order.lon, order.location_flags) == (41.25, -80.5, "latlon_swapped_lon_sign_assumed")
+
+
+def test_smooth_rasters_and_colours(spark):
+    from terravane.operators import augment
+
+    g = np.full((6, 5), 3.0)
+    assert cloud.blurred(g, 1.5) == pytest.approx(g)
+    spike = np.zeros((21, 21))
+    spike[10, 10] = 1.0
+    b = cloud.blurred(spike, 1.5)
+    assert b.sum() == pytest.approx(1) and b[10, 11] / b[10, 10] == pytest.approx(np.exp(-1 / 4.5))
+    rows = [("u", i, j, 5.0 + i, None if (i, j) == (1, 1) else 2.0, None, 1.0, 10.0 * (1 + i)) for i in range(4) for j in range(4)]
+    cells = spark.createDataFrame(rows, "u string, i long, j long, dsm double, dtm double, chm double, density double, intensity double")
+    got = {(r.i, r.j): r for r in cloud.smooth_rasters(cells, "u").collect()}
+    assert got[1, 1].dtm == pytest.approx(2) and got[3, 0].chm == pytest.approx(6) and got[0, 0].intensity == pytest.approx(10 / 25)
+    df = spark.createDataFrame([(c, k, (k * 37) % 256, (k * 91) % 256, (k * 53 + 7) % 256) for c in range(3) for k in range(60)], "cloud long, k long, r int, g int, b int")
+    same = augment.colour_turned(df, "cloud", 1, 0.0, 0.0).join(df.select("cloud", "k", *(F.col(c).alias(f"{c}0") for c in "rgb")), ["cloud", "k"])
+    assert same.agg(*(F.max(F.abs(F.col(c) - F.col(f"{c}0"))).alias(c) for c in "rgb")).first() == pytest.approx((0, 0, 0), abs=1e-9)
+    for out in (augment.colour_turned(df, "cloud", 1, 0.2, 0.3), augment.colour_scaled(df, "cloud", 1, 0.2, 0.2, 0.2)):
+        assert out.filter("r < 0 OR r > 255.001 OR g < 0 OR g > 255.001 OR b < 0 OR b > 255.001").count() == 0
+    one = augment.colour_scaled(df, "cloud", 1, 0.0, 0.0, 0.0).join(df.select("cloud", "k", F.col("r").alias("r0")), ["cloud", "k"])
+    assert one.filter("abs(r - r0) > 1e-9").count() == 0
+
+
+def test_hilbert_way_back():
+    xyz = np.random.default_rng(2).integers(0, 64, (500, 3))
+    assert (cloud.hilbert_coords(cloud.hilbert_index(xyz, 6), 6) == xyz).all()
+    order = cloud.hilbert_coords(np.arange(512), 3)
+    assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
+
+
+def test_fixed_values_by_group(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, "a", None), (2, "b", 3)], "g long, x string, y int")
+    assert sorted(tuple(r) for r in labels.unchanging(df, "g", ["x", "y"]).collect()) == [(1, "a", None), (2, "b", 3)]
+    with pytest.raises(Exception, match="several values for 1"):
+        labels.unchanging(df.union(spark.createDataFrame([(1, "c", None)], df.schema)), "g", ["x"]).collect()
+
+
+def test_pooled_spread_and_edges(spark):
+    rows = [("u", b, di, dj, 1.0 if (di, dj) == ((1, 0) if b < 9 else (-1, 1)) else 0.1 * b) for b in range(10) for di in (-1, 0, 1) for dj in (-1, 0, 1)]
+    best, sd = raster.pooled_peak(spark.createDataFrame(rows, "u string, b long, di int, dj int, r double"), "u", "b")
+    assert tuple(best.select("di", "dj").first()) == (1, 0) and sd.first().sd_i < 1
+    grid = spark.createDataFrame([("u", i, j, float((i > 4) * 10), float(j)) for i in range(10) for j in range(10)], "u string, i long, j long, a double, b double")
+    edges = raster.edge_stack(grid, "u", ["a", "b"], 1.0, 2)
+    got = {(r.i, r.j): r.a for r in edges.collect()}
+    assert got[5, 5] > 1 > 0 > got[2, 5] and edges.columns == ["u", "i", "j", "a", "b"]
+
+
+def test_tasks_cover_the_surveyed_ones(spark):
+    from terravane.plans import tasks
+
+    assert len(tasks.SPECS) == 15 and len({t.name for t in tasks.SPECS}) == 15 and {t.kind for t in tasks.SPECS} == set(tasks.KINDS)
+    named = {t.name: t for t in tasks.SPECS}
+    birds = spark.createDataFrame([(1.0, 2.0, 2015, False, 0, 4, "x"), (1.0, 3.0, 2030, True, 2, 0, "y")], "lat double, lon double, year int, is_test boolean, crow int, wren int, route string")
+    f = named["bbs_occurrence"].frame(birds, "lat", "lon", "is_test", ["lat", "lon", "year", "is_test", "route"])
+    assert f.columns == ["lat", "lon", "year", "emb_year", "is_test", "crow", "wren"]
+    assert sorted(tuple(r)[3:] for r in f.collect()) == [(2017, False, 0, 1), (2025, True, 1, 0)] and tasks.clipped_share(f).first()[0] == 1
+    plots = spark.createDataFrame([(1.0, 2.0, 2018, False, 5.0, 7, "p"), (1.0, 2.0, 2018, False, 5.0, 7, None)], "lat double, lon double, year int, is_test boolean, basal_area_m2ha double, total_trees int, product_name_AWS string")
+    assert named["ofo_trees"].frame(plots, "lat", "lon", "is_test", []).count() == 1
+
+
+def test_small_tables_only_as_markdown(spark):
+    assert src.markdown(spark.range(2)).count("|") == 8
+    with pytest.raises(ValueError):
+        src.markdown(spark.range(5), most=4)
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from terravane import runtime
+
+    sc = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda *_: None), master="spark://host:7077")
+    with pytest.raises(ValueError):
+        runtime.shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
