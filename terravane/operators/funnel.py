@@ -88,23 +88,23 @@ def located(df: DataFrame, x: str, y: str, zone: str, box: Box | None, near: flo
     degrees = (F.abs(a) <= 180) & (F.abs(b) <= 90)
     away = lambda lat, lon: F.sqrt(F.pow(F.greatest(F.lit(w) - lon, lon - F.lit(e), F.lit(0.0)), F.lit(2)) + F.pow(F.greatest(F.lit(s) - lat, lat - F.lit(n), F.lit(0.0)), F.lit(2)))
 
-    def option(rank: int, ok: Column, lat: Column, lon: Column, flag: Column | str) -> Column:
-        return F.when(ok, F.struct(F.round(away(lat, lon), 9).alias("d"), F.lit(rank).alias("rank"), lat.alias("lat"), lon.alias("lon"), (F.lit(flag) if isinstance(flag, str) else flag).alias("flag")))
-
-    plain = [option(0, degrees, b, a, ""), option(1, degrees & (a >= 17) & (F.abs(b) <= 72), b, -a, "lon_sign_assumed"), option(2, degrees & (F.abs(a) < 72) & (F.abs(b) > 60), F.abs(a), -F.abs(b), "latlon_swapped_lon_sign_assumed")]
-    to = lambda z: geo.inverse_transverse_mercator(a, b, z * 6 - 183)
-    lat0, lon0 = to(own)
+    def option(rank: Column, ok: Column, lat: Column, lon: Column, flag: Column) -> Column:
+        return F.when(ok, F.struct(F.round(away(lat, lon), 9).alias("d"), rank.alias("rank"), lat.alias("lat"), lon.alias("lon"), flag.alias("flag")))
+
+    at = lambda k, ok, lat, lon, flag: option(F.lit(k), ok, lat, lon, F.lit(flag))
+    plain = F.array(at(0, degrees, b, a, ""), at(1, degrees & (a >= 17) & (F.abs(b) <= 72), b, -a, "lon_sign_assumed"), at(2, degrees & (F.abs(a) < 72) & (F.abs(b) > 60), F.abs(a), -F.abs(b), "latlon_swapped_lon_sign_assumed"))
+    # the row's own zone first, then those around the box: one expression for all, however many they are
+    zones = [z for z in range(int((w + 180) // 6), int((e + 180) // 6) + 3) if 1 <= z <= 60] if box else []
+    flag = F.when(own.isNull(), "utm_zone_inferred").otherwise("utm_zone_corrected")
+    place = lambda z: F.struct(z.alias("z"), *(c.alias(n) for c, n in zip(geo.inverse_transverse_mercator(a, b, z * 6 - 183), ("lat", "lon"), strict=True)))
+    df = df.withColumn("_grid", F.when(~degrees, F.transform(F.filter(F.array(own, *map(F.lit, zones)), lambda z: z.isNotNull()), place)))
+    good = own.isNotNull() & F.coalesce(away(F.col("_grid")[0]["lat"], F.col("_grid")[0]["lon"]) <= near, F.lit(False))
+    grid = F.transform(F.coalesce("_grid", F.array()), lambda g, i: option(i, F.when(own.isNull(), True).otherwise((i == 0) | (~good & (g["z"] != own))), g["lat"], g["lon"], F.when((i == 0) & own.isNotNull(), F.lit("")).otherwise(flag)))
+    tried = F.array_sort(F.filter(F.concat(plain, grid), lambda o: o.isNotNull()))
     metres = ~degrees
-    grid = [option(0, metres & own.isNotNull(), lat0, lon0, "")]
-    wrong = own.isNull() | (away(lat0, lon0) > near)
-    for i, z in enumerate(z for z in range(int((w + 180) // 6), int((e + 180) // 6) + 3) if 1 <= z <= 60):
-        lat, lon = to(F.lit(z))
-        flag = F.when(own.isNull(), "utm_zone_inferred").otherwise("utm_zone_corrected")
-        grid.append(option(i + 1, metres & wrong & ~own.eqNullSafe(F.lit(z)), lat, lon, flag))
-    tried = F.array_sort(F.filter(F.array(*plain, *(grid if box else grid[:1])), lambda o: o.isNotNull()))
     out = df.withColumn("_best", F.try_element_at(tried, F.lit(1)))
     flags = [F.when(a.isNull() | b.isNull(), "no_coordinates"), F.when(swap, "utm_xy_swapped"), F.nullif(F.col("_best.flag"), F.lit("")), F.when(metres & F.col("_best").isNull(), "utm_zone_missing"), F.when(F.col("_best.d") > near, "outside_box")]
-    return out.withColumns({"lat": F.col("_best.lat"), "lon": F.col("_best.lon"), "box_distance": F.col("_best.d"), "location_flags": F.array_join(F.array_compact(F.array(*flags)), ";")}).drop("_best")
+    return out.withColumns({"lat": F.col("_best.lat"), "lon": F.col("_best.lon"), "box_distance": F.col("_best.d"), "location_flags": F.array_join(F.array_compact(F.array(*flags)), ";")}).drop("_best", "_grid")
 
 
 def projection_ranking(df: DataFrame, candidates: dict[str, tuple[Column, Column]], box: Box) -> DataFrame:

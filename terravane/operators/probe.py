@@ -33,6 +33,16 @@ def scoreable(df: DataFrame, label: str, is_test: str, least: int) -> DataFrame:
     return df.groupBy(label).agg(F.count_if(~F.col(is_test)).alias("train"), F.count_if(is_test).alias("test")).filter((F.col("train") >= least) & (F.col("test") >= least))
 
 
+def scoreable_loosely(df: DataFrame, label: str, part: str, train: str, tests: list[str], least: int) -> DataFrame:
+    """(label, n_train, n_<test> of each test part, strict, loose): whether a class has enough rows in train and in each test part, or in all of them together."""
+    n = df.groupBy(label).agg(F.count_if(F.col(part) == train).alias("n_train"), *(F.count_if(F.col(part) == t).alias(f"n_{t}") for t in tests))
+    own = F.col("n_train") >= least
+    each, total = own, F.lit(0)
+    for t in tests:
+        each, total = each & (F.col(f"n_{t}") >= least), total + F.col(f"n_{t}")
+    return n.withColumns({"strict": each, "loose": own & (total >= least)})
+
+
 def gramian(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(i, j, value) of X'X and X'y for [1, features, target], upper triangle, in one aggregation."""
     terms = {"one": F.lit(1.0), **{f: F.col(f).cast("double") for f in features}, target: F.col(target).cast("double")}
@@ -87,6 +97,31 @@ def logistic_scores(df: DataFrame, vector: str, label: str, is_test: str, key: s
     return fit.transform(rows.filter(is_test)).select(key, F.col(label).alias("truth"), F.col("prediction").cast(df.schema[label].dataType).alias("predicted"))
 
 
+def sigmoid_scores(df: DataFrame, vector: str, targets: list[str], is_test: str, key: str, l2: float) -> DataFrame:
+    """(key, target, truth, predicted) on test rows: for each 0/1 column its own fit, both classes of the same weight.
+
+    Rows whose label is missing are left out of that column's fit; a column with one class only in train predicts its share."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.select(key, is_test, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"), *targets)
+    train = rows.filter(~F.col(is_test))
+    counts = train.agg(*(f.alias(f"{n}_{t}") for t in targets for n, f in (("n", F.count(t)), ("p", F.sum(t))))).first()
+    out = None
+    for t in targets:
+        n, p = counts[f"n_{t}"], counts[f"p_{t}"] or 0
+        test = rows.filter(is_test)
+        if 0 < p < n:
+            own = train.filter(F.col(t).isNotNull()).withColumns({"label": F.col(t).cast("double"), "w": F.when(F.col(t) == 1, n / (2 * p)).otherwise(n / (2 * (n - p)))})
+            fit = LogisticRegression(regParam=l2, weightCol="w", standardization=False, maxIter=100).fit(own.select("features", "label", "w"))
+            score = vector_to_array("probability")[1]
+            one = fit.transform(test).select(key, F.lit(t).alias("target"), F.col(t).alias("truth"), score.alias("predicted"))
+        else:
+            one = test.select(key, F.lit(t).alias("target"), F.col(t).alias("truth"), F.lit(p / n if n else 0.0).alias("predicted"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def chosen_l2(df: DataFrame, features: list[str], target: str, key: str, grid: list[float], k: int = 3, seed: int = 11) -> float:
     """The penalty with the least mean squared error over hash folds, the stronger on ties."""
     fold = F.pmod(F.conv(F.substring(seeded_order(F.col(key), seed), 1, 8), 16, 10).cast("long"), F.lit(k))

@@ -86,6 +86,70 @@ def mutual_information(left: DataFrame, right: DataFrame, by: str, reach: int, b
     return joint.groupBy(by, "di", "dj").agg(F.sum(term).alias("mi"), F.max("n").alias("n"))
 
 
+def regression_surface(stack: DataFrame, target: DataFrame, by: str, layers: list[str], reach: int, l2: float = 1e-3) -> DataFrame:
+    """(by, di, dj, r2, n): how much of target (value) at (i + di, j + dj) a linear model of the layers at (i, j) explains, for all small shifts.
+
+    Sums of products come from one aggregation; each shift's small system is solved in a task."""
+    step = F.sequence(F.lit(-reach), F.lit(reach))
+    moved = stack.select(by, "i", "j", *layers).withColumn("di", F.explode(step)).withColumn("dj", F.explode(step))
+    moved = moved.select(by, "di", "dj", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), *(F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(layers)))
+    both = moved.join(target.select(by, "i", "j", F.col("value").cast("double").alias("_y")), [by, "i", "j"])
+    terms = [F.lit(1.0), *(F.col(f"_x{k}") for k in range(len(layers))), F.col("_y")]
+    m = len(terms)
+    sums = both.groupBy(by, "di", "dj").agg(*(F.sum(terms[a] * terms[b]).alias(f"g{a}_{b}") for a in range(m) for b in range(a, m)))
+
+    def solve(parts):
+        for p in parts:
+            out = []
+            for r in p.to_dict("records"):
+                g = np.array([[r[f"g{min(a, b)}_{max(a, b)}"] for b in range(m)] for a in range(m)])
+                n = g[0, 0]
+                w = np.linalg.solve(g[:-1, :-1] + np.diag([0.0] + [l2 * n] * (m - 2)), g[:-1, -1])
+                spread = g[-1, -1] - g[0, -1] ** 2 / n
+                left = g[-1, -1] - 2 * w @ g[:-1, -1] + w @ g[:-1, :-1] @ w
+                out.append((r[by], r["di"], r["dj"], 1 - left / spread if spread > 1e-12 else None, int(n)))
+            yield pd.DataFrame(out, columns=[by, "di", "dj", "r2", "n"])
+
+    kind = stack.schema[by].dataType.simpleString()
+    return sums.mapInPandas(solve, f"{by} {kind}, di int, dj int, r2 double, n long")
+
+
+def fitted_field(shifts: DataFrame, by: str) -> DataFrame:
+    """(by, a to f): the displacement dx = a + b x + c y, dy = d + e x + f y of least weighted squares over matched places
+    (x, y, dx, dy, w); a constant one where places lie on a line. One aggregation, then a closed form."""
+    s = lambda e: F.sum(F.expr(e))
+    mean = shifts.groupBy(by).agg(s("w").alias("sw"), *((s(f"w * {c}") / s("w")).alias(f"m{c}") for c in ("x", "y", "dx", "dy")))
+    near = shifts.join(mean, by).selectExpr(by, "w AS _w", "x - mx AS _x", "y - my AS _y", "dx - mdx AS _u", "dy - mdy AS _v")
+    sums = near.groupBy(by).agg(*(s(f"_w * _{a} * _{b}").alias(f"{a}{b}") for a, b in ("xx", "xy", "yy", "xu", "yu", "xv", "yv")))
+    d = F.expr("xx * yy - xy * xy")
+    flat = d <= F.expr("1e-12 * (xx * yy + 1e-30)")
+    part = lambda e: F.when(flat, 0.0).otherwise(F.try_divide(F.expr(e), d))
+    both = sums.join(mean, by).withColumns({"b": part("xu * yy - yu * xy"), "c": part("yu * xx - xu * xy"), "e": part("xv * yy - yv * xy"), "f": part("yv * xx - xv * xy")})
+    return both.selectExpr(by, "mdx - b * mx - c * my AS a", "b", "c", "mdy - e * mx - f * my AS d", "e", "f")
+
+
+def resampled(grid: DataFrame, models: DataFrame, by: str, value: str, cell: float) -> DataFrame:
+    """(by, i, j, value): each cell's value at the place where its displacement leads, by the nearest cell; null outside."""
+    from terravane.operators.extra import displaced
+
+    x, y = (F.col("i") + 0.5) * cell, (F.col("j") + 0.5) * cell
+    to_x, to_y = displaced(x, y, F.col("_m"))
+    moved = grid.select(by, "i", "j").join(models.select(by, F.struct("a", "b", "c", "d", "e", "f").alias("_m")), by, "left")
+    moved = moved.select(by, "i", "j", F.floor(to_x / cell).cast("long").alias("si"), F.floor(to_y / cell).cast("long").alias("sj"))
+    return moved.join(grid.select(by, F.col("i").alias("si"), F.col("j").alias("sj"), value), [by, "si", "sj"], "left").select(by, "i", "j", value)
+
+
+def compared_methods(left: DataFrame, right: DataFrame, by: str, methods: dict, truth: tuple[int, int]) -> DataFrame:
+    """(method, n, exact, rms): how often and how far each method's shift (by, di, dj) misses a known one."""
+    out = None
+    for name, method in methods.items():
+        found = method(left, right).select("di", "dj")
+        miss = F.pow(F.col("di") - truth[0], F.lit(2)) + F.pow(F.col("dj") - truth[1], F.lit(2))
+        one = found.agg(F.count("*").alias("n"), F.count_if(miss == 0).alias("exact"), F.sqrt(F.avg(miss)).alias("rms")).select(F.lit(name).alias("method"), "n", "exact", "rms")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def pooled_peak(surfaces: DataFrame, by: str, block: str, draws: int = 200, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(by, di, dj, r: surfaces averaged over blocks and their best shift; by, sd_i, sd_j: its spread when blocks are drawn anew).
 

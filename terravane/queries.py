@@ -221,7 +221,21 @@ def utm_zones(spark, sf):
     return funnel.utm_of(views.sites(spark, sf)).select("site_id", "zone")
 
 
-@query()
+def _series(terms: list[float], inner: str) -> str:
+    return " + ".join(f"({w!r}) * {inner.format(k=2 * j)}" for j, w in enumerate(terms, 1))
+
+
+_N = 1 / (2 * geo.INV_F - 1)
+_RADIUS = 0.9996 * geo.A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_ALPHA = [_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240]
+_C = 2 * _N**0.5 / (1 + _N)
+
+
+@query(f"""WITH z AS (SELECT *, CAST(CAST(FLOOR((lon + 180)/6) AS BIGINT) % 60 + 1 AS INT) AS zone FROM v_sites),
+t AS (SELECT *, radians(lon - (zone*6 - 183)) AS l, sinh(atanh(sin(radians(lat))) - {_C!r} * atanh({_C!r} * sin(radians(lat)))) AS t FROM z),
+u AS (SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l)/sqrt(1 + t*t)) AS eta FROM t)
+SELECT site_id, zone, round(500000.0e0 + {_RADIUS!r} * (eta + {_series(_ALPHA, "cos({k}*xi)*sinh({k}*eta)")}), 3) AS x, round({_RADIUS!r} * (xi + {_series(_ALPHA, "sin({k}*xi)*cosh({k}*eta)")}), 3) AS y,
+ round(lat, 7) AS lat, round(lon, 7) AS lon FROM u""")
 def utm_round_trip(spark, sf):
     s = funnel.utm_of(views.sites(spark, sf))
     lat, lon = geo.inverse_transverse_mercator(F.col("x"), F.col("y"), F.col("zone") * 6 - 183)
@@ -559,9 +573,15 @@ def linear_probe_logistic(spark, sf):
     return probe.logistic_scores(_embeddings(spark, sf), "embedding", "label", "is_test", "vec_id", 1e-3)
 
 
-@query()
+_WAVES = embed.fourier_weights(16, 8.0, 3)
+
+
+@query(f"""WITH s AS (SELECT site_id, cos(radians(lat))*cos(radians(lon)) AS x, cos(radians(lat))*sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM v_sites),
+w AS (SELECT * FROM (VALUES {", ".join(f"({i}, {float(a)!r}, {float(b)!r}, {float(c)!r})" for i, (a, b, c) in enumerate(_WAVES))}) t(i, a, b, c))
+SELECT site_id, CAST(i + 16*k AS INT) AS i, round(CASE k WHEN 0 THEN cos(a*x + b*y + c*z) ELSE sin(a*x + b*y + c*z) END, 6) AS feature FROM s, w, (VALUES (0), (1)) v(k)""")
 def location_fourier_features(spark, sf):
-    return views.sites(spark, sf).select("site_id", embed.fourier_features(F.col("lat"), F.col("lon"), 16, 8.0, 3).alias("features"))
+    f = views.sites(spark, sf).select("site_id", embed.fourier_features(F.col("lat"), F.col("lon"), 16, 8.0, 3).alias("features"))
+    return _rounded(f.select("site_id", F.posexplode("features").alias("i", "feature")))
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(v, lambda x: CASE WHEN floor(x*100) <> -128 THEN sign(floor(x*100)) * pow(floor(x*100)/127.5e0, 2) END)), 6) AS total FROM v_emb""")

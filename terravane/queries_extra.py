@@ -220,9 +220,18 @@ def fully_covered_cells(spark, sf):
     return extra.covered_cells(views.footprints(spark, sf), "name", 1.0, 1 - 1e-9).select("name", "i", "j")
 
 
-@query()
+_TOP = "least(j + 1, cy + h/2*(1 - abs(x - cx)/(w/2)))"
+_BOTTOM = "greatest(j, cy - h/2*(1 - abs(x - cx)/(w/2)))"
+
+
+@query(f"""WITH c AS (SELECT name, xmin + w/2 AS cx, ymin + h/2 AS cy, w, h, unnest(range(CAST(floor(xmin) AS BIGINT), CAST(floor(xmin + w) AS BIGINT) + 1)) AS i, ymin FROM v_footprints),
+d AS (SELECT name, cx, cy, w, h, i, unnest(range(CAST(floor(ymin) AS BIGINT), CAST(floor(ymin + h) AS BIGINT) + 1)) AS j FROM c),
+b AS (SELECT *, list_sort(list_distinct(list_transform([i, i + 1, cx, cx - w/2, cx + w/2, cx - w/2*(1 - abs(j - cy)/(h/2)), cx + w/2*(1 - abs(j - cy)/(h/2)), cx - w/2*(1 - abs(j + 1 - cy)/(h/2)), cx + w/2*(1 - abs(j + 1 - cy)/(h/2))], lambda v: least(greatest(v, i), i + 1)))) AS xs FROM d),
+p AS (SELECT name, i, j, cx, cy, w, h, unnest(xs) AS x, generate_subscripts(xs, 1) AS k FROM b), f AS (SELECT *, greatest({_TOP} - {_BOTTOM}, 0) AS t FROM p),
+s AS (SELECT a.name, a.i, a.j, sum((b.x - a.x)*(a.t + b.t)/2) AS share FROM f a JOIN f b ON a.name = b.name AND a.i = b.i AND a.j = b.j AND b.k = a.k + 1 GROUP BY 1, 2, 3)
+SELECT name, i, j, round(share, 6) AS share FROM s WHERE share >= 0.25 - 1e-9""")
 def half_covered_cells(spark, sf):
-    return extra.covered_cells(views.footprints(spark, sf), "name", 1.0, 0.25)
+    return _rounded(extra.covered_cells(views.footprints(spark, sf), "name", 1.0, 0.25 - 1e-9))
 
 
 @query(f"""WITH RECURSIVE {_GRID}, h AS (SELECT cloud_id, i, j, value, i * 1000 + j AS id FROM g WHERE value > 27.0e0),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import geo
 from terravane.functions import text as tx
-from terravane.operators import augment, cloud, embed, extra, funnel, labels, match, raster, splits
+from terravane.operators import augment, cloud, embed, extra, funnel, labels, match, probe, raster, splits
 from terravane.plans import tasks, views
 from terravane.queries import _PK, _embeddings, _neighbours, _rounded, query
 from terravane.queries_extra import _GRID, _grid
@@ -484,6 +484,47 @@ def pooled_shift(spark, sf):
     return _rounded(raster.pooled_peak(surface, "unit", "cloud_id")[0])
 
 
+@query(f"""WITH {_GRID}, s AS (SELECT CAST(unnest(range(-1, 2)) AS INT) AS d), h AS (SELECT cloud_id, i + 1 AS i, j, 2*value + 1 AS value FROM g)
+SELECT g.cloud_id, a.d AS di, b.d AS dj, count(*) AS n, round(pow(corr(g.value, h.value), 2), 5) AS r2 FROM g, s a, s b, h WHERE h.cloud_id = g.cloud_id AND h.i = g.i + a.d AND h.j = g.j + b.d GROUP BY ALL""")
+def regression_surface(spark, sf):
+    g = _grid(spark, sf)
+    moved = g.selectExpr("cloud_id", "i + 1 AS i", "j", "2 * value + 1 AS value")
+    return _rounded(raster.regression_surface(g, moved, "cloud_id", ["value"], 1, 0.0).select("cloud_id", "di", "dj", "n", "r2"), 5)
+
+
+@query("""WITH s AS (SELECT grp, lat AS x, lon AS y, 1 + site_id % 3 AS w, site_id % 7 AS dx, site_id % 5 AS dy FROM v_sites), m AS (SELECT grp, sum(w*x)/sum(w) AS mx, sum(w*y)/sum(w) AS my, sum(w*dx)/sum(w) AS mu, sum(w*dy)/sum(w) AS mv FROM s GROUP BY grp),
+c AS (SELECT s.grp, sum(w*(x-mx)*(x-mx)) AS xx, sum(w*(x-mx)*(y-my)) AS xy, sum(w*(y-my)*(y-my)) AS yy, sum(w*(x-mx)*(dx-mu)) AS xu, sum(w*(y-my)*(dx-mu)) AS yu, sum(w*(x-mx)*(dy-mv)) AS xv, sum(w*(y-my)*(dy-mv)) AS yv FROM s JOIN m USING (grp) GROUP BY s.grp),
+k AS (SELECT grp, CASE WHEN flat THEN 0 ELSE (xu*yy - yu*xy)/d END AS b, CASE WHEN flat THEN 0 ELSE (yu*xx - xu*xy)/d END AS c, CASE WHEN flat THEN 0 ELSE (xv*yy - yv*xy)/d END AS e, CASE WHEN flat THEN 0 ELSE (yv*xx - xv*xy)/d END AS f FROM (SELECT *, xx*yy - xy*xy AS d, xx*yy - xy*xy <= 1e-12*(xx*yy + 1e-30) AS flat FROM c))
+SELECT grp, round(mu - b*mx - c*my, 4) AS a, round(b, 4) AS b, round(c, 4) AS c, round(mv - e*mx - f*my, 4) AS d, round(e, 4) AS e, round(f, 4) AS f FROM k JOIN m USING (grp)""")
+def displacement_fit(spark, sf):
+    s = views.sites(spark, sf).selectExpr("grp", "lat AS x", "lon AS y", "1 + site_id % 3 AS w", "site_id % 7 AS dx", "site_id % 5 AS dy")
+    return _rounded(raster.fitted_field(s, "grp"), 4)
+
+
+@query(f"""WITH {_GRID}, m AS (SELECT g.cloud_id, g.i, g.j, CAST(floor((i + 0.5e0) + 1.2e0 + 0.1e0*cloud_id % 3) AS BIGINT) AS si, CAST(floor((j + 0.5e0) - 0.8e0) AS BIGINT) AS sj FROM g WHERE cloud_id % 2 = 0 UNION ALL SELECT cloud_id, i, j, i, j FROM g WHERE cloud_id % 2 = 1)
+SELECT m.cloud_id, m.i, m.j, round(g.value, 6) AS value FROM m LEFT JOIN g ON g.cloud_id = m.cloud_id AND g.i = si AND g.j = sj""")
+def resampled_grid(spark, sf):
+    g = _grid(spark, sf)
+    models = g.select("cloud_id").distinct().filter("cloud_id % 2 = 0").selectExpr("cloud_id", "20 * (1.2D + 0.1D * cloud_id % 3) AS a", "0.0D AS b", "0.0D AS c", "20 * -0.8D AS d", "0.0D AS e", "CAST(NULL AS DOUBLE) AS f")
+    return _rounded(raster.resampled(g, models, "cloud_id", "value", 20.0))
+
+
+@query("SELECT m AS method, count(DISTINCT cloud_id) AS n, count(DISTINCT cloud_id) AS exact, 0.0e0 AS rms FROM v_points, (VALUES ('fft'), ('direct')) t(m) GROUP BY m")
+def shift_methods(spark, sf):
+    g = _grid(spark, sf)
+    moved = g.selectExpr("cloud_id", "i + 1 AS i", "j - 2 AS j", "value")
+    methods = {"fft": lambda a, b: raster.fft_shift(a, b, "cloud_id", 3), "direct": lambda a, b: raster.best_shift(raster.shift_surface(a, b, "cloud_id", 2), "cloud_id")}
+    return raster.compared_methods(g, moved, "cloud_id", methods, (1, -2))
+
+
+@query("""WITH p AS (SELECT label, grp, CASE WHEN site_id % 4 < 2 THEN 'train' WHEN site_id % 4 = 2 THEN 'near' ELSE 'far' END AS part FROM v_sites)
+SELECT grp, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'near') AS n_near, count(*) FILTER (part = 'far') AS n_far,
+ count(*) FILTER (part = 'train') >= 12 AND count(*) FILTER (part = 'near') >= 12 AND count(*) FILTER (part = 'far') >= 12 AS strict, count(*) FILTER (part = 'train') >= 12 AND count(*) FILTER (part <> 'train') >= 12 AS loose FROM p GROUP BY grp""")
+def scoreable_classes(spark, sf):
+    s = views.sites(spark, sf).withColumn("part", F.expr("CASE WHEN site_id % 4 < 2 THEN 'train' WHEN site_id % 4 = 2 THEN 'near' ELSE 'far' END"))
+    return probe.scoreable_loosely(s, "grp", "part", "train", ["near", "far"], 12)
+
+
 # locations
 
 

@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-def read_table(spark: SparkSession, path: str, text: bool = False, missing: str | None = None) -> DataFrame:
-    """A table by its suffix: parquet, json lines, geojson, else csv with a header (as text, where decimals matter)."""
+# fixed values: texts that stand for no value
+MISSING = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "#N/A", "-")
+
+
+def read_table(spark: SparkSession, path: str, text: bool = False, missing: tuple[str, ...] = ()) -> DataFrame:
+    """A table by its suffix: parquet, json lines, geojson, else csv with a header (as text, where decimals matter).
+
+    Values of a csv that are among missing are null, whichever of them they are; types are then inferred from the rest."""
     low = path.lower().rstrip("/")
     if low.endswith((".parquet", ".pq")):
         return spark.read.parquet(path)
@@ -20,8 +26,14 @@ def read_table(spark: SparkSession, path: str, text: bool = False, missing: str
         return features.select("f.properties.*", F.col("f.geometry").alias("geometry"))
     if low.endswith((".json", ".jsonl", ".ndjson")):
         return spark.read.json(path)
-    reader = spark.read.option("header", True).option("inferSchema", not text)
-    return (reader.option("nullValue", missing) if missing is not None else reader).csv(path)
+    raw = spark.read.option("header", True).option("inferSchema", not text and not missing).csv(path)
+    if not missing:
+        return raw
+    known = raw.select(*(F.when(~F.trim(F.col(f"`{c}`")).isin(*missing), F.col(f"`{c}`")).alias(c) for c in raw.columns))
+    if text:
+        return known
+    numeric = known.agg(*(F.bool_and(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").try_cast("double").isNotNull()).alias(c) for c in known.columns)).first()
+    return known.select(*(F.col(f"`{c}`").cast("double").alias(c) if numeric[c] else F.col(f"`{c}`") for c in known.columns))
 
 
 @dataclass

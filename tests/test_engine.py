@@ -190,11 +190,16 @@ def test_cosine_blocks_equal_one_block(spark):
     df = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(90)], "id long, v array<double>")
     q, r = df.withColumnRenamed("id", "q"), df.withColumnRenamed("id", "r")
     one = sorted(map(tuple, embed.cosine_top_k(q, r, 4, "q", "r", "v").select("q", "r", "k_rank").collect()))
-    size, embed.BLOCK = embed.BLOCK, 17
-    try:
-        assert sorted(map(tuple, embed.cosine_top_k(q, r, 4, "q", "r", "v").select("q", "r", "k_rank").collect())) == one
-    finally:
-        embed.BLOCK = size
+    for side in (1 << 30, 0):
+        old, embed.BLOCK, embed.SMALL_SIDE = (embed.BLOCK, embed.SMALL_SIDE), 17, side
+        try:
+            assert sorted(map(tuple, embed.cosine_top_k(q, r, 4, "q", "r", "v").select("q", "r", "k_rank").collect())) == one
+            assert sorted(map(tuple, embed.cosine_top_k(q, r.filter("r < 20"), 4, "q", "r", "v").select("q", "r", "k_rank").collect())) == sorted(
+                (i, j, k) for i, j, k in map(tuple, embed.cosine_top_k(q, r.filter("r < 20").repartition(3), 4, "q", "r", "v").select("q", "r", "k_rank").collect())
+            )
+        finally:
+            embed.BLOCK, embed.SMALL_SIDE = old
+    assert embed.cosine_top_k(q.limit(0), r, 4, "q", "r", "v").count() == embed.cosine_top_k(q, r.limit(0), 4, "q", "r", "v").count() == 0
 
 
 def test_clouds(spark):
@@ -610,3 +615,116 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
     sc = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda *_: None), master="spark://host:7077")
     with pytest.raises(ValueError):
         runtime.shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
+
+
+def test_collapse_of_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 5)) * [3, 1, 1, 0.1, 0.1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id long, v array<double>")
+    got = embed.collapse(df, "v", 5)
+    p = np.clip(np.linalg.eigvalsh(np.cov(x.T, bias=True)), 0, None)
+    p = p / p.sum()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosines = (u @ u.T)[np.triu_indices(80, 1)]
+    assert got["n"] == 80 and got["effective_rank"] == pytest.approx(np.exp(-(p * np.log(p)).sum()))
+    assert got["mean_sd"] == pytest.approx(x.std(0).mean()) and got["mean_cosine"] == pytest.approx(cosines.mean())
+
+
+def test_shards_and_splits_against_their_hashes(spark):
+    import hashlib
+    import zlib
+
+    rows = spark.range(200).withColumn("s", src.shard(F.col("id"))).collect()
+    assert all(r.s == zlib.crc32(str(r.id).encode()) % 256 for r in rows)
+    sites = spark.createDataFrame([(i, 25 + i * 0.37, -120 + i * 0.61) for i in range(60)], "id long, lat double, lon double")
+    for r in splits.spatial_split(sites).collect():
+        key = f"{splits.SEED}:{splits.DEGREES}:{r.block}".encode()
+        assert r.is_test == (int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "big") / 2**64 < splits.FRACTION)
+    grouped = splits.spatial_split(sites.withColumn("g", F.col("id") % 7), group="g").groupBy("g").agg(F.count_distinct("block").alias("n")).collect()
+    assert {r.n for r in grouped} == {1}
+
+
+def test_ridge_of_vectors_equals_the_closed_form(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(120, 4)), rng.normal(size=120)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i]), i % 3 == 0) for i in range(120)], "id long, v array<double>, y double, t boolean")
+    got = {r.id: r.predicted for r in probe.vector_ridge_scores(df, "v", "y", "t", "id", 0.1, 4).collect()}
+    ins = np.arange(120) % 3 > 0
+    a = np.column_stack([np.ones(ins.sum()), x[ins]])
+    w = np.linalg.solve(a.T @ a + np.diag([0.0] + [0.1 * ins.sum()] * 4), a.T @ y[ins])
+    assert got == {i: pytest.approx(w[0] + x[i] @ w[1:]) for i in range(0, 120, 3)}
+
+
+def test_sigmoid_scores(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(240, 3))
+    rows = [(i, x[i].tolist(), i % 3 == 0, int(x[i, 0] > 0.5), int(x[i, 1] > 0) if i % 5 else None, 0) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, t boolean, a int, b int, never int")
+    got = probe.sigmoid_scores(df, "v", ["a", "b", "never"], "t", "id", 1e-3)
+    assert got.count() == 240 and got.filter("target = 'never' AND predicted <> 0").count() == 0
+    auc = {r.target: r.auroc for r in metrics.auroc(got.filter("truth IS NOT NULL"), "target", "truth", "predicted").collect()}
+    assert auc["a"] > 0.97 and auc["b"] > 0.97
+
+
+def test_walks(spark):
+    from terravane.sources import walks
+
+    pages = {None: ([1, 2], "a"), "a": ([3], "b"), "b": ([4, 5], None)}
+    assert walks.cursor_walk(pages.__getitem__, 100.0) == ([1, 2, 3, 4, 5], walks.Report(True, 3, 5, None))
+    times = iter([0.0, 1.0, 11.0])
+    rows, report = walks.cursor_walk(pages.__getitem__, 10.0, clock=lambda: next(times))
+    assert rows == [1, 2, 3] and report == walks.Report(False, 2, 3, "b")
+    assert walks.cursor_walk(pages.__getitem__, 10.0, start=report.cursor)[0] == [4, 5]
+    failures = [OSError(), OSError()]
+
+    def unsteady(cursor):
+        if failures:
+            raise failures.pop()
+        return pages[cursor]
+
+    assert walks.cursor_walk(unsteady, 100.0, pause=lambda _: None)[1].complete
+    with pytest.raises(OSError):
+        walks.cursor_walk(lambda _: (_ for _ in ()).throw(OSError("gone")), 1.0, pause=lambda _: None)
+    listing = {None: {"contents": [{"key": "p/a", "bytes": 3}], "folders": ["p/x/"], "next": "t"}, "t": {"contents": [{"key": "p/b", "bytes": "4"}], "folders": ["p/x/", "p/y/"]}}
+    df, folders, report = walks.listed_objects(spark, lambda _, token: listing[token], "p/")
+    assert sorted(tuple(r) for r in df.collect()) == [("p/a", 3), ("p/b", 4)] and folders == ["p/x/", "p/y/"] and report.complete
+
+
+def test_sheets(spark, tmp_path):
+    import zipfile
+
+    from terravane.sources import walks
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="one" sheetId="1" r:id="r1"/><sheet name="two" sheetId="2" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/s1.xml"/><Relationship Id="r2" Target="/xl/worksheets/s2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>name</t></si><si><r><t>va</t></r><r><t>lue</t></r></si><si><t>oak &amp; elm</t></si></sst>")
+        z.writestr("xl/worksheets/s1.xml", f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="3"><c r="A3" t="s"><v>2</v></c><c r="C3"><v>2.5</v></c></row><row r="4"><c r="C4" t="b"><v>1</v></c><c r="AA4" t="inlineStr"><is><t>far</t></is></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/s2.xml", f"<worksheet {main}><sheetData/></worksheet>")
+    cells = walks.read_sheets(spark, str(tmp_path / "*.xlsx"), "one")
+    assert sorted((r.row, r.column, r.text) for r in cells.collect()) == [(0, 0, "name"), (0, 2, "value"), (2, 0, "oak & elm"), (2, 2, "2.5"), (3, 2, "true"), (3, 26, "far")]
+    assert sorted(tuple(r) for r in walks.sheet_table(cells).collect()) == [(2, "oak & elm", "2.5"), (3, None, "true")]
+    assert walks.read_sheets(spark, str(tmp_path / "*.xlsx"), "two").count() == 0
+
+
+def test_csv_with_several_texts_for_no_value(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("id,name,v\n1,NA,2.50\n2,x, N/A \n3,-,\n")
+    typed = src.read_table(spark, str(tmp_path / "t.csv"), missing=src.MISSING)
+    assert [tuple(r) for r in typed.orderBy("id").collect()] == [(1.0, None, 2.5), (2.0, "x", None), (3.0, None, None)]
+    assert [tuple(r) for r in src.read_table(spark, str(tmp_path / "t.csv"), text=True, missing=src.MISSING).orderBy("id").collect()][0] == ("1", None, "2.50")
+
+
+def test_regression_search_finds_a_shift(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 16, 16)).cumsum(1)
+    rows = [("u", i, j, float(a[i, j]), float(b[i, j])) for i in range(16) for j in range(16)]
+    stack = spark.createDataFrame(rows, "u string, i long, j long, a double, b double")
+    target = stack.selectExpr("u", "i - 1 AS i", "j + 2 AS j", "2 * a - 3 * b + 5 AS value")
+    best = raster.regression_surface(stack, target, "u", ["a", "b"], 2, 0.0).orderBy(F.desc("r2")).first()
+    assert (best.di, best.dj) == (-1, 2) and best.r2 == pytest.approx(1)
+    field = spark.createDataFrame([("u", float(x), float(y), 1 + 0.1 * x - 0.2 * y, -2 + 0.3 * y, 1.0 + x) for x in range(4) for y in range(4)], "u string, x double, y double, dx double, dy double, w double")
+    assert tuple(raster.fitted_field(field, "u").first())[1:] == pytest.approx((1, 0.1, -0.2, -2, 0, 0.3))
+    line = field.filter("x = y")
+    flat = raster.fitted_field(line, "u").first()
+    assert (flat.b, flat.c) == (0, 0)
