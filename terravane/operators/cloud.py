@@ -158,6 +158,43 @@ def rastered(points: DataFrame, by: str, cell: float) -> DataFrame:
     return out.withColumn("chm", F.col("dsm") - F.col("dtm"))
 
 
+def mean_raster(points: DataFrame, by: list[str], cell: float, values: list[str]) -> DataFrame:
+    """(by, i, j, n, a mean for each value) of each cell: one aggregation, whatever the points' order or chunks."""
+    cells = points.groupBy(*by, F.floor(F.col("x") / cell).cast("long").alias("i"), F.floor(F.col("y") / cell).cast("long").alias("j"))
+    return cells.agg(F.count("*").alias("n"), *(F.avg(v).alias(v) for v in values))
+
+
+def held_to_percentiles(points: DataFrame, by: str, value: str, low: float, high: float) -> DataFrame:
+    """points with value held between two of its quantiles in each cloud, scaled from 0 to 1; 0 where they are equal."""
+    ends = points.groupBy(by).agg(F.percentile(value, F.lit(low)).alias("_lo"), F.percentile(value, F.lit(high)).alias("_hi"))
+    scaled = F.try_divide(F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi")) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    return points.join(ends, by).withColumn(value, F.coalesce(scaled, F.lit(0.0))).drop("_lo", "_hi")
+
+
+def raveled(points: DataFrame, by: str, axes: list[str], out: str = "ravel") -> DataFrame:
+    """points with one number for each cell of integer axes: its place in the box of its cloud's cells, last axis first."""
+    ends = points.groupBy(by).agg(*(f(a).alias(f"_{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))))
+    number = F.lit(0).cast("long")
+    for a in axes:
+        number = number * (F.col(f"_hi{a}") - F.col(f"_lo{a}") + 1) + F.col(a) - F.col(f"_lo{a}")
+    return points.join(ends, by).withColumn(out, number).drop(*(f"_{n}{a}" for a in axes for n in ("lo", "hi")))
+
+
+def random_views(points: DataFrame, by: str, widest: float, scales: list[tuple[float, float]], most: int, key: list[str], seed: int = 0) -> DataFrame:
+    """Views of each cloud as views() draws them, with radius widest * sqrt(u), u drawn between each view's two scales."""
+    from terravane.functions.text import md5_uniform
+
+    picks = [F.min_by(F.struct("x", "y"), F.struct(seeded_order(F.concat_ws("/", *key), seed + i), *key)).alias(f"c{i}") for i in range(len(scales))]
+    u = lambda i: md5_uniform(F.concat_ws("/", F.lit(f"{seed}:radius"), F.lit(str(i)), F.col(by).cast("string")))
+    radius = [widest * F.sqrt(lo + (hi - lo) * u(i)) for i, (lo, hi) in enumerate(scales)]
+    each = F.array(*(F.struct(F.col(f"c{i}.x").alias("x"), F.col(f"c{i}.y").alias("y"), r.alias("r")) for i, r in enumerate(radius)))
+    centres = points.groupBy(by).agg(*picks).select(by, F.posexplode(each).alias("view", "c"))
+    d2 = (F.col("x") - F.col("c.x")) ** 2 + (F.col("y") - F.col("c.y")) ** 2
+    near = points.join(centres, by).withColumn("radius", F.col("c.r")).withColumn("_d", d2).filter(F.col("_d") <= F.col("radius") ** 2)
+    w = Window.partitionBy(by, "view").orderBy("_d", *key)
+    return near.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n", "_d", "c")
+
+
 def filled(grid: np.ndarray, rounds: int = 1000) -> np.ndarray:
     """Cells without a value take the mean of known neighbours, ring by ring."""
     g = grid.copy()

@@ -430,7 +430,9 @@ def calibrated(rows: DataFrame, models: DataFrame, cell: float, survey: str) ->
 
 
 def covered_cells(polygons: DataFrame, key: str, cell: float, least: float) -> DataFrame:
-    """(key, i, j, share): grid cells of which a convex or concave outer ring covers at least that share (clipped exactly)."""
+    """(key, i, j, share): grid cells of which a polygon or multipolygon covers at least that share (clipped exactly).
+
+    A ring inside an odd number of other rings is a hole and counts against the cell; rings do not cross."""
 
     def clip(ring: list[tuple[float, float]], axis: int, at: float, above: bool) -> list[tuple[float, float]]:
         out = []
@@ -446,18 +448,32 @@ def covered_cells(polygons: DataFrame, key: str, cell: float, least: float) -> D
     def area(ring: list[tuple[float, float]]) -> float:
         return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True))) / 2 if len(ring) > 2 else 0.0
 
+    def inside(point: tuple[float, float], ring: list[tuple[float, float]]) -> bool:
+        (x, y), odd = point, False
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+        return odd
+
+    def signed(rings) -> list[tuple[int, list[tuple[float, float]]]]:
+        own = [[(float(v["x"]), float(v["y"])) for v in r][:-1] for r in rings]
+        return [(-1 if sum(inside(r[0], o) for o in own if o is not r) % 2 else 1, r) for r in own if len(r) > 2]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = []
-            for k, ring, i, j in zip(p[key], p["ring"], p["i"], p["j"], strict=True):
-                r = [(float(v["x"]), float(v["y"])) for v in ring][:-1]
-                for axis, n in ((0, i), (1, j)):
-                    r = clip(clip(r, axis, n * cell, True), axis, (n + 1) * cell, False) if r else r
-                share = area(r) / (cell * cell)
+            rows, known = [], {}
+            for k, rings, i, j in zip(p[key], p["rings"], p["i"], p["j"], strict=True):
+                if k not in known:
+                    known = {k: signed(rings)}  # a polygon's cells come one after the other
+                share = 0.0
+                for sign, r in known[k]:
+                    for axis, n in ((0, i), (1, j)):
+                        r = clip(clip(r, axis, n * cell, True), axis, (n + 1) * cell, False) if r else r
+                    share += sign * area(r) / (cell * cell)
                 if share >= least:
                     rows.append((k, i, j, share))
             yield pd.DataFrame(rows, columns=[key, "i", "j", "share"])
 
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long"))
-    cells = polygons.select(key, F.col("rings")[0].alias("ring"), F.explode(span("xmin", "xmax")).alias("i"), "ymin", "ymax").withColumn("j", F.explode(span("ymin", "ymax")))
-    return cells.select(key, "ring", "i", "j").mapInPandas(run, f"{key} {polygons.schema[key].dataType.simpleString()}, i long, j long, share double")
+    cells = polygons.select(key, "rings", F.explode(span("xmin", "xmax")).alias("i"), "ymin", "ymax").withColumn("j", F.explode(span("ymin", "ymax")))
+    return cells.select(key, "rings", "i", "j").mapInPandas(run, f"{key} {polygons.schema[key].dataType.simpleString()}, i long, j long, share double")

@@ -90,6 +90,15 @@ def binned(value: Column, edges: list[float], names: list[str]) -> Column:
     return out
 
 
+def coverage_by_class(attempts: DataFrame, label: str, covered: str, gap: str, most: int, by: str, cap: int, order: list) -> DataFrame:
+    """(label, attempts, covered, near, selected): rows of each class, those with a product, those within so many years,
+    and those of these that remain when each of by has at most cap, the first in order."""
+    near = F.coalesce(F.col(covered).isNotNull() & (F.col(gap) <= most), F.lit(False))
+    w = Window.partitionBy(label, by).orderBy(F.desc("_near"), *order)
+    rows = attempts.withColumn("_near", near).withColumn("_n", F.row_number().over(w))
+    return rows.groupBy(label).agg(F.count("*").alias("attempts"), F.count(covered).alias("covered"), F.count_if("_near").alias("near"), F.count_if(F.col("_near") & (F.col("_n") <= cap)).alias("selected"))
+
+
 def reconciled(days: Column, tolerance: int) -> Column:
     """What a gap of days between two sources of one date means."""
     return F.when(days.isNull(), "missing").when(F.abs(days) <= tolerance, "agrees").when(days > tolerance, "late").otherwise("early")

@@ -84,6 +84,32 @@ def gap_counts(matched: DataFrame, most: int = 5) -> DataFrame:
     return counts.select(F.expr(f"stack({most + 1}, " + ", ".join(f"{n}, n{n}" for n in range(most + 1)) + ") AS (max_gap, n_rows)"))
 
 
+def gap_counts_by(matched: DataFrame, by: str, most: int = 5) -> DataFrame:
+    """(by, max_gap, n_rows): as gap_counts for each value of a column, in one pass."""
+    counts = matched.groupBy(by).agg(*(F.count_if(F.col("gap") <= n).alias(f"n{n}") for n in range(most + 1)))
+    return counts.select(by, F.expr(f"stack({most + 1}, " + ", ".join(f"{n}, n{n}" for n in range(most + 1)) + ") AS (max_gap, n_rows)"))
+
+
+def staged_samples(left: DataFrame, right: DataFrame, key: str, year: str, value: str, passes: int) -> DataFrame:
+    """left with found_year, value and stage: right's nearest year of the key whose value is valid, of the first so many
+    years by distance (the earlier of two); stage counts the years tried, and is null where none is valid."""
+    keys = left.select(key, year).distinct()
+    r = right.select(F.col(key).alias("_key"), F.col(year).alias("_year"), F.col(value).alias("_value"))
+    near = keys.join(r, F.col(key) == F.col("_key"))
+    w = Window.partitionBy(key, year).orderBy(F.abs(F.col("_year") - F.col(year)), "_year")  # one row for each year of a key
+    tried = near.withColumn("stage", F.row_number().over(w)).filter(F.col("stage") <= passes).filter("_value IS NOT NULL")
+    best = tried.groupBy(key, year).agg(F.min_by(F.struct(F.col("_year").alias("found_year"), F.col("_value").alias(value), "stage"), "stage").alias("m"))
+    best = best.select(F.col(key).alias("_key"), F.col(year).alias("_at"), "m.*")
+    return left.join(best, (F.col(key) == F.col("_key")) & (F.col(year) == F.col("_at")), "left").drop("_key", "_at")
+
+
+def reindexed(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """One row of table for each row of keys, in nulls where it has none; of a key that repeats in table, its least row."""
+    rest = [c for c in table.columns if c != key]
+    own = table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("_r"))
+    return keys.select(key).join(own, key, "left").select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
+
+
 def with_fallback(left: DataFrame, right: DataFrame, key: str, year: str, keep: list[str], later: bool, tie: list[str]) -> DataFrame:
     """For each row of left, right's row of the same key nearest in year, else null; ties to the later or earlier year.
 

@@ -51,6 +51,11 @@ def unit_split(df: DataFrame, unit: str, fraction: float = FRACTION, seed: int =
     return uniform(df, F.concat(F.lit(f"{seed}:unit:"), F.col(unit).cast("string")), how).withColumn("is_test", F.col("u") < fraction).drop("u")
 
 
+def share_warning(df: DataFrame, fraction: float = FRACTION, slack: float = 0.05) -> DataFrame:
+    """(share, off): the test share of a split's rows, and whether it misses the fraction by more than slack."""
+    return df.agg(F.avg(F.col("is_test").cast("double")).alias("share")).withColumn("off", F.abs(F.col("share") - fraction) > slack)
+
+
 def split_report(df: DataFrame, label: str) -> DataFrame:
     """Rows of each class in train and test."""
     return df.groupBy(label).agg(F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test"))

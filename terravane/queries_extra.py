@@ -68,13 +68,13 @@ def nearest_square(spark, sf):
     return _rounded(extra.nearest_square(s, f, "site_id", "ordinal", 1.0))
 
 
-@query("""WITH a AS (SELECT cloud_id, l_orderkey AS ka, x, y, z FROM v_points WHERE l_linenumber = 1), b AS (SELECT cloud_id, l_orderkey * 100000 + l_partkey AS kb, x, y, z FROM v_points WHERE l_linenumber = 2),
+@query("""WITH a AS (SELECT cloud_id, l_orderkey AS ka, x, y, z FROM v_points WHERE l_linenumber = 1), b AS (SELECT cloud_id, l_orderkey * 100000 + l_partkey AS kb, x, y, z FROM v_points WHERE l_linenumber <> 1),
 d AS (SELECT a.cloud_id, ka, kb, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) AS d2 FROM (SELECT cloud_id, ka, min(x) AS x, min(y) AS y, min(z) AS z FROM a GROUP BY ALL) a JOIN b USING (cloud_id))
 SELECT cloud_id, ka, kb, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id, ka ORDER BY d2, kb) AS k FROM d WHERE d2 <= 400) WHERE k = 1""")
 def nearest_point_match(spark, sf):
     p = views.points(spark, sf)
     a = p.filter("l_linenumber = 1").groupBy("cloud_id", F.col("l_orderkey").alias("ka")).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.min("z").alias("z"))
-    b = p.filter("l_linenumber = 2").selectExpr("cloud_id", "l_orderkey * 100000 + l_partkey AS kb", "x", "y", "z")
+    b = p.filter("l_linenumber <> 1").selectExpr("cloud_id", "l_orderkey * 100000 + l_partkey AS kb", "x", "y", "z")
     return _rounded(extra.nearest_in_cell(a, b, "cloud_id", "ka", "kb", 20.0))
 
 
@@ -139,6 +139,14 @@ def quad_rows(spark, sf):
     return s.select("site_id", extra.quad_cell(F.col("q"))[0].alias("qi"))
 
 
+@query("""SELECT site_id, lat_d * 16 + (7 - (q - 1) // 8) * 2 + CAST(n AS INT) AS row_no, -lon_d * 16 - 16 + ((q - 1) % 8) * 2 + CAST(e AS INT) AS col_no FROM (
+  SELECT site_id, CAST(floor(lat) AS INT) AS lat_d, CAST(floor(-lon) AS INT) AS lon_d, CAST(site_id % 64 + 1 AS INT) AS q, site_id % 2 = 0 AS n, site_id % 3 = 0 AS e FROM v_sites)""")
+def quad_cells(spark, sf):
+    name = "printf('%02d%03d%02d_%s%s', CAST(floor(lat) AS INT), CAST(floor(-lon) AS INT), CAST(site_id % 64 + 1 AS INT), if(site_id % 2 = 0, 'n', 's'), if(site_id % 3 = 0, 'e', 'w'))"
+    row, col = extra.quad_cell(F.expr(name))
+    return views.sites(spark, sf).select("site_id", row.alias("row_no"), col.alias("col_no"))
+
+
 @query("""SELECT grp, CAST(sum(n) AS BIGINT) AS n, round(sum(t)/sum(n), 6) AS mean, round(CAST(sum(n) AS DOUBLE)/max(e), 6) AS coverage FROM (SELECT grp, label, count(*) AS n, sum(y) AS t, 80 AS e FROM v_sites GROUP BY ALL) GROUP BY grp""")
 def partials_merged(spark, sf):
     p = views.sites(spark, sf).groupBy("grp", "label").agg(F.count("*").alias("n"), F.sum("y").alias("t")).withColumn("e", F.lit(80))

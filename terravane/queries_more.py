@@ -8,7 +8,7 @@ from terravane.functions import geo
 from terravane.functions import text as tx
 from terravane.operators import augment, cloud, embed, extra, funnel, labels, match, probe, raster, splits
 from terravane.plans import tasks, views
-from terravane.queries import _PK, _embeddings, _neighbours, _rounded, query
+from terravane.queries import _PK, _embeddings, _matched, _neighbours, _rounded, query
 from terravane.queries_extra import _GRID, _grid
 from terravane.sources import tables as src
 from terravane.streaming import windows
@@ -331,6 +331,67 @@ def colour_noise(spark, sf):
     return _rounded(augment.composed(_coloured(spark, sf), steps).select(*KEY, "r", "g", "b"), 5)
 
 
+@query("SELECT cloud_id % 3 AS part, CAST(floor(x/2) AS BIGINT) AS i, CAST(floor(y/2) AS BIGINT) AS j, count(*) AS n, round(avg(intensity), 4) AS intensity, round(avg(hag), 6) AS hag FROM v_points GROUP BY 1, 2, 3")
+def mean_rasters(spark, sf):
+    p = views.points(spark, sf).withColumn("part", F.col("cloud_id") % 3)
+    return _rounded(cloud.mean_raster(p, ["part"], 2.0, ["intensity", "hag"]).withColumn("intensity", F.round("intensity", 4)))
+
+
+@query(f"WITH q AS (SELECT cloud_id, quantile_cont(intensity, 0.02) AS lo, quantile_cont(intensity, 0.98) AS hi FROM v_points GROUP BY 1) SELECT {_PK}, round(coalesce((least(greatest(intensity, lo), hi) - lo)/nullif(hi - lo, 0), 0), 6) AS intensity FROM v_points JOIN q USING (cloud_id)")
+def percentile_clip(spark, sf):
+    return _rounded(cloud.held_to_percentiles(views.points(spark, sf), "cloud_id", "intensity", 0.02, 0.98).select(*KEY, "intensity"))
+
+
+@query("""WITH v AS (SELECT cloud_id, CAST(floor(x/20) AS BIGINT) AS vx, CAST(floor(y/20) AS BIGINT) AS vy, CAST(floor(z/20) AS BIGINT) AS vz FROM v_points), m AS (SELECT cloud_id, min(vx) AS lx, min(vy) AS ly, max(vy) AS hy, min(vz) AS lz, max(vz) AS hz FROM v GROUP BY 1)
+SELECT cloud_id, ((vx - lx)*(hy - ly + 1) + vy - ly)*(hz - lz + 1) + vz - lz AS ravel, count(*) AS n FROM v JOIN m USING (cloud_id) GROUP BY 1, 2""")
+def raveled_voxels(spark, sf):
+    v = views.points(spark, sf).select("cloud_id", *(F.floor(F.col(a) / 20).cast("long").alias(f"v{a}") for a in "xyz"))
+    return cloud.raveled(v, "cloud_id", ["vx", "vy", "vz"]).groupBy("cloud_id", "ravel").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH s AS (SELECT * FROM (VALUES (0, 0.4e0, 1.0e0), (1, 0.05e0, 0.2e0)) t(v, lo, hi)), c AS (SELECT cloud_id, v, min(lo) AS lo, min(hi) AS hi, arg_min({{'x': x, 'y': y}}, {{'h': md5(CAST(3 + v AS VARCHAR) || ':' || {_TEXT_KEY}), 'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_suppkey, 'e': l_extendedprice}}) AS p FROM v_points, s GROUP BY ALL),
+r AS (SELECT cloud_id, v, p, 100*sqrt(lo + (hi - lo)*{_chance(3, 'radius', 'v, cloud_id')}) AS r FROM c)
+SELECT r.cloud_id, CAST(v AS INT) AS "view", round(max(r), 6) AS radius, least(count(*), 300) AS n FROM r JOIN v_points q ON q.cloud_id = r.cloud_id AND pow(q.x - r.p.x, 2) + pow(q.y - r.p.y, 2) <= r*r GROUP BY 1, 2""")
+def random_views(spark, sf):
+    v = cloud.random_views(views.points(spark, sf), "cloud_id", 100.0, [(0.4, 1.0), (0.05, 0.2)], 300, KEY[:4], 3)
+    return _rounded(v.groupBy("cloud_id", "view").agg(F.max("radius").alias("radius"), F.count("*").alias("n")))
+
+
+# matching and selection
+
+
+@query("SELECT is_test, CAST(n AS INT) AS max_gap, count(*) FILTER (gap <= n) AS n_rows FROM (SELECT m.gap, s.is_test FROM v_matched m JOIN v_split s USING (site_id)), range(6) t(n) GROUP BY 1, 2")
+def gap_counts_by_split(spark, sf):
+    return match.gap_counts_by(splits.spatial_split(_matched(spark, sf), how="md5"), "is_test")
+
+
+@query("""WITH v AS (SELECT cell, year, max(CASE WHEN file_id % 3 = 0 THEN size END) AS size FROM v_rasters GROUP BY 1, 2),
+t AS (SELECT s.site_id, v.year, v.size, row_number() OVER (PARTITION BY s.site_id ORDER BY abs(v.year - s.year), v.year) AS k FROM v_sites s JOIN v ON s.site_id % 40 = v.cell), b AS (SELECT site_id, min(k) AS k FROM t WHERE k <= 4 AND size IS NOT NULL GROUP BY 1)
+SELECT s.site_id, t.year AS found_year, round(t.size, 4) AS size, CAST(t.k AS INT) AS stage FROM v_sites s LEFT JOIN b ON b.site_id = s.site_id LEFT JOIN t ON t.site_id = b.site_id AND t.k = b.k""")
+def staged_samples(spark, sf):
+    r = views.rasters(spark, sf).groupBy("cell", "year").agg(F.max(F.expr("CASE WHEN file_id % 3 = 0 THEN size END")).alias("size"))
+    left = views.sites(spark, sf).selectExpr("site_id", "site_id % 40 AS cell", "year")
+    return match.staged_samples(left, r, "cell", "year", "size", 4).select("site_id", "found_year", F.round("size", 4).alias("size"), "stage")
+
+
+@query("SELECT s.site_id AS k, o.o_totalprice AS price FROM (SELECT site_id FROM v_sites UNION ALL SELECT site_id FROM v_sites WHERE site_id % 2 = 0) s LEFT JOIN (SELECT o_custkey, min(o_totalprice) AS o_totalprice FROM orders GROUP BY 1) o ON o.o_custkey = s.site_id")
+def reindexed_rows(spark, sf):
+    s = views.sites(spark, sf).select(F.col("site_id").alias("k"))
+    table = views.table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("price"))
+    return match.reindexed(s.union(s.filter("k % 2 = 0")), table, "k")
+
+
+@query("""WITH r AS (SELECT s.label, s.grp, s.site_id, m.name, coalesce(m.name IS NOT NULL AND m.gap <= 2, false) AS near FROM v_matched m JOIN v_sites s USING (site_id)), n AS (SELECT *, row_number() OVER (PARTITION BY label, grp ORDER BY near DESC, site_id) AS k FROM r)
+SELECT label, count(*) AS attempts, count(name) AS covered, count(*) FILTER (near) AS near, count(*) FILTER (near AND k <= 1) AS selected FROM n GROUP BY label""")
+def class_coverage(spark, sf):
+    return labels.coverage_by_class(_matched(spark, sf), "label", "name", "gap", 2, "grp", 1, ["site_id"])
+
+
+@query("SELECT round(avg(CAST(is_test AS DOUBLE)), 9) AS share, abs(avg(CAST(is_test AS DOUBLE)) - 0.5) > 0.05 AS off FROM v_split")
+def split_share(spark, sf):
+    return _rounded(splits.share_warning(splits.spatial_split(views.sites(spark, sf), how="md5")), 9)
+
+
 # scalars and columns
 
 

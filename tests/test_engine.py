@@ -449,6 +449,10 @@ def test_calibration_cover_and_shadow(spark):
     assert got == {1: (6.0, 3.5, True), 2: (15.0, 5.0, False)}
     f = footprints(spark, [("sq", 1, 2010, [ring((0.5, 0), (2, 0), (2, 1), (0.5, 1), (0.5, 0))])])
     assert {(r.i, r.j): r.share for r in extra.covered_cells(f, "name", 1.0, 0.01).collect()} == {(0, 0): 0.5, (1, 0): 1.0}
+    ring4 = ring((0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75), (0.25, 0.25))
+    core = ring((0.4, 0.4), (0.6, 0.4), (0.6, 0.6), (0.4, 0.6), (0.4, 0.4))
+    holed = footprints(spark, [("h", 1, 2010, [ring((0, 0), (2, 0), (2, 1), (0, 1), (0, 0)), ring4, core]), ("m", 2, 2010, [ring((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)), ring((4, 0), (4.5, 0), (4.5, 1), (4, 1), (4, 0))])])
+    assert {(r.name, r.i): pytest.approx(r.share) for r in extra.covered_cells(holed, "name", 1.0, 0.01).filter("j = 0").collect()} == {("h", 0): 1 - 0.25 + 0.04, ("h", 1): 1.0, ("m", 0): 1.0, ("m", 4): 0.5}
     wall = spark.createDataFrame([("u", i, 0, 10.0 if i == 3 else 0.0) for i in range(6)], "unit string, i long, j long, value double")
     depth = {r.i: r.depth for r in raster.shadow_depth(wall, "unit", 90.0, 45.0, 1.0, 5).collect()}
     assert depth[2] == pytest.approx(9) and depth[0] == pytest.approx(7) and depth[4] == 0
