@@ -144,3 +144,10 @@ def unit(v: Column) -> Column:
 def md5_uniform(key: Column) -> Column:
     """A number in [0, 1) from a text: the first 13 hexadecimal digits of its MD5, over 2**52."""
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation as an aggregate; null where either side does not vary, which is no error."""
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), F.nullif(spread, F.lit(0.0)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.functions.text import correlation
+
 from terravane.runtime import cut
 
 
@@ -70,7 +72,7 @@ def regression(df: DataFrame, target: str, truth: str, predicted: str) -> DataFr
     ranked = known.join(_ranks(known, "y", "ry"), ["target", "y"]).join(_ranks(known, "p", "rp"), ["target", "p"])
     total = F.sum(y * y) - F.sum(y) * F.sum(y) / F.count("*")
     return ranked.groupBy("target").agg(
-        F.count("*").alias("n"), (1 - F.try_divide(F.sum((y - p) * (y - p)), total)).alias("r2"), F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"), F.corr("ry", "rp").alias("spearman")
+        F.count("*").alias("n"), (1 - F.try_divide(F.sum((y - p) * (y - p)), total)).alias("r2"), F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"), correlation(F.col("ry"), F.col("rp")).alias("spearman")
     )
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravane.functions.text import correlation
 from terravane.runtime import cut
 
 
@@ -175,7 +176,7 @@ def shift_surface(left: DataFrame, right: DataFrame, by: str, reach: int) -> Dat
     moved = left.select(by, "i", "j", F.col("value").alias("a")).withColumn("di", F.explode(step)).withColumn("dj", F.explode(step))
     moved = moved.select(by, "di", "dj", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"), "a")
     both = moved.join(right.select(by, "i", "j", F.col("value").alias("b")), [by, "i", "j"])
-    return both.groupBy(by, "di", "dj").agg(F.corr("a", "b").alias("r"), F.count("*").alias("n"))
+    return both.groupBy(by, "di", "dj").agg(correlation(F.col("a"), F.col("b")).alias("r"), F.count("*").alias("n"))
 
 
 def best_shift(surface: DataFrame, by: str) -> DataFrame:
@@ -278,3 +279,77 @@ def landmarks(grid: DataFrame, by: str, value: str, above: float, least: int) ->
     labelled = high.join(components(edges, "landmarks"), "id", "left").withColumn("landmark", F.coalesce("comp", "id"))
     sums = labelled.groupBy(by, "landmark").agg(F.min(F.struct("i", "j")).alias("first"), F.count("*").alias("n"), F.avg("i").alias("ci"), F.avg("j").alias("cj"), F.max("v").alias("height"))
     return sums.filter(F.col("n") >= least).select(by, F.concat_ws("_", "first.i", "first.j").alias("landmark"), "n", "ci", "cj", "height")
+
+
+def landmark_shift(left: DataFrame, right: DataFrame, by: str, reach: float) -> DataFrame:
+    """(by, n, di, dj): the median displacement of landmarks (by, landmark, ci, cj) of two surfaces that are each other's
+    nearest within reach."""
+    from terravane.operators.extra import nearest_in_cell
+
+    flat = lambda d, k: d.select(by, F.col("landmark").alias(k), F.col("ci").alias("x"), F.col("cj").alias("y"), F.lit(0.0).alias("z"))
+    a, b = flat(left, "a"), flat(right, "b")
+    there, back = nearest_in_cell(a, b, by, "a", "b", reach).select(by, "a", "b"), nearest_in_cell(b, a, by, "b", "a", reach).select(by, "a", "b")
+    mutual = there.join(back, [by, "a", "b"])
+    both = mutual.join(a.select(by, "a", F.col("x").alias("x1"), F.col("y").alias("y1")), [by, "a"]).join(b.select(by, "b", F.col("x").alias("x2"), F.col("y").alias("y2")), [by, "b"])
+    return both.groupBy(by).agg(F.count("*").alias("n"), F.percentile(F.col("x2") - F.col("x1"), F.lit(0.5)).alias("di"), F.percentile(F.col("y2") - F.col("y1"), F.lit(0.5)).alias("dj"))
+
+
+def height_surfaces(left: DataFrame, right: DataFrame, heights: DataFrame, by: str, edges: list[float], reach: int) -> DataFrame:
+    """(by, level, di, dj, r, n): a shift surface for each class of height (i, j, value): edges[k] <= height < edges[k + 1]."""
+    level = F.lit(None).cast("int")
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        level = F.when((F.col("_h") >= lo) & (F.col("_h") < hi), k).otherwise(level)
+    classed = left.join(heights.select(by, "i", "j", F.col("value").alias("_h")), [by, "i", "j"]).withColumn("level", level).filter("level IS NOT NULL")
+    key = F.concat_ws("/", F.col(by).cast("string"), F.col("level").cast("string"))
+    levels = classed.select(by, "level").distinct().withColumn("_k", key)
+    own = classed.select(key.alias("_k"), "i", "j", "value")
+    # right is copied for each class of its unit: as many as there are edges
+    other = right.join(levels, by).select("_k", "i", "j", "value")
+    return shift_surface(own, other, "_k", reach).join(levels, "_k").select(by, "level", "di", "dj", "r", "n")
+
+
+def fitted_lean(shifts: DataFrame, by: str) -> DataFrame:
+    """(by, dx, dy, tx, ty): displacement as a shift of the ground and a lean with height, dx + tx h and dy + ty h, of least
+    weighted squares over (h, dx, dy, w); no lean where all heights are one."""
+    s = lambda e: F.sum(F.expr(e))
+    m = shifts.groupBy(by).agg(s("w").alias("sw"), s("w * h").alias("sh"), s("w * h * h").alias("shh"), s("w * dx").alias("sx"), s("w * dy").alias("sy"), s("w * h * dx").alias("shx"), s("w * h * dy").alias("shy"))
+    spread = F.expr("shh - sh * sh / sw")
+    flat = spread <= F.expr("1e-12 * (shh + 1e-30)")
+    lean = lambda c: F.when(flat, 0.0).otherwise(F.try_divide(F.expr(f"sh{c} - sh * s{c} / sw"), spread))
+    return m.withColumns({"tx": lean("x"), "ty": lean("y")}).selectExpr(by, "sx / sw - tx * sh / sw AS dx", "sy / sw - ty * sh / sw AS dy", "tx", "ty")
+
+
+def sun_surface(dsm: DataFrame, image: DataFrame, by: str, suns: list[tuple[float, float]], cell: float, reach: int) -> DataFrame:
+    """(by, azimuth, elevation, r): how the image (value) goes with the depth of shadow under each sun; a fit takes the least r.
+
+    All suns are one join: a cell's rays carry the sun's number."""
+    steps = [(float(np.sin(np.radians(a))), float(np.cos(np.radians(a))), float(np.tan(np.radians(e))) * cell, float(a), float(e)) for a, e in suns]
+    sun = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(d).alias("drop")) for i, (x, y, d, _, _) in enumerate(steps))))
+    own = dsm.select(by, "i", "j", F.col("value").alias("_own")).withColumn("s", sun)
+    rays = own.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(reach))))
+    rays = rays.select(by, "i", "j", "_own", "s", "n", F.round(F.col("i") + F.col("n") * F.col("s.x")).cast("long").alias("ti"), F.round(F.col("j") + F.col("n") * F.col("s.y")).cast("long").alias("tj"))
+    high = dsm.select(by, F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("value").alias("_high"))
+    over = rays.join(high, [by, "ti", "tj"]).groupBy(by, "i", "j", F.col("s.k").alias("k")).agg(F.max(F.col("_high") - F.col("n") * F.col("s.drop") - F.col("_own")).alias("_d"))
+    depth = own.select(by, "i", "j", F.col("s.k").alias("k")).join(over, [by, "i", "j", "k"], "left").withColumn("_d", F.greatest(F.coalesce("_d", F.lit(0.0)), F.lit(0.0)))
+    r = depth.join(image.select(by, "i", "j", F.col("value").alias("_v")), [by, "i", "j"]).groupBy(by, "k").agg(correlation(F.col("_d"), F.col("_v")).alias("r"))
+    named = lambda n: F.get(F.array(*(F.lit(t[n]) for t in steps)), F.col("k"))
+    return r.select(by, named(3).alias("azimuth"), named(4).alias("elevation"), "r")
+
+
+def sampled_pixels(pixels: DataFrame, files: DataFrame, places: DataFrame, key: str, file: str, value: str) -> DataFrame:
+    """(key, file, value): the value (file, row, col) of the pixel that each place (key, file, x, y) lies in, by the file's
+    origin and cell (file, x0, y0, cell, nodata: rows count down from y0); null outside or where it is nodata.
+
+    Places that share a pixel read it once."""
+    at = places.join(files, file).withColumns({"row": F.floor((F.col("y0") - F.col("y")) / F.col("cell")).cast("long"), "col": F.floor((F.col("x") - F.col("x0")) / F.col("cell")).cast("long")})
+    wanted = at.select(file, "row", "col").distinct()
+    found = pixels.join(wanted, [file, "row", "col"]).select(file, "row", "col", value)
+    return at.join(found, [file, "row", "col"], "left").select(key, file, F.when(~F.col(value).eqNullSafe(F.col("nodata")), F.col(value)).alias(value))
+
+
+def disc_means(pixels: DataFrame, files: DataFrame, places: DataFrame, key: str, file: str, value: str, radius: float, least: float = 4.0, most: float = 40.0) -> DataFrame:
+    """(key, n, mean): the mean of the valid pixels at the offsets of a disc around each place, n of them."""
+    from terravane.functions.geo import disc_offsets
+
+    each = places.withColumn("_o", F.explode(disc_offsets(radius, least, most))).withColumns({"x": F.col("x") + F.col("_o.dx"), "y": F.col("y") + F.col("_o.dy")}).drop("_o")
+    return sampled_pixels(pixels, files, each, key, file, value).groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))

@@ -586,6 +586,67 @@ def scoreable_classes(spark, sf):
     return probe.scoreable_loosely(s, "grp", "part", "train", ["near", "far"], 12)
 
 
+@query(f"""WITH {_GRID}, m AS (SELECT cloud_id, i || '_' || j AS k, i + 0.25e0*(j % 3) AS x, j + 0.5e0*(i % 2) AS y FROM g WHERE value > 27), n AS (SELECT cloud_id, i || '_' || j AS k, i + 1.25e0 AS x, j - 0.5e0 AS y FROM g WHERE value > 26.5),
+d AS (SELECT m.cloud_id, m.k AS a, n.k AS b, pow(m.x - n.x, 2) + pow(m.y - n.y, 2) AS d2, n.x - m.x AS dx, n.y - m.y AS dy FROM m JOIN n ON m.cloud_id = n.cloud_id AND pow(m.x - n.x, 2) + pow(m.y - n.y, 2) <= 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, a ORDER BY d2, b) AS ka, row_number() OVER (PARTITION BY cloud_id, b ORDER BY d2, a) AS kb FROM d)
+SELECT cloud_id, count(*) AS n, round(quantile_cont(dx, 0.5), 6) AS di, round(quantile_cont(dy, 0.5), 6) AS dj FROM r WHERE ka = 1 AND kb = 1 GROUP BY 1""")
+def landmark_shift(spark, sf):
+    g = _grid(spark, sf).withColumn("landmark", F.concat_ws("_", "i", "j"))
+    a = g.filter("value > 27").selectExpr("cloud_id", "landmark", "i + 0.25D * (j % 3) AS ci", "j + 0.5D * (i % 2) AS cj")
+    b = g.filter("value > 26.5").selectExpr("cloud_id", "landmark", "i + 1.25D AS ci", "j - 0.5D AS cj")
+    return _rounded(raster.landmark_shift(a, b, "cloud_id", 2.0))
+
+
+@query(f"""WITH {_GRID}, s AS (SELECT CAST(unnest(range(-1, 2)) AS INT) AS d), h AS (SELECT cloud_id, i, j, value*value AS value FROM g), l AS (SELECT *, CAST(CASE WHEN value >= 20 AND value < 25 THEN 0 WHEN value >= 25 AND value < 30 THEN 1 END AS INT) AS level FROM g)
+SELECT l.cloud_id, level, a.d AS di, b.d AS dj, count(*) AS n, CASE WHEN stddev_pop(l.value) > 0 AND stddev_pop(h.value) > 0 THEN round(corr(l.value, h.value), 5) END AS r FROM l, s a, s b, h WHERE level IS NOT NULL AND h.cloud_id = l.cloud_id AND h.i = l.i + a.d AND h.j = l.j + b.d GROUP BY ALL""")
+def height_surfaces(spark, sf):
+    g = _grid(spark, sf)
+    out = raster.height_surfaces(g, g.withColumn("value", F.col("value") * F.col("value")), g, "cloud_id", [20.0, 25.0, 30.0], 1)
+    return _rounded(out.select("cloud_id", "level", "di", "dj", "n", "r"), 5)
+
+
+@query("""WITH s AS (SELECT grp, CAST(site_id % 9 AS DOUBLE) AS h, 1 + site_id % 2 AS w, site_id % 7 AS dx, site_id % 5 AS dy FROM v_sites), m AS (SELECT grp, sum(w) AS sw, sum(w*h)/sum(w) AS mh, sum(w*dx)/sum(w) AS mx, sum(w*dy)/sum(w) AS my FROM s GROUP BY 1),
+c AS (SELECT s.grp, sum(w*(h - mh)*(h - mh)) AS hh, sum(w*(h - mh)*(dx - mx)) AS hx, sum(w*(h - mh)*(dy - my)) AS hy FROM s JOIN m USING (grp) GROUP BY 1)
+SELECT grp, round(mx - CASE WHEN hh > 1e-9 THEN hx/hh ELSE 0 END*mh, 5) AS dx, round(my - CASE WHEN hh > 1e-9 THEN hy/hh ELSE 0 END*mh, 5) AS dy, round(CASE WHEN hh > 1e-9 THEN hx/hh ELSE 0 END, 5) AS tx, round(CASE WHEN hh > 1e-9 THEN hy/hh ELSE 0 END, 5) AS ty FROM c JOIN m USING (grp)""")
+def lean_fit(spark, sf):
+    s = views.sites(spark, sf).selectExpr("grp", "CAST(site_id % 9 AS DOUBLE) AS h", "1 + site_id % 2 AS w", "site_id % 7 AS dx", "site_id % 5 AS dy")
+    return _rounded(raster.fitted_lean(s, "grp"), 5)
+
+
+_SUNS = [(90.0, 20.0), (0.0, 35.0)]
+
+
+@query(f"""WITH {_GRID}, k AS (SELECT CAST(unnest(range(1, 4)) AS BIGINT) AS k), u AS (SELECT * FROM (VALUES (90.0e0, 20.0e0, 1, 0), (0.0e0, 35.0e0, 0, 1)) t(azimuth, elevation, si, sj)),
+o AS (SELECT g.cloud_id, g.i, g.j, azimuth, elevation, max(h.value - k * tan(radians(elevation)) * 2 - g.value) AS d FROM g, k, u, g h WHERE h.cloud_id = g.cloud_id AND h.i = g.i + k*si AND h.j = g.j + k*sj GROUP BY ALL),
+f AS (SELECT g.cloud_id, u.azimuth, u.elevation, greatest(coalesce(d, 0), 0) AS d, 100 - g.value AS v FROM g CROSS JOIN u LEFT JOIN o ON o.cloud_id = g.cloud_id AND o.i = g.i AND o.j = g.j AND o.azimuth = u.azimuth)
+SELECT cloud_id, azimuth, elevation, round(corr(d, v), 6) AS r FROM f GROUP BY 1, 2, 3""")
+def sun_fit(spark, sf):
+    g = _grid(spark, sf)
+    return _rounded(raster.sun_surface(g, g.withColumn("value", 100 - F.col("value")), "cloud_id", _SUNS, 2.0, 3))
+
+
+_PIXELS = "l_orderkey % 4 AS file, l_partkey % 40 AS row, l_suppkey % 10 AS col"
+
+
+@query(f"""WITH p AS (SELECT {_PIXELS}, CAST(max(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3), s AS (SELECT c_custkey AS k, c_custkey % 5 AS file, CAST(c_custkey % 97 AS DOUBLE)/2 AS x, CAST(c_custkey % 389 AS DOUBLE)/2 AS y FROM customer)
+SELECT s.k, s.file, CASE WHEN p.v <> 50 THEN p.v END AS v FROM s LEFT JOIN p ON p.file = s.file AND p.row = CAST(floor((200 - y)/5) AS BIGINT) AND p.col = CAST(floor((x - 2)/5) AS BIGINT) WHERE s.file < 4""")
+def sampled_pixels(spark, sf):
+    pixels = views.table(spark, sf, "lineitem").groupBy(F.expr("l_orderkey % 4").alias("file"), F.expr("l_partkey % 40").alias("row"), F.expr("l_suppkey % 10").alias("col")).agg(F.max("l_quantity").cast("double").alias("v"))
+    files = pixels.select("file").distinct().selectExpr("file", "2.0D AS x0", "200.0D AS y0", "5.0D AS cell", "50.0D AS nodata")
+    places = views.table(spark, sf, "customer").selectExpr("c_custkey AS k", "c_custkey % 5 AS file", "CAST(c_custkey % 97 AS DOUBLE) / 2 AS x", "CAST(c_custkey % 389 AS DOUBLE) / 2 AS y")
+    return raster.sampled_pixels(pixels, files, places, "k", "file", "v")
+
+
+@query(f"""WITH p AS (SELECT {_PIXELS}, CAST(max(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3), o AS (SELECT a*4.0e0 AS dx, b*4.0e0 AS dy FROM (SELECT unnest(range(-3, 4)) AS a), (SELECT unnest(range(-3, 4)) AS b) WHERE a*a*16 + b*b*16 <= 144),
+s AS (SELECT c_custkey AS k, c_custkey % 4 AS file, 10 + CAST(c_custkey % 61 AS DOUBLE)/2 + dx AS x, 20 + CAST(c_custkey % 331 AS DOUBLE)/2 + dy AS y FROM customer, o)
+SELECT s.k, count(CASE WHEN p.v <> 50 THEN p.v END) AS n, round(avg(CASE WHEN p.v <> 50 THEN p.v END), 6) AS mean FROM s LEFT JOIN p ON p.file = s.file AND p.row = CAST(floor((200 - y)/5) AS BIGINT) AND p.col = CAST(floor((x - 2)/5) AS BIGINT) GROUP BY 1""")
+def disc_means(spark, sf):
+    pixels = views.table(spark, sf, "lineitem").groupBy(F.expr("l_orderkey % 4").alias("file"), F.expr("l_partkey % 40").alias("row"), F.expr("l_suppkey % 10").alias("col")).agg(F.max("l_quantity").cast("double").alias("v"))
+    files = pixels.select("file").distinct().selectExpr("file", "2.0D AS x0", "200.0D AS y0", "5.0D AS cell", "50.0D AS nodata")
+    places = views.table(spark, sf, "customer").selectExpr("c_custkey AS k", "c_custkey % 4 AS file", "10 + CAST(c_custkey % 61 AS DOUBLE) / 2 AS x", "20 + CAST(c_custkey % 331 AS DOUBLE) / 2 AS y")
+    return _rounded(raster.disc_means(pixels, files, places, "k", "file", "v", 12.0))
+
+
 # locations
 
 

@@ -732,3 +732,11 @@ def test_regression_search_finds_a_shift(spark):
     line = field.filter("x = y")
     flat = raster.fitted_field(line, "u").first()
     assert (flat.b, flat.c) == (0, 0)
+
+
+def test_constant_sides_have_no_correlation(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 3.0), (2, 1.0, 5.0), (3, 1.0, 2.0), (3, 2.0, 4.0), (3, None, 9.0)], "g int, a double, b double")
+    got = {r.g: r.c for r in df.groupBy("g").agg(tx.correlation(F.col("a"), F.col("b")).alias("c")).collect()}
+    assert got == {1: None, 2: None, 3: pytest.approx(1)}
+    flat = spark.createDataFrame([("u", i, j, 1.0) for i in range(3) for j in range(3)], "u string, i long, j long, value double")
+    assert raster.best_shift(raster.shift_surface(flat, flat, "u", 1), "u").count() == 0
