@@ -94,7 +94,7 @@ def task_frame(spark, sf):
 
 
 @query(
-    "WITH c AS (SELECT user_id, event_type, value, CAST(month(ts) AS DOUBLE) AS m FROM events WHERE value > 30) SELECT CAST(user_id AS DOUBLE) AS lat, -CAST(user_id AS DOUBLE) AS lon, round(avg(m), 6) AS year, CAST(least(greatest(round_even(avg(m), 0), 1), 2) AS INT) AS emb_year, user_id % 2 = 1 AS is_test, "
+    "WITH c AS (SELECT user_id, event_type, value, CAST(month(ts) AS DOUBLE) AS m FROM events WHERE value > 30) SELECT CAST(user_id AS DOUBLE) AS lat, 0.0e0 - user_id AS lon, round(avg(m), 6) AS year, CAST(least(greatest(round_even(avg(m), 0), 1), 2) AS INT) AS emb_year, user_id % 2 = 1 AS is_test, "
     + ", ".join(f"CAST(max(CASE WHEN event_type = '{t}' THEN 1 ELSE 0 END) AS INT) AS {t}" for t in _TYPES)
     + " FROM c GROUP BY user_id"
 )
@@ -255,7 +255,7 @@ def point_dropout(spark, sf):
 
 @query(f"""WITH m AS (SELECT cloud_id, (min(x) + max(x))/2 AS mx, (min(y) + max(y))/2 AS my FROM v_points GROUP BY 1),
 t AS (SELECT *, CASE WHEN {_chance(3, 'turn', 'cloud_id')} < 0.75 THEN 3.141592653589793e0 * (1 + CAST(floor({_chance(3, 'angle', 'cloud_id')} * 3) AS INT)) / 2 ELSE 0 END AS t FROM m)
-SELECT {_PK}, round(mx + (x - mx)*cos(t) - (y - my)*sin(t), 6) AS x, round(my + (x - mx)*sin(t) + (y - my)*cos(t), 6) AS y FROM v_points JOIN t USING (cloud_id)""")
+SELECT {_PK}, round(mx + (x - mx)*cos(t) - (y - my)*sin(t), 6) + 0.0e0 AS x, round(my + (x - mx)*sin(t) + (y - my)*cos(t), 6) + 0.0e0 AS y FROM v_points JOIN t USING (cloud_id)""")
 def target_angles(spark, sf):
     return _rounded(augment.turned(views.points(spark, sf), "cloud_id", 3, [0.5, 1.0, 1.5], 0.75).select(*KEY, "x", "y"))
 
