@@ -9,12 +9,12 @@ estimate is so low that a pair at the threshold has it with probability 1e-9 at
 Rows with equal sets collapse to one node first. Candidates of a band group are not paired with each other: the
 members meet the group's least node, and verified links join components. Members of groups that still hold
 several components go on through an exact prefix filter: two sets at the threshold share one of the first few
-shingles of each, in any order of all shingles. That order begins with hashes and puts shingles that too many
-prefixes share last, pass by pass, so that what a prefix holds is rare; a member whose prefix groups hold no
-other component has no link left and goes. In the groups that remain, members first meet a leader drawn for each
-group; then groups of up to SMALL members are compared pair by pair, and larger ones (one for each set of
-members) in pairs of bounded chunks, whose exact intersections are matrix products that yield only the links
-that join components. Estimates play no part in these last two.
+shingles of each, in any order of all shingles. That order begins with hashes and puts shingles last that prefixes
+of too many components share, pass by pass, so that what a prefix holds is rare or one component's; a member whose
+prefix groups hold no other component has no link left and goes. In the groups that remain, members first meet a
+leader drawn for each group; then, in groups with up to SMALL members outside their largest component, these meet
+all others, and the members of further groups (one for each set of members) are compared in pairs of bounded
+chunks, whose exact intersections are matrix products that yield only the links that join components. Estimates play no part in these last two.
 
 A pair at the threshold 0.8 shares no band with probability (1 - 0.8^3)^24 = 3e-8; the estimate adds 1e-9 at most.
 
@@ -42,7 +42,7 @@ from terravane.runtime import arrow_limits, cut, discard, ship
 REGISTERS, ROWS, MANTISSA = 72, 3, 10
 #: Members of a chunk, and bytes of their packed texts, about.
 CHUNK, CHUNK_BYTES = 512, 4 << 20
-#: Members of a prefix group that are compared pair by pair, at most; passes that put frequent shingles last.
+#: Members outside the largest component of a prefix group that meet all its others, at most; passes that put frequent shingles last.
 SMALL, PASSES = 32, 4
 
 
@@ -326,9 +326,11 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _several(prefixes: DataFrame) -> DataFrame:
-    """(h, n, who): prefix groups that hold several components; who tells sets of members apart."""
-    g = prefixes.groupBy("h").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.bit_xor(F.xxhash64("rep")).alias("who"))
-    return g.filter("x < y").select("h", "n", "who")
+    """(h, n, main, minor, who): prefix groups that hold several components, the largest of them and how many members
+    are in others; who tells sets of members apart."""
+    per = prefixes.groupBy("h", "comp").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("w"))
+    g = per.groupBy("h").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", "c").alias("main"), F.count("*").alias("k"), F.bit_xor("w").alias("who"))
+    return g.filter("k > 1").select("h", "n", "main", (F.col("n") - F.col("most")).alias("minor"), "who")
 
 
 def _live(apart: DataFrame, packed: DataFrame, shingle_words: int, percent: int) -> DataFrame | None:
@@ -340,7 +342,7 @@ def _live(apart: DataFrame, packed: DataFrame, shingle_words: int, percent: int)
         groups = cut(_several(prefixes), "prefix-groups")
         sizes = prefixes.agg(F.count("*")).first()[0]
         # fewer than 2**20 for each pass, however many prefixes there are
-        wide = groups.filter(F.col("n") > max(SMALL, sizes >> 20)).select("h").toArrow()["h"].to_numpy()
+        wide = groups.filter(F.col("minor") > max(SMALL, sizes >> 20)).select("h").toArrow()["h"].to_numpy()
         shared = prefixes.join(groups.select("h"), "h")
         done = i == PASSES - 1 or not len(wide)
         if done:
@@ -366,11 +368,12 @@ def _in_groups(prefixes: DataFrame, sketch_of: DataFrame, packed: DataFrame, shi
     groups = cut(_several(prefixes), "prefix-groups")
     own = cut(prefixes.join(groups, "h"), "prefix-members")
     size = sketch_of.select("rep", F.col("n").alias("size"))
-    few = cut(own.filter(F.col("n") <= SMALL).select("h", "rep", "comp").join(size, "rep"), "prefix-few")
-    other = few.select("h", F.col("rep").alias("b"), F.col("comp").alias("c"), F.col("size").alias("m"))
-    pairs = few.join(other, "h").filter("comp < c").filter(100 * F.least("size", "m") >= percent * F.greatest("size", "m")).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    few = cut(own.filter(F.col("minor") <= SMALL).select("h", "rep", "comp", "main").join(size, "rep"), "prefix-few")
+    # each member meets those, at most SMALL, that are outside the group's largest component
+    other = few.filter("comp <> main").select("h", F.col("rep").alias("b"), F.col("comp").alias("c"), F.col("size").alias("m"))
+    pairs = few.join(other, "h").filter("comp <> c").filter(100 * F.least("size", "m") >= percent * F.greatest("size", "m")).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     links = _exact(cut(pairs, "prefix-pairs"), packed, shingle_words, percent)
-    wide = groups.filter(F.col("n") > SMALL).groupBy("n", "who").agg(F.min("h").alias("band")).select("band")
+    wide = groups.filter(F.col("minor") > SMALL).groupBy("n", "who").agg(F.min("h").alias("band")).select("band")
     if wide.isEmpty():
         return links
     apart = cut(own.join(wide, F.col("h") == F.col("band")).select("band", "rep", "comp").join(packed.select("rep", "bytes"), "rep"), "wide")
