@@ -29,11 +29,13 @@ def gradient(grid: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def blur(grid: DataFrame, by: str, value: str, sigma: float, reach: int) -> DataFrame:
-    """(by, i, j, value): Gaussian means over the known cells within reach: each cell sends its weight to those around it."""
+    """(by, i, j, value): Gaussian means over the known cells within reach: each cell sends its weight to those around it.
+
+    The mean of equal values is that value, without the sums' rounding, so that a flat unit stays flat."""
     step = F.sequence(F.lit(-reach), F.lit(reach))
     sent = grid.filter(F.col(value).isNotNull()).select(by, "i", "j", F.col(value).cast("double").alias("v")).withColumn("a", F.explode(step)).withColumn("b", F.explode(step))
     w = F.exp(-(F.col("a") * F.col("a") + F.col("b") * F.col("b")) / (2 * sigma * sigma))
-    means = sent.groupBy(by, (F.col("i") + F.col("a")).alias("i"), (F.col("j") + F.col("b")).alias("j")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias(value))
+    means = sent.groupBy(by, (F.col("i") + F.col("a")).alias("i"), (F.col("j") + F.col("b")).alias("j")).agg(F.when(F.min("v") == F.max("v"), F.min("v")).otherwise(F.sum(w * F.col("v")) / F.sum(w)).alias(value))
     return grid.select(by, "i", "j").join(means, [by, "i", "j"], "left")
 
 

@@ -740,3 +740,9 @@ def test_constant_sides_have_no_correlation(spark):
     assert got == {1: None, 2: None, 3: pytest.approx(1)}
     flat = spark.createDataFrame([("u", i, j, 1.0) for i in range(3) for j in range(3)], "u string, i long, j long, value double")
     assert raster.best_shift(raster.shift_surface(flat, flat, "u", 1), "u").count() == 0
+
+
+def test_a_flat_surface_has_no_slopes(spark):
+    flat = spark.range(100).selectExpr("0 AS u", "id div 10 AS i", "id % 10 AS j", "47.3D AS dsm", "CAST(id AS DOUBLE) AS chm", "1.0D AS intensity")
+    got = raster.feature_stack(flat, "u", reach=2).filter("i BETWEEN 1 AND 8 AND j BETWEEN 1 AND 8").collect()
+    assert len(got) == 64 and {(r.slope_i, r.slope_j) for r in got} == {(0.0, 0.0)}
