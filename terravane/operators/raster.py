@@ -350,8 +350,20 @@ def sampled_pixels(pixels: DataFrame, files: DataFrame, places: DataFrame, key:
 
 
 def disc_means(pixels: DataFrame, files: DataFrame, places: DataFrame, key: str, file: str, value: str, radius: float, least: float = 4.0, most: float = 40.0) -> DataFrame:
-    """(key, n, mean): the mean of the valid pixels at the offsets of a disc around each place, n of them."""
+    """(key, n, mean): the mean of the valid pixels at the offsets of a disc around each place, n of them.
+
+    Each different spot (file, x, y) is looked up once. Its offsets are made after the join with the files, as the left
+    side of an outer join with the pixels, so that the many rows they make, of which the planner knows nothing, are not
+    broadcast."""
     from terravane.functions.geo import disc_offsets
 
-    each = places.withColumn("_o", F.explode(disc_offsets(radius, least, most))).withColumns({"x": F.col("x") + F.col("_o.dx"), "y": F.col("y") + F.col("_o.dy")}).drop("_o")
-    return sampled_pixels(pixels, files, each, key, file, value).groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    own = files.select(F.col(file), "x0", "y0", "cell", "nodata")
+    spots = places.select(file, "x", "y").distinct().join(own, file).withColumn("_o", F.explode(disc_offsets(radius, least, most)))
+    at = lambda way, size: F.floor(way / F.col(size)).cast("long")
+    spots = spots.select(F.col(file).alias("_file"), F.col("x").alias("_x"), F.col("y").alias("_y"), "nodata", at(F.col("y0") - (F.col("y") + F.col("_o.dy")), "cell").alias("_row"), at(F.col("x") + F.col("_o.dx") - F.col("x0"), "cell").alias("_col"))
+    there = spots.join(pixels.select(file, "row", "col", value), (F.col("_file") == F.col(file)) & (F.col("_row") == F.col("row")) & (F.col("_col") == F.col("col")), "left")
+    valid = F.when(~F.col(value).eqNullSafe(F.col("nodata")), F.col(value))
+    sums = there.groupBy("_file", "_x", "_y").agg(F.count(valid).alias("_n"), F.sum(valid).alias("_sum"))
+    same = (F.col(file) == F.col("_file")) & F.col("x").eqNullSafe(F.col("_x")) & F.col("y").eqNullSafe(F.col("_y"))
+    found = places.select(key, file, "x", "y").join(sums, same)
+    return found.groupBy(key).agg(F.sum("_n").alias("n"), F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean"))

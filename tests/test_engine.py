@@ -746,3 +746,15 @@ def test_a_flat_surface_has_no_slopes(spark):
     flat = spark.range(100).selectExpr("0 AS u", "id div 10 AS i", "id % 10 AS j", "47.3D AS dsm", "CAST(id AS DOUBLE) AS chm", "1.0D AS intensity")
     got = raster.feature_stack(flat, "u", reach=2).filter("i BETWEEN 1 AND 8 AND j BETWEEN 1 AND 8").collect()
     assert len(got) == 64 and {(r.slope_i, r.slope_j) for r in got} == {(0.0, 0.0)}
+
+
+def test_discs_are_not_broadcast_and_spots_are_looked_up_once(spark):
+    pixels = spark.createDataFrame([(1, 0, 0, 4.0), (1, 0, 1, 8.0), (1, 1, 0, 9.0)], "file long, row long, col long, v double")
+    files = spark.createDataFrame([(1, 0.0, 10.0, 5.0, 9.0)], "file long, x0 double, y0 double, cell double, nodata double")
+    places = spark.createDataFrame([(1, 1, 2.0, 8.0), (2, 1, 2.0, 8.0), (2, 1, 2.0, 3.0), (3, 1, None, 8.0), (4, 2, 2.0, 8.0), (5, 1, 900.0, 8.0)], "k long, file long, x double, y double")
+    found = raster.disc_means(pixels, files, places, "k", "file", "v", 4.0)
+    # offsets of 4 around (2, 8): itself, left (outside), right, up (outside) and down (no data)
+    assert {r.k: (r.n, r.mean) for r in found.collect()} == {1: (2, 6.0), 2: (3, 16 / 3), 3: (0, None), 5: (0, None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate explode") :]
+    assert "Join Inner" in below[: below.index("LogicalRDD")]  # the files are joined before there are many rows
