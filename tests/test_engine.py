@@ -777,3 +777,11 @@ def test_neighbours_of_places_that_many_rows_share(spark):
         want[i] = sorted(want.get(i, []) + [n for n in near if n[0] == n[0]])[:3]
     assert {(r.id, r.k_rank): (round(r.distance, 6), r.to) for r in got} == {(i, k): n for i, ns in want.items() for k, n in enumerate(ns, 1)}
     assert seen[0] == (5, 9)  # five places, and three rows for each of three
+
+
+def test_weighted_means_of_places_that_many_rows_share(spark):
+    left = spark.createDataFrame([(i, 0.0, float(i % 2)) for i in range(20)] + [(99, float("nan"), 0.0)], "id long, lat double, lon double")
+    right = spark.createDataFrame([(i, 0.0, -1.0 if i % 2 else 3.0, float(i)) for i in range(40)], "to long, lat double, lon double, v double")
+    near = match.nearest_k(left, right, 2, "id", "to", 10_000.0)
+    got = {r.id: round(r.v, 9) for r in match.inverse_distance(near, right, "id", "to", "v").collect()}
+    assert got == {i: 0.5 if i % 2 else 2.0 for i in range(20)}
