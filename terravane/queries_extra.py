@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terravane.operators import extra, graph, match, raster
+from terravane.operators import extra, match, raster
 from terravane.plans import views
 from terravane.queries import _matched, _rounded, query
 
@@ -217,8 +217,7 @@ def unit_plan(spark, sf):
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS site_id, least(a, min(b)) AS component FROM r GROUP BY a""")
 def revisit_components(spark, sf):
-    pairs = match.pairs_within(views.sites(spark, sf), 90_000.0, "site_id", []).select(F.col("a_site_id").alias("a"), F.col("b_site_id").alias("b"))
-    return graph.components(pairs, "revisits").select(F.col("id").alias("site_id"), F.col("comp").alias("component"))
+    return match.components_within(views.sites(spark, sf), 90_000.0, "site_id", "revisits").select(F.col("id").alias("site_id"), F.col("comp").alias("component"))
 
 
 @query("""WITH c AS (SELECT name, xmin + w/2 AS cx, ymin + h/2 AS cy, w, h, unnest(range(CAST(floor(xmin) AS BIGINT), CAST(floor(xmin + w) AS BIGINT) + 1)) AS i, ymin FROM v_footprints),

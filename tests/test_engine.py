@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import geo
 from terravane.functions import text as tx
-from terravane.operators import cloud, embed, extra, funnel, labels, match, metrics, probe, raster, splits
+from terravane.operators import cloud, embed, extra, funnel, graph, labels, match, metrics, probe, raster, splits
 from terravane.sources import tables as src
 
 
@@ -785,3 +785,34 @@ def test_weighted_means_of_places_that_many_rows_share(spark):
     near = match.nearest_k(left, right, 2, "id", "to", 10_000.0)
     got = {r.id: round(r.v, 9) for r in match.inverse_distance(near, right, "id", "to", "v").collect()}
     assert got == {i: 0.5 if i % 2 else 2.0 for i in range(20)}
+
+
+def test_pairs_and_links_of_places_that_many_rows_share(spark):
+    spots = [(0.0, 0.0), (0.0, 0.5), (0.0, 1.0), (9.0, 9.0), (float("nan"), 0.0), (None, 1.0), (30.0, 30.0)]
+    rows = [(i, *spots[i % 5], i % 3) for i in range(60)] + [(60, *spots[5], 0), (61, *spots[6], 0), (3, *spots[6], 1)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, y int")
+    want = []
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[1] is not None and b[1] is not None and (d := np.hypot((b[2] - a[2]) * np.cos(np.radians((a[1] + b[1]) / 2)), b[1] - a[1]) * geo.DEGREE_M) <= 60_000:
+                want.append((a[0], a[3], b[0], b[3], round(float(d), 1)))
+    got = match.pairs_within(df, 60_000.0, "id", ["y"], digits=1)
+    assert sorted((r.a_id, r.a_y, r.b_id, r.b_y, r.distance) for r in got.collect()) == sorted(want)
+    sought = []
+    keep, graph.components = graph.components, lambda links, name: sought.append(links.count()) or keep(links, name)
+    try:
+        found = match.components_within(df, 60_000.0, "id")
+    finally:
+        graph.components = keep
+    assert sought[0] < 10 < len(want)
+    reach = {}
+    for a, _, b, _, _ in want:
+        joined = reach.get(a, {a}) | reach.get(b, {b})
+        reach |= dict.fromkeys(joined, joined)
+    assert sorted((r.id, r.comp) for r in found.collect()) == sorted((i, min(x)) for i, x in reach.items())
+
+
+def test_distances_are_the_same_both_ways(spark):
+    df = spark.range(20000).selectExpr("25 + id * 7919 % 2400 / 100.0D AS a", "-124 + id * 104729 % 5600 / 100.0D AS b", "25 + id * 31 % 2400 / 100.0D AS c", "-124 + id * 17 % 5600 / 100.0D AS d")
+    there, back = geo.metres(F.col("a"), F.col("b"), F.col("c"), F.col("d")), geo.metres(F.col("c"), F.col("d"), F.col("a"), F.col("b"))
+    assert df.filter(there != back).count() == 0
