@@ -149,8 +149,8 @@ def exclude_within_radius(spark, sf):
 
 @query(f"SELECT a.site_id AS a_site_id, b.site_id AS b_site_id, round({_DIST}, 3) AS distance FROM v_sites a JOIN v_sites b ON a.site_id < b.site_id AND abs(a.lat - b.lat) < 1.2 WHERE {_DIST} <= 120000 AND abs(a.year - b.year) >= 1")
 def revisit_pairs(spark, sf):
-    pairs = match.pairs_within(views.sites(spark, sf), 120_000.0, "site_id", ["year"]).filter("abs(a_year - b_year) >= 1")
-    return pairs.select("a_site_id", "b_site_id", F.round("distance", 3).alias("distance"))
+    pairs = match.pairs_within(views.sites(spark, sf), 120_000.0, "site_id", ["year"], digits=3).filter("abs(a_year - b_year) >= 1")
+    return pairs.select("a_site_id", "b_site_id", "distance")
 
 
 @query(f"""WITH c AS (SELECT ordinal, xmin + w/2 AS lon, ymin + h/2 AS lat FROM v_footprints),
