@@ -666,8 +666,7 @@ def disc_samples(spark, sf):
 
 @query("SELECT site_id, name, collection_year, gap, year_diff FROM v_matched WHERE name IS NOT NULL")
 def nearest_in_time(spark, sf):
-    pairs = match.covering(views.sites(spark, sf), views.footprints(spark, sf), "ordinal")
-    return match.nearest_in_time(pairs, ["site_id"], F.col("collection_year"), F.col("year"), ["name", "collection_year"], F.col("ordinal"))
+    return match.nearest_covering(views.sites(spark, sf), views.footprints(spark, sf), "site_id").filter("name IS NOT NULL")
 
 
 @query("""WITH c AS (SELECT ordinal, w, xmin + w/2 AS lon, ymin + h/2 AS lat FROM v_footprints),
