@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions.text import md5_uniform, normalised
 from terravane.operators.splits import seeded_order
+from terravane.runtime import cut, discard
 
 
 _QUOTED = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")""")
@@ -158,17 +161,45 @@ def nearest_square(left: DataFrame, right: DataFrame, key: str, to: str, half: f
 
 
 def nearest_in_cell(left: DataFrame, right: DataFrame, by: str, key: str, to: str, radius: float) -> DataFrame:
-    """For each point of left the nearest of right in the same batch element within radius, in three dimensions."""
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    """For each point of left the nearest of right in the same batch element within radius, in three dimensions; ties to
+    the least of right.
+
+    Different positions are searched, each once, among the least points of right's different positions. The search begins
+    with a radius about that of one point of right, and grows twofold, up to radius, for positions without one within it;
+    a position with one has its nearest. What a round settles is written. A cell is two radii wide, so that a position
+    looks itself up in two cells of each axis."""
     axes = ("x", "y", "z")
-    r = right.select(by, to, *(F.col(a).alias(f"_{a}") for a in axes)).withColumns({f"_c{a}": F.floor(F.col(f"_{a}") / radius) for a in axes})
-    s = left
-    around = lambda c: F.explode(F.transform(near, lambda d: F.floor(F.col(c) / radius) + d))
-    for a in axes:
-        s = s.withColumn(f"_c{a}", around(a))
+    left = cut(left.select(by, key, *axes), "nearest-left")
+    r = right.groupBy(by, *(F.col(a).alias(f"_{a}") for a in axes)).agg(F.min(to).alias(to))
+    r = cut(r.dropna(subset=[by, "_x", "_y", "_z"]), "nearest-right")
+    rest = cut(left.select(by, *axes).distinct().dropna(), "nearest-rest")
+    size = r.select(by, *(F.floor(F.col(f"_{a}") / radius).alias(f"_c{a}") for a in axes)).groupBy(by, *(f"_c{a}" for a in axes)).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]  # that a point shares its cell with
+    reach = radius / 2.0 ** max(0, math.ceil(math.log2(size or 1) / 3))
     d2 = sum(((F.col(a) - F.col(f"_{a}")) ** 2 for a in axes), F.lit(0.0))
-    pairs = s.join(r, [by, *(f"_c{a}" for a in axes)]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
-    return pairs.groupBy(by, key).agg(F.min_by(F.struct(to, "d2"), F.struct("d2", to)).alias("m")).select(by, key, "m.*")
+    parts = []
+    while True:
+        at = lambda c, wide=reach: F.floor(c / (2 * wide)).cast("long")
+        number = lambda cells: F.xxhash64(by, *cells)  # noqa: E731  # cells that share a number only cost comparisons
+        s = rest
+        for a in axes:
+            off = reach * (1 + 1e-9) + F.abs(F.col(a)) * 1e-15  # beyond what rounding takes away
+            s = s.withColumn(f"_c{a}", F.explode(F.sequence(at(F.col(a) - off), at(F.col(a) + off))))
+        s = s.select(by, *axes, number([f"_c{a}" for a in axes]).alias("_cell"))
+        there = r.withColumn("_cell", number([at(F.col(f"_{a}")) for a in axes]))
+        pairs = s.join(there, [by, "_cell"]).withColumn("d2", d2).filter(F.col("d2") <= reach * reach)
+        found = cut(pairs.groupBy(by, *axes).agg(F.min(F.struct("d2", to)).alias("_m")), "nearest-found")
+        parts.append(found)
+        if reach >= radius:
+            break
+        left_over = cut(rest.join(found, [by, *axes], "left_anti"), "nearest-rest")
+        discard(rest)
+        rest = left_over
+        if rest.isEmpty():
+            break
+        reach = min(radius, 2 * reach)
+    discard(r, rest)
+    best = left.join(reduce(DataFrame.union, parts), [by, *axes])
+    return best.groupBy(by, key).agg(F.min("_m").alias("_m")).select(by, key, F.col(f"_m.{to}").alias(to), "_m.d2")
 
 
 def ring_cells(df: DataFrame, k: int) -> DataFrame:

@@ -839,3 +839,28 @@ def test_shapes_and_places_that_many_rows_share_meet_once(spark):
             y, c = rows[i][3], 2000 + n % 7
             near[i] = min(near.get(i, (99, 99)), (abs(c - y) if y else 0, n))
     assert {(r.id, r.gap, r.name) for r in best} == {(i, g if rows[i][3] else None, f"n{n}") for i, (g, n) in near.items()}
+
+
+def test_nearest_points_of_positions_that_many_share(spark):
+    rng = np.random.default_rng(3)
+    spots = [tuple(float(v) for v in p) for p in rng.integers(-300, 300, (120, 3)) / 10]
+    left = [(i % 2, i, *spots[i % 40]) for i in range(200)] + [(0, 900, None, 0.0, 0.0), (1, 901, float("nan"), 0.0, 0.0), (1, 902, 5e6, 0.0, 0.0), (None, 903, 0.0, 0.0, 0.0), (0, 4, *spots[50])]
+    right = [(i % 3, i, *spots[30 + i % 90]) for i in range(900)] + [(1, 2000, 5e6 + 9.0, 0.0, 0.0), (1, 2001, float("nan"), 0.0, 0.0), (0, 2002, None, 0.0, 0.0)]
+    a = spark.createDataFrame(left, "u long, ka long, x double, y double, z double")
+    b = spark.createDataFrame(right, "u long, kb long, x double, y double, z double")
+    made = []
+    keep, extra.cut = extra.cut, lambda df, name, by=None: made.append((name, (out := keep(df, name, by)).count())) or out
+    try:
+        got = extra.nearest_in_cell(a, b, "u", "ka", "kb", 9.0).collect()
+    finally:
+        extra.cut = keep
+    want = {}
+    for u, k, *p in left:
+        if u is not None and p[0] is not None:
+            near = [((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2, kb) for v, kb, *q in right if v == u and q[0] is not None]
+            near = [n for n in near if n[0] <= 81.0]
+            if near:
+                want[u, k] = min(want.get((u, k), (1e9, 0)), min(near))
+    assert {(r.u, r.ka): (r.d2, r.kb) for r in got} == want and len(got) == len(want)
+    sizes = dict(reversed(made))
+    assert sizes["nearest-right"] <= 3 * 90 + 1 and sizes["nearest-rest"] <= 2 * 40 + 3 and len(made) > 4
