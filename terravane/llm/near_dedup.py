@@ -16,6 +16,9 @@ leader drawn for each group; then, in groups with up to SMALL members outside th
 all others, and the members of further groups (one for each set of members) are compared in pairs of bounded
 chunks, whose exact intersections are matrix products that yield only the links that join components. Estimates play no part in these last two.
 
+Before the texts of a pair meet, its sets' parities do: each shingle flips one of PARITIES bits, so two sets differ in
+at least as many shingles as their parities in bits, and a pair that differs in too many for the threshold is none.
+
 A pair at the threshold 0.8 shares no band with probability (1 - 0.8^3)^24 = 3e-8; the estimate adds 1e-9 at most.
 
 Defined cases: null or blank text has no set and links with nothing; texts shorter than a shingle are one
@@ -40,6 +43,8 @@ from terravane.operators.graph import components
 from terravane.runtime import arrow_limits, cut, discard, ship
 
 REGISTERS, ROWS, MANTISSA = 72, 3, 10
+#: Bits of the parities that a pair must pass before its texts meet.
+PARITIES = 1024
 #: Members of a chunk, and bytes of their packed texts, about.
 CHUNK, CHUNK_BYTES = 512, 4 << 20
 #: Members outside the largest component of a prefix group that meet all its others, at most; passes that put frequent shingles last.
@@ -150,10 +155,38 @@ def _near(floor: float):
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in tb.blocks(batches):
-        packed = [zlib.compress(t, 1) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(list(map(len, packed)), pa.int64())], names=["rep", "packed", "bytes"])
+def parities(s: np.ndarray) -> bytes:
+    """One bit for each of PARITIES classes of shingles: whether the set has an odd number of the class."""
+    return np.packbits(np.bincount((tb.mix(s ^ tb.U(0xC2B2AE3D27D4EB4F)) % tb.U(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+
+
+def possible(n: np.ndarray, m: np.ndarray, a: list[bytes], b: list[bytes], percent: int) -> np.ndarray:
+    """Whether sets of n and m shingles with parities a and b can be at the threshold; never False for those that are."""
+    x, y = (np.frombuffer(b"".join(z), np.uint64).reshape(-1, PARITIES // 64) for z in (a, b))
+    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return 100 * (n + m - apart) >= percent * (n + m + apart)
+
+
+def _possible(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keep = possible(*(np.array(batch.column(c)) for c in ("na", "nb")), *(batch.column(c).to_pylist() for c in ("sa", "sb")), percent)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _pack(shingle_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in tb.blocks(batches):
+            packed = [zlib.compress(t, 1) for t in texts]
+            words = tb.Words(texts)
+            sets = [np.unique(words.shingles(i, shingle_words)) for i in range(len(texts))]
+            more = [pa.array(list(map(len, z)), pa.int64()) for z in (packed, sets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), *more, pa.array(list(map(parities, sets)), pa.binary())], names=["rep", "packed", "bytes", "n", "parities"])
+
+    return run
 
 
 def _verify(shingle_words: int, percent: int):
@@ -291,7 +324,7 @@ def _links(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int
     members = cut(banded.join(groups, "band"), "members")
     edges = members.filter("lead <> rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     close = cut(_estimated(edges, sketch_of, floor), "close")
-    packed = cut(_texts(docs, classes.select(F.col("node").alias("rep"), *ROW).join(members.select("rep").distinct(), "rep")), "packed")
+    packed = cut(_texts(docs, classes.select(F.col("node").alias("rep"), *ROW).join(members.select("rep").distinct(), "rep"), shingle_words), "packed")
     links = cut(_exact(close, packed, shingle_words, percent), "links-1")
     found = components(links, "cc-1")
     # members of groups with several components
@@ -316,10 +349,10 @@ def _links(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int
     return out
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, packed, bytes) of the rows of docs that ids (rep and ROW) name, one for each rep."""
+def _texts(docs: DataFrame, ids: DataFrame, shingle_words: int) -> DataFrame:
+    """(rep, packed, bytes, n, parities) of the rows of docs that ids (rep and ROW) name, one for each rep."""
     keyed = docs.select(*_keyed(docs), F.col("text").cast("string"))
-    packed = cut(_picked(keyed, ids, ROW).select("rep", "text").mapInArrow(_pack, "rep long, packed binary, bytes long"), "texts")
+    packed = cut(_picked(keyed, ids, ROW).select("rep", "text").mapInArrow(_pack(shingle_words), "rep long, packed binary, bytes long, n long, parities binary"), "texts")
     if packed.groupBy("rep").count().filter("count > 1").isEmpty():
         return packed
     return packed.dropDuplicates(["rep"])  # rows that are repeated whole
@@ -349,9 +382,12 @@ def _live(apart: DataFrame, packed: DataFrame, shingle_words: int, percent: int)
             out = cut(shared, "live-prefixes")
             discard(prefixes, groups, left)
             return None if out.isEmpty() else out
-        old = left
-        left = cut(left.join(shared.select("rep").distinct(), "rep", "left_semi"), "left")
-        discard(prefixes, groups, old)
+        some = cut(shared.select("rep").distinct(), "shared")
+        if 4 * some.count() <= 3 * left.count():  # else it costs more to move the texts than to leave the others among them
+            old = left
+            left = cut(left.join(some, "rep", "left_semi"), "left")
+            discard(old)
+        discard(prefixes, groups, some)
         late = np.union1d(late, np.array(wide, np.int64).view(tb.U))
     return None
 
@@ -394,6 +430,10 @@ def _estimated(edges: DataFrame, sketch_of: DataFrame, floor: float) -> DataFram
 
 
 def _exact(pairs: DataFrame, packed: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Those of the pairs that are links; texts are moved only for pairs whose parities allow it."""
+    a = packed.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parities").alias("sa"))
+    b = packed.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parities").alias("sb"))
+    pairs = cut(pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(percent), "a long, b long"), "possible")
     a = packed.select(F.col("rep").alias("a"), F.col("packed").alias("ta"))
     b = packed.select(F.col("rep").alias("b"), F.col("packed").alias("tb"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(shingle_words, percent), "a long, b long").distinct()

@@ -10,6 +10,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 
@@ -481,6 +482,42 @@ def test_near_components_of_templates(spark, monkeypatch, small):
     assert got == near_dedup.brute_components(rows, 4, 80)
 
 
+def test_texts_meet_only_where_parities_allow_it(spark, monkeypatch):
+    met = spark.sparkContext.accumulator(0)
+    verify = near_dedup._verify
+
+    def counted(*how):
+        run = verify(*how)
+
+        def rows(batches):
+            for batch in batches:
+                met.add(batch.num_rows)
+                yield from run(iter([batch]))
+
+        return rows
+
+    monkeypatch.setattr(near_dedup, "_verify", counted)
+    rows = template_family(240, 120, 7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == near_dedup.brute_components(rows, 4, 80)
+    assert 0 < met.value < 200
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_parities_lose_no_pair_at_the_threshold(percent):
+    rng = np.random.default_rng(percent)
+    for n in (1, 2, 5, 40, 300, 3000, 40_000):
+        s = rng.integers(0, 2**63, 3 * n, np.int64).astype(np.uint64)
+        for both in {n * percent // 100, n - n // 9, n}:
+            for extra in {0, n // 9, n - both}:
+                x, y = np.unique(s[:n]), np.unique(np.concatenate((s[n - both : n], s[n : n + extra])))
+                at = 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))
+                kept = near_dedup.possible(np.array([len(x)]), np.array([len(y)]), [near_dedup.parities(x)], [near_dedup.parities(y)], percent)[0]
+                assert kept or not at
+    x, y = (rng.integers(0, 2**63, 300, np.int64).astype(np.uint64) for _ in "xy")
+    assert not near_dedup.possible(np.array([300]), np.array([300]), [near_dedup.parities(x)], [near_dedup.parities(y)], percent)[0]
+
+
 def test_containment_by_shuffled_joins(spark, odd, monkeypatch):
     monkeypatch.setattr(containment, "ITEM_BYTES", 0)
     test_containment_equals_brute_force(spark, odd, spark.createDataFrame([], SCHEMA))
