@@ -675,8 +675,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY distance, ordin
 SELECT site_id, round(sum(w/greatest(distance, 1e-6))/sum(1/greatest(distance, 1e-6)), 6) AS w FROM r WHERE k <= 3 GROUP BY site_id""")
 def inverse_distance(spark, sf):
     centres = views.footprints(spark, sf).selectExpr("ordinal", "w", "xmin + w / 2 AS lon", "ymin + h / 2 AS lat")
-    near = match.nearest_k(views.sites(spark, sf), centres, 3, "site_id", "ordinal", 100_000.0)
-    return _rounded(match.inverse_distance(near, centres, "site_id", "ordinal", "w"))
+    return _rounded(match.weighted_nearest(views.sites(spark, sf), centres, 3, "site_id", "ordinal", "w", 100_000.0))
 
 
 @query("""SELECT 'as_is' AS candidate, round(avg(CAST(lat BETWEEN 24 AND 40 AND lon BETWEEN -125 AND -90 AS DOUBLE)), 9) AS inside FROM v_sites

@@ -787,6 +787,21 @@ def test_weighted_means_of_places_that_many_rows_share(spark):
     assert got == {i: 0.5 if i % 2 else 2.0 for i in range(20)}
 
 
+def test_weighted_means_are_made_once_for_each_place(spark, monkeypatch):
+    spots = [(0.0, 0.0), (0.0, 1.0), (3.0, 0.5), (20.0, 20.0)]
+    rows = [(i, *spots[i % 4]) for i in range(40)] + [(7, 0.0, 0.9), (8, 0.0, 0.0), (None, 0.0, 0.0), (None, 3.0, 0.5), (99, float("nan"), 0.0)]
+    left = spark.createDataFrame(rows, "id long, lat double, lon double")
+    right = spark.createDataFrame([(i, *[(0.0, 0.5), (0.0, -0.5), (40.0, 0.0)][i % 3], float(i % 7)) for i in range(60)], "to long, lat double, lon double, v double")
+    want = {r.id: round(r.v, 9) for r in match.inverse_distance(match.nearest_k(left, right, 3, "id", "to", 50_000.0), right, "id", "to", "v").collect()}
+    weighed = []
+    mean = match.inverse_distance
+    monkeypatch.setattr(match, "inverse_distance", lambda near, *a: weighed.append(near.count()) or mean(near, *a))
+    got = match.weighted_nearest(left, right, 3, "id", "to", "v", 50_000.0).collect()
+    assert len(got) == len(want) == 41 and {r.id: round(r.v, 9) for r in got} == want
+    assert weighed == [15, 9]  # three for each of five places, and for each key with several rows
+    assert match.weighted_nearest(left, right.limit(0), 3, "id", "to", "v", 50_000.0).count() == 0
+
+
 def test_pairs_and_links_of_places_that_many_rows_share(spark):
     spots = [(0.0, 0.0), (0.0, 0.5), (0.0, 1.0), (9.0, 9.0), (float("nan"), 0.0), (None, 1.0), (30.0, 30.0)]
     rows = [(i, *spots[i % 5], i % 3) for i in range(60)] + [(60, *spots[5], 0), (61, *spots[6], 0), (3, *spots[6], 1)]
