@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 MISSING = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "#N/A", "-")
 
 
-def read_table(spark: SparkSession, path: str, text: bool = False, missing: tuple[str, ...] = ()) -> DataFrame:
+def read_table(spark: SparkSession, path: str, text: bool = False, missing: str | tuple[str, ...] = ()) -> DataFrame:
     """A table by its suffix: parquet, json lines, geojson, else csv with a header (as text, where decimals matter).
 
     Values of a csv that are among missing are null, whichever of them they are; types are then inferred from the rest."""
@@ -29,6 +29,7 @@ def read_table(spark: SparkSession, path: str, text: bool = False, missing: tupl
     raw = spark.read.option("header", True).option("inferSchema", not text and not missing).csv(path)
     if not missing:
         return raw
+    missing = (missing,) if isinstance(missing, str) else missing
     known = raw.select(*(F.when(~F.trim(F.col(f"`{c}`")).isin(*missing), F.col(f"`{c}`")).alias(c) for c in raw.columns))
     if text:
         return known
